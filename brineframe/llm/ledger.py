@@ -1,0 +1,47 @@
+"""Tables that grow by numbered batches in a folder, with idempotent commits.
+
+``<path>/<table>/seq=<n>`` holds what batch n wrote; a batch counts once its row
+under ``<path>/commits/seq=<n>`` is there, which is written last. A batch that
+failed before that is overwritten by the next try and was never visible.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+class Ledger:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+    def commits(self) -> dict[str, int]:
+        """Number of each committed batch (a row per batch comes to the driver)."""
+        if not self._exists(f"{self.path}/commits"):
+            return {}
+        rows = self.spark.read.option("basePath", f"{self.path}/commits").schema("batch string, seq int").parquet(f"{self.path}/commits").collect()
+        return {r["batch"]: r["seq"] for r in rows}
+
+    def next(self) -> int:
+        return max(self.commits().values(), default=-1) + 1
+
+    def write(self, table: str, seq: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/seq={seq}")
+
+    def commit(self, batch: str, seq: int) -> None:
+        self.write("commits", seq, self.spark.range(1).select(F.lit(batch).alias("batch")))
+
+    def read(self, table: str, schema: str, but: int | None = None) -> DataFrame:
+        """All committed rows of a table with their ``seq``; also those of the open batch ``but``."""
+        known = sorted({*self.commits().values()} | ({but} if but is not None else set()))
+        paths = [p for n in known if self._exists(p := f"{self.path}/{table}/seq={n}")]
+        full = T._parse_datatype_string(schema).add("seq", T.IntegerType())
+        if not paths:
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.option("basePath", f"{self.path}/{table}").schema(full).parquet(*paths)
