@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute is not there without it)
 import xxhash
 
 SPACES = b" \t\n\x0b\x0c\r"
