@@ -1 +1 @@
-
+"""Operators from observation tables to observation tables."""

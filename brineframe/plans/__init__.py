@@ -1 +1 @@
-
+"""Whole plans: reports, pages, pipelines."""

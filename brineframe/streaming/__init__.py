@@ -1 +1 @@
-
+"""Observation tables as streams."""
