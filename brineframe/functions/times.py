@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPOCH_MS = -631_152_000_000
-#: Days that a timestamp can hold either way from 1950, kept well inside the range of bigint milliseconds.
-_FAR = 100_000_000.0
+#: Days either way from 1950 beyond which a time is taken for the limit, or for unknown: both stay within four-digit years.
+_FAR = 700_000.0
 
 
 def days_to_timestamp(days: Column) -> Column:

@@ -34,7 +34,7 @@ class Box:
 
 def _not_nan(c: Column) -> Column:
     """False for NaN, null for null."""
-    return c.cast("double") != F.lit(float("nan"))
+    return F.when(c.isNotNull(), ~F.isnan(c))
 
 
 def filter_box(df: DataFrame, box: Box, mode: str = "include") -> DataFrame:

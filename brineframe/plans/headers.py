@@ -80,7 +80,7 @@ def read_headers(spark: SparkSession, path: str, pattern: str = "*.yaml") -> Dat
     """Header documents under a folder, a row each, parsed on the executors."""
     import json
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
 
     def parse(batches):
         import pandas as pd

@@ -280,7 +280,7 @@ def html(title: str, notes: Sequence[str], parts: Sequence[Section]) -> str:
         if s.files:
             body.append("<ul>" + "".join(f"<li>File: <code>{e(f)}</code></li>" for f in s.files) + "</ul>")
         for t in s.tables:
-            body += [f"<p><strong>{e(t.title)}</strong></p>"] * bool(t.title) + [f"<p>{e(t.desc)}</p>"] * bool(t.desc)
+            body += [f"<p><strong>{e(t.title or '')}</strong></p>"] * bool(t.title) + [f"<p>{e(t.desc)}</p>"] * bool(t.desc)
             rows = "".join("<tr>" + "".join(f"<td>{e(c)}</td>" for c in r) + "</tr>" for r in t.rows)
             body.append("<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in t.headers) + f"</tr></thead><tbody>{rows}</tbody></table>")
     return f'<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="utf-8"><title>{e(title)}</title><style>{STYLE}</style></head>\n<body>\n' + "\n".join(body) + "\n</body>\n</html>\n"

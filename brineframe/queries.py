@@ -45,7 +45,8 @@ def _obs(f: Callable[[DataFrame], DataFrame], columns: list[str] | None = COLUMN
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if c.endswith("_mean") else F.col(c) for c in df.columns))
+    """Means to six decimals, so that the order of a sum doesn't show; what adds up to a tie goes up."""
+    return df.select(*(F.round(F.col(c) + 1e-9, 6).alias(c) if c.endswith("_mean") else F.col(c) for c in df.columns))
 
 
 def _measures(own: str = "{c}") -> str:
@@ -53,7 +54,7 @@ def _measures(own: str = "{c}") -> str:
     out = []
     for m in ("temp", "psal", "pres"):
         v = f"case when not isnan({m}) then {m} end"
-        out.append(f"count(*) filter ({m} is null or isnan({m})) as na_{m}, min({v}) as {m}_min, max({v}) as {m}_max, round(avg({v}), 6) as {m}_mean")
+        out.append(f"count(*) filter ({m} is null or isnan({m})) as na_{m}, min({v}) as {m}_min, max({v}) as {m}_max, round(avg({v}) + 1e-9, 6) as {m}_mean")
     return ", ".join(out)
 
 

@@ -177,6 +177,10 @@ def observations(profiles: DataFrame, layout: NrtLayout | CoraLayout) -> DataFra
     values["deph"] = F.when(F.col("__sourced"), values["deph"]).otherwise(nan.cast("float"))
     flags["deph"] = F.when(F.col("__sourced"), flags["deph"]).otherwise(F.lit(""))
     p = p.select("*", *(values[g].alias(f"__{g}") for g in values), *(flags[g].alias(f"__{g}_qc") for g in values)).drop(*names)
+    # a level stays if it has a value, or a depth that gives a pressure (or, for nrt, a depth at all)
+    has = lambda c: ~F.isnan(c)
+    deep = has("__deph") & (F.lit(not cora) & F.col("__sourced") | (F.col("__deph") >= -5) & has("__lat"))
+    p = p.where(has("__temp") | has("__psal") | has("__pres") | deep)
     p = with_made_pressure(p, F.col("__deph"), F.col("__lat"))
     pres, pres_qc, pres_conv = pressure_from_depth(F.col("__pres"), F.col("__pres_qc"), F.col("__deph"), F.col("__deph_qc"), F.col("__made"))
     deph, deph_qc, deph_conv = depth_from_pressure(F.col("__deph"), F.col("__deph_qc"), F.col("__pres"), F.col("__pres_qc"), F.col("__lat"))
@@ -184,12 +188,9 @@ def observations(profiles: DataFrame, layout: NrtLayout | CoraLayout) -> DataFra
         "platform_code", "profile_no", "profile_time", days_to_timestamp(F.col("profile_time")).alias("profile_timestamp"), (F.col("__k") + 1).cast("long").alias("observation_no"),
         "longitude", "latitude", "profile_longitude", "profile_latitude", "time_qc", "position_qc", "filename",
         F.col("__temp").alias("temp"), F.col("__temp_qc").alias("temp_qc"), F.col("__psal").alias("psal"), F.col("__psal_qc").alias("psal_qc"),
-        pres.alias("pres"), pres_qc.alias("pres_qc"), pres_conv.alias("pres_conv"), deph.alias("deph"), deph_qc.alias("deph_qc"), deph_conv.alias("deph_conv"), "__sourced",
+        pres.alias("pres"), pres_qc.alias("pres_qc"), pres_conv.alias("pres_conv"), deph.alias("deph"), deph_qc.alias("deph_qc"), deph_conv.alias("deph_conv"),
     )
-    some = ~F.isnan("temp") | ~F.isnan("psal") | ~F.isnan("pres")
-    if not cora:
-        some = some | (F.col("__sourced") & ~F.isnan("deph"))
-    return out.where(some).select(*OBSERVATIONS)
+    return out.select(*OBSERVATIONS)
 
 
 def convert(spark: SparkSession, files: list[str], layout: NrtLayout | CoraLayout) -> DataFrame:
