@@ -95,12 +95,13 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in runs(batch):
             suspect = part.column("marks").is_valid().to_pylist()
-            n, sha = [], []
+            n, sha, left = [], [], []
             for text, later in zip(part.column("text").cast(pa.binary()).to_pylist(), suspect):
                 words = (text or b"").split()
                 n.append(len(words))
                 sha.append(None if later else _kept(words, None))
-            text = pa.compute.if_else(pa.array(suspect), part.column("text"), pa.scalar(None, pa.string()))
+                left.append(text if later else None)
+            text = pa.array(left, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [part.column(c) for c in ("doc_id", "k1", "k2")] + [pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, part.column("marks")],
                 ["doc_id", "k1", "k2", "n_words", "kept_sha256", "text", "marks"],
