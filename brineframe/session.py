@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not base:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="brineframe-"))
+            own = tempfile.mkdtemp(prefix="brineframe-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            sc.setCheckpointDir(own)
             base = sc.getCheckpointDir()
     return base.rstrip("/")
 
@@ -51,3 +55,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = work_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all queries so far. Results that still read them are lost:
+    call it between jobs, after their output is written."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/brineframe")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
