@@ -20,8 +20,8 @@ def renumber(df: DataFrame, sort_by_pres: bool = True) -> DataFrame:
 
     A profile is a platform, time and position; within a platform profiles are numbered in the
     order of the *text* of time, longitude and latitude. Observations are numbered by pressure, or
-    in their order of arrival. Only distinct profiles are ranked per platform; observations are
-    ranked per profile, so a platform with most of the rows is no hot spot.
+    in their order of arrival. Distinct profiles are ranked per platform and day, and days summed up
+    per platform; observations are ranked per profile. So a platform with most of the rows is no hot spot.
     """
     require(df.columns, *KEY, *(["pres"] if sort_by_pres else []))
     columns = [c for c in dict.fromkeys([*df.columns, "profile_no", "observation_no"]) if c != ORDER]
@@ -29,8 +29,14 @@ def renumber(df: DataFrame, sort_by_pres: bool = True) -> DataFrame:
     rows = with_order(df).withColumn("__profile", text).drop("profile_no", "observation_no")
     order = [F.col(c) for c in KEY[1:]] + ([F.col("pres")] if sort_by_pres else []) + [F.col(ORDER)]
     rows = rows.withColumn("observation_no", F.row_number().over(Window.partitionBy("platform_code", "__profile").orderBy(*order)).cast("long"))
-    distinct = rows.select(F.col("platform_code").alias("__p"), F.col("__profile").alias("__t")).distinct()
-    numbers = distinct.withColumn("profile_no", F.row_number().over(Window.partitionBy("__p").orderBy("__t")).cast("long"))
+    # the order of texts is that of their first ten characters (the date), then of the rest
+    distinct = rows.select(F.col("platform_code").alias("__p"), F.substring("__profile", 1, 10).alias("__d"), F.col("__profile").alias("__t")).distinct()
+    days = distinct.groupBy("__p", "__d").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("__p").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(F.col("__p").alias("__q"), F.col("__d").alias("__e"), F.coalesce(earlier, F.lit(0)).alias("__before"))
+    in_day = F.row_number().over(Window.partitionBy("__p", "__d").orderBy("__t"))
+    numbers = distinct.withColumn("__n", in_day).join(days, F.col("__p").eqNullSafe(F.col("__q")) & F.col("__d").eqNullSafe(F.col("__e")))
+    numbers = numbers.select("__p", "__t", (F.col("__before") + F.col("__n")).cast("long").alias("profile_no"))
     out = rows.join(numbers, F.col("platform_code").eqNullSafe(F.col("__p")) & F.col("__profile").eqNullSafe(F.col("__t")))
     return out.select(*columns, ORDER)
 
