@@ -1,0 +1,85 @@
+"""Each stage of the pipeline against brute force on what its predecessor kept."""
+
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import pytest
+from test_text_operators import SCHEMA, WORD, brute_quality, clean_lines, corpus
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+pytest.importorskip("public_tokenizers")
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def components(texts):
+    """Class of each text: linked by five-word shingles at 0.8, or without words."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if not a and not b or a and b and len(a & b) >= 0.8 * len(a | b):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return root
+
+
+def test_stages(spark, tmp_path):
+    rows = corpus(3, 90)
+    rows = list({r[0]: r for r in rows}.values())
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    docs, sf = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet")), str(tmp_path / "sf")
+    got = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == COLUMNS, name
+        got[k] = [tuple(r) for r in docs.collect()]
+
+    judged, often, key = brute_quality(rows, 20, 0.1, 0.3)
+    kept = [(r[0], "\n".join(x for x in r[1].split("\n") if not WORD.search(x) or (r[3], key(x)) not in often), *r[2:4]) for r, w in zip(rows, judged) if w[-1]]
+    assert Counter(got[0]) == Counter((*r, len(r[1])) for r in kept) and 0 < len(kept) < len(rows)
+
+    lines = clean_lines(got[0])
+    assert Counter((r[0], r[1]) for r in got[1]) == Counter((k[0], k[3]) for k in lines)
+    assert all(r[4] == len(r[1]) for r in got[1]) and any(k[2] for k in lines)
+
+    groups = defaultdict(list)
+    for r, c in zip(got[1], components([r[1] for r in got[1]])):
+        groups[c].append(r[0])
+    order = lambda i: (i is None, i or 0)
+    assert Counter(r[0] for r in got[2]) == Counter(min(g, key=order) for g in groups.values())
+    assert set(got[2]) <= set(got[1]) and len(got[2]) < len(got[1])
+
+    sizes, taken = Counter(), Counter()
+    for r in got[2]:
+        sizes[r[3]] += len(WORD.findall(r[1]))
+    for r in got[3]:
+        taken[r[3]] += len(WORD.findall(r[1]))
+    assert set(got[3]) <= set(got[2]) and max(Counter(got[3]).values()) <= 2
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.15)
+
+    tokens = Counter()
+    for doc, start, length, _, total, *_ in got[4]:
+        tokens[doc] += length
+    want = Counter()
+    for r in got[4]:
+        if r[1] == 0:
+            want[r[0]] += r[4]
+    assert tokens == want and Counter(r[0] for r in got[4] if r[1] == 0) == Counter(r[0] for r in got[3])
+
+    whole = corpus_pipeline.run(spark, sf)
+    assert Counter(tuple(r)[:5] for r in whole.collect()) == Counter(r[:5] for r in got[4])
+
+
+def test_is_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries().keys()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
