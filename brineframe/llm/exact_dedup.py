@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: The white space that normalisation folds.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -35,23 +37,24 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     rows = rows.select("id", "norm", F.unhex(F.md5("norm")).alias("hash"))
     # bytes are compared here: (hash, norm) is the grouping key, first combined in each task
     texts = rows.groupBy("hash", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    sha = F.sha2("norm", 256).alias("text_sha256")
-    by_hash = texts.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.min("keep_id").alias("keep_id"),
-        F.sum("group_size").alias("group_size"),
-        F.min(F.sha2("norm", 256)).alias("text_sha256"),
-    )
-    # ids travel with the hash only; a hash of several texts (a collision) is settled by the texts
-    plain = rows.select("id", "hash").join(by_hash, "hash")
-    single = plain.where("n_texts = 1").select("id", "keep_id", "group_size", "text_sha256")
-    clashing = by_hash.where("n_texts > 1").select("hash")
-    several = (
-        rows.join(clashing, "hash", "left_semi")
-        .join(texts, ["hash", "norm"])
-        .select("id", "keep_id", "group_size", sha)
+    by_hash = stored(
+        texts.groupBy("hash").agg(
+            F.count(F.lit(1)).alias("n_texts"),
+            F.min("keep_id").alias("keep_id"),
+            F.sum("group_size").alias("group_size"),
+            F.min(F.sha2("norm", 256)).alias("text_sha256"),
+        ),
+        "content-hashes",
     )
-    return single.unionByName(several).select(
+    # ids travel with the hash only
+    out = rows.select("id", "hash").join(by_hash, "hash").select("id", "keep_id", "group_size", "text_sha256", "n_texts")
+    if by_hash.where("n_texts > 1").head(1):
+        # a collision: the rows of such a hash are told apart by their texts
+        clashing = by_hash.where("n_texts > 1").select("hash")
+        several = rows.join(clashing, "hash", "left_semi").join(texts, ["hash", "norm"])
+        several = several.select("id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"), F.lit(1).alias("n_texts"))
+        out = out.where("n_texts = 1").unionByName(several)
+    return out.select(
         F.col("id").alias(key),
         "keep_id",
         "group_size",
