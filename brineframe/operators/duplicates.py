@@ -34,9 +34,14 @@ def profiles(df: DataFrame, options: KeyOptions = KeyOptions()) -> DataFrame:
 
 def duplicate_groups(own: DataFrame) -> DataFrame:
     """From ``profiles``: the profiles whose key occurs more than once, with dup_group numbered from 1
-    in the order of the keys. Only distinct duplicated keys are numbered in one place."""
+    in the order of the keys. Keys are numbered within their time; only the counts per time (a row
+    per day, by default) are summed up in one place."""
     keys = own.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = keys.select(F.col("key").alias("k"), F.row_number().over(Window.orderBy("key.t", "key.x", "key.y")).cast("long").alias("dup_group"))
+    keys = keys.select(F.col("key").alias("k"), F.row_number().over(Window.partitionBy("key.t").orderBy("key.x", "key.y")).cast("long").alias("nth"))
+    times = keys.groupBy(F.col("k.t").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    times = times.select("t", F.coalesce(earlier, F.lit(0)).alias("before"))
+    keys = keys.join(times, F.col("k.t") == F.col("t")).select("k", (F.col("before") + F.col("nth")).alias("dup_group"))
     return own.join(keys, F.col("key") == F.col("k")).drop("k")
 
 
