@@ -115,7 +115,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     """The documents of the mix: rows of ``docs``, repeated as often as they are taken. Rows
     that are taken 0 times, those without words among them, are left out."""
     nth = Window.partitionBy("__k1", "__k2").orderBy("__k1")
-    plan = mixed(docs, weights, share, epochs, seed).where("repeats > 0 and size > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "repeats")
+    plan = mixed(docs, weights, share, epochs, seed).where("repeats > 0 and size > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("repeats").alias("__repeats"))
     plan = plan.withColumn("__nth", F.row_number().over(nth))
     rows = _keyed(docs).withColumn("__nth", F.row_number().over(nth))
-    return rows.join(plan, ["__k1", "__k2", "__nth"]).select(*(rows[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), "repeats")).alias("__copy")).drop("__copy")
+    return rows.join(plan, ["__k1", "__k2", "__nth"]).select(*(rows[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), "__repeats")).alias("__copy")).drop("__copy")

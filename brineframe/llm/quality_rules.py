@@ -106,10 +106,10 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keyed(docs: DataFrame, host: str = "source") -> DataFrame:
-    """k1, k2 stand for a row's id, text and host; rows equal in these get equal verdicts."""
+def _keyed(docs: DataFrame, host: str = "source", names: tuple[str, str] = ("k1", "k2")) -> DataFrame:
+    """Two columns that stand for a row's id, text and host; rows equal in these get equal verdicts."""
     parts = [F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host).cast("string")]
-    return docs.withColumn("k1", F.xxhash64(*parts)).withColumn("k2", F.xxhash64(F.lit(7), *parts[::-1]))
+    return docs.withColumn(names[0], F.xxhash64(*parts)).withColumn(names[1], F.xxhash64(F.lit(7), *parts[::-1]))
 
 
 METRICS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -156,12 +156,12 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for part in runs(batch):
             texts = []
-            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist()):
+            for text, gone in zip(part.column("text").to_pylist(), part.column("__gone").to_pylist()):
                 if gone:
                     gone = set(gone)
                     text = b"\n".join(x for x in text.encode().split(b"\n") if not x.strip(SPACES) or xxhash.xxh3_128_digest(line_key(x)) not in gone).decode()
                 texts.append(text)
-            names = [c for c in part.schema.names if c not in ("text", "gone")]
+            names = [c for c in part.schema.names if c not in ("text", "__gone")]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
 
 
@@ -174,14 +174,11 @@ def good_documents(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     often = frequent.select(F.col("source").alias("host"), F.col("line").alias("often"))
     lines = base.select("row", "source", F.explode("lines.line").alias("line"))
     gone = lines.join(often, (F.col("line") == F.col("often")) & F.col("source").eqNullSafe(F.col("host"))).groupBy("row").agg(F.collect_set("line").alias("gone"))
-    keep = judged.join(gone, "row", "left").groupBy("k1", "k2").agg(F.max("gone").alias("gone")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    rows = _keyed(docs.select("*"), host) if not {"k1", "k2"} & set(docs.columns) else None
-    if rows is None:
-        raise ValueError("columns k1 and k2 clash: rename them")
-    rows = rows.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}).join(keep, ["__k1", "__k2"]).drop("__k1", "__k2")
+    keep = judged.join(gone, "row", "left").groupBy("k1", "k2").agg(F.max("gone").alias("__gone")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    rows = _keyed(docs, host, ("__k1", "__k2")).join(keep, ["__k1", "__k2"]).drop("__k1", "__k2")
     order = [c for c in docs.columns if c != "text"] + ["text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = rows.select(*(F.col(f"`{c}`") for c in order), "gone").mapInArrow(_without_lines, ", ".join(f"`{c}` {kinds[c]}" for c in order))
+    out = rows.select(*(F.col(f"`{c}`") for c in order), "__gone").mapInArrow(_without_lines, ", ".join(f"`{c}` {kinds[c]}" for c in order))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kinds["n_chars"]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
