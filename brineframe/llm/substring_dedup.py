@@ -11,6 +11,10 @@ minimisers, so all copies of a window meet in the bucket of its minimiser:
 3. in its bucket a string is cut into windows; sorting (prefix doubling over word
    numbers, no hashes) counts the equal ones exactly;
 4. the windows that were counted more than once go back to their documents.
+
+A passage that very many documents share leaves a bucket of strings that differ at its
+edges only. The windows of such a bucket are counted singly, by a grouping with
+map-side combine, so that no task has to hold the bucket.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from .words import Words, ranks, rolled, runs, windows
 SHORT = 8
 #: Words of a bucket's strings that are sorted at once (a bucket is never split).
 SORT_WORDS = 2_000_000
+#: Different strings in a bucket from which its windows are counted singly.
+HOT = 4000
+#: Different strings of a task that are combined at a time.
+COMBINE = 50_000
 
 
 def _smallest(values: np.ndarray, n: int) -> np.ndarray:
@@ -138,6 +146,26 @@ def _packed(window: int, short: int):
     return run
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal strings of a task as one row with their number, a bounded number of strings at a time."""
+    held: dict[tuple, int] = {}
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*held)) or [()] * 4
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))] + [pa.array(list(held.values()), pa.int64())], ["least", "packed", "s1", "s2", "times"]
+        )
+        held.clear()
+        return out
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("least", "packed", "s1", "s2"))):
+            held[row] = held.get(row, 0) + 1
+        if len(held) >= COMBINE:
+            yield flush()
+    yield flush()
+
+
 def _counted(window: int):
     """Of strings sorted by bucket: which of their windows are there more than once."""
 
@@ -180,6 +208,33 @@ def _counted(window: int):
     return run
 
 
+def _windows(window: int):
+    """Each window of the strings as a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, "packed"):
+                text, s1, s2, at, times = [], [], [], [], []
+                for packed, a, b, n in zip(*(part.column(c).to_pylist() for c in ("packed", "s1", "s2", "times"))):
+                    words = packed.split(" ")
+                    for k in range(len(words) - window + 1):
+                        text.append(" ".join(words[k : k + window]))
+                        s1.append(a)
+                        s2.append(b)
+                        at.append(k)
+                        times.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(at, pa.int32()), pa.array(times, pa.int64())], ["words", "s1", "s2", "at", "times"])
+
+    return run
+
+
+def _counted_singly(strings: DataFrame, window: int) -> DataFrame:
+    """s1, s2, dups of the strings of hot buckets: equal windows are one row per task before they are shuffled."""
+    one = stored(strings.mapInArrow(_windows(window), "words string, s1 long, s2 long, at int, times long"), "hot-windows")
+    often = one.groupBy("words").agg(F.sum("times").alias("n")).where("n > 1").select("words")
+    return one.join(often, "words", "left_semi").groupBy("s1", "s2").agg(F.collect_set("at").alias("dups"))
+
+
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,9 +281,16 @@ def marked_windows(docs: DataFrame, window: int = 35, short: int = SHORT) -> Dat
         settled.where("marks is not null").select("k1", "k2", "text", "marks").mapInArrow(_packed(window, short), "least long, packed string, s1 long, s2 long, k1 long, k2 long, start int"),
         "super-k-mers",
     )
-    strings = packed.groupBy("least", "packed", "s1", "s2").agg(F.count(F.lit(1)).alias("times"))
+    hot = stored(packed.groupBy("least").agg(F.approx_count_distinct("s1").alias("n")).where(F.col("n") > HOT).select("least"), "hot-buckets")
+    some_hot = bool(hot.head(1))
+    cold = packed.join(hot, "least", "left_anti") if some_hot else packed
+    strings = cold.select("least", "packed", "s1", "s2").mapInArrow(_combined, "least long, packed string, s1 long, s2 long, times long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dups = strings.repartition(parts, "least").sortWithinPartitions("least").mapInArrow(_counted(window), "s1 long, s2 long, dups array<int>")
+    dups = dups.groupBy("s1", "s2").agg(F.any_value("dups").alias("dups"))  # a string of several tasks came back several times
+    if some_hot:
+        hot_strings = packed.join(hot, "least", "left_semi").groupBy("least", "packed", "s1", "s2").agg(F.count(F.lit(1)).alias("times"))
+        dups = dups.unionByName(_counted_singly(hot_strings, window))
     found = (
         packed.select("s1", "s2", "k1", "k2", "start")
         .join(dups, ["s1", "s2"])
