@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import lru_cache
-from math import log
+from collections import ChainMap, Counter
+from collections.abc import Iterable, Iterator, Mapping
+from math import inf, log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
@@ -22,9 +20,10 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 SEEDS = ["adult", "ads", "bets", "betting", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx"]
 #: Words of names that the corpus may not spell alone; each counts once more for segmentation.
 COMMON = ["best", "blog", "buy", "cheap", "click", "crack", "deal", "download", "farm", "forum", "free", "game", "games", "home", "live", "mail", "market", "mobile", "money", "news", "online", "shop", "site", "slots", "store", "track", "tracker", "video", "web", "win", "world"]
-#: Most frequent tokens that the models keep; a bound on what comes to the driver, far above the
-#: number of words that a language's host names use.
-TOKENS = 200_000
+#: Scores that every worker holds, of the most frequent runs; those of all other runs are joined, so no number depends on it.
+HELD = 50_000
+#: Letters of a word of which so few are possible (18,278) that their counts go to every worker.
+SHORT = 3
 LONGEST = 24
 _RUN = re.compile("[a-z]+|[0-9]+")
 
@@ -55,50 +54,33 @@ class Rules:
         return best[2], best[3]
 
 
-@dataclass
-class Unigrams:
-    """Log probabilities of words; an unknown word of n letters costs more the longer it is."""
-
-    counts: dict[str, int]
-
-    def __post_init__(self):
-        self.total = sum(self.counts.values()) + 1
-        self.segment = lru_cache(100_000)(self._segment)
-
-    def cost(self, word: str) -> float:
-        n = self.counts.get(word)
-        return -log(n / self.total) if n else log(self.total) + 2.3 * len(word)
-
-    def _segment(self, run: str) -> tuple[str, ...]:
-        """The cheapest split of a run of letters (Viterbi)."""
-        best, back = [0.0], [0]
-        for end in range(1, len(run) + 1):
-            c, b = min((best[b] + self.cost(run[b:end]), b) for b in range(max(0, end - LONGEST), end))
-            best.append(c)
-            back.append(b)
-        words, end = [], len(run)
-        while end:
-            words.append(run[back[end] : end])
-            end = back[end]
-        return tuple(words[::-1])
-
-    def __getstate__(self):
-        return {"counts": self.counts}
-
-    def __setstate__(self, state):
-        self.counts = state["counts"]
-        self.__post_init__()
+def split(run: str, counts: Mapping[str, int], total: int) -> list[str]:
+    """The cheapest split of a run of letters (Viterbi). Words cost their negative log probability; an
+    unknown word of n letters costs more the longer it is."""
+    best, back = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        c, b = inf, 0
+        for k in range(max(0, end - LONGEST), end):
+            n = counts.get(run[k:end])
+            own = best[k] + (log(total / n) if n else log(total) + 2.3 * (end - k))
+            if own < c:
+                c, b = own, k
+        best.append(c)
+        back.append(b)
+    words, end = [], len(run)
+    while end:
+        words.append(run[back[end] : end])
+        end = back[end]
+    return words[::-1]
 
 
 def runs_of(host: str, path: str) -> tuple[list[str], list[str]]:
     return _RUN.findall(host), _RUN.findall(path.translate(str.maketrans(UPPER, LOWER)))
 
 
-def tokens_of(unigrams: Unigrams, host: str, path: str) -> list[str]:
-    """Segmented words; those of the path are marked, numbers are one token."""
-    of_host, of_path = runs_of(host, path)
-    words = [w for run in of_host for w in (unigrams.segment(run) if run.isalpha() else ("0",))]
-    return words + ["/" + w for run in of_path for w in (unigrams.segment(run) if run.isalpha() else ("0",))]
+def placed_runs(host: str, path: str) -> list[tuple[str, str]]:
+    """Runs with their place, which marks those of the path; all numbers are one run."""
+    return [(x if x.isalpha() else "0", place) for place, own in zip(("", "/"), runs_of(host, path)) for x in own]
 
 
 def marked(host: str) -> bool:
@@ -111,81 +93,142 @@ def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
             for own in runs_of(host, path):
                 found.update(x for x in own if x.isalpha())
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["run", "n"])
+
+
+def run_counts(parts: DataFrame) -> DataFrame:
+    """run, n: how often each run of letters is in hosts and paths, listed words once more."""
+    listed = parts.sparkSession.createDataFrame([(w, 1) for w in SEEDS + COMMON], "run string, n long")
+    counted = parts.mapInArrow(_run_counts, "run string, n long").union(listed)
+    return stored(counted.groupBy("run").agg(F.sum("n").alias("n")), "url-runs")
 
 
-def _class_counts(unigrams: Unigrams):
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every part of a run that is too long for the table of short words."""
+    for batch in batches:
+        for run in batch.column("run").to_pylist():
+            step = 4096  # a very long run goes in several batches
+            for at in range(0, len(run), step):
+                found = {run[k:end] for k in range(at, min(at + step, len(run))) for end in range(k + SHORT + 1, min(k + LONGEST, len(run)) + 1)}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(list(found), pa.string())], ["run", "piece"])
+
+
+def _split(short: dict[str, int], total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                bad = marked(host)
-                found.update((w, bad) for w in tokens_of(unigrams, host, path))
-                found[None, bad] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.bool_()), pa.array(list(found.values()), pa.int64())], ["token", "bad", "n"])
+            words = [split(r, ChainMap({x["piece"]: x["own"] for x in known or ()}, short), total) for r, known in zip(batch.column("run").to_pylist(), batch.column("known").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
 
     return run
 
 
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes; ``odds`` are log likelihood ratios of blocking, ``prior`` the log prior odds."""
-
-    odds: dict[str, float]
-    prior: float
+def split_runs(counts: DataFrame) -> DataFrame:
+    """run, words: each run of ``counts`` split by the counts of all runs."""
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
+    short = {r["run"]: r["n"] for r in counts.where(F.length("run") <= SHORT).collect()}
+    words = counts.where(F.length("run") > SHORT).select(F.col("run").alias("piece"), F.col("n").alias("own"))
+    pieces = counts.select("run").mapInArrow(_pieces, "run string, piece string").join(words, "piece")
+    known = pieces.groupBy("run").agg(F.collect_set(F.struct("piece", "own")).alias("known"))
+    return stored(counts.select("run").join(known, "run", "left").mapInArrow(_split(short, total), "run string, words array<string>"), "url-words")
 
-    def blocks(self, tokens: list[str]) -> bool:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens) > 0
 
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs by place and class of their page; pages themselves are counted as null runs."""
+    for batch in batches:
+        found: Counter = Counter()
+        for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
+            bad = marked(host)
+            found.update((*x, bad) for x in placed_runs(host, path))
+            found[None, "", bad] += 1
+        columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["run", "place", "bad", "n"])
 
-def learn_unigrams(parts: DataFrame) -> Unigrams:
-    counted = parts.mapInArrow(_run_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = {r["token"]: r["n"] for r in counted.orderBy(F.desc("n"), "token").limit(TOKENS).collect()}
-    for w in SEEDS + COMMON:
-        counts[w] = counts.get(w, 0) + 1
-    return Unigrams(counts)
 
+def learn_scores(parts: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
+    """run, place, n, score of every run, and the prior, by multinomial naive Bayes over the runs' words.
 
-def learn_bayes(parts: DataFrame, unigrams: Unigrams) -> Bayes:
-    """Pages whose host has a seed word between other characters are examples of blocking, all others of allowing."""
-    counted = parts.mapInArrow(_class_counts(unigrams), "token string, bad boolean, n long")
-    both = counted.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("good"))
-    pages = both.where("token is null").first()
-    rows = both.where("token is not null").orderBy(F.desc(F.col("bad") + F.col("good")), "token").limit(TOKENS).collect()
-    bad, good = (sum(r[c] for r in rows) for c in ("bad", "good"))
-    known = {r["token"]: (r["bad"], r["good"]) for r in rows}
-    for w in SEEDS:  # the seeds are known to be bad, seen or not
-        b, g = known.get(w, (0, 0))
-        known[w] = (b + 2, g)
-    size = len(known)
-    odds = {t: log((b + 1) / (bad + size)) - log((g + 1) / (good + size)) for t, (b, g) in known.items()}
+    Pages whose host has a seed word between other characters are examples of blocking, all
+    others of allowing. A score is the sum of its words' log likelihood ratios of blocking, the
+    prior that of the classes; both are whole numbers of 1e-9, so sums don't depend on their order.
+    """
+    counted = parts.mapInArrow(_class_counts, "run string, place string, bad boolean, n long")
+    both = stored(counted.groupBy("run", "place").agg(*(F.coalesce(F.sum(F.when(F.col("bad") == F.lit(b), F.col("n"))), F.lit(0)).alias(c) for c, b in (("bad", True), ("good", False)))), "url-classes")
+    pages = both.where("run is null").first()
+    tokens = both.where("run is not null").join(words, "run", "left").select("run", "place", "bad", "good", F.explode(F.coalesce("words", F.array("run"))).alias("word"))
+    tokens = tokens.withColumn("token", F.concat("place", "word"))
+    # the seeds are known to be bad, seen or not
+    seeds = parts.sparkSession.createDataFrame([(w, 0, 0, 2) for w in SEEDS], "token string, bad long, good long, more long")
+    table = tokens.select("token", "bad", "good", F.lit(0).cast("long").alias("more")).union(seeds).groupBy("token").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "more")))
+    table = stored(table, "url-tokens")
+    size, bad, good = table.agg(F.count(F.lit(1)), F.sum("bad"), F.sum("good")).first()
+    odds = F.log((F.col("bad") + F.col("more") + 1) / (bad + size)) - F.log((F.col("good") + 1) / (good + size))
+    odds = table.select("token", F.round(odds * 1e9).cast("long").alias("odds"))
+    scores = tokens.join(odds, "token").groupBy("run", "place").agg(F.sum("odds").alias("score"))
+    scores = scores.join(both.select("run", "place", (F.col("bad") + F.col("good")).alias("n")), ["run", "place"])
     n_bad, n_good = (pages["bad"], pages["good"]) if pages else (0, 0)
-    return Bayes(odds, log((n_bad + 1) / (n_good + 1)))
+    return stored(scores.select("run", "place", "n", "score"), "url-scores"), round(log((n_bad + 1) / (n_good + 1)) * 1e9)
+
+
+def _judged(rules: Rules, held: dict[tuple[str, str], int], prior: int, joined: bool):
+    """Verdicts of the pages whose runs are all held, or of those that come with the sum of the other runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rule, verdict = [], [], []
+            rest = batch.column("rest").to_pylist() if joined else [0] * batch.num_rows
+            for i, (host, path, more) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), rest)):
+                scores = [held.get(x) for x in placed_runs(host, path)]
+                if joined or None not in scores:
+                    r, v = rules.match(host, path)
+                    at.append(i)
+                    rule.append(r)
+                    verdict.append(v or ("block" if prior + more + sum(x or 0 for x in scores) > 0 else "allow"))
+            own = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*own.schema.names, "rule", "verdict"])
+
+    return run
+
+
+def _others(held: dict[tuple[str, str], int]):
+    """The pages that have runs which are not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(x not in held for x in placed_runs(h, p)) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())], pa.bool_()))
+
+    return run
 
 
-def _judged(rules: Rules, unigrams: Unigrams, bayes: Bayes):
+def _other_runs(held: dict[tuple[str, str], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rule, verdict = [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                r, v = rules.match(host, path)
-                rule.append(r)
-                verdict.append(v or ("block" if bayes.blocks(tokens_of(unigrams, host, path)) else "allow"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
+            found = [(h, p, *x) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()) for x in placed_runs(h, p) if x not in held]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(4)], ["host", "path", "run", "place"])
 
     return run
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", key: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", key: str = "page_id", held: int = HELD) -> DataFrame:
     """One row per page: ``key``, host, path, rule (null if none fits), verdict (allow or block).
 
     A null url, or one without ``://``, has an empty host and path and is judged by naive
     Bayes on no words, that is by the prior. Rows that repeat are judged alike. Other columns,
-    the html among them, are not read.
+    the html among them, are not read. All counts are of all pages; ``held`` only chooses which
+    scores go to the workers and which are joined.
     """
     prepare(pages.sparkSession)
     parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    unigrams = learn_unigrams(parts.select("host", "path"))
-    bayes = learn_bayes(parts.select("host", "path"), unigrams)
-    kind = dict(parts.dtypes)[key]
-    return parts.mapInArrow(_judged(Rules(rules), unigrams, bayes), f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    urls = parts.select("host", "path")
+    scores, prior = learn_scores(urls, split_runs(run_counts(urls)))
+    first = {(r["run"], r["place"]): r["score"] for r in scores.orderBy(F.desc("n"), "run", "place").limit(held).collect()}
+    own = f"`{key}` {dict(parts.dtypes)[key]}, host string, path string"
+    out = f"{own}, rule string, verdict string"
+    judged = parts.mapInArrow(_judged(Rules(rules), first, prior, False), out)
+    if len(first) < held:
+        return judged
+    others = parts.mapInArrow(_others(first), own)
+    rest = others.select("host", "path").distinct().mapInArrow(_other_runs(first), "host string, path string, run string, place string")
+    rest = rest.join(scores, ["run", "place"]).groupBy("host", "path").agg(F.sum("score").alias("rest"))
+    others = others.join(rest, ["host", "path"]).select(F.col(f"`{key}`"), "host", "path", "rest")
+    return judged.union(others.mapInArrow(_judged(Rules(rules), first, prior, True), out))

@@ -451,6 +451,22 @@ def test_url_filter(spark):
     assert Rules(RULES).match("example.com", "/en/71")[0] == "example.com/en/7"
 
 
+def test_url_filter_counts_all(spark):
+    """Counts have no limit: verdicts are the same whether scores are held or joined, at any size."""
+    from brineframe.llm import url_filter
+
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 30)))
+    seeds = ["casino-", "poker.", ""]
+    urls = [f"http://{rng.choice(seeds)}{name()}.example.edu/{name()}/{name()}/{i % 7}" for i in range(300)] * 2 + [None, "", "http://x.edu"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = multiset(url_filter.judge_urls(pages), "page_id", "host", "path", "rule", "verdict")
+    assert sum(want.values()) == len(urls) and len({k[4] for k in want}) == 2
+    for held in (0, 1, 40):
+        assert multiset(url_filter.judge_urls(pages, held=held), "page_id", "host", "path", "rule", "verdict") == want
+    assert not hasattr(url_filter, "TOKENS")
+
+
 def test_empty_tables(spark, tokenizer, tmp_path):
     from brineframe.llm import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts, url_filter
 
