@@ -16,7 +16,7 @@ from ..session import prepare, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Words that, standing alone between other characters in a host, mark a page to learn blocking from.
+#: Words that, standing alone in a host or found by segmentation, mark a page to learn blocking from.
 SEEDS = ["adult", "ads", "bets", "betting", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx"]
 #: Words of names that the corpus may not spell alone; each counts once more for segmentation.
 COMMON = ["best", "blog", "buy", "cheap", "click", "crack", "deal", "download", "farm", "forum", "free", "game", "games", "home", "live", "mail", "market", "mobile", "money", "news", "online", "shop", "site", "slots", "store", "track", "tracker", "video", "web", "win", "world"]
@@ -24,7 +24,10 @@ COMMON = ["best", "blog", "buy", "cheap", "click", "crack", "deal", "download",
 HELD = 50_000
 #: Letters of a word of which so few are possible (18,278) that their counts go to every worker.
 SHORT = 3
+LISTED = frozenset(SEEDS + COMMON)
 LONGEST = 24
+#: Letters that a word which is not listed has at least, where it shows that a run is several words.
+LEAST = 4
 _RUN = re.compile("[a-z]+|[0-9]+")
 
 
@@ -114,6 +117,28 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(list(found), pa.string())], ["run", "piece"])
 
 
+def joined(run: str, own: int, counts: Mapping[str, int], total: int) -> bool:
+    """Whether a run is several known words: each a listed one, or of LEAST letters and seen as often as
+    the run. Its own count says nothing then, so words must be cheaper than an unknown word of its length."""
+    best = [0.0] + [inf] * len(run)
+    for end in range(1, len(run) + 1):
+        for k in range(max(0, end - LONGEST), end):
+            w = run[k:end]
+            n = counts.get(w, 0)
+            if best[k] < inf and len(w) < len(run) and (w in LISTED or end - k >= LEAST and n >= own):
+                best[end] = min(best[end], best[k] + log(total / max(n, 1)))
+    return run not in LISTED and best[-1] < log(total) + 2.3 * len(run)
+
+
+def _joined(short: dict[str, int], total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("run", "n", "known"))
+            yield batch.filter(pa.array([joined(r, n, ChainMap({x["piece"]: x["own"] for x in known or ()}, short), total) for r, n, known in zip(*columns)], pa.bool_())).select(["run"])
+
+    return run
+
+
 def _split(short: dict[str, int], total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,35 +149,65 @@ def _split(short: dict[str, int], total: int):
 
 
 def split_runs(counts: DataFrame) -> DataFrame:
-    """run, words: each run of ``counts`` split by the counts of all runs."""
+    """run, words: each run of ``counts`` split by the counts of all runs that are not several words themselves."""
     total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
     short = {r["run"]: r["n"] for r in counts.where(F.length("run") <= SHORT).collect()}
     words = counts.where(F.length("run") > SHORT).select(F.col("run").alias("piece"), F.col("n").alias("own"))
-    pieces = counts.select("run").mapInArrow(_pieces, "run string, piece string").join(words, "piece")
-    known = pieces.groupBy("run").agg(F.collect_set(F.struct("piece", "own")).alias("known"))
-    return stored(counts.select("run").join(known, "run", "left").mapInArrow(_split(short, total), "run string, words array<string>"), "url-words")
+    pieces = stored(counts.select("run").mapInArrow(_pieces, "run string, piece string").join(words, "piece"), "url-pieces")
+
+    def known(pieces: DataFrame) -> DataFrame:
+        return counts.join(pieces.groupBy("run").agg(F.collect_set(F.struct("piece", "own")).alias("known")), "run", "left")
+
+    several = stored(known(pieces).mapInArrow(_joined(short, total), "run string"), "url-joined").withColumnRenamed("run", "piece")
+    return stored(known(pieces.join(several, "piece", "left_anti")).mapInArrow(_split(short, total), "run string, words array<string>"), "url-words")
+
+
+def unsure(host: str) -> bool:
+    """Whether a host holds a seed word only inside of longer runs."""
+    return not marked(host) and any(w in host for w in SEEDS)
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs by place and class of their page; pages themselves are counted as null runs."""
     for batch in batches:
         found: Counter = Counter()
-        for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-            bad = marked(host)
+        for host, path, seeded in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "seeded"))):
+            bad = seeded or marked(host)
             found.update((*x, bad) for x in placed_runs(host, path))
             found[None, "", bad] += 1
         columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["run", "place", "bad", "n"])
 
 
+def _unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([unsure(h) for h in batch.column("host").to_pylist()], pa.bool_())], [*batch.schema.names, "unsure"])
+
+
+def _host_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(h, r) for h in batch.column("host").to_pylist() for r in set(_RUN.findall(h))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], ["host", "run"])
+
+
+def with_seeded(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """``parts`` with ``seeded``: whether a run of the host, once split, has a seed word. Only hosts
+    that hold a seed inside of a longer run are looked up."""
+    urls = parts.mapInArrow(_unsure, "host string, path string, unsure boolean")
+    hosts = urls.where("unsure").select("host").distinct().mapInArrow(_host_runs, "host string, run string")
+    seeded = hosts.join(words, "run").where(F.arrays_overlap("words", F.array(*map(F.lit, SEEDS)))).select("host").distinct()
+    looked = urls.where("unsure").join(seeded.withColumn("seeded", F.lit(True)), "host", "left")
+    return urls.where("not unsure").select("host", "path", F.lit(False).alias("seeded")).union(looked.select("host", "path", F.coalesce("seeded", F.lit(False))))
+
+
 def learn_scores(parts: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
     """run, place, n, score of every run, and the prior, by multinomial naive Bayes over the runs' words.
 
-    Pages whose host has a seed word between other characters are examples of blocking, all
-    others of allowing. A score is the sum of its words' log likelihood ratios of blocking, the
+    Pages whose host has a seed word, between other characters or once its runs are split, are
+    examples of blocking, all others of allowing. A score is the sum of its words' log likelihood ratios of blocking, the
     prior that of the classes; both are whole numbers of 1e-9, so sums don't depend on their order.
     """
-    counted = parts.mapInArrow(_class_counts, "run string, place string, bad boolean, n long")
+    counted = with_seeded(parts, words).mapInArrow(_class_counts, "run string, place string, bad boolean, n long")
     both = stored(counted.groupBy("run", "place").agg(*(F.coalesce(F.sum(F.when(F.col("bad") == F.lit(b), F.col("n"))), F.lit(0)).alias(c) for c, b in (("bad", True), ("good", False)))), "url-classes")
     pages = both.where("run is null").first()
     tokens = both.where("run is not null").join(words, "run", "left").select("run", "place", "bad", "good", F.explode(F.coalesce("words", F.array("run"))).alias("word"))

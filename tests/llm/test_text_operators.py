@@ -451,6 +451,24 @@ def test_url_filter(spark):
     assert Rules(RULES).match("example.com", "/en/71")[0] == "example.com/en/7"
 
 
+def test_url_filter_splits_names(spark):
+    """Joined names are split and blocked however often they are seen; words that hold others are not."""
+    from brineframe.llm import url_filter
+
+    urls = [f"https://{w}{i}.example.edu/de/{i}" for i in range(60) for w in ("garden", "library", "uploads", "alphabets")]
+    urls += [f"http://{w}.example.edu/de/{i}" for i in range(9) for w in ("casino-win", "free-bets", "cheap-pills", "poker-royale")]
+    names = [f"http://{w}{i}.example.edu/de/{i}" for i in range(30) for w in ("casinowin", "freebets", "CheapPills")] + [f"http://pokerroyale.example.edu/de/{i}" for i in range(8)]
+    names += ["http://casinowin.example.edu/"]
+    pages = spark.createDataFrame(list(enumerate(urls + names)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
+    assert [got[i] for i in range(240)] == ["allow"] * 240
+    assert [got[i] for i in range(240, len(urls + names))] == ["block"] * (36 + len(names))
+    parts = pages.select(url_filter.host_of(pages.url).alias("host"), url_filter.path_of(pages.url).alias("path"))
+    words = {r["run"]: r["words"] for r in url_filter.split_runs(url_filter.run_counts(parts)).collect()}
+    assert words["casinowin"] == ["casino", "win"] and words["pokerroyale"] == ["poker", "royale"]
+    assert all(words[w] == [w] for w in ("uploads", "alphabets", "garden", "example", "download"))
+
+
 def test_url_filter_counts_all(spark):
     """Counts have no limit: verdicts are the same whether scores are held or joined, at any size."""
     from brineframe.llm import url_filter
