@@ -101,8 +101,8 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["line", "words"]))
             failed = (n_words < 20) | (100 * repeat > 30 * n_words)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("doc_id", "k1", "k2", "source")), pa.array(n_words, pa.int64()), pa.array(chars), pa.array(symbols), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(failed), lines],
-                ["doc_id", "k1", "k2", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines"],
+                [*(part.column(c) for c in ("doc_id", "k1", "k2", "t1", "t2", "source")), pa.array(n_words, pa.int64()), pa.array(chars), pa.array(symbols), pa.array(dup, pa.int64()), pa.array(repeat), pa.array(failed), lines],
+                ["doc_id", "k1", "k2", "t1", "t2", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines"],
             )
 
 
@@ -119,14 +119,17 @@ def base_table(docs: DataFrame, host: str = "source") -> DataFrame:
     """Base measures and line hashes of each document, with a row number that later steps join on."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("source"))
-    base = _keyed(rows).mapInArrow(_base, "doc_id long, k1 long, k2 long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<line:binary,words:long>>")
+    keyed = _keyed(rows).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
+    base = keyed.mapInArrow(_base, "doc_id long, k1 long, k2 long, t1 long, t2 long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines array<struct<line:binary,words:long>>")
     return stored(base.withColumn("row", F.monotonically_increasing_id()), "quality-base")
 
 
-def frequent_lines(base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """source, line: the lines above their host's limit. Null hosts are a host."""
-    per_line = base.select("source", F.explode("lines.line").alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    hosts = base.groupBy("source").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("source", "host")
+def frequent_lines(base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, texts: bool = False) -> DataFrame:
+    """source, line: the lines above their host's limit. Null hosts are a host. With ``texts``, copies
+    of one text count once for each host, among the line's documents and the host's."""
+    docs = F.count_distinct("t1", "t2") if texts else F.count(F.lit(1))
+    per_line = base.select("source", "t1", "t2", F.explode("lines.line").alias("line")).groupBy("source", "line").agg(docs.alias("n")).where(F.col("n") > min_docs)
+    hosts = base.groupBy("source").agg(docs.alias("docs")).withColumnRenamed("source", "host")
     return per_line.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("n") > F.col("docs") * max_share).select("source", "line")
 
 
@@ -167,9 +170,10 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def good_documents(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that pass, without their lines above the limits; columns as in ``docs``, which
-    has doc_id, text and ``host``. n_chars, if there, is the length of the new text."""
+    has doc_id, text and ``host``. n_chars, if there, is the length of the new text. Copies of a
+    text count once, so that a line is not boilerplate for being in a text that was copied."""
     base = base_table(docs, host)
-    frequent = frequent_lines(base, min_docs, max_share)
+    frequent = frequent_lines(base, min_docs, max_share, texts=True)
     judged = _judged(base, frequent, min_left).where("kept").select("k1", "k2", "source", "row")
     often = frequent.select(F.col("source").alias("host"), F.col("line").alias("often"))
     lines = base.select("row", "source", F.explode("lines.line").alias("line"))

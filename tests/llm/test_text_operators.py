@@ -312,6 +312,18 @@ def tokenizer():
 TRICKY = ["", None, " a b", "foo  bar", "x\n\ny", "don't stop.", "end ", "\nhello, World!\nYes?no", "…, é. é.", "<|endoftext|> hi", "a\x1cb c", "\u3000x y", "a\u2028 b", "日本語 テスト。", "e.g. a.b.", "wow!! ok?! 12. x1."]
 
 
+def test_copies_are_no_boilerplate(spark):
+    """A clean text stays however many copies it has; a line of many different texts goes."""
+    from brineframe.llm.quality_rules import good_documents
+
+    say = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    clean, line = say("c", 20) + "\n" + say("d", 20), "accept all of our cookies"
+    texts = [clean] * 40 + [line + "\n" + say(i, 40) for i in range(30)] + [say(i, 40) for i in range(100, 230)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = Counter(r["text"] for r in good_documents(docs).collect())
+    assert got == Counter(t.removeprefix(line + "\n") for t in texts) and got[clean] == 40
+
+
 def test_encoder_equals_tokenizers(tokenizer, rows):
     from brineframe.llm.tokens import Encoder
 
