@@ -2,7 +2,7 @@
 
 New words are encoded by tiktoken with the ranks that the tokenizers file itself holds
 (the ids are the same, which the tests check, at a quarter of the time); texts with
-unusual white space go through the tokenizers library whole.
+unusual white space or the string of an added token go through the tokenizers library whole.
 
 The pre-tokenizer cuts before a single space or newline that stands between two other
 characters, so the ids of a text are those of its words, each with the space
@@ -53,7 +53,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _by_ranks(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x["content"].encode() for x in json.loads(Path(path).read_text()).get("added_tokens", [])]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.newline = self._encode(["\n"])[0][0]
         self._clear()
 
@@ -107,6 +108,8 @@ class Encoder:
         tail[some] -= words.ends[words.bounds[1:][some] - 1]
         tail[~some] = np.diff(words.offs)[~some]
         odd |= tail > 0
+        for m in self.added.finditer(words.data) if self.added else ():  # across two texts: both go whole
+            odd[np.searchsorted(words.offs, [m.start(), m.end() - 1], "right") - 1] = True
         space, newline = (before == 1) & (sign == 32), (before == 1) & (sign == 10)
         key = words.codes * 2 + space
         present = np.zeros(2 * len(words.vocab), bool)

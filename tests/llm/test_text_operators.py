@@ -336,6 +336,21 @@ def test_encoder_equals_tokenizers(tokenizer, rows):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_added_tokens(tokenizer):
+    """The strings of added tokens get the ids of the file, as by tokenizers called with add_special_tokens=False."""
+    from tokenizers import Tokenizer
+
+    from brineframe.llm.tokens import Encoder
+
+    own, plain = Encoder(tokenizer), Tokenizer.from_file(tokenizer)
+    texts = ["a <|endoftext|> hi", "plain words", None, "x<|endof", "text|>y", "", "<|endoftext|>", "b\n<|endoftext|><|endoftext|>c"]
+    for _ in range(2):  # new words, then cached ones
+        ids, bounds = own(pa.array(texts, pa.large_string()))
+        got = [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 220, 50256, 23105]
+
+
 def test_packing_round_trip(spark, rows, tokenizer):
     from tokenizers import Tokenizer
 
