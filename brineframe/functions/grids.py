@@ -43,18 +43,22 @@ def filled_from(first: Column, other: Column) -> Column:
     return F.coalesce(F.nanvl(first, other), other, F.lit(NAN))
 
 
-def deployed(times: DataFrame, deployments: DataFrame, time: str = "t", start: str = "start", value: str = "value", position: str = "position") -> DataFrame:
+def deployed(times: DataFrame, deployments: DataFrame, time: str = "t", start: str = "start", value: str = "value", position: str = "position", file: str | None = None) -> DataFrame:
     """``times`` with the ``value`` of the latest deployment that started at or before each time.
 
     Starts below 0 act as 0; of equal starts the one with the larger ``position`` wins; before the
-    first deployment the value is NaN. Deployments of a file are few: they are gathered to one
-    sorted array, which every time step searches, so no range join is needed.
+    first deployment the value is NaN. With ``file``, a column of both, each file has deployments of
+    its own. Of equal starts only the one that wins is gathered to a file's sorted array, which
+    every time step searches, so no range join is needed.
     """
-    runs = deployments.select(F.greatest(F.col(start), F.lit(0)).cast("long").alias("s"), F.col(position).cast("long").alias("p"), F.col(value).alias("v"))
-    runs = runs.agg(F.array_sort(F.collect_list(F.struct("s", "p", "v"))).alias("__runs"))
-    found = F.element_at(F.filter("__runs", lambda r: r["s"] <= F.col(time)), -1)["v"]
-    size = F.size(F.filter("__runs", lambda r: r["s"] <= F.col(time)))
-    return times.crossJoin(F.broadcast(runs)).withColumn(value, F.when(size > 0, found).otherwise(F.lit(NAN))).drop("__runs")
+    keys = [F.col(file).alias("__file")] if file else []
+    runs = deployments.select(*keys, F.greatest(F.col(start), F.lit(0)).cast("long").alias("s"), F.col(position).cast("long").alias("p"), F.col(value).alias("v"))
+    own = ["__file"] if file else []
+    runs = runs.groupBy(*own, "s").agg(F.max(F.struct("p", "v")).alias("last"))
+    runs = runs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("s", F.col("last.p").alias("p"), F.col("last.v").alias("v")))).alias("__runs"))
+    known = F.filter("__runs", lambda r: r["s"] <= F.col(time))
+    both = times.join(runs, F.col(file).eqNullSafe(F.col("__file")), "left") if file else times.crossJoin(F.broadcast(runs))
+    return both.withColumn(value, F.when(F.size(known) > 0, F.element_at(known, -1)["v"]).otherwise(F.lit(NAN))).drop("__runs", "__file")
 
 
 def deployed_in(starts: Column, values: Column, time: Column) -> Column:

@@ -160,6 +160,13 @@ def _deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.deployed(steps, runs)
 
 
+def _deployed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a time step, every supplier as a deployment, nations as files."""
+    steps = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 400).alias("t"))
+    runs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), ((F.col("s_suppkey") * 37) % 300 - 5).alias("start"), F.col("s_acctbal").alias("value"), F.col("s_suppkey").alias("position"))
+    return grids.deployed(steps, runs, file="nation")
+
+
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     raw = (F.col("p_partkey") % 14 - 2).cast("int")
@@ -225,6 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "depth_to_pressure": _to_pressure,
     "pressure_to_depth": _to_depth,
     "deploy_asof": _deployed,
+    "deploy_asof_all": _deployed_all,
     "qc_flags": _flags,
     "coordinate_fill": _filled,
 }
@@ -279,6 +287,10 @@ select l_orderkey, l_linenumber, round(cast(case when isnan(pres) and not isnan(
  case when isnan(pres) and not isnan(deph) then '2' else '1' end as pres_qc, case when isnan(pres) and not isnan(deph) then 1 else 0 end as pres_conv from e""",
     "deploy_asof": """with t as (select distinct c_custkey % 400 as t from customer), r as (select greatest((s_suppkey * 37) % 300 - 5, 0) as start, s_acctbal as value, s_suppkey as position from supplier where s_suppkey <= 200)
 select t, coalesce((select value from r where start <= t order by start desc, position desc limit 1), cast('NaN' as double)) as value from t""",
+    "deploy_asof_all": """with r as (select s_nationkey as nation, greatest((s_suppkey * 37) % 300 - 5, 0) as start, s_acctbal as value, s_suppkey as position from supplier),
+c as (select c_custkey, c_nationkey as nation, c_custkey % 400 as t from customer),
+m as (select c_custkey, arg_max(value, start * 1000000000 + position) as value from c join r on r.nation = c.nation and start <= t group by c_custkey)
+select c.c_custkey, c.nation, c.t, coalesce(m.value, cast('NaN' as double)) as value from c left join m using (c_custkey)""",
     "qc_flags": """select p_partkey, case when p_partkey % 14 - 2 between 0 and 9 then cast(p_partkey % 14 - 2 as varchar) else '' end as i,
  case p_partkey % 4 when 0 then '1' when 2 then 'A' else '' end as c, 'P' || cast(p_partkey as varchar) as t,
  case when p_partkey % 5 = 0 or p_partkey % 9 = 3 then cast('NaN' as double) else cast(p_partkey % 9 as double) end as f from part""",

@@ -47,3 +47,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert QUERIES.keys() <= __spark_entry__.queries().keys() and ORACLES.keys() <= __spark_entry__.oracle_sql().keys()
+
+
+def test_all_deployments(spark):
+    """Every customer is a step and every supplier a deployment, also beyond the first 200."""
+    big = "/root/testdata/sf0.1"
+    if not os.path.isdir(big):
+        pytest.skip("no larger tables")
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.execute(f"create view {name} as select * from read_parquet('{big}/{name}.parquet')")
+    got, want = QUERIES["deploy_asof_all"](spark, big), con.execute(ORACLES["deploy_asof_all"])
+    found = rows(got.columns, map(tuple, got.collect()))
+    assert found == rows([c[0] for c in want.description], want.fetchall()) and sum(found.values()) == con.execute("select count(*) from customer").fetchone()[0]
