@@ -11,9 +11,10 @@ from ..session import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for each node of ``edges`` (a long, b long).
 
-    Every round is a few aggregations with map-side combine and joins that adaptive
-    execution can split, and ends in a written table; the number of rounds grows with
-    the logarithm of the longest path. Self-loops are ignored.
+    Every round is a few aggregations with map-side combine and joins with written tables,
+    which adaptive execution can split where a node has very many edges, and ends in a
+    written table; the number of rounds grows with the logarithm of the longest path.
+    Self-loops are ignored.
     """
     edge = lambda a, b: F.struct(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = edges.where("a <> b").select(edge(F.col("a"), F.col("b")).alias("e")).select("e.u", "e.v").distinct()
@@ -24,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-stars")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stored(small.distinct(), "edges")

@@ -251,6 +251,53 @@ def test_near_duplicates_in_split_nodes(spark, monkeypatch):
         assert out[i]["n_links"] == sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1
 
 
+def test_sorted_tries(spark):
+    """Every label that shares a prefix with any other is found, with the longest such prefix, over all partitions."""
+    from brineframe.llm import ngram_join as module
+
+    rng = np.random.default_rng(4)
+    sigs = rng.integers(0, 3, (60, module.VALUES)).astype(np.uint16)
+    sigs[30:40] = sigs[20]
+    reps = spark.createDataFrame([(i, bytes(x.tobytes())) for i, x in enumerate(sigs)], "rep long, sig binary").repartition(3)
+    for floor in (1, 3, 6):
+        got = {(bytes(r["label"])[0], r["rep"]): max(r["up"], r["down"]) for r in module.sorted_tries(reps, floor).collect()}
+        want = {}
+        for t, order in enumerate(module._ORDER):
+            own = sigs[:, order]
+            for i in range(60):
+                shared = np.logical_and.accumulate(own == own[i], 1).sum(1)
+                shared[i] = 0
+                if shared.max() >= floor:
+                    want[(t, i)] = shared.max()
+        assert got == want
+
+
+def test_prefixes_are_shortened_to_the_recall(spark, docs):
+    """Few links are read at the depth computed for the threshold, close ones at a longer prefix; recall is measured."""
+    from brineframe.llm import ngram_join as module
+
+    rng = np.random.default_rng(6)
+
+    def pairs(n, similarity):
+        one = rng.integers(0, 60_000, (n, module.VALUES)).astype(np.uint16)
+        other = np.where(rng.random(one.shape) < similarity, one, rng.integers(0, 60_000, one.shape)).astype(np.uint16)
+        both = np.stack([one, other], 1).reshape(2 * n, -1)
+        return both, spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(both)], "rep long, sig binary")
+
+    depths = {}
+    for n, similarity in ((3, 0.8), (6000, 0.83), (6000, 0.97)):
+        both, reps = pairs(n, similarity)
+        _, d, share = module.meeting_depth(reps, 0.8, 0.999)
+        depths[similarity] = d
+        same = both[::2] == both[1::2]
+        links = same[same.mean(1) >= 0.8]
+        met = np.logical_and.accumulate(links[:, module._ORDER], 2).sum(2).max(1) >= d
+        assert share >= 0.999 and (met.mean() >= 0.998 or n < 100)
+    assert depths[0.8] == 7 and depths[0.83] <= 7 < depths[0.97]
+    with pytest.raises(ValueError, match="tries"):
+        module.meeting_depth(pairs(3, 0.9)[1], 0.05)
+
+
 def test_components(spark):
     from brineframe.llm.components import components
 
