@@ -13,8 +13,9 @@ minimisers, so all copies of a window meet in the bucket of its minimiser:
 4. the windows that were counted more than once go back to their documents.
 
 A passage that very many documents share leaves a bucket of strings that differ at its
-edges only. The windows of such a bucket are counted singly, by a grouping with
-map-side combine, so that no task has to hold the bucket.
+edges only. A bucket of more words than a task shall sort is split by the hash of the
+window: its strings are cut into windows first, and each part is sorted and counted as
+any other bucket. So no task holds more than a bounded number of words.
 """
 
 from __future__ import annotations
@@ -34,12 +35,10 @@ from .words import Words, ranks, rolled, runs, windows
 
 #: Words of the short runs whose hashes compete for minimiser.
 SHORT = 8
-#: Words of a bucket's strings that are sorted at once (a bucket is never split).
-SORT_WORDS = 2_000_000
-#: Different strings in a bucket from which its windows are counted singly.
-HOT = 4000
-#: Different strings of a task that are combined at a time.
-COMBINE = 50_000
+#: Words of a bucket's strings from which it is split, and words that are sorted at once.
+BUCKET_WORDS, SORT_WORDS = 250_000, 2_000_000
+#: Bytes of different strings of a task that are combined at a time, and windows of strings that are made at a time.
+COMBINE, MADE = 24 << 20, 20_000
 
 
 def _smallest(values: np.ndarray, n: int) -> np.ndarray:
@@ -126,7 +125,7 @@ def _packed(window: int, short: int):
                 owner, start, n, least, _ = super_kmers(words, window, short)
                 k1, k2, marks = (part.column(c).to_pylist() for c in ("k1", "k2", "marks"))
                 rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                out: dict[str, list] = {c: [] for c in ("least", "packed", "s1", "s2", "k1", "k2", "start")}
+                out: dict[str, list] = {c: [] for c in ("least", "packed", "s1", "s2", "k1", "k2", "start", "n")}
                 for i, mark in enumerate(marks):
                     if not mark:
                         continue
@@ -136,33 +135,39 @@ def _packed(window: int, short: int):
                         a = int(start[j])
                         packed = b" ".join(own[a : a + int(n[j]) + window - 1])
                         both = xxhash.xxh3_128_intdigest(packed)
-                        for c, v in zip(out, (int(least[j]), packed, (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63), k1[i], k2[i], a)):
+                        for c, v in zip(out, (int(least[j]), packed, (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63), k1[i], k2[i], a, int(n[j]))):
                             out[c].append(v)
                 if out["k1"]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, {"packed": pa.binary(), "start": pa.int32()}.get(c, pa.int64())).cast(pa.string() if c == "packed" else {"start": pa.int32()}.get(c, pa.int64())) for c, v in out.items()], list(out)
+                        [pa.array(v, pa.binary()).cast(pa.string()) if c == "packed" else pa.array(v, pa.int32() if c in ("start", "n") else pa.int64()) for c, v in out.items()], list(out)
                     )
 
     return run
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal strings of a task as one row with their number, a bounded number of strings at a time."""
+    """Equal strings of a task as one row with their number, a bounded number of bytes at a time."""
     held: dict[tuple, int] = {}
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        columns = list(zip(*held)) or [()] * 4
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))] + [pa.array(list(held.values()), pa.int64())], ["least", "packed", "s1", "s2", "times"]
-        )
+        columns = list(zip(*held)) or [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(list(held.values()), pa.int64())], ["least", "part", "packed", "s1", "s2", "times"])
         held.clear()
         return out
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("least", "packed", "s1", "s2"))):
-            held[row] = held.get(row, 0) + 1
-        if len(held) >= COMBINE:
-            yield flush()
+        for *row, times in zip(*(batch.column(c).to_pylist() for c in ("least", "part", "packed", "s1", "s2", "times"))):
+            row = tuple(row)
+            if row in held:
+                held[row] += times
+            else:
+                held[row] = times
+                size += len(row[2])
+                if size >= COMBINE:
+                    yield flush()
+                    size = 0
     yield flush()
 
 
@@ -187,10 +192,10 @@ def _counted(window: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            least = batch.column("least").to_numpy()
-            change = np.flatnonzero(least[1:] != least[:-1]) + 1
+            least, part = batch.column("least").to_numpy(), batch.column("part").to_numpy()
+            change = np.flatnonzero((least[1:] != least[:-1]) | (part[1:] != part[:-1])) + 1
             edges = [0, *change.tolist(), batch.num_rows]
-            if held and held[-1].column("least")[-1].as_py() != least[0] and size >= SORT_WORDS:
+            if held and size >= SORT_WORDS and (held[-1].column("least")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (least[0], part[0]):
                 yield flush(held)
                 held, size = [], 0
             spaces = np.cumsum(np.append(0, pa.compute.count_substring(batch.column("packed"), " ").to_numpy() + 1))
@@ -209,30 +214,38 @@ def _counted(window: int):
 
 
 def _windows(window: int):
-    """Each window of the strings as a row."""
+    """Each window of the strings of split buckets as a row, with the part that its hash falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("least", "part", "packed", "w1", "w2", "s1", "s2", "at", "times")
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], list(names))
+            rows.clear()
+            return out
+
         for batch in batches:
-            for part in runs(batch, "packed"):
-                text, s1, s2, at, times = [], [], [], [], []
-                for packed, a, b, n in zip(*(part.column(c).to_pylist() for c in ("packed", "s1", "s2", "times"))):
-                    words = packed.split(" ")
-                    for k in range(len(words) - window + 1):
-                        text.append(" ".join(words[k : k + window]))
-                        s1.append(a)
-                        s2.append(b)
-                        at.append(k)
-                        times.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(at, pa.int32()), pa.array(times, pa.int64())], ["words", "s1", "s2", "at", "times"])
+            for least, parts, packed, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("least", "parts", "packed", "s1", "s2", "times"))):
+                words = packed.split(" ")
+                for k in range(len(words) - window + 1):
+                    own = " ".join(words[k : k + window])
+                    both = xxhash.xxh3_128_intdigest(own)
+                    rows.append((least, (both >> 64) % parts, own, (both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63), a, b, k, n))
+                    if len(rows) >= MADE:
+                        yield flush()
+        yield flush()
 
     return run
 
 
-def _counted_singly(strings: DataFrame, window: int) -> DataFrame:
-    """s1, s2, dups of the strings of hot buckets: equal windows are one row per task before they are shuffled."""
-    one = stored(strings.mapInArrow(_windows(window), "words string, s1 long, s2 long, at int, times long"), "hot-windows")
-    often = one.groupBy("words").agg(F.sum("times").alias("n")).where("n > 1").select("words")
-    return one.join(often, "words", "left_semi").groupBy("s1", "s2").agg(F.collect_set("at").alias("dups"))
+def _repeated(strings: DataFrame, window: int) -> DataFrame:
+    """s1, s2, dups: the windows of strings (least, part, packed, s1, s2, times) that their bucket's part holds more than once."""
+    parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    combined = strings.select("least", "part", "packed", "s1", "s2", "times").mapInArrow(_combined, "least long, part int, packed string, s1 long, s2 long, times long")
+    dups = combined.repartition(parts, "least", "part").sortWithinPartitions("least", "part").mapInArrow(_counted(window), "s1 long, s2 long, dups array<int>")
+    return dups.groupBy("s1", "s2").agg(F.any_value("dups").alias("dups"))  # a string of several tasks came back several times
 
 
 def _removed(window: int):
@@ -261,7 +274,7 @@ def marked_windows(docs: DataFrame, window: int = 35, short: int = SHORT) -> Dat
     """doc_id, k1, k2, n_words, kept_sha256 and text (one of them null), dups (lists of window starts).
 
     ``text`` is there for documents that may lose words, ``kept_sha256`` for the others."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     if not 1 <= short <= window:
         raise ValueError("short must be from 1 to window")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -278,19 +291,22 @@ def marked_windows(docs: DataFrame, window: int = 35, short: int = SHORT) -> Dat
         "settled",
     )
     packed = stored(
-        settled.where("marks is not null").select("k1", "k2", "text", "marks").mapInArrow(_packed(window, short), "least long, packed string, s1 long, s2 long, k1 long, k2 long, start int"),
+        settled.where("marks is not null").select("k1", "k2", "text", "marks").mapInArrow(_packed(window, short), "least long, packed string, s1 long, s2 long, k1 long, k2 long, start int, n int"),
         "super-k-mers",
     )
-    hot = stored(packed.groupBy("least").agg(F.approx_count_distinct("s1").alias("n")).where(F.col("n") > HOT).select("least"), "hot-buckets")
-    some_hot = bool(hot.head(1))
-    cold = packed.join(hot, "least", "left_anti") if some_hot else packed
-    strings = cold.select("least", "packed", "s1", "s2").mapInArrow(_combined, "least long, packed string, s1 long, s2 long, times long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dups = strings.repartition(parts, "least").sortWithinPartitions("least").mapInArrow(_counted(window), "s1 long, s2 long, dups array<int>")
-    dups = dups.groupBy("s1", "s2").agg(F.any_value("dups").alias("dups"))  # a string of several tasks came back several times
-    if some_hot:
-        hot_strings = packed.join(hot, "least", "left_semi").groupBy("least", "packed", "s1", "s2").agg(F.count(F.lit(1)).alias("times"))
-        dups = dups.unionByName(_counted_singly(hot_strings, window))
+    # words of the different strings of each bucket; of one that is too large, the parts that its windows are dealt to
+    each = packed.groupBy("least", "s1", "s2").agg(F.max("n").alias("n")).groupBy("least").agg(F.sum("n").alias("n"), F.sum(F.col("n") + window - 1).alias("words"))
+    large = each.where(F.col("words") > BUCKET_WORDS).select("least", F.ceil(F.col("n") * window / BUCKET_WORDS).cast("int").alias("parts"))
+    large = stored(large, "large-buckets")
+    some = bool(large.head(1))
+    whole = packed.join(large, "least", "left_anti") if some else packed
+    dups = _repeated(whole.withColumn("part", F.lit(0)).withColumn("times", F.lit(1).cast("long")), window)
+    if some:
+        strings = packed.join(large, "least").groupBy("least", "parts", "packed", "s1", "s2").agg(F.count(F.lit(1)).alias("times"))
+        cut = stored(strings.mapInArrow(_windows(window), "least long, part int, packed string, w1 long, w2 long, s1 long, s2 long, at int, times long"), "cut-windows")
+        often = _repeated(cut.withColumn("s1", F.col("w1")).withColumn("s2", F.col("w2")), window)
+        back = cut.select("w1", "w2", "s1", "s2", "at").join(stored(often.select(F.col("s1").alias("w1"), F.col("s2").alias("w2")), "often"), ["w1", "w2"])
+        dups = dups.unionByName(back.groupBy("s1", "s2").agg(F.collect_set("at").alias("dups")))
     found = (
         packed.select("s1", "s2", "k1", "k2", "start")
         .join(dups, ["s1", "s2"])
