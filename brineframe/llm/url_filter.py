@@ -1,9 +1,14 @@
-"""URL filters: rules first, then naive Bayes over words that a unigram Viterbi finds in host and path."""
+"""URL filters: rules first, then naive Bayes over words that a unigram Viterbi finds in host and path.
+
+Unigrams are the words of the pages' visible text, the runs of letters in hosts (once for
+each different host) and paths, and listed words. A run that is several known words
+is no word itself. So a name that joins frequent words is split even if it is seen on many pages.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from math import inf, log
 
@@ -12,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare, stored
+from .words import runs
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
@@ -25,10 +31,14 @@ HELD = 50_000
 #: Letters of a word of which so few are possible (18,278) that their counts go to every worker.
 SHORT = 3
 LISTED = frozenset(SEEDS + COMMON)
-LONGEST = 24
+#: Letters of the parts of runs that are looked up; longer words are found by their first so many letters.
+PREFIX = 24
 #: Letters that a word which is not listed has at least, where it shows that a run is several words.
 LEAST = 4
 _RUN = re.compile("[a-z]+|[0-9]+")
+_TAG = re.compile(rb"<(/?)(script|style)?[^<>]*>", re.I)
+#: A word of a text: letters alone between white space, quotes and stops (so no part of a name with dots).
+_WORD = re.compile(rb"(?<![^\s(\"'])[a-z]+(?=[.,;:!?)\"']*(?:\s|$))")
 
 
 def host_of(url: Column) -> Column:
@@ -57,17 +67,30 @@ class Rules:
         return best[2], best[3]
 
 
-def split(run: str, counts: Mapping[str, int], total: int) -> list[str]:
+def _lengths(known: Mapping[str, int], size: int) -> list[int]:
+    """Lengths of words that a run of so many letters may hold: those of the known words, and all short ones."""
+    return sorted({*range(1, min(SHORT, size) + 1)} | {len(w) for w in known})
+
+
+def split(run: str, known: Mapping[str, int], short: Mapping[str, int], total: int) -> list[str]:
     """The cheapest split of a run of letters (Viterbi). Words cost their negative log probability; an
-    unknown word of n letters costs more the longer it is."""
-    best, back = [0.0], [0]
+    unknown word of n letters, of any length, costs more the longer it is. ``known``: the words of more than
+    SHORT letters that the run holds."""
+    lengths = _lengths(known, len(run))
+    best, back, open_cost, open_from = [0.0], [0], inf, 0
     for end in range(1, len(run) + 1):
-        c, b = inf, 0
-        for k in range(max(0, end - LONGEST), end):
-            n = counts.get(run[k:end])
-            own = best[k] + (log(total / n) if n else log(total) + 2.3 * (end - k))
-            if own < c:
-                c, b = own, k
+        # an unknown word up to here: one that began before, or with this letter
+        if best[-1] + log(total) < open_cost:
+            open_cost, open_from = best[-1] + log(total), end - 1
+        open_cost += 2.3
+        c, b = open_cost, open_from
+        for n in lengths:
+            if n > end:
+                break
+            w = run[end - n : end]
+            times = known.get(w) or short.get(w)
+            if times and (own := best[end - n] + log(total / times)) <= c:
+                c, b = own, end - n
         best.append(c)
         back.append(b)
     words, end = [], len(run)
@@ -99,42 +122,85 @@ def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["run", "n"])
 
 
-def run_counts(parts: DataFrame) -> DataFrame:
-    """run, n: how often each run of letters is in hosts and paths, listed words once more."""
-    listed = parts.sparkSession.createDataFrame([(w, 1) for w in SEEDS + COMMON], "run string, n long")
-    counted = parts.mapInArrow(_run_counts, "run string, n long").union(listed)
-    return stored(counted.groupBy("run").agg(F.sum("n").alias("n")), "url-runs")
+def visible(html: bytes) -> bytes:
+    """What is left of a page without its tags, scripts and styles; each is read once."""
+    out, at, inside = [], 0, None
+    for m in _TAG.finditer(html):
+        if inside is None:
+            out.append(html[at : m.start()])
+        at, name = m.end(), (m[2] or b"").lower()
+        if inside is None and name and not m[1]:
+            inside = name
+        elif name == inside and m[1]:
+            inside = None
+    if inside is None:
+        out.append(html[at:])
+    return b" ".join(out)
+
+
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in runs(batch, "html"):
+            found: Counter = Counter()
+            for html in part.column("html").cast(pa.binary()).to_pylist():
+                found.update(_WORD.findall(visible(html or b"").lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["run", "n"])
+
+
+def run_counts(parts: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """run, n, own, seen: of each run of letters in hosts (host) and paths (path), listed words and the words
+    of ``texts`` (html): its occurrences; those of them that count for segmentation, which are one for
+    each different host; and whether it is listed or in a host or path."""
+    spark = parts.sparkSession
+    nothing, empty = F.lit(0).cast("long"), F.lit("")
+    count = lambda df: df.mapInArrow(_run_counts, "run string, n long")
+    pages, paths, hosts = count(parts), count(parts.select(empty.alias("host"), "path")), count(parts.select("host").distinct().withColumn("path", empty))
+    every = pages.select("run", "n", nothing.alias("own"), F.lit(True).alias("seen"))
+    for df in (paths, hosts):
+        every = every.union(df.select("run", nothing, "n", F.lit(False)))
+    every = every.union(spark.createDataFrame([(w, 1) for w in SEEDS + COMMON], "run string, n long").select("run", "n", "n", F.lit(True)))
+    if texts is not None:
+        every = every.union(texts.mapInArrow(_text_counts, "run string, n long").select("run", "n", "n", F.lit(False)))
+    return stored(every.groupBy("run").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.max("seen").alias("seen")), "url-runs")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every part of a run that is too long for the table of short words."""
+    """Every part of a run that is too long for the table of short words, up to PREFIX letters."""
     for batch in batches:
         for run in batch.column("run").to_pylist():
             step = 4096  # a very long run goes in several batches
             for at in range(0, len(run), step):
-                found = {run[k:end] for k in range(at, min(at + step, len(run))) for end in range(k + SHORT + 1, min(k + LONGEST, len(run)) + 1)}
+                found = {run[k:end] for k in range(at, min(at + step, len(run))) for end in range(k + SHORT + 1, min(k + PREFIX, len(run)) + 1)}
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(list(found), pa.string())], ["run", "piece"])
 
 
-def joined(run: str, own: int, counts: Mapping[str, int], total: int) -> bool:
+def joined(run: str, n: int, known: Mapping[str, int], short: Mapping[str, int], total: int) -> bool:
     """Whether a run is several known words: each a listed one, or of LEAST letters and seen as often as
     the run. Its own count says nothing then, so words must be cheaper than an unknown word of its length."""
-    best = [0.0] + [inf] * len(run)
+    if run in LISTED:
+        return False
+    lengths, best = _lengths(known, len(run)), [0.0] + [inf] * len(run)
     for end in range(1, len(run) + 1):
-        for k in range(max(0, end - LONGEST), end):
-            w = run[k:end]
-            n = counts.get(w, 0)
-            if best[k] < inf and len(w) < len(run) and (w in LISTED or end - k >= LEAST and n >= own):
-                best[end] = min(best[end], best[k] + log(total / max(n, 1)))
-    return run not in LISTED and best[-1] < log(total) + 2.3 * len(run)
+        for size in lengths:
+            if size > end or size == len(run):
+                break
+            w = run[end - size : end]
+            times = known.get(w) or short.get(w, 0)
+            if best[end - size] < inf and (w in LISTED or size >= LEAST and times >= n):
+                best[end] = min(best[end], best[end - size] + log(total / max(times, 1)))
+    return best[-1] < log(total) + 2.3 * len(run)
+
+
+def _known(column: pa.Array) -> Iterator[dict[str, int]]:
+    return ({x["piece"]: x["times"] for x in known or ()} for known in column.to_pylist())
 
 
 def _joined(short: dict[str, int], total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("run", "n", "known"))
-            yield batch.filter(pa.array([joined(r, n, ChainMap({x["piece"]: x["own"] for x in known or ()}, short), total) for r, n, known in zip(*columns)], pa.bool_())).select(["run"])
+            rows = zip(batch.column("run").to_pylist(), batch.column("n").to_pylist(), _known(batch.column("known")))
+            yield batch.filter(pa.array([joined(r, n, known, short, total) for r, n, known in rows], pa.bool_())).select(["run"])
 
     return run
 
@@ -142,24 +208,29 @@ def _joined(short: dict[str, int], total: int):
 def _split(short: dict[str, int], total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split(r, ChainMap({x["piece"]: x["own"] for x in known or ()}, short), total) for r, known in zip(batch.column("run").to_pylist(), batch.column("known").to_pylist())]
+            words = [split(r, known, short, total) for r, known in zip(batch.column("run").to_pylist(), _known(batch.column("known")))]
             yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
 
     return run
 
 
 def split_runs(counts: DataFrame) -> DataFrame:
-    """run, words: each run of ``counts`` split by the counts of all runs that are not several words themselves."""
-    total = (counts.agg(F.sum("n")).first()[0] or 0) + 1
-    short = {r["run"]: r["n"] for r in counts.where(F.length("run") <= SHORT).collect()}
-    words = counts.where(F.length("run") > SHORT).select(F.col("run").alias("piece"), F.col("n").alias("own"))
-    pieces = stored(counts.select("run").mapInArrow(_pieces, "run string, piece string").join(words, "piece"), "url-pieces")
+    """run, words: each run of hosts and paths split by the counts of all runs that are not several words themselves."""
+    n, own = (x + 1 for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first())
+    short = counts.where(F.length("run") <= SHORT).select("run", "n", "own").collect()
+    seen, words = counts.where("seen"), counts.where(F.length("run") > SHORT).select(F.col("run").alias("piece"), "n", "own")
+    pieces = seen.select("run").mapInArrow(_pieces, "run string, piece string")
+    found = pieces.join(words.where(F.length("piece") <= PREFIX), "piece").select("run", "piece", "n", "own")
+    longer = words.where(F.length("piece") > PREFIX).withColumnRenamed("piece", "word").withColumn("piece", F.substring("word", 1, PREFIX))
+    longer = pieces.where(F.length("piece") == PREFIX).join(longer, "piece").where(F.contains("run", "word")).select("run", F.col("word").alias("piece"), "n", "own")
+    found = stored(found.unionByName(longer), "url-pieces")
 
-    def known(pieces: DataFrame) -> DataFrame:
-        return counts.join(pieces.groupBy("run").agg(F.collect_set(F.struct("piece", "own")).alias("known")), "run", "left")
+    def known(pieces: DataFrame, times: str) -> DataFrame:
+        return seen.join(pieces.groupBy("run").agg(F.collect_set(F.struct("piece", F.col(times).alias("times"))).alias("known")), "run", "left")
 
-    several = stored(known(pieces).mapInArrow(_joined(short, total), "run string"), "url-joined").withColumnRenamed("run", "piece")
-    return stored(known(pieces.join(several, "piece", "left_anti")).mapInArrow(_split(short, total), "run string, words array<string>"), "url-words")
+    several = stored(known(found, "n").mapInArrow(_joined({r["run"]: r["n"] for r in short}, n), "run string"), "url-joined").withColumnRenamed("run", "piece")
+    left = known(found.join(several, "piece", "left_anti").where("own > 0"), "own")
+    return stored(left.mapInArrow(_split({r["run"]: r["own"] for r in short}, own), "run string, words array<string>"), "url-words")
 
 
 def unsure(host: str) -> bool:
@@ -264,18 +335,20 @@ def _other_runs(held: dict[tuple[str, str], int]):
     return run
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", key: str = "page_id", held: int = HELD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", key: str = "page_id", held: int = HELD, html: str = "html") -> DataFrame:
     """One row per page: ``key``, host, path, rule (null if none fits), verdict (allow or block).
 
     A null url, or one without ``://``, has an empty host and path and is judged by naive
-    Bayes on no words, that is by the prior. Rows that repeat are judged alike. Other columns,
-    the html among them, are not read. All counts are of all pages; ``held`` only chooses which
+    Bayes on no words, that is by the prior. Rows that repeat are judged alike. Of column ``html``, if there, only
+    the words of the visible text are counted, as unigrams; nulls have none. Other columns are
+    not read. All counts are of all pages; ``held`` only chooses which
     scores go to the workers and which are joined.
     """
     prepare(pages.sparkSession)
     parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = parts.select("host", "path")
-    scores, prior = learn_scores(urls, split_runs(run_counts(urls)))
+    texts = pages.select(F.col(f"`{html}`").cast("string").alias("html")) if html in pages.columns else None
+    scores, prior = learn_scores(urls, split_runs(run_counts(urls, texts)))
     first = {(r["run"], r["place"]): r["score"] for r in scores.orderBy(F.desc("n"), "run", "place").limit(held).collect()}
     own = f"`{key}` {dict(parts.dtypes)[key]}, host string, path string"
     out = f"{own}, rule string, verdict string"
