@@ -1,47 +1,81 @@
 """Tables that grow by numbered batches in a folder, with idempotent commits.
 
-``<path>/<table>/seq=<n>`` holds what batch n wrote; a batch counts once its row
-under ``<path>/commits/seq=<n>`` is there, which is written last. A batch that
-failed before that is overwritten by the next try and was never visible.
+``<path>/<table>/seq=<n>[/<column>=<value>]`` holds what batch n wrote; a batch counts once the
+empty file ``<path>/commits/<n>.<name>`` is there, which is created last. A batch takes its
+number by creating a file that no one else can create, so two writers never share one; a
+batch that failed keeps its number, is never visible, and its next try takes another.
+One name must not be applied by two writers at the same time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters of a batch's name.
+NAME = 60
+
 
 class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), where
+
     def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+        files, where = self._at(path)
+        return files.exists(where)
+
+    def _listed(self, folder: str) -> list[str]:
+        files, where = self._at(f"{self.path}/{folder}")
+        return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+    def _created(self, name: str) -> bool:
+        """Whether an empty file was created by this call; False if it is there."""
+        files, where = self._at(f"{self.path}/{name}")
+        files.mkdirs(where.getParent())
+        return files.createNewFile(where)
 
     def commits(self) -> dict[str, int]:
-        """Number of each committed batch (a row per batch comes to the driver)."""
-        if not self._exists(f"{self.path}/commits"):
-            return {}
-        rows = self.spark.read.option("basePath", f"{self.path}/commits").schema("batch string, seq int").parquet(f"{self.path}/commits").collect()
-        return {r["batch"]: r["seq"] for r in rows}
+        """Number of each committed batch (a file name per batch comes to the driver)."""
+        return {bytes.fromhex(name).decode(): int(seq) for seq, name in (x.split(".") for x in self._listed("commits"))}
 
     def next(self) -> int:
-        return max(self.commits().values(), default=-1) + 1
+        """A number that is above all committed ones and taken by no other writer."""
+        seq = max(self.commits().values(), default=-1) + 1
+        while not self._created(f"taken/{seq}"):
+            seq += 1
+        return seq
+
+    def fixed(self, name: str, value: int) -> int:
+        """A number that holds for the whole ledger: that of the first call."""
+        if not (known := self._listed(f"fixed/{name}")):
+            self._created(f"fixed/{name}/{value}")
+            known = self._listed(f"fixed/{name}")
+        return min(map(int, known))
 
-    def write(self, table: str, seq: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/seq={seq}")
+    def write(self, table: str, seq: int, df: DataFrame, by: str | None = None) -> None:
+        """``by``: a column of whole numbers; each of its values is a folder that reads may pick."""
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(f"{self.path}/{table}/seq={seq}")
 
     def commit(self, batch: str, seq: int) -> None:
-        self.write("commits", seq, self.spark.range(1).select(F.lit(batch).alias("batch")))
+        if len(batch) > NAME:
+            raise ValueError(f"a batch's name has up to {NAME} characters")
+        self._created(f"commits/{seq}.{batch.encode().hex()}")
 
-    def read(self, table: str, schema: str, but: int | None = None) -> DataFrame:
-        """All committed rows of a table with their ``seq``; also those of the open batch ``but``."""
-        known = sorted({*self.commits().values()} | ({but} if but is not None else set()))
+    def read(self, table: str, schema: str, only: Iterable[int] | None = None, by: str | None = None, some: Iterable[int] | None = None) -> DataFrame:
+        """Committed rows of a table with their ``seq``, or those of the batches ``only``; with ``some``, no
+        file is opened but those of these values of ``by``."""
+        known = sorted(self.commits().values()) if only is None else only
         paths = [p for n in known if self._exists(p := f"{self.path}/{table}/seq={n}")]
         full = T._parse_datatype_string(schema).add("seq", T.IntegerType())
         if not paths:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.option("basePath", f"{self.path}/{table}").schema(full).parquet(*paths)
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}").schema(full).parquet(*paths)
+        return rows if some is None else rows.where(F.col(by).isin(list(some)))

@@ -1,20 +1,23 @@
 """Line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
-State (a ``Ledger``): ``refs`` has a row per line key and document, ``gone`` the
-deleted documents, ``shared`` the keys that at least two live documents hold with
-their count and smallest id (the row of the last batch counts), ``filters`` the
-cuckoo filters, one per shard of the key space, which hold every live key.
+State (a ``Ledger``), each table in folders by shard of the line key or by bucket of the document id:
+
+* ``refs`` (by bucket): the line keys of each document; ``gone`` (by bucket): the deleted ones;
+* ``counts`` (by shard): the documents that hold a key and the smallest id of them; the row of the last batch counts;
+* ``holders`` (by shard): the documents of each key that two or more hold;
+* ``filters`` (by shard): the cuckoo filter of the shard's live keys; the last batch that changed it counts.
 
 A batch is combined to one row per key before it meets its shard, so a line of a
 third of all documents is one row. The filter says which keys are certainly new;
-only the others, and keys that repeat within the batch, are looked up in the exact
-table. Fingerprints can be taken out again, so deleting documents gives their lines
-back to the next holder.
+only the others are looked up in the exact counts. Fingerprints can be taken out
+again, so deleting documents gives their lines back to the next holder. A batch opens
+the files of the shards and buckets that it touches and no others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,8 @@ from .words import SPACES, runs
 MIN_CODE_POINTS = 10
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SLOTS = 4
+#: Lines for which a shard is made, and the fewest shards.
+SHARD_LINES, LEAST_SHARDS = 250_000, 8
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 
@@ -62,9 +67,12 @@ class CuckooFilter:
 
     def insert(self, hashes: np.ndarray) -> None:
         """Adds each hash once more; the caller sees to it that a live key is added once."""
-        while len(left := self._insert(self.segments[-1], hashes)):
-            self.segments.append(self._segment(max(2 * self.segments[-1].size, int(len(left) / 0.8))))
-            hashes = left
+        while len(hashes):
+            table = self.segments[-1]
+            room = max(int(table.size * 0.85) - np.count_nonzero(table), 0)
+            hashes = np.append(self._insert(table, hashes[:room]), hashes[room:])
+            if len(hashes):
+                self.segments.append(self._segment(max(2 * table.size, int(len(hashes) / 0.8))))
 
     def _insert(self, table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         left = hashes
@@ -104,17 +112,19 @@ class CuckooFilter:
         return hashes[failed]
 
     def remove(self, hashes: np.ndarray) -> None:
-        for h in hashes:
-            for table in reversed(self.segments):
-                p, one, other = (x[0] for x in self._places(np.array([h], np.uint64), table))
-                for b in (one, other):
-                    hit = np.flatnonzero(table[b] == p)
-                    if len(hit):
-                        table[b, hit[0]] = 0
+        """Takes one fingerprint of each hash out; in a bucket one at a time, for all buckets at once."""
+        for table in reversed(self.segments):
+            for side in (1, 2):
+                while len(hashes):
+                    places = self._places(hashes, table)
+                    bucket = places[side]
+                    hit = table[bucket] == places[0][:, None]
+                    some = np.flatnonzero(hit.any(1))
+                    if not len(some):
                         break
-                else:
-                    continue
-                break
+                    first = some[np.unique(bucket[some], return_index=True)[1]]
+                    table[bucket[first], hit[first].argmax(1)] = 0
+                    hashes = np.delete(hashes, first)
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -150,114 +160,163 @@ def _load(rows: pd.DataFrame, expected: int) -> CuckooFilter:
     return CuckooFilter(expected, [np.frombuffer(x, np.uint16).reshape(-1, SLOTS).copy() for x in rows["slots"]])
 
 
-def _dump(shard: int, own: CuckooFilter) -> pd.DataFrame:
-    return pd.DataFrame({"shard": np.int32(shard), "key": None, "segment": range(len(own.segments)), "slots": [x.tobytes() for x in own.segments]})
+def _dump(shard: int, own: CuckooFilter, changed: bool = True) -> pd.DataFrame:
+    return pd.DataFrame({"shard": np.int32(shard), "key": None, "segment": range(len(own.segments)), "slots": [x.tobytes() for x in own.segments], "changed": changed})
 
 
-_PROBED = "shard int, key binary, segment int, slots binary"
+_PROBED = "shard int, key binary, segment int, slots binary, changed boolean"
+_FILTER = ["shard", "segment", "slots"]
 
 
 def _add(keys: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one shard: keys that the filter may have held, and the filter with the new keys in it."""
-    shard = int(keys["shard"].iloc[0] if len(keys) else rows["shard"].iloc[0])
+    if not len(keys):
+        return pd.DataFrame({c: [] for c in (*_FILTER, "key", "changed")})
+    shard = int(keys["shard"].iloc[0])
     keys = keys.sort_values("key")  # the same filter whatever the order of arrival
     own, hashes = _load(rows, len(keys)), _hashes(keys["key"])
     maybe = own.contains(hashes)
     own.insert(hashes[~maybe])
     # a new key that the filter takes for an old one needs its fingerprint too: see LineIndex.insert
-    hits = pd.DataFrame({"shard": np.int32(shard), "key": keys["key"][maybe], "segment": -1, "slots": None})
-    return pd.concat([hits, _dump(shard, own)])
+    hits = pd.DataFrame({"shard": np.int32(shard), "key": keys["key"][maybe], "segment": -1, "slots": None, "changed": True})
+    return pd.concat([hits, _dump(shard, own, not maybe.all())])
+
+
+def _changed(sign: int):
+    """Of one shard: the filter with some keys more or fewer; nothing if it is as it was."""
 
+    def run(rows: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if not len(keys):
+            return rows[rows["changed"]][_FILTER] if len(rows) else rows[_FILTER]
+        shard = int(keys["shard"].iloc[0])
+        own = _load(rows, len(keys))
+        (own.insert if sign > 0 else own.remove)(_hashes(keys.sort_values("key")["key"]))
+        return _dump(shard, own)[_FILTER]
+
+    return run
 
-def _more(keys: pd.DataFrame, rows: pd.DataFrame, sign: int) -> pd.DataFrame:
-    """Of one shard: the filter with some keys more or fewer."""
-    shard = int(keys["shard"].iloc[0] if len(keys) else rows["shard"].iloc[0])
-    keys = keys.sort_values("key")
-    own = _load(rows, len(keys))
-    (own.insert if sign > 0 else own.remove)(_hashes(keys["key"]))
-    return _dump(shard, own)
+
+def _numbers(df: DataFrame, column: str) -> list[int]:
+    """The shards or buckets of some rows: no more than there are."""
+    return [r[0] for r in df.select(column).distinct().collect()]
 
 
 class LineIndex:
-    """An incremental line dedup at ``path`` (a new folder or an earlier index with as many ``shards``).
+    """An incremental line dedup at ``path`` (a new folder or an earlier index, whose number of shards holds).
 
     ``shards``: a shard's filter and its share of a batch's keys are in memory at once; take
-    about one for each million keys.
+    one for each SHARD_LINES lines, as ``line_dedup`` does. ``looked_up`` is the number of keys
+    that the filters sent the last batch to the exact counts for.
     """
 
-    REFS, GONE, SHARED, FILTERS = "shard int, key binary, doc long", "doc long", "key binary, docs long, owner long", "shard int, segment int, slots binary"
+    REFS, GONE = "doc long, key binary, shard int, bucket int", "doc long, bucket int"
+    COUNTS, HOLDERS, FILTERS = "key binary, docs long, owner long, old_docs long, old_owner long, shard int", "key binary, doc long, shard int", "segment int, slots binary, shard int"
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64):
-        self.spark, self.log, self.shards = prepare(spark), Ledger(spark, path), shards
-
-    def _live(self, open_batch: int | None = None) -> DataFrame:
-        refs = self.log.read("refs", self.REFS, open_batch)
-        gone = self.log.read("gone", self.GONE, open_batch).groupBy("doc").agg(F.max("seq").alias("until"))
-        return refs.join(gone, "doc", "left").where("until is null or seq > until").select("shard", "key", "doc").distinct()
+        self.spark, self.log = prepare(spark), Ledger(spark, path)
+        self.shards, self.looked_up = self.log.fixed("shards", shards), 0
+
+    def _bucket(self, doc: str = "doc"):
+        """The bucket of a document; the lines of all null ids are spread."""
+        return F.pmod(F.xxhash64(doc), F.lit(self.shards)).cast("int")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc, seq) that no later deletion took out."""
+        gone = self.log.read("gone", self.GONE).groupBy("doc").agg(F.max("seq").alias("until"))
+        return rows.join(gone, "doc", "left").where("until is null or seq > until").drop("until")
+
+    def _filters(self, shards: Iterable[int]) -> DataFrame:
+        """The newest filters of some shards."""
+        rows = self.log.read("filters", self.FILTERS, by="shard", some=shards)
+        newest = rows.groupBy("shard").agg(F.max("seq").alias("seq"))
+        return rows.join(newest, ["shard", "seq"]).select(*_FILTER, F.lit(False).alias("changed"))
+
+    def _counts(self, shards: Iterable[int] | None = None) -> DataFrame:
+        """key, docs, owner of the keys that live documents hold."""
+        rows = self.log.read("counts", self.COUNTS, by="shard", some=shards)
+        last = rows.groupBy("key").agg(F.max_by(F.struct("docs", "owner"), "seq").alias("now"))
+        return last.select("key", "now.docs", "now.owner").where("docs > 0")
 
-    def _filters(self) -> DataFrame:
-        rows = self.log.read("filters", self.FILTERS)
-        newest = max(self.log.commits().values(), default=-1)
-        return rows.where(F.col("seq") == newest).drop("seq")
+    def _written(self, table: str, seq: int, df: DataFrame, by: str) -> DataFrame:
+        """Writes a table of the open batch and gives it back; folders that hold much are written by several tasks."""
+        self.log.write(table, seq, df.hint("rebalance", by), by)
+        return self.log.read(table, {"gone": self.GONE, "counts": self.COUNTS, "holders": self.HOLDERS}[table], only=[seq]).drop("seq")
 
     def insert(self, docs: DataFrame, batch: str) -> None:
-        """Adds documents (doc_id, text). A batch name that was committed before is left alone."""
+        """Adds documents (doc_id, text). A batch name that was committed before is left alone. An id that is
+        there already has the lines of both texts from now on; to revise a document, delete it first."""
         if batch in self.log.commits():
             return
         seq = self.log.next()
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.log.write("refs", seq, rows.mapInArrow(_refs(self.shards), self.REFS))
-        old = self._live() if seq else None
-        refs = self.spark.read.schema(self.REFS).parquet(f"{self.log.path}/refs/seq={seq}")
-        keys = refs.distinct().groupBy("shard", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
-        keys = stored(keys, "line-keys")
-        probed = stored(keys.select("shard", "key").groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(_add, _PROBED), "probed")
-        maybe = probed.where("key is not null").select("key")
-        filters = probed.where("key is null").select("shard", "segment", "slots")
-        if old is not None:
-            # exact: what earlier batches hold of the keys that the filter may have seen
-            before = old.join(maybe, "key", "left_semi")
-            both = before.join(keys.select("key"), "key", "left_semi").select("key", "doc")
-            now = refs.join(maybe, "key", "left_semi").select("key", "doc")
-            total = both.unionByName(now).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
-            own = keys.join(maybe, "key", "left_anti").select("key", "docs", "owner")
-            held = before.select("key").distinct()
-        else:
-            total, own, held = None, keys.select("key", "docs", "owner"), maybe.limit(0)
-        shared = own if total is None else own.unionByName(total)
-        self.log.write("shared", seq, shared.where("docs > 1"))
-        # keys that the filter only seemed to hold are put in now
-        false = stored(keys.select("shard", "key").join(maybe, "key", "left_semi").join(held, "key", "left_anti"), "seeming")
-        filters = filters.groupBy("shard").cogroup(false.groupBy("shard")).applyInPandas(_again, self.FILTERS)
-        self.log.write("filters", seq, filters)
+        bucket = F.when(F.col("doc") == LAST, self._bucket("key")).otherwise(self._bucket())
+        refs = rows.mapInArrow(_refs(self.shards), "shard int, key binary, doc long").withColumn("bucket", bucket)
+        self.log.write("refs", seq, refs.repartition(self.shards, "bucket").dropDuplicates(["bucket", "doc", "key"]), "bucket")
+        refs = self.log.read("refs", self.REFS, only=[seq]).drop("seq")
+        if self.log.commits():
+            own = refs.select("doc", "bucket").distinct()
+            earlier = self._live(self.log.read("refs", self.REFS, by="bucket", some=_numbers(own, "bucket")).select("doc", "bucket", "seq"))
+            known = stored(earlier.join(own.select("doc"), "doc", "left_semi").select("doc", "bucket").distinct(), "known-documents")
+            if known.head(1):
+                held = self._live(self._refs_of(known)).select("doc", "key")
+                refs = stored(refs.join(held, ["doc", "key"], "left_anti"), "new-lines")
+
+        keys = stored(refs.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner")), "line-keys")
+        probed = stored(keys.select("shard", "key").groupBy("shard").cogroup(self._filters(_numbers(keys, "shard")).groupBy("shard")).applyInPandas(_add, _PROBED), "probed")
+        maybe = probed.where("key is not null").select("shard", "key")
+        self.looked_up = maybe.count()
+        old = self.spark.createDataFrame([], "key binary, old_docs long, old_owner long")
+        if self.looked_up:
+            found = self._counts(_numbers(maybe, "shard")).join(maybe.select("key"), "key", "left_semi")
+            old = stored(found.select("key", F.col("docs").alias("old_docs"), F.col("owner").alias("old_owner")), "held-keys")
+        now = keys.join(old, "key", "left").select("key", (F.col("docs") + F.coalesce("old_docs", F.lit(0))).alias("docs"), F.least("owner", "old_owner").alias("owner"), "old_docs", "old_owner", "shard")
+        now = self._written("counts", seq, now, "shard")
+        holders = refs.join(now.where("docs > 1").select("key"), "key", "left_semi").select("key", "doc", "shard")
+        # the holder of a key that had one so far
+        first = now.where("old_docs = 1").select("key", F.col("old_owner").alias("doc"), "shard")
+        self._written("holders", seq, holders.unionByName(first), "shard")
+        filters = probed.where("key is null").select(*_FILTER, "changed")
+        if self.looked_up:  # keys that the filter only seemed to hold are put in now
+            false = stored(maybe.join(old, "key", "left_anti"), "seeming-keys")
+            filters = filters.groupBy("shard").cogroup(false.groupBy("shard")).applyInPandas(_changed(1), "shard int, segment int, slots binary")
+        self.log.write("filters", seq, filters.select(*_FILTER), "shard")
         self.log.commit(batch, seq)
 
+    def _refs_of(self, docs: DataFrame) -> DataFrame:
+        """The committed lines of documents (doc, bucket)."""
+        buckets = None if docs.where(F.col("doc") == LAST).head(1) else _numbers(docs, "bucket")
+        return self.log.read("refs", self.REFS, by="bucket", some=buckets).join(docs.select("doc"), "doc", "left_semi")
+
     def delete(self, docs: DataFrame, batch: str) -> None:
-        """Takes documents (doc_id) out; their lines pass to the next smallest holder."""
+        """Takes documents (doc_id) out; their lines pass to the next smallest holder. Ids that are not there change nothing."""
         if batch in self.log.commits():
             return
         seq = self.log.next()
-        gone = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")).distinct()
-        self.log.write("gone", seq, gone)
-        gone = self.spark.read.schema(self.GONE).parquet(f"{self.log.path}/gone/seq={seq}")
-        touched = stored(self._live().join(gone, "doc", "left_semi").select("shard", "key").distinct(), "touched")
-        left = self._live(seq).join(touched.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
-        now = stored(touched.join(left, "key", "left").select("shard", "key", F.coalesce("docs", F.lit(0)).cast("long").alias("docs"), "owner"), "recounted")
-        self.log.write("shared", seq, now.select("key", "docs", "owner"))
+        gone = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")).distinct().withColumn("bucket", self._bucket())
+        gone = self._written("gone", seq, gone, "bucket")
+        refs = self._live(self._refs_of(gone)).select("doc", "key", "shard").distinct()
+        lost = stored(refs.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("fewer"), F.min("doc").alias("least")), "lost-keys")
+        shards = _numbers(lost, "shard")
+        now = self._counts(shards).join(lost, "key")
+        now = stored(now.select("key", (F.col("docs") - F.col("fewer")).alias("docs"), "owner", F.col("docs").alias("old_docs"), F.col("owner").alias("old_owner"), "shard", (F.col("owner") == F.col("least")).alias("passes")), "recounted")
+        heirs = self._live(self.log.read("holders", self.HOLDERS, by="shard", some=shards).join(now.where("passes and docs > 0").select("key"), "key", "left_semi"))
+        heirs = heirs.join(gone.select("doc"), "doc", "left_anti").groupBy("key").agg(F.min("doc").alias("heir"))
+        now = now.join(stored(heirs, "heirs"), "key", "left").withColumn("owner", F.when(F.col("passes"), F.col("heir")).otherwise(F.col("owner"))).drop("passes", "heir")
+        now = self._written("counts", seq, now.select("key", "docs", "owner", "old_docs", "old_owner", "shard"), "shard")
         empty = now.where("docs = 0").select("shard", "key")
-        self.log.write("filters", seq, self._filters().groupBy("shard").cogroup(empty.groupBy("shard")).applyInPandas(_without, self.FILTERS))
+        filters = self._filters(_numbers(empty, "shard")).groupBy("shard").cogroup(empty.groupBy("shard"))
+        self.log.write("filters", seq, filters.applyInPandas(_changed(-1), "shard int, segment int, slots binary"), "shard")
         self.log.commit(batch, seq)
 
     def shared(self) -> DataFrame:
         """key, owner: lines of at least two live documents."""
-        rows = self.log.read("shared", self.SHARED)
-        last = rows.groupBy("key").agg(F.max_by(F.struct("docs", "owner"), "seq").alias("now"))
-        return last.where("now.docs > 1").select("key", F.col("now.owner").alias("owner"))
+        return self._counts().where("docs > 1").select("key", "owner")
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_text of documents (doc_id, text) that were inserted; other columns stay too."""
-        refs = self._live() if len(self.log.commits()) > 1 else self.log.read("refs", self.REFS)
-        drops = refs.select("key", "doc").join(self.shared(), "key").where("doc > owner").groupBy("doc").agg(F.collect_set("key").alias("__drop"))
+        # written, so that adaptive execution can split the join where one line has very many holders
+        owners = stored(self.shared(), "owners")
+        drops = self.log.read("holders", self.HOLDERS).select("key", "doc").join(owners, "key").where("doc > owner").groupBy("doc").agg(F.collect_set("key").alias("__drop"))
         rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
         rows = rows.join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
         kinds = {f.name: f.dataType for f in docs.schema.fields}
@@ -265,14 +324,6 @@ class LineIndex:
         return rows.mapInArrow(_clean, schema)
 
 
-def _again(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-    return _more(keys, filters, 1)[["shard", "segment", "slots"]] if len(keys) else filters[["shard", "segment", "slots"]]
-
-
-def _without(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-    return _more(keys, filters, -1)[["shard", "segment", "slots"]] if len(keys) else filters[["shard", "segment", "slots"]]
-
-
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in runs(batch):
@@ -291,7 +342,14 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def line_dedup(docs: DataFrame, path: str | None = None, shards: int = 64) -> DataFrame:
+def shards_for(docs: DataFrame) -> int:
+    """Shards for the lines of some documents."""
+    text = F.col("text").cast("string")
+    lines = docs.agg(F.sum(F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0)) + 1)).first()[0] or 0
+    return max(LEAST_SHARDS, ceil(lines / SHARD_LINES))
+
+
+def line_dedup(docs: DataFrame, path: str | None = None, shards: int | None = None, batches: int = 2, again: int = 0) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds too.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased;
@@ -300,11 +358,21 @@ def line_dedup(docs: DataFrame, path: str | None = None, shards: int = 64) -> Da
     Null ids are together one document that comes after all others. Returns the columns of
     ``docs`` with n_lines (before), n_dropped and kept_text; of ``docs``, only columns named
     like these three clash and are replaced.
+
+    The documents go into a new index in ``batches`` by a hash of their id, so from the second on
+    the filters choose the keys that are looked up. With ``again``, one id in so many is then
+    deleted and inserted anew, which ends in the same state. ``shards``: by default from the number of lines.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "kept_text", "__drop", "__doc")
-    index = LineIndex(spark, path or work_path(spark, "line-index"), shards)
-    index.insert(docs, "all")
+    index = LineIndex(spark, path or work_path(spark, "line-index"), shards or shards_for(docs))
+    draw = F.xxhash64(F.col("doc_id").cast("long"))
+    for k in range(batches):
+        index.insert(docs.where(F.pmod(draw, F.lit(batches)) == k), f"part {k}")
+    if again:
+        some = docs.where(F.pmod(F.shiftrightunsigned(draw, 20), F.lit(again)) == 0)
+        index.delete(some, "taken out")
+        index.insert(some, "put back")
     return index.clean(docs)
 
 

@@ -18,11 +18,16 @@ def tokenizer_file() -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import TokenRollup
+    from .token_counts import token_counts
 
-    rollup = TokenRollup(spark, work_path(spark, "token-rollup"), {"byte_bpe_50k": tokenizer_file(), "words": None})
-    rollup.apply("documents", _read(spark, sf_dir, "documents"))
-    return rollup.totals()
+    return token_counts(_read(spark, sf_dir, "documents"), work_path(spark, "token-rollup"), {"byte_bpe_50k": tokenizer_file(), "words": None}).totals()
+
+
+def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup by words alone, which SQL can count."""
+    from .token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), work_path(spark, "token-rollup"), {"words": None}).totals()
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import digest, line_dedup
 
-    return digest(line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest(line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), again=32))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +60,29 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every url, and the verdicts that are a rule's."""
+    from pyspark.sql import functions as F
+
+    from .url_filter import judge_urls
+
+    judged = judge_urls(_read(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def depleted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality rules under limits that small hosts reach, where the lines that a host repeats decide."""
+    from .quality_rules import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents"), min_docs=5, max_share=0.1, min_left=0.8)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -85,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, pipeline, token_counts_words, url_rules, depleted_documents)}
 
 #: Fixed value: words of a text.
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -156,4 +178,37 @@ select doc_id, size, n as source_size, cast(target as double) as target,
  cast(size * (whole + case when target - whole * n > 0 and 2 * below + size <= 2 * (target - whole * n) then 1 else 0 end) as bigint) as taken from x
 """
 
-ORACLES = {"op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op9_mixing": OP9}
+#: The limits of ``depleted_documents``.
+DEPLETED = OP7.replace("f.n > 20", "f.n > 5").replace("cast(0.3 as double)", "cast(0.8 as double)")
+
+TOKEN_WORDS = rf"""
+select source, lang, 'words' as version, count(*) as docs, cast(sum(len(regexp_extract_all(coalesce(text, ''), {WORD}))) as bigint) as tokens,
+ cast(sum(length(coalesce(text, ''))) as bigint) as chars from documents group by source, lang
+"""
+
+URL_RULES = r"""
+with p as (select row_number() over () as r, page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+ coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+k(verdict, h, s) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f as (select r, arg_max(h || s, length(h || s)) as rule, arg_max(verdict, length(h || s)) as verdict from p join k on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by r)
+select page_id, host, path, rule, verdict from p left join f using (r)
+"""
+
+OP8 = rf"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) as w from documents),
+t as (select r, doc_id, w, array_to_string(w, ' ') as body, min(r) over (partition by array_to_string(w, ' ')) as rep, count(*) over (partition by array_to_string(w, ' ')) as copies from d),
+u as (select r, w, copies from t where r = rep and len(w) > 0),
+s as (select distinct r, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(list_slice(w, i, i + 4), ' ') end as g from (select r, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from u)),
+n as (select r, count(*) as n from s group by r),
+b as (select x.r as a, y.r as b, count(*) as m from s x join s y on x.g = y.g and x.r < y.r group by x.r, y.r),
+l as (select b.a, b.b from b join n na on na.r = b.a join n nb on nb.r = b.b where 5 * b.m >= 4 * (na.n + nb.n - b.m)),
+e as (select a, b from l union all select b, a from l),
+c(r, x) as (select a, b from e union select c.r, e.b from c join e on e.a = c.x),
+top as (select r, least(r, min(x)) as top from c group by r),
+links as (select e.a as r, sum(u.copies) as n, count(*) as texts from e join u on u.r = e.b group by e.a),
+a as (select t.*, coalesce(top.top, t.rep) as class, coalesce(links.n, 0) as n, coalesce(links.texts, 0) as texts from t left join top on top.r = t.rep left join links on links.r = t.rep)
+select doc_id, min(doc_id) over (partition by class) as class_id, cast(case when len(w) = 0 then 0 else n + copies - 1 end as bigint) as n_links,
+ cast(texts as bigint) as n_texts, count(*) over (partition by class) as class_size from a
+"""
+
+ORACLES = {"op8_ngram_join": OP8, "token_counts_words": TOKEN_WORDS, "url_rules": URL_RULES, "depleted_documents": DEPLETED, "op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op9_mixing": OP9}

@@ -40,16 +40,18 @@ class TokenRollup:
     """Totals at ``path``, changed by batches of inserts, revisions and deletes.
 
     ``versions`` maps a tokenizer version to its tokenizers file (None: words
-    ``[^\\x20\\x09-\\x0D]+``). State: ``entries`` holds signed rows per document,
-    ``deltas`` their sums per group and batch; totals are the sums of the deltas, so a
-    batch costs in proportion to itself.
+    ``[^\\x20\\x09-\\x0D]+``). State: ``entries`` holds signed rows per document, in folders by a
+    hash of its id; ``deltas`` their sums per group and batch; totals are the sums of the
+    deltas. A batch opens the entries of the folders that its ids fall into and no others.
+    ``folders`` holds for the whole rollup: take one for each million documents that it shall have.
     """
 
     ENTRY = "doc_id long, source string, lang string, version string, docs long, tokens long, chars long"
     DELTA = "source string, lang string, version string, docs long, tokens long, chars long"
 
-    def __init__(self, spark: SparkSession, path: str, versions: Mapping[str, str | None]):
+    def __init__(self, spark: SparkSession, path: str, versions: Mapping[str, str | None], folders: int = 32):
         self.spark, self.log, self.versions = prepare(spark), Ledger(spark, path), dict(versions)
+        self.folders = self.log.fixed("folders", folders)
 
     def counts(self, docs: DataFrame) -> DataFrame:
         """One positive entry per document, group and version; rows that repeat an id add up."""
@@ -57,9 +59,14 @@ class TokenRollup:
         each = rows.mapInArrow(_counter(self.versions), "doc_id long, source string, lang string, version string, tokens long, chars long")
         return each.groupBy("doc_id", *GROUP).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"))
 
+    def _folder(self):
+        """Where a document's entries are; those of null ids, which are never looked up, are spread."""
+        return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("tokens", "chars")).otherwise(F.xxhash64("doc_id")), F.lit(self.folders)).cast("int")
+
     def _standing(self, ids: DataFrame) -> DataFrame:
-        """What the committed batches say about some documents."""
-        known = self.log.read("entries", self.ENTRY).join(ids.where("doc_id is not null"), "doc_id", "left_semi")
+        """What the committed batches say about some documents (doc_id, folder)."""
+        folders = [r[0] for r in ids.select("folder").distinct().collect()]
+        known = self.log.read("entries", f"{self.ENTRY}, folder int", by="folder", some=folders).join(ids.select("doc_id"), "doc_id", "left_semi")
         return known.groupBy("doc_id", *GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).where("docs <> 0 or tokens <> 0 or chars <> 0")
 
     def apply(self, batch: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
@@ -77,11 +84,12 @@ class TokenRollup:
         if deletes is not None:
             ids = ids.unionByName(deletes.select(F.col("doc_id").cast("long").alias("doc_id")))
         signed = new.select("doc_id", *GROUP, *SUMS)
-        if seq:
-            old = self._standing(ids.distinct())
+        if self.log.commits():
+            ids = ids.where("doc_id is not null").distinct().withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(self.folders)).cast("int"))
+            old = self._standing(ids)
             signed = signed.unionByName(old.select("doc_id", *GROUP, *((-F.col(c)).alias(c) for c in SUMS)))
-        self.log.write("entries", seq, signed)
-        entries = self.spark.read.schema(self.ENTRY).parquet(f"{self.log.path}/entries/seq={seq}")
+        self.log.write("entries", seq, signed.withColumn("folder", self._folder()).repartition(self.folders, "folder"), "folder")
+        entries = self.log.read("entries", f"{self.ENTRY}, folder int", only=[seq])
         self.log.write("deltas", seq, entries.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)))
         self.log.commit(batch, seq)
         return True
@@ -89,3 +97,18 @@ class TokenRollup:
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens, chars; groups without documents are left out."""
         return self.log.read("deltas", self.DELTA).groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).where("docs <> 0")
+
+
+def token_counts(docs: DataFrame, path: str, versions: Mapping[str, str | None], again: int = 16) -> TokenRollup:
+    """A new rollup of ``docs`` that has seen every kind of change: two insert batches by a hash of the id, a
+    deletion of one id in ``again``, and a last batch that inserts these anew and revises another one in
+    ``again``. Its totals are those of ``docs``. Null ids are inserted once and left alone."""
+    rollup = TokenRollup(docs.sparkSession, path, versions)
+    draw = F.xxhash64(F.col("doc_id").cast("long"))
+    sample = F.pmod(F.shiftrightunsigned(draw, 20), F.lit(again))
+    for k in range(2):
+        rollup.apply(f"part {k}", docs.where(F.pmod(draw, F.lit(2)) == k))
+    known = docs.where("doc_id is not null")
+    rollup.apply("taken out", deletes=known.where(sample == 0))
+    rollup.apply("put back and revised", known.where(sample < 2))
+    return rollup

@@ -17,7 +17,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tabl
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     got = QUERIES[name](spark, SF)
     want = con.execute(ORACLES[name])
     columns = sorted(c[0] for c in want.description)

@@ -104,12 +104,16 @@ def test_exact_dedup_tells_colliding_hashes_apart(spark, monkeypatch):
     assert {(r[0], r[1], r[2], r[3]) for r in out.collect()} == {(3, 2, 2, False), (2, 2, 2, True), (1, 1, 1, True)}
 
 
-@pytest.mark.parametrize("hot", [4000, 2])
-def test_substring_dedup(docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize("bucket", [250_000, 100])
+def test_substring_dedup(spark, rows, bucket, monkeypatch):
+    """Also with long texts of one word or a few, whose super-k-mers are as long as they are, and with split buckets."""
     from brineframe.llm import substring_dedup as module
     from brineframe.llm.substring_dedup import substring_dedup
 
-    monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(module, "BUCKET_WORDS", bucket)
+    monkeypatch.setattr(module, "COMBINE", bucket * 10)
+    rows = rows + [(7000 + k, "ab " * (30 + 97 * k) + "cd " * k, "en", "s", 1) for k in range(12)] + [(7100 + k, "x y " * (9 * k) + f"z{k}", "en", "s", 1) for k in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
     for window, short in ((35, 8), (6, 2)):
         words = [WORD.findall(r[1] or "") for r in rows]
         starts = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -138,7 +142,8 @@ def clean_lines(rows):
 def test_line_dedup(docs, rows):
     from brineframe.llm.line_dedup import line_dedup
 
-    assert multiset(line_dedup(docs, shards=4), "doc_id", "n_lines", "n_dropped", "kept_text") == clean_lines(rows)
+    for options in ({"shards": 4}, {"batches": 1}, {"batches": 3, "again": 3}):
+        assert multiset(line_dedup(docs, **options), "doc_id", "n_lines", "n_dropped", "kept_text") == clean_lines(rows)
 
 
 def test_line_dedup_is_incremental_and_reversible(spark, rows, tmp_path):
@@ -148,7 +153,9 @@ def test_line_dedup_is_incremental_and_reversible(spark, rows, tmp_path):
     index = LineIndex(spark, str(tmp_path / "index"), shards=3)
     frame = lambda some: spark.createDataFrame(some, SCHEMA)
     index.insert(frame(rows[::2]), "a")
+    assert index.looked_up == 0
     index.insert(frame(rows[1::2]), "b")
+    assert index.looked_up > 0  # the filters hold lines of the first batch
     index.insert(frame(rows[1::2]), "b")  # committed before: no change
     assert multiset(index.clean(frame(rows)), "doc_id", "n_lines", "n_dropped", "kept_text") == clean_lines(rows)
     gone = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])[:20]
@@ -160,6 +167,49 @@ def test_line_dedup_is_incremental_and_reversible(spark, rows, tmp_path):
     assert multiset(index.clean(frame(back)), "doc_id", "n_lines", "n_dropped", "kept_text") == clean_lines(back)
 
 
+def test_line_index_takes_an_id_again(spark, tmp_path):
+    """A live id that comes again has the lines of both texts; deleting a null id deletes all of them."""
+    from brineframe.llm.line_dedup import LineIndex
+
+    index = LineIndex(spark, str(tmp_path / "index"), shards=3)
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    state = lambda: {(r["docs"], r["owner"]) for r in index._counts().collect()}
+    index.insert(frame([(1, "a line of one text"), (2, "a line of one text"), (None, "a line of nobody")]), "a")
+    index.insert(frame([(1, "a line of one text\nanother of its lines"), (3, "ANOTHER of its lines")]), "b")
+    assert state() == {(2, 1), (1, (1 << 63) - 1)}
+    assert index.shared().count() == 2
+    index.delete(frame([(1, None), (None, None), (77, None)]), "c")
+    assert state() == {(1, 2), (1, 3)} and index.shared().count() == 0
+    assert LineIndex(spark, str(tmp_path / "index"), shards=9).shards == 3
+
+
+def test_line_index_opens_touched_folders_only(spark, tmp_path):
+    """A small batch gives the same with all folders of earlier batches gone that it does not touch."""
+    import shutil
+
+    from brineframe.llm.line_dedup import LineIndex
+
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    big = [(i, f"line number {i % 150} of many\nline {i} of its own") for i in range(300)]
+    LineIndex(spark, str(tmp_path / "one"), shards=32).insert(frame(big), "big")
+    shutil.copytree(tmp_path / "one", tmp_path / "two")
+    results = []
+    for name in ("one", "two"):
+        index = LineIndex(spark, str(tmp_path / name))
+        if name == "two":
+            left = 0
+            for table, by in (("counts", "shard"), ("holders", "shard"), ("filters", "shard"), ("refs", "bucket")):
+                touched = {p.name for k in (1, 2) for t in (("counts", "filters") if by == "shard" else ("refs", "gone")) for p in (tmp_path / "one" / t / f"seq={k}").glob(f"{by}=*")}
+                for p in (tmp_path / "two" / table / "seq=0").glob(f"{by}=*"):
+                    shutil.rmtree(p) if p.name not in touched else None
+                left += len(touched)
+            assert left < 40
+        index.insert(frame([(1000, "line number 7 of many\na fresh line")]), "small")
+        index.delete(frame([(7, None)]), "less")
+        results.append({(bytes(r["key"]), r["docs"], r["owner"], r["seq"]) for r in index.log.read("counts", index.COUNTS, only=[1, 2]).collect()})
+    assert results[0] == results[1] and any(r[1:] == (3, 7, 1) for r in results[0]) and any(r[1:] == (2, 157, 2) for r in results[0])
+
+
 def test_cuckoo_filter_holds_what_was_put_in():
     from brineframe.llm.line_dedup import CuckooFilter
 
