@@ -19,7 +19,7 @@ from .operators.duplicates import drop_duplicate_profiles, mark_duplicates
 from .operators.merging import merge
 from .plans import headers as docs
 from .plans.pages import page
-from .plans.render import FORMATS, duplicates_tsv, emit, rendered, write_report
+from .plans.render import FORMATS, duplicates_lines, emit, rendered, write_lines, write_report
 from .plans.report import LEVELS, report
 from .sources import files as listing
 from .sources import netcdf
@@ -229,8 +229,12 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         folders = [p for p in folders if listing.fnmatchcase(p.name, a.pattern)]
         if not folders:
             return Done("concat", "convert", _nothing(a.pattern, a.src_dir))
-        tables = [read(str(p)) for p in folders]
-        write(merge(tables, not a.no_renumber, not a.no_pres_sort, a.keep_na_pres), a.output)
+        # one scan for all files of a schema
+        kinds: dict[str, list[str]] = {}
+        for p in folders:
+            kinds.setdefault(listing.schema_of(p), []).append(str(p))
+        tables = [(spark or session()).read.parquet(*own) for own in kinds.values()]
+        write(merge(tables, not a.no_renumber, not a.no_pres_sort, a.keep_na_pres, by_path=True), a.output)
         return Done("concat", "convert", len(folders))
     if a.command == "concat":
         found = listing.listed(a.src_dir, a.pattern)
@@ -258,7 +262,7 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         return Done("dedup", "profile")
     if a.command == "markdup":
         marked, dups = mark_duplicates(read(a.src), _key(a))
-        emit(duplicates_tsv(dups), a.dups)
+        write_lines(duplicates_lines(dups), a.dups)
         write(marked, a.dest)
         return Done("markdup", "profile")
     options = CompareOptions(_key(a), a.platform_col, "profile_no", a.time_col, a.lon_col, a.lat_col, not a.no_platform_key)

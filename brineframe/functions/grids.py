@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .teos10 import with_pressure, z_from_p
 
@@ -43,22 +44,29 @@ def filled_from(first: Column, other: Column) -> Column:
     return F.coalesce(F.nanvl(first, other), other, F.lit(NAN))
 
 
-def deployed(times: DataFrame, deployments: DataFrame, time: str = "t", start: str = "start", value: str = "value", position: str = "position", file: str | None = None) -> DataFrame:
+def deployed(times: DataFrame, deployments: DataFrame, time: str = "t", start: str = "start", value: str = "value", position: str = "position", file: str | None = None, span: int = 4096) -> DataFrame:
     """``times`` with the ``value`` of the latest deployment that started at or before each time.
 
     Starts below 0 act as 0; of equal starts the one with the larger ``position`` wins; before the
     first deployment the value is NaN. With ``file``, a column of both, each file has deployments of
-    its own. Of equal starts only the one that wins is gathered to a file's sorted array, which
-    every time step searches, so no range join is needed.
+    its own. Times and starts are sorted together in spans of ``span`` steps; a span that begins
+    under way takes the last deployment of an earlier span. So nothing is broadcast, and one
+    task never holds more than a span of a file. ``times`` keeps its other columns.
     """
-    keys = [F.col(file).alias("__file")] if file else []
-    runs = deployments.select(*keys, F.greatest(F.col(start), F.lit(0)).cast("long").alias("s"), F.col(position).cast("long").alias("p"), F.col(value).alias("v"))
-    own = ["__file"] if file else []
-    runs = runs.groupBy(*own, "s").agg(F.max(F.struct("p", "v")).alias("last"))
-    runs = runs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("s", F.col("last.p").alias("p"), F.col("last.v").alias("v")))).alias("__runs"))
-    known = F.filter("__runs", lambda r: r["s"] <= F.col(time))
-    both = times.join(runs, F.col(file).eqNullSafe(F.col("__file")), "left") if file else times.crossJoin(F.broadcast(runs))
-    return both.withColumn(value, F.when(F.size(known) > 0, F.element_at(known, -1)["v"]).otherwise(F.lit(NAN))).drop("__runs", "__file")
+    own = F.col(file) if file else F.lit(0)
+    within = lambda c: F.floor(F.col(c) / span).alias("__span")
+    runs = deployments.select(own.alias("__file"), F.greatest(F.col(start), F.lit(0)).cast("double").alias("__at"), F.struct(F.col(position).cast("long").alias("p"), F.col(value).alias("v")).alias("__run"))
+    runs = runs.groupBy("__file", "__at").agg(F.max("__run").alias("__run")).select("__file", within("__at"), "__at", "__run")
+    steps = times.select(own.alias("__file"), F.col(time).cast("double").alias("__at"), F.struct(*(F.col(f"`{c}`") for c in times.columns)).alias("__row")).select("__file", within("__at"), "__at", "__row")
+    both = steps.unionByName(runs, allowMissingColumns=True)
+    so_far = Window.partitionBy("__file", "__span").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = both.withColumn("__run", F.last("__run", True).over(so_far)).where("__row is not null")
+    # a row per span: the last deployment of all spans before
+    ends = both.groupBy("__file", "__span").agg(F.max_by("__run", F.when(F.col("__run").isNotNull(), F.col("__at"))).alias("__run"))
+    before = Window.partitionBy("__file").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("__file").alias("__f"), F.col("__span").alias("__s"), F.last("__run", True).over(before).alias("__before"))
+    out = steps.join(ends, F.col("__file").eqNullSafe(F.col("__f")) & F.col("__span").eqNullSafe(F.col("__s"))).withColumn("__run", F.coalesce("__run", "__before"))
+    return out.select(*(F.col(f"__row.`{c}`") for c in times.columns if c != value), F.when(F.col("__run").isNotNull(), F.col("__run.v")).otherwise(F.lit(NAN)).alias(value))
 
 
 def deployed_in(starts: Column, values: Column, time: Column) -> Column:

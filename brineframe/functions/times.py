@@ -35,7 +35,12 @@ def ms_to_ntz(ms: Column) -> Column:
 
 
 #: The directives that time formats may use, and their date_format patterns.
-DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%y": "yy", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss"}
+DIRECTIVES = {
+    "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%y": "yy", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss",
+    "%b": "MMM", "%h": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%I": "hh", "%p": "a", "%D": "MM/dd/yy", "%R": "HH:mm", "%X": "HH:mm:ss", "%x": "MM/dd/yy", "%3f": "SSS",
+}
+#: Directives that are the same text for all times, which are in UTC.
+LITERALS = {"%%": "%", "%Z": "UTC", "%z": "+0000", "%n": "\n", "%t": "\t"}
 
 
 def date_pattern(fmt: str) -> str:
@@ -50,15 +55,15 @@ def date_pattern(fmt: str) -> str:
 
     while k < len(fmt):
         if fmt[k] == "%":
-            own = fmt[k : k + 2]
-            if own == "%%":
-                literal += "%"
+            own = fmt[k : k + 3] if fmt[k : k + 3] in DIRECTIVES else fmt[k : k + 2]
+            if own in LITERALS:
+                literal += LITERALS[own]
             elif own in DIRECTIVES:
                 flush()
                 out.append(DIRECTIVES[own])
             else:
-                raise ValueError(f"invalid time format {fmt!r}: {own!r}; known are {' '.join(DIRECTIVES)} %%")
-            k += 2
+                raise ValueError(f"invalid time format {fmt!r}: {own!r}; known are {' '.join([*DIRECTIVES, *LITERALS])}")
+            k += len(own)
         else:
             literal += fmt[k]
             k += 1

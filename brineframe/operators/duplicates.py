@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,13 +34,17 @@ def profiles(df: DataFrame, options: KeyOptions = KeyOptions()) -> DataFrame:
 
 def duplicate_groups(own: DataFrame) -> DataFrame:
     """From ``profiles``: the profiles whose key occurs more than once, with dup_group numbered from 1
-    in the order of the keys. Keys are numbered within their time; only the counts per time (a row
-    per day, by default) are summed up in one place."""
+    in the order of the keys. Keys are numbered within their time, times within the first ten
+    characters of their text (the date, by default); only the counts of those are summed up in one place."""
     keys = own.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keys = keys.select(F.col("key").alias("k"), F.row_number().over(Window.partitionBy("key.t").orderBy("key.x", "key.y")).cast("long").alias("nth"))
-    times = keys.groupBy(F.col("k.t").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = F.sum("n").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    times = times.select("t", F.coalesce(earlier, F.lit(0)).alias("before"))
+    def earlier(*within: str) -> Column:
+        window = Window.partitionBy(*within[:-1]).orderBy(within[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(window), F.lit(0))
+
+    times = keys.groupBy(F.substring("k.t", 1, 10).alias("d"), F.col("k.t").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    days = times.groupBy(F.col("d").alias("day")).agg(F.sum("n").alias("n")).select("day", earlier("day").alias("in_days"))
+    times = times.select("d", "t", earlier("d", "t").alias("in_day")).join(days, F.col("d") == F.col("day")).select("t", (F.col("in_days") + F.col("in_day")).alias("before"))
     keys = keys.join(times, F.col("k.t") == F.col("t")).select("k", (F.col("before") + F.col("nth")).alias("dup_group"))
     return own.join(keys, F.col("key") == F.col("k")).drop("k")
 

@@ -41,11 +41,12 @@ def renumber(df: DataFrame, sort_by_pres: bool = True) -> DataFrame:
     return out.select(*columns, ORDER)
 
 
-def merge(tables: Sequence[DataFrame], number: bool = True, sort_by_pres: bool = True, keep_na_pres: bool = False) -> DataFrame:
+def merge(tables: Sequence[DataFrame], number: bool = True, sort_by_pres: bool = True, keep_na_pres: bool = False, by_path: bool = False) -> DataFrame:
     """Union of tables with equal columns, without rows that lack pressure, numbered anew.
 
     Coordinates that are float in one table and double in another become double. The result is
-    sorted by platform, time, position and pressure, ties in the order of arrival.
+    sorted by platform, time, position and pressure, ties in the order of arrival: that of the
+    tables, or with ``by_path`` that of their files' paths, so that a table may stand for many files.
     """
     if not tables:
         raise ValueError("nothing to merge")
@@ -56,7 +57,7 @@ def merge(tables: Sequence[DataFrame], number: bool = True, sort_by_pres: bool =
     wide = {c for c in names if {"float", "double"} <= {dict(t.dtypes)[c] for t in tables}}
     out = None
     for k, t in enumerate(tables):
-        t = with_order(t).withColumn(ORDER, F.struct(F.lit(k).alias("k"), F.col(f"{ORDER}.f").alias("f"), F.col(f"{ORDER}.r").alias("r")))
+        t = with_order(t).withColumn(ORDER, F.struct(F.lit(0 if by_path else k).alias("k"), F.col(f"{ORDER}.f").alias("f"), F.col(f"{ORDER}.r").alias("r")))
         t = t.select(*(F.col(c).cast("double").alias(c) if c in wide else F.col(c) for c in names), ORDER)
         out = t if out is None else out.unionByName(t)
     if not keep_na_pres:

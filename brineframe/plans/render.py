@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -81,9 +81,38 @@ def emit(content: str, dest: str | Path | None) -> None:
         raise OSError(f"cannot create {dest}: {e}") from e
 
 
+def lines(names: Sequence[str], rows: Iterable[Sequence], fmt: str = "tsv") -> Iterator[str]:
+    """A rendered report in parts; only ``text``, which aligns columns, has all rows at once."""
+    if fmt == "tsv":
+        yield tsv(names, [])
+        for r in rows:
+            yield tsv(r, [])
+    elif fmt == "json":
+        before = "["
+        for r in rows:
+            yield before + as_json(names, [r])[1:-2]
+            before = ","
+        yield "[]\n" if before == "[" else "]\n"
+    else:
+        yield rendered(names, list(rows), fmt)
+
+
+def write_lines(parts: Iterable[str], dest: str | Path | None) -> None:
+    """Parts of a text to a file, or to standard output, one after the other."""
+    if dest is None:
+        sys.stdout.writelines(parts)
+        return
+    try:
+        out = open(dest, "w")
+    except OSError as e:
+        raise OSError(f"cannot create {dest}: {e}") from e
+    with out:
+        out.writelines(parts)
+
+
 def write_report(df: DataFrame, fmt: str = "tsv", dest: str | Path | None = None) -> None:
-    """Renders a report; its rows (at most one per profile) come to the driver in partitions."""
-    emit(rendered(df.columns, [tuple(r) for r in df.toLocalIterator()], fmt), dest)
+    """Renders a report; its rows (at most one per profile) come to the driver a partition at a time."""
+    write_lines(lines(df.columns, (tuple(r) for r in df.toLocalIterator()), fmt), dest)
 
 
 def plain(v: float | None) -> str:
@@ -98,12 +127,16 @@ def plain(v: float | None) -> str:
     return out.removesuffix(".0")
 
 
-def duplicates_tsv(report: DataFrame) -> str:
-    """The duplicates table; its numbers are not rounded."""
+def duplicates_lines(report: DataFrame) -> Iterator[str]:
+    """The duplicates table line by line; its numbers are not rounded."""
     names = ["dup_group", "platform_code", "profile_no", "profile_time", "profile_timestamp", "longitude", "latitude", "n_obs"]
-    lines = ["\t".join(names)]
+    yield "\t".join(names) + "\n"
     for r in report.select(*names).toLocalIterator():
         ts = r["profile_timestamp"]
         stamp = "" if ts is None else ts.strftime("%Y-%m-%d %H:%M:%S") + (f".{ts.microsecond // 1000:03d}" if ts.microsecond else "")
-        lines.append("\t".join([str(r["dup_group"]), r["platform_code"], str(r["profile_no"]), plain(r["profile_time"]), stamp, plain(r["longitude"]), plain(r["latitude"]), str(r["n_obs"])]))
-    return "\n".join(lines) + "\n"
+        yield "\t".join([str(r["dup_group"]), r["platform_code"], str(r["profile_no"]), plain(r["profile_time"]), stamp, plain(r["longitude"]), plain(r["latitude"]), str(r["n_obs"])]) + "\n"
+
+
+def duplicates_tsv(report: DataFrame) -> str:
+    """The duplicates table as one text."""
+    return "".join(duplicates_lines(report))

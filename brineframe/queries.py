@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import grids, qc, teos10, times
+from .functions import grids, qc, times
 from .functions.keys import ROUND_MODES, KeyOptions, scaled, time_key
 from .operators import cleaning, duplicates, merging
 from .operators.cleaning import Box
@@ -125,6 +125,11 @@ GRID_SQL = """with g as (select l_orderkey, l_linenumber, cast(l_partkey % 90 as
 s as (select *, power(sin(radians(lat)), 2) as s2 from g), q as (select *, 9.780327 * (1 + (5.2792e-3 + 2.32e-5 * s2) * s2) as gr from s)"""
 
 
+#: Coefficients of the published polynomials of specific volume and dynamic height, as SQL has them.
+SQL_HEIGHT = (9.726613854843870e-4, -2.252956605630465e-5, 2.376909655387404e-6, -1.664294869986011e-7, -5.988108894465758e-9, -2.1078768810e-9, 2.8019291329e-10)
+SQL_VOLUME = (9.726613854843870e-4, -4.505913211160929e-5, 7.130728965927127e-6, -6.657179479768312e-7, -2.994054447232880e-8, -1.2647261286e-8, 1.9613503930e-9)
+
+
 def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     out = repr(coefficients[-1])
     for c in coefficients[-2::-1]:
@@ -133,11 +138,11 @@ def _horner(x: str, coefficients: tuple[float, ...]) -> str:
 
 
 def _h(p: str) -> str:
-    return f"(1e8 * ({p} * 1e-4) * {_horner(f'({p} * 1e-4)', teos10.HEIGHT)})"
+    return f"(1e8 * ({p} * 1e-4) * {_horner(f'({p} * 1e-4)', SQL_HEIGHT)})"
 
 
 def _v(p: str) -> str:
-    return _horner(f"({p} * 1e-4)", teos10.VOLUME)
+    return _horner(f"({p} * 1e-4)", SQL_VOLUME)
 
 
 def _to_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +161,7 @@ def _to_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as time steps, suppliers as deployments."""
     steps = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 400).alias("t")).distinct()
-    runs = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey <= 200").select(((F.col("s_suppkey") * 37) % 300 - 5).alias("start"), F.col("s_acctbal").alias("value"), F.col("s_suppkey").alias("position"))
+    runs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(((F.col("s_suppkey") * 37) % 300 - 5).alias("start"), F.col("s_acctbal").alias("value"), F.col("s_suppkey").alias("position"))
     return grids.deployed(steps, runs)
 
 
@@ -285,7 +290,7 @@ select l_orderkey, l_linenumber, round(cast(case when isnan(deph) and not isnan(
 f as (select *, {_h('p0')} + gr * (z - 0.5 * 2.26e-7 * z * z) as f0 from p), h as (select *, p0 - f0 / (1e4 * {_v('p0')}) as p1 from f), e as (select *, p0 - f0 / (1e4 * {_v('(0.5 * (p0 + p1))')}) as r from h)
 select l_orderkey, l_linenumber, round(cast(case when isnan(pres) and not isnan(deph) then cast(r as float) else pres end as double), 1) as pres,
  case when isnan(pres) and not isnan(deph) then '2' else '1' end as pres_qc, case when isnan(pres) and not isnan(deph) then 1 else 0 end as pres_conv from e""",
-    "deploy_asof": """with t as (select distinct c_custkey % 400 as t from customer), r as (select greatest((s_suppkey * 37) % 300 - 5, 0) as start, s_acctbal as value, s_suppkey as position from supplier where s_suppkey <= 200)
+    "deploy_asof": """with t as (select distinct c_custkey % 400 as t from customer), r as (select greatest((s_suppkey * 37) % 300 - 5, 0) as start, s_acctbal as value, s_suppkey as position from supplier)
 select t, coalesce((select value from r where start <= t order by start desc, position desc limit 1), cast('NaN' as double)) as value from t""",
     "deploy_asof_all": """with r as (select s_nationkey as nation, greatest((s_suppkey * 37) % 300 - 5, 0) as start, s_acctbal as value, s_suppkey as position from supplier),
 c as (select c_custkey, c_nationkey as nation, c_custkey % 400 as t from customer),

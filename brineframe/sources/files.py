@@ -16,6 +16,16 @@ def listed(folder: str | Path, pattern: str) -> list[Path]:
     return sorted(p for p in folder.rglob("*") if p.is_file() and fnmatchcase(p.name, pattern))
 
 
+def schema_of(table: str | Path) -> str:
+    """Columns and types of a Parquet file, or of a folder of part files (those of its first), from the footer alone."""
+    from pyarrow import parquet
+
+    path = Path(table)
+    if path.is_dir():
+        path = min(p for p in path.iterdir() if p.name.startswith("part-"))
+    return str(parquet.read_schema(path).remove_metadata())
+
+
 def targets(files: Iterable[Path], out_dir: str | Path | None, ext: str) -> list[tuple[Path, Path]]:
     """Each file with its result: beside it, or flat in ``out_dir``. Two files with one result are an error."""
     pairs = [(f, (f.parent if out_dir is None else Path(out_dir)) / f"{f.stem}.{ext}") for f in files]

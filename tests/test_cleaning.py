@@ -14,11 +14,11 @@ def ids(df):
 @pytest.mark.parametrize("parts", [1, 3, 17])
 def test_box(spark, parts):
     df = spark.createDataFrame(box_rows(), BOX).repartition(parts)
-    near = Box(-5, 5, -5, 5)
-    assert ids(filter_box(df, near)) == [("A", 1)]
-    assert ids(filter_box(df, near, "exclude")) == [("A", 2), ("B", 1), ("B", 2)]
-    assert ids(filter_box(df, Box(-5, 15, -5, 15))) == [("A", 1), ("B", 1)]
-    assert filter_box(df, near).count() == 2 and filter_box(df, near).columns == df.columns
+    near = Box(-3, 0, 60, 62)
+    assert ids(filter_box(df, near)) == [("K7", 3), ("Q", 1)]
+    assert ids(filter_box(df, near, "exclude")) == [("K7", 8), ("M2", 3), ("M2", 5)]
+    assert ids(filter_box(df, Box(-3, 12, 60, 64))) == [("K7", 3), ("K7", 8), ("M2", 3), ("Q", 1)]
+    assert filter_box(df, near).count() == 4 and filter_box(df, near).columns == df.columns
 
 
 def test_box_edges_and_errors(spark):
@@ -60,7 +60,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
 @pytest.mark.parametrize("parts", [1, 3, 17])
 def test_dropqc(spark, parts):
     df = spark.createDataFrame(qc_rows(), QC).repartition(parts)
-    assert ids(drop_qc(df)) == [("A", 1), ("A", 2), ("B", 1)] and drop_qc(df).count() == 6
+    assert ids(drop_qc(df)) == [("R1", 2), ("R1", 4), ("S9", 2)] and drop_qc(df).count() == 9
 
 
 def test_dropqc_drops_nulls_and_keeps_the_schema(spark, tmp_path):
@@ -73,7 +73,7 @@ def test_dropqc_drops_nulls_and_keeps_the_schema(spark, tmp_path):
 @pytest.mark.parametrize("parts", [1, 3, 17])
 def test_dropna(spark, parts):
     df = spark.createDataFrame(na_rows(), NA).repartition(parts)
-    assert ids(drop_na(df)) == [("A", 1), ("C", 1)] and drop_na(df).count() == 4
+    assert ids(drop_na(df)) == [("H", 10), ("J", 2)] and drop_na(df).count() == 5
 
 
 def test_dropna_never_keeps_null_ids(spark):

@@ -48,13 +48,13 @@ def test_headers(spark, tmp_path, capsys):
 
 def test_cleaning_and_reports(spark, tmp_path, capsys):
     qc, na, dup, rep = (put(spark, tmp_path / n, r, s) for n, r, s in (("qc", qc_rows(), QC), ("na", na_rows(), NA), ("dup.parquet", dup_rows(), DUP), ("rep", report_rows(), REPORT)))
-    for command, src, n in (("dropqc", qc, 6), ("dropna", na, 4), ("dedup", dup, 8)):
+    for command, src, n in (("dropqc", qc, 9), ("dropna", na, 5), ("dedup", dup, 11)):
         dispatch([command, src, str(tmp_path / f"{command}.out")], spark)
         assert spark.read.parquet(str(tmp_path / f"{command}.out")).count() == n
-    dispatch(["filter", "--min-lon", "-5", "--max-lon", "12", "--min-lat", "50", "--max-lat", "65", dup, str(tmp_path / "f")], spark)
-    assert spark.read.parquet(str(tmp_path / "f")).count() == 9
+    dispatch(["filter", "--min-lon", "-8", "--max-lon", "0", "--min-lat", "58", "--max-lat", "59", dup, str(tmp_path / "f")], spark)
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 5
     dispatch(["markdup", "--decimals", "3", dup, str(tmp_path / "m"), str(tmp_path / "m.tsv")], spark)
-    assert len((tmp_path / "m.tsv").read_text().splitlines()) == 5
+    assert len((tmp_path / "m.tsv").read_text().splitlines()) == 6
     dispatch(["report", "parquet", "--level", "global", "--format", "text", rep], spark)
     assert "n_platforms" in capsys.readouterr().out
     with pytest.raises(ValueError):
@@ -70,7 +70,11 @@ def test_compare_and_concat(spark, tmp_path, capsys):
     dispatch(["compare", "--no-platform-key", a, b, str(tmp_path / "c.tsv")], spark)
     assert (tmp_path / "c.tsv").read_text().splitlines()[1].split("\t")[7] == "3"
     assert dispatch(["concat", "convert", str(tmp_path / "t"), str(tmp_path / "all.parquet")], spark).count == 2
-    assert spark.read.parquet(str(tmp_path / "all.parquet")).count() == 17
+    assert spark.read.parquet(str(tmp_path / "all.parquet")).count() == 30
+    c = put(spark, tmp_path / "t" / "c.parquet", compare_b(), COMPARE.replace("longitude double", "longitude float"))
+    assert dispatch(["concat", "convert", "--no-renumber", str(tmp_path / "t"), str(tmp_path / "three.parquet")], spark).count == 3
+    merged = spark.read.parquet(str(tmp_path / "three.parquet"))
+    assert merged.count() == 30 + spark.read.parquet(c).count() and dict(merged.dtypes)["longitude"] == "double"
     assert dispatch(["concat", "convert", "--pattern", "zz*", str(tmp_path / "t"), str(tmp_path / "none")], spark).count == 0
 
 

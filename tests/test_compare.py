@@ -21,8 +21,8 @@ def rows(spark, options=CompareOptions(), a=None, b=None, parts=2):
 def test_both_ways(spark, parts, time_col):
     got = [tuple(r) for r in rows(spark, CompareOptions(time_col=time_col), parts=parts)]
     assert got == [
-        ("b", "a", 2, 1, 50.0, 3, 0, 2, 66.67, 1, 1, 50.0, 9, 7),
-        ("a", "b", 3, 1, 33.33, 4, 1, 2, 50.0, 1, 1, 50.0, 8, 5),
+        ("b", "a", 2, 1, 50.0, 3, 0, 2, 66.67, 1, 1, 50.0, 13, 7),
+        ("a", "b", 3, 1, 33.33, 4, 1, 2, 50.0, 1, 1, 50.0, 17, 6),
     ]
 
 
@@ -37,8 +37,8 @@ def test_options(spark):
 
 
 def test_sizes(spark):
-    got = rows(spark, a=compare_a((5, 7, 4, 0)), b=compare_b((5, 9, 4)))[0]
-    assert (got["ref_observations"], got["matched_observations"], got["matched_profiles"], got["same_nobs"], got["diff_nobs"]) == (18, 14, 2, 1, 1)
+    got = rows(spark, a=compare_a((3, 8, 1, 0)), b=compare_b((3, 5, 2)))[0]
+    assert (got["ref_observations"], got["matched_observations"], got["matched_profiles"], got["same_nobs"], got["diff_nobs"]) == (10, 8, 2, 1, 1)
 
 
 def test_empty_side(spark):

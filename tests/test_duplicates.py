@@ -21,14 +21,14 @@ def ids(df, where="true"):
 
 def test_mark(table):
     marked, report = mark_duplicates(table)
-    assert ids(marked, "is_dup") == [("A", 1), ("B", 1), ("D", 1), ("E", 1)]
+    assert ids(marked, "is_dup") == [("V", 4), ("V", 5), ("W", 9), ("Y", 1), ("Y", 2)]
     assert marked.count() == table.count() and marked.columns == [*table.columns, "is_dup"]
     rows = [(r["dup_group"], r["platform_code"], r["profile_no"], r["n_obs"]) for r in report.collect()]
-    assert rows == [(1, "A", 1, 2), (1, "B", 1, 3), (2, "D", 1, 2), (2, "E", 1, 2)]
+    assert rows == [(1, "V", 4, 3), (1, "W", 9, 1), (2, "V", 5, 2), (2, "Y", 1, 4), (2, "Y", 2, 4)]
     again, _ = mark_duplicates(marked)
     assert ids(again, "is_dup") == ids(marked, "is_dup") and again.columns == marked.columns
     text = duplicates_tsv(report).splitlines()
-    assert text[1].split("\t") == ["1", "A", "1", "25567", "2020-01-01 00:00:00", "10.0001", "60.0001", "2"]
+    assert text[1].split("\t") == ["1", "V", "4", "22712.25", "2011-03-09 02:30:00", "-7.25", "58.1204", "3"]
 
 
 def test_dedup(spark, tmp_path):
@@ -37,7 +37,7 @@ def test_dedup(spark, tmp_path):
     table = spark.read.parquet(path)
     marked, _ = mark_duplicates(table)
     kept = drop_duplicate_profiles(marked)
-    assert ids(kept) == [("A", 2), ("B", 1), ("C", 1), ("D", 1), ("F", 1)]
+    assert ids(kept) == [("V", 4), ("X", 2), ("Y", 1), ("Z", 7), ("Z", 8)]
     assert kept.where("is_dup").count() == 0 and "is_dup" not in drop_duplicate_profiles(table).columns
 
 
@@ -66,6 +66,13 @@ def test_options_and_null_ids(spark):
             KeyOptions(**bad)
 
 
+def test_groups_are_numbered_by_time_over_many_times(spark):
+    rows = [(p, k, 1, 0.0, day(f"20{k % 7 + 10}-0{k % 3 + 1}-11 0{k % 5}:00:00"), float(k), 1.0, 1.0, 1.0, 1.0, "", "", "") for k in range(60) for p in "AB"]
+    report = mark_duplicates(spark.createDataFrame(rows, DUP).repartition(7), KeyOptions("%Y-%m-%dT%H"))[1].collect()
+    order = sorted({(r["profile_timestamp"], r["longitude"]) for r in report})
+    assert len(report) == 120 and all(order[r["dup_group"] - 1] == (r["profile_timestamp"], r["longitude"]) for r in report)
+
+
 def test_sizes_and_split(spark):
     rows = [(1, "A", 2), (1, "A", 3), (2, "A", 1), (2, "B", 1), (2, "B", 4), *[(3, "C", 1)] * 12]
     report = spark.createDataFrame(rows, "dup_group long, platform_code string, n_obs long")

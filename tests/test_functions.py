@@ -45,6 +45,12 @@ def test_patterns(spark):
     assert times.date_pattern("%Y-%m-%d") == "yyyy'-'MM'-'dd"
     got = values(spark, [(1_577_858_461_000,)], "ms long", *(time_key(F.col("ms"), KeyOptions(f)) for f in ("%Y-%m-%d", "%H:%M:%S", "100%% it's %j")))
     assert got == [("2020-01-01", "06:01:01", "100% it's 001")]
+    import datetime as dt
+
+    when = dt.datetime(2021, 11, 7, 15, 4, 9, 250_000)
+    for f in ("%a %A %b %h %B", "%I:%M %p", "%D %R %X %x", "%y%j%n%t%%"):
+        assert values(spark, [(int(when.replace(tzinfo=dt.timezone.utc).timestamp() * 1000),)], "ms long", time_key(F.col("ms"), KeyOptions(f))) == [when.strftime(f)]
+    assert values(spark, [(1_577_858_461_250,)], "ms long", time_key(F.col("ms"), KeyOptions("%S.%3f %Z%z"))) == ["01.250 UTC+0000"]
     for bad in ("%Q", "%", "%Y-%"):
         with pytest.raises(ValueError):
             times.date_pattern(bad)
@@ -99,7 +105,7 @@ def test_deployments(spark, starts, data, want):
     steps = spark.createDataFrame([(t,) for t in range(len(want))], "t long")
     runs = spark.createDataFrame([(s, v, k) for k, (s, v) in enumerate(zip(starts, data))], "start int, value double, position int")
     rows = spark.createDataFrame([(t, starts, data) for t in range(len(want))], "t long, s array<int>, v array<double>")
-    for got in (grids.deployed(steps, runs), rows.select("t", grids.deployed_in(F.col("s"), F.col("v"), F.col("t")).alias("value"))):
+    for got in (grids.deployed(steps, runs), grids.deployed(steps, runs, span=2), grids.deployed(steps, runs, span=1), rows.select("t", grids.deployed_in(F.col("s"), F.col("v"), F.col("t")).alias("value"))):
         assert repr([r["value"] for r in got.orderBy("t").collect()]) == repr([float(x) for x in want])
 
 

@@ -15,17 +15,17 @@ from brineframe.plans.report import all_levels, report
 @pytest.mark.parametrize("parts", [1, 3, 17])
 def test_levels(spark, parts):
     df = spark.createDataFrame(report_rows(), REPORT).repartition(parts)
-    a, b = report(df, "platform").collect()
-    assert (a["platform_code"], a["n_profiles"], a["n_obs"], a["time_qc_good"], a["position_qc_good"], a["na_temp"], a["temp_min"], a["temp_max"], a["temp_mean"]) == ("A", 2, 5, 2, 1, 1, 1.0, 4.0, 2.5)
-    assert (a["longitude_min"], a["longitude_max"], a["latitude_min"], a["latitude_max"]) == (1.0, 5.0, 20.0, 24.0)
-    assert (b["time_qc_good"], b["na_temp"], b["temp_min"], b["temp_max"], b["temp_mean"]) == (0, 1, None, None, None)
+    b, a = report(df, "platform").collect()
+    assert (a["platform_code"], a["n_profiles"], a["n_obs"], a["time_qc_good"], a["position_qc_good"], a["na_temp"], a["temp_min"], a["temp_max"], a["temp_mean"]) == ("G", 2, 5, 1, 2, 2, 1.5, 7.5, 4.0)
+    assert (a["longitude_min"], a["longitude_max"], a["latitude_min"], a["latitude_max"]) == (-12.5, -9.0, 66.0, 67.5)
+    assert (b["time_qc_good"], b["position_qc_good"], b["na_temp"], b["temp_min"], b["temp_max"], b["temp_mean"]) == (1, 0, 1, None, None, None)
     (g,) = report(df, "global").collect()
-    assert (g["n_platforms"], g["n_profiles"], g["n_obs"], g["na_temp"], g["psal_mean"]) == (2, 3, 6, 2, 32.5)
+    assert (g["n_platforms"], g["n_profiles"], g["n_obs"], g["na_temp"]) == (2, 3, 6, 3) and math.isclose(g["psal_mean"], 206.5 / 6)
     p = report(df, "profile")
     assert p.columns[:8] == ["platform_code", "profile_no", "profile_timestamp", "longitude", "latitude", "n_obs", "time_qc", "position_qc"]
-    assert [(r["platform_code"], r["profile_no"], r["n_obs"]) for r in p.collect()] == [("A", 1, 3), ("A", 2, 2), ("B", 1, 1)]
+    assert [(r["platform_code"], r["profile_no"], r["n_obs"]) for r in p.collect()] == [("C", 2, 1), ("G", 5, 2), ("G", 9, 3)]
     both = {r["platform_code"]: r["n_obs"] for r in all_levels(df).collect()}
-    assert both == {None: 6, "A": 5, "B": 1}
+    assert both == {None: 6, "G": 5, "C": 1}
 
 
 def test_columns(spark):
@@ -40,8 +40,8 @@ def test_columns(spark):
 
 def test_duplicates_are_counted(spark):
     marked, _ = mark_duplicates(spark.createDataFrame(dup_rows(), DUP))
-    assert report(marked, "global").first()["dup_profiles"] == 4
-    assert {r["platform_code"]: r["dup_profiles"] for r in report(marked).collect()} == {"A": 1, "B": 1, "C": 0, "D": 1, "E": 1, "F": 0}
+    assert report(marked, "global").first()["dup_profiles"] == 5
+    assert {r["platform_code"]: r["dup_profiles"] for r in report(marked).collect()} == {"V": 2, "W": 1, "X": 0, "Y": 2, "Z": 0}
     assert report(marked, "profile").columns[8] == "is_dup"
 
 
@@ -55,7 +55,7 @@ def test_empty_table(spark):
 def test_cells():
     assert [number(x) for x in (1.0, 2.5, 0.33333, -0.00001, 1e6, NAN, 100.0)] == ["1", "2.5", "0.3333", "-0", "1000000", "", "100"]
     assert [cell(x) for x in (None, True, False, 3, "x", dt.datetime(2020, 1, 2, 3, 4, 5))] == ["", "true", "false", "3", "x", "2020-01-02T03:04:05Z"]
-    assert [plain(x) for x in (25567.0, 10.0001, 1e-5, 1e17, NAN)] == ["25567", "10.0001", "0.00001", "100000000000000000", "NaN"]
+    assert [plain(x) for x in (22712.0, -7.2502, 1e-5, 1e17, NAN)] == ["22712", "-7.2502", "0.00001", "100000000000000000", "NaN"]
 
 
 def test_formats(spark, tmp_path, capsys):

@@ -9,7 +9,7 @@ SCHEMA = QC + ", longitude float, latitude float, temp float, psal float, pres f
 
 
 def test_row_filters_on_a_stream(spark, tmp_path):
-    rows = [(*r, float(k), 1.0, 1.0, 1.0, None if r[0] == "B" else 1.0) for k, r in enumerate(qc_rows())]
+    rows = [(*r, float(k), 1.0, 1.0, 1.0, None if r[0] == "S9" else 1.0) for k, r in enumerate(qc_rows())]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     box = Box(0, 5, 0, 5)
@@ -20,10 +20,10 @@ def test_row_filters_on_a_stream(spark, tmp_path):
 
 
 def test_files_are_cleaned_as_they_arrive(spark, tmp_path):
-    rows = [(*r, 1.0, 1.0, 1.0, 1.0, None if r[0] == "B" else 1.0) for r in qc_rows()]
+    rows = [(*r, 1.0, 1.0, 1.0, 1.0, None if r[0] == "S9" else 1.0) for r in qc_rows()]
     for part in range(2):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         clean_files(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out")).count() == 4 * (part + 1)
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 6 * (part + 1)
 
 
