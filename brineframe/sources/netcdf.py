@@ -8,10 +8,12 @@ one row per profile, variables as arrays over the levels.
 from __future__ import annotations
 
 import json
-
+from collections.abc import Iterator
+from math import ceil
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,13 +28,16 @@ from .files import largest_first
 from .presets import CoraLayout, NrtLayout
 
 GRIDS = ("TEMP", "PSAL", "PRES", "DEPH")
-#: Profile rows that one partition reads.
-SLICE = 4096
+#: Bytes of a file for which a partition is made, and profile rows of a batch.
+SLICE_BYTES, BATCH = 64 << 20, 1024
 SCHEMA = (
     "path string, stem string, n long, levels int, platform_attr string, platform_chars string, time double, lon double, lat double, has_precise boolean, has_deploy boolean, plon double, plat double,"
     " deploy_start array<int>, deploy_lon array<float>, deploy_lat array<float>, time_qc int, position_qc int, has_deph boolean,"
     + ", ".join(f"{g.lower()} array<float>, {g.lower()}_fill float, {g.lower()}_flag array<int>, {g.lower()}_char array<string>" for g in GRIDS)
 )
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_()}
+#: The same as Arrow types, which workers need.
+ARROW = {c: pa.list_(_ARROW[t[6:-1]]) if t.startswith("array<") else _ARROW[t] for c, t in (x.split() for x in SCHEMA.split(","))}
 OBSERVATIONS = (
     "platform_code", "profile_no", "profile_time", "profile_timestamp", "observation_no", "longitude", "latitude", "profile_longitude", "profile_latitude", "time_qc", "position_qc", "filename",
     "temp", "temp_qc", "psal", "psal_qc", "pres", "pres_qc", "pres_conv", "deph", "deph_qc", "deph_conv",
@@ -40,8 +45,10 @@ OBSERVATIONS = (
 
 
 class _Slice(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+    """One of several equal parts of a file's profiles."""
+
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
 
 
 def _axes(kind: str) -> tuple[str, str]:
@@ -56,61 +63,79 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path in largest_first(self.paths):
-            n = open_grid(path).dimensions[_axes(self.kind)[0]]
-            out += [_Slice(path, a, min(a + SLICE, n)) for a in range(0, n, SLICE)]
-        return out or [_Slice("", 0, 0)]
+        for path in largest_first(self.paths):  # no file is opened here
+            parts = max(1, ceil(Path(path).stat().st_size / SLICE_BYTES))
+            out += [_Slice(path, k, parts) for k in range(parts)]
+        return out or [_Slice("", 0, 1)]
 
-    def read(self, part: _Slice):
+    def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         own = open_grid(part.path)
+        total = own.dimensions[_axes(self.kind)[0]]
+        start, stop = (total * k // part.parts for k in (part.part, part.part + 1))
+        for a in range(start, stop, BATCH):
+            yield self._batch(part.path, own, a, min(a + BATCH, stop))
+
+    def _batch(self, path: str, own, start: int, stop: int) -> pa.RecordBatch:
         rows, levels = _axes(self.kind)
-        n, depth = part.stop - part.start, own.dimensions[levels]
+        n, depth = stop - start, own.dimensions[levels]
+        kinds = ARROW
+
+        def flat(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+            return pa.array(np.ascontiguousarray(values, values.dtype.newbyteorder("="))).cast(kind)
 
-        def line(name: str, missing=None) -> list:
+        def one(value, kind: pa.DataType) -> pa.Array:
+            return pa.array([value] * n, kind)
+
+        def line(name: str, kind: pa.DataType, missing=None) -> pa.Array:
             """A value per profile: read, repeated from a scalar, or missing."""
             if name not in own.variables:
-                return [missing] * n
+                return one(missing, kind)
             if own.variables[name].dims[:1] != (rows,):
-                return [own.read(name).ravel()[0].item()] * n
-            return own.read(name, part.start, part.stop).reshape(n, -1)[:, 0].tolist()
+                return one(own.read(name).ravel()[0].item(), kind)
+            return flat(own.read(name, start, stop).reshape(n, -1)[:, 0], kind)
 
-        def grid(name: str) -> list:
+        def grid(name: str, kind: pa.ListType) -> pa.Array:
             if name not in own.variables:
-                return [None] * n
+                return pa.nulls(n, kind)
             if own.variables[name].dims[:1] != (rows,):
-                return [np.repeat(own.read(name).ravel()[:1], depth).tolist()] * n
-            return own.read(name, part.start, part.stop).reshape(n, -1).tolist()
+                values = np.repeat(own.read(name).ravel()[:1], n * depth)
+            else:
+                values = own.read(name, start, stop).ravel()
+            ends = np.arange(n + 1, dtype=np.int32) * (len(values) // n)
+            return pa.ListArray.from_arrays(pa.array(ends), flat(values, kind.value_type))
 
         def chars(name: str) -> list:
             if name not in own.variables:
                 return [None] * n
-            raw = own.read(name, part.start, part.stop).reshape(n, -1)
+            raw = own.read(name, start, stop).reshape(n, -1)
             return [[(c or b"\0").decode("latin-1") for c in r] for r in raw.tolist()]
 
+        def is_char(name: str) -> bool:
+            return name in own.variables and own.variables[name].kind == 2
+
+        nan, real = float("nan"), kinds["time"]
         precise = {"PRECISE_LONGITUDE", "PRECISE_LATITUDE"} <= own.variables.keys()
         deploy = {"DEPLOY_LONGITUDE", "DEPLOY_LATITUDE", "DEPLOYMENT"} <= own.variables.keys()
-        runs = [[x for x in own.read(v).ravel().tolist()] for v in ("DEPLOYMENT", "DEPLOY_LONGITUDE", "DEPLOY_LATITUDE")] if deploy else [None] * 3
-        platform = [None] * n
-        if "PLATFORM_NUMBER" in own.variables:
-            platform = ["".join(r) for r in chars("PLATFORM_NUMBER")]
         attr = own.attributes.get("platform_code")
-        columns = []
+        out = {
+            "path": one(path, pa.string()), "stem": one(Path(path).stem, pa.string()), "n": pa.array(np.arange(start, stop)), "levels": one(depth, pa.int32()), "platform_attr": one(None if attr is None else str(attr), pa.string()),
+            "platform_chars": pa.array(["".join(r) for r in chars("PLATFORM_NUMBER")] if "PLATFORM_NUMBER" in own.variables else [None] * n, pa.string()),
+            "time": line(self.time_var, real, nan), "lon": line("LONGITUDE", real, nan), "lat": line("LATITUDE", real, nan), "has_precise": one(precise, pa.bool_()), "has_deploy": one(deploy, pa.bool_()),
+            "plon": line("PRECISE_LONGITUDE", real) if precise else one(None, real), "plat": line("PRECISE_LATITUDE", real) if precise else one(None, real), "has_deph": one("DEPH" in own.variables, pa.bool_()),
+        }
+        for c, v in (("deploy_start", "DEPLOYMENT"), ("deploy_lon", "DEPLOY_LONGITUDE"), ("deploy_lat", "DEPLOY_LATITUDE")):
+            out[c] = one(own.read(v).ravel().tolist() if deploy else None, kinds[c])
+        for c, v in (("time_qc", "TIME_QC"), ("position_qc", "POSITION_QC")):
+            out[c] = one(None, pa.int32()) if is_char(v) else line(v, pa.int32())
         for g in GRIDS:
-            flag = own.variables.get(f"{g}_QC")
-            is_char = flag is not None and flag.kind == 2
-            fill = own.variables[g].attributes.get("_FillValue") if g in own.variables else None
-            columns += [grid(g), [None if fill is None else float(fill)] * n, [None] * n if is_char else grid(f"{g}_QC"), chars(f"{g}_QC") if is_char else [None] * n]
-        flags = [[None] * n if v in own.variables and own.variables[v].kind == 2 else line(v) for v in ("TIME_QC", "POSITION_QC")]
-        lines = [line(self.time_var, float("nan")), line("LONGITUDE", float("nan")), line("LATITUDE", float("nan"))]
-        places = [line(f"PRECISE_{c}") if precise else [None] * n for c in ("LONGITUDE", "LATITUDE")]
-        stem = Path(part.path).stem
-        for k in range(n):
-            yield (
-                part.path, stem, part.start + k, depth, None if attr is None else str(attr), platform[k], *(x[k] for x in lines), precise, deploy, *(x[k] for x in places), *runs, *(x[k] for x in flags), "DEPH" in own.variables,
-                *(c[k] for c in columns),
-            )
+            c, fill = g.lower(), own.variables[g].attributes.get("_FillValue") if g in own.variables else None
+            out[c], out[f"{c}_fill"] = grid(g, kinds[c]), one(None if fill is None else float(fill), pa.float32())
+            text = is_char(f"{g}_QC")
+            out[f"{c}_flag"] = pa.nulls(n, kinds[f"{c}_flag"]) if text else grid(f"{g}_QC", kinds[f"{c}_flag"])
+            out[f"{c}_char"] = pa.array(chars(f"{g}_QC") if text else [None] * n, kinds[f"{c}_char"])
+        return pa.RecordBatch.from_arrays([out[c].cast(kinds[c]) for c in kinds], list(kinds))
 
 
 class NetcdfProfiles(DataSource):

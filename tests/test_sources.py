@@ -132,10 +132,13 @@ def test_slices_do_not_matter(spark, tmp_path, monkeypatch):
     files = [str(tmp_path / f) for f in ("a.nc", "b.nc")]
     want = sorted(map(repr, netcdf.convert(spark, files, PRESETS["nrt_bo"]).collect()))
     reader = netcdf._Reader({"files": '["%s"]' % files[0]})
-    monkeypatch.setattr(netcdf, "SLICE", 1)
-    assert len(reader.partitions()) == 3
-    whole = list(reader.read(netcdf._Slice(files[0], 0, 3)))
-    assert repr([x for p in reader.partitions() for x in reader.read(p)]) == repr(whole) and len(want) == 18
+    rows = lambda part: [r for batch in reader.read(part) for r in batch.to_pylist()]
+    (one,) = reader.partitions()
+    whole = rows(one)
+    monkeypatch.setattr(netcdf, "SLICE_BYTES", 100)
+    monkeypatch.setattr(netcdf, "BATCH", 2)
+    assert len(reader.partitions()) > 3 and [r["n"] for r in whole] == [0, 1, 2]
+    assert repr([r for p in reader.partitions() for r in rows(p)]) == repr(whole) and len(want) == 18
 
 
 def test_headers(spark, tmp_path):
