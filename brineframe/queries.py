@@ -70,13 +70,28 @@ def _compare(use_platform: bool, time_col: str, key: KeyOptions = KeyOptions()):
     return run
 
 
-def _compare_sql(use_platform: bool, time: str) -> str:
+def _compare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product against all of itself with some platforms renamed, some casts a day later and some levels gone."""
+    obs = observations(spark, sf_dir)
+    no = F.col("profile_no")
+    other = obs.where("profile_no % 5 <> 0 or pres is not null").withColumns({
+        "platform_code": F.when(no % 7 == 0, F.concat(F.lit("X"), "platform_code")).otherwise(F.col("platform_code")),
+        "profile_timestamp": F.when(no % 4 == 0, F.col("profile_timestamp") + F.expr("interval 1 day")).otherwise(F.col("profile_timestamp")),
+    })
+    return compare(obs, other, "a", "b", CompareOptions(time_col="profile_timestamp"))
+
+
+WHOLE = """(select * replace (case when profile_no % 7 = 0 then concat('X', platform_code) else platform_code end as platform_code,
+ case when profile_no % 4 = 0 then profile_timestamp + interval 1 day else profile_timestamp end as profile_timestamp) from obs where profile_no % 5 <> 0 or pres is not null)"""
+
+
+def _compare_sql(use_platform: bool, time: str, a: str = "(from obs where profile_no % 3 <> 0)", b: str = "(from obs where profile_no % 2 = 0)") -> str:
     key = "t, x, y" + (", pc" if use_platform else "")
     on = " and ".join(f"r.{c.strip()} = o.{c.strip()}" for c in key.split(","))
 
-    def side(name: str, where: str) -> str:
+    def side(name: str, rows: str) -> str:
         return f"""{name} as (select platform_code as pc, count(*) as n, {time} as t, cast(round(min(longitude) * 1000.0) as bigint) as x,
- cast(round(min(case when isnan(latitude) then null else latitude end) * 1000.0) as bigint) as y from obs where {where} group by platform_code, profile_no)"""
+ cast(round(min(case when isnan(latitude) then null else latitude end) * 1000.0) as bigint) as y from {rows} group by platform_code, profile_no)"""
 
     def way(r: str, o: str) -> str:
         usable = "t is not null and x is not null and y is not null"
@@ -86,7 +101,7 @@ from (select count(*) as np, count(*) filter (not ({usable})) as un, count(*) fi
  from (select r.*, exists (select 1 from {o} o where {on}) as hit, exists (select 1 from {o} o where {on} and r.n = o.n) as same from {r} r)) s,
 (select count(distinct pc) as rp, count(distinct pc) filter (pc in (select pc from {o})) as cp from {r}) p"""
 
-    text = WITH + ", " + side("a", "profile_no % 3 <> 0") + ", " + side("b", "profile_no % 2 = 0") + "\n" + way("b", "a") + "\nunion all\n" + way("a", "b")
+    text = WITH + ", " + side("a", a) + ", " + side("b", b) + "\n" + way("b", "a") + "\nunion all\n" + way("a", "b")
     import re
 
     return re.sub(r"pc\(([\w.]+), ([\w.]+)\)", r"case when \2 = 0 then cast('NaN' as double) else floor(\1 / \2 * 10000.0 + 0.5) / 100.0 end", text)
@@ -223,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_ab": _compare(True, "profile_timestamp"),
     "compare_noplatform": _compare(False, "profile_timestamp"),
     "compare_days": _compare(True, "profile_time"),
+    "compare_whole": _compare_whole,
     "report_global": _obs(lambda d: _rounded(reports.report(d, "global")), None),
     "report_platform": _obs(lambda d: _rounded(reports.report(d, "platform")), None),
     "report_profile": _obs(lambda d: _rounded(reports.report(d, "profile")), None),
@@ -265,6 +281,7 @@ select kind, count(distinct dup_group) as n_groups, count(*) as n_profiles, cast
     "compare_ab": _compare_sql(True, "strftime(min(profile_timestamp), '%Y-%m-%d')"),
     "compare_noplatform": _compare_sql(False, "strftime(min(profile_timestamp), '%Y-%m-%d')"),
     "compare_days": _compare_sql(True, "strftime(timestamp '1950-01-01' + to_milliseconds(cast(round(min(case when isnan(profile_time) then null else profile_time end) * 86400000.0) as bigint)), '%Y-%m-%d')"),
+    "compare_whole": _compare_sql(True, "strftime(min(profile_timestamp), '%Y-%m-%d')", "obs", WHOLE),
     "report_global": f"{WITH}{PROF_QC} select * from (select count(distinct platform_code) as n_platforms, {REPORT_COUNTS} from p), (select {GEO}, {_measures()} from obs)",
     "report_platform": f"{WITH}{PROF_QC}, a as (select platform_code, {REPORT_COUNTS} from p group by platform_code), b as (select platform_code, {GEO}, {_measures()} from obs group by platform_code) select * from a join b using (platform_code)",
     "report_profile": f"""{WITH} select platform_code, profile_no, min(profile_timestamp) as profile_timestamp, min(longitude) as longitude, min(latitude) as latitude, count(*) as n_obs,
