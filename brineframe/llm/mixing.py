@@ -113,7 +113,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2, seed: int = 0) -> DataFrame:
     """The documents of the mix: rows of ``docs``, repeated as often as they are taken. Rows
-    that are taken 0 times, those without words among them, are left out."""
+    that are taken 0 times, those without words among them, are left out. Column names that begin with
+    ``__`` are ours."""
     nth = Window.partitionBy("__k1", "__k2").orderBy("__k1")
     plan = mixed(docs, weights, share, epochs, seed).where("repeats > 0 and size > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("repeats").alias("__repeats"))
     plan = plan.withColumn("__nth", F.row_number().over(nth))

@@ -171,7 +171,8 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def good_documents(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that pass, without their lines above the limits; columns as in ``docs``, which
     has doc_id, text and ``host``. n_chars, if there, is the length of the new text. Copies of a
-    text count once, so that a line is not boilerplate for being in a text that was copied."""
+    text count once, so that a line is not boilerplate for being in a text that was copied.
+    Column names that begin with ``__`` are ours."""
     base = base_table(docs, host)
     frequent = frequent_lines(base, min_docs, max_share, texts=True)
     judged = _judged(base, frequent, min_left).where("kept").select("k1", "k2", "source", "row")

@@ -165,14 +165,14 @@ def run_counts(parts: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every part of a run that is too long for the table of short words, up to PREFIX letters."""
+    """Every part of a run that is too long for the table of short words, up to PREFIX letters, beside the run's hash."""
     for batch in batches:
-        for run in batch.column("run").to_pylist():
+        for run, key in zip(batch.column("run").to_pylist(), batch.column("key").to_pylist()):
             step = 4096  # a very long run goes in several batches
             for at in range(0, len(run), step):
                 found = {run[k:end] for k in range(at, min(at + step, len(run))) for end in range(k + SHORT + 1, min(k + PREFIX, len(run)) + 1)}
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(list(found), pa.string())], ["run", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(list(found), pa.string())], ["key", "piece"])
 
 
 def joined(run: str, n: int, known: Mapping[str, int], short: Mapping[str, int], total: int) -> bool:
@@ -218,15 +218,15 @@ def split_runs(counts: DataFrame) -> DataFrame:
     """run, words: each run of hosts and paths split by the counts of all runs that are not several words themselves."""
     n, own = (x + 1 for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first())
     short = counts.where(F.length("run") <= SHORT).select("run", "n", "own").collect()
-    seen, words = counts.where("seen"), counts.where(F.length("run") > SHORT).select(F.col("run").alias("piece"), "n", "own")
-    pieces = seen.select("run").mapInArrow(_pieces, "run string, piece string")
-    found = pieces.join(words.where(F.length("piece") <= PREFIX), "piece").select("run", "piece", "n", "own")
+    seen, words = counts.where("seen").withColumn("key", F.md5("run")), counts.where(F.length("run") > SHORT).select(F.col("run").alias("piece"), "n", "own")
+    pieces = seen.select("run", "key").mapInArrow(_pieces, "key string, piece string")
+    found = pieces.join(words.where(F.length("piece") <= PREFIX), "piece").select("key", "piece", "n", "own")
     longer = words.where(F.length("piece") > PREFIX).withColumnRenamed("piece", "word").withColumn("piece", F.substring("word", 1, PREFIX))
-    longer = pieces.where(F.length("piece") == PREFIX).join(longer, "piece").where(F.contains("run", "word")).select("run", F.col("word").alias("piece"), "n", "own")
+    longer = pieces.where(F.length("piece") == PREFIX).join(longer, "piece").join(seen.select("key", "run"), "key").where(F.contains("run", "word")).select("key", F.col("word").alias("piece"), "n", "own")
     found = stored(found.unionByName(longer), "url-pieces")
 
     def known(pieces: DataFrame, times: str) -> DataFrame:
-        return seen.join(pieces.groupBy("run").agg(F.collect_set(F.struct("piece", F.col(times).alias("times"))).alias("known")), "run", "left")
+        return seen.join(pieces.groupBy("key").agg(F.collect_set(F.struct("piece", F.col(times).alias("times"))).alias("known")), "key", "left")
 
     several = stored(known(found, "n").mapInArrow(_joined({r["run"]: r["n"] for r in short}, n), "run string"), "url-joined").withColumnRenamed("run", "piece")
     left = known(found.join(several, "piece", "left_anti").where("own > 0"), "own")

@@ -77,6 +77,18 @@ def test_stages(spark, tmp_path):
     assert Counter(tuple(r)[:5] for r in whole.collect()) == Counter(r[:5] for r in got[4])
 
 
+def test_odd_tables(spark, tmp_path):
+    """No rows, null ids, and rows that repeat an id or all of a row."""
+    kinds = dict(spark.createDataFrame([], SCHEMA).dtypes)
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert kinds and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, say(1), "en", "s0", 1), (None, say(2), None, None, None), (3, say(3), "en", "s0", 1), (3, say(3), "en", "s0", 1), (3, say(4), "en", "s1", 1), (4, None, "en", "s1", 0), (None, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r["doc_id"] for r in out} <= {None, 3} and len(out) >= 4 and all(r["length"] <= 1024 for r in out)
+
+
 def test_is_registered():
     import __spark_entry__
 

@@ -558,6 +558,42 @@ def test_quality_scores(spark, rows):
     assert len(odd) == len(rows) and all(r["score"] == 0.5 for r in odd)
 
 
+def test_ridge_equals_a_direct_solution(spark, docs):
+    """Summed normal equations give the weights that numpy finds for all rows at once; calibration pools the other fold."""
+    from brineframe.llm import classifier
+
+    own = [r["features"] for r in classifier.featured(docs).collect()]
+    table = [(f, float((k * 7) % 3 == 0), k % 5) for k, f in enumerate(own)]
+    model = classifier.fit(spark.createDataFrame(table, "features array<double>, label double, fold int").repartition(5))
+    x, y = np.array([f for f, _, k in table if k != 1]), np.array([v for _, v, k in table if k != 1])
+    z = (x - x.mean(0)) / np.where(x.std(0) < 1e-9, 1, x.std(0))
+    random_ = np.random.default_rng(0)
+    waves, shifts = random_.normal(0, 1 / classifier.SCALE, (x.shape[1], classifier.RANDOM)), random_.uniform(0, 2 * np.pi, classifier.RANDOM)
+    design = np.hstack([np.ones((len(z), 1)), np.clip(z, -6, 6), np.cos(np.clip(z, -6, 6) @ waves + shifts) * np.sqrt(2 / classifier.RANDOM)])
+    want = np.linalg.solve(design.T @ design + np.diag([1e-9] + [classifier.RIDGE * len(y)] * (design.shape[1] - 1)), design.T @ y)
+    assert np.abs(model.design(x) @ model.weights - design @ want).max() < 1e-4
+    assert (np.diff(model.levels) >= 0).all() and (np.diff(model.steps) > 0).all()
+    fold = np.array([f for f, _, k in table if k == 1])
+    assert model.score(fold).mean() == pytest.approx(np.mean([v for _, v, k in table if k == 1]), abs=0.1)
+
+
+def test_clashing_columns_of_counts_scores_and_urls(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    from brineframe.llm import classifier, token_counts, url_filter
+
+    names = ["folder", "tokens", "docs", "chars", "version", "seq", "features", "score", "label", "fold", "host", "path", "run", "known", "key", "n", "own", "seen", "rest", "verdict", "rule"]
+    wide = lambda df: df.select("*", *(F.lit("clash").alias(c) for c in names if c not in df.columns))
+    docs = spark.createDataFrame(rows + [(8000, "long " * 200_000, "en", "s0", 1)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-20, 150)], "doc_id long, quality int")
+    pages = spark.createDataFrame([(k, f"http://{h}.example.org/en/{k}") for k, h in enumerate(["free-bets", "garden", "freebets"] * 4)] + [(None, None)], "page_id long, url string")
+    totals = [token_counts.token_counts(d, str(tmp_path / str(k)), {"words": None}, again=3).totals() for k, d in enumerate((docs, wide(docs)))]
+    plain = token_counts.TokenRollup(spark, str(tmp_path / "plain"), {"words": None})
+    plain.apply("all", docs)
+    for a, b in (totals, (totals[0], plain.totals()), [classifier.quality_scores(d, w) for d, w in ((docs, labels), (wide(docs), wide(labels)))], [url_filter.judge_urls(p) for p in (pages, wide(pages))]):
+        assert a.columns == b.columns and Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+
+
 def test_url_filter(spark):
     from brineframe.llm.url_filter import RULES, Rules, judge_urls
 
@@ -593,6 +629,26 @@ def test_url_filter_splits_names(spark):
     assert all(words[w] == [w] for w in ("uploads", "alphabets", "garden", "example", "download"))
 
 
+def test_url_filter_reads_the_text_of_pages(spark):
+    """Words of the visible text split names of hosts, however often those are seen; words may have any length."""
+    from brineframe.llm import url_filter
+
+    assert url_filter.visible(b"a<b>c</b><script>var x = '<p>no</p>';</script><STYLE>p{}</style >d <!-- ad 0 --> 1 < 2 e<script>f").split() == b"a c d 1 < 2 e".split()
+    long = "donaudampfschifffahrtsgesellschaft"
+    text = f"<p>The river bank, the river; a bank.</p><p>{long} is \"known\" (river.bank.example) &copy; the</p><script>var casinoriver;</script>" * 40
+    urls = ["http://riverbank.example.org/x"] * 30 + [f"http://www.{long}bank.example.org/{'q' * 3000}", "http://" + "".join(random.Random(2).choices("abcdefghij", k=20_000)) + "/"]
+    pages = spark.createDataFrame([(i, u, text if i % 2 else None, "x") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
+    parts = pages.select(url_filter.host_of(pages.url).alias("host"), url_filter.path_of(pages.url).alias("path"))
+    counts = url_filter.run_counts(parts, pages.select("html"))
+    n = {r["run"]: (r["n"], r["own"]) for r in counts.collect()}
+    assert n["river"] == (16 * 40 * 2, 16 * 40 * 2) and "casinoriver" not in n and "copy" not in n and n["riverbank"] == (30, 1)
+    words = {r["run"]: r["words"] for r in url_filter.split_runs(counts).collect()}
+    assert words["riverbank"] == ["river", "bank"] and words[long + "bank"] == [long, "bank"] and words["q" * 3000] == ["q" * 3000] and words["example"] == ["example"]
+    assert all("".join(w) == r for r, w in words.items())
+    got = url_filter.judge_urls(pages)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"] and {r["verdict"] for r in got.collect()} == {"allow"}
+
+
 def test_url_filter_counts_all(spark):
     """Counts have no limit: verdicts are the same whether scores are held or joined, at any size."""
     from brineframe.llm import url_filter
