@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ FEATURES = [
 ]
 #: Width of the kernel in standard deviations, number of random features, strength of the ridge, bins of the calibration.
 SCALE, RANDOM, RIDGE, BINS = 4.0, 256, 1e-3, 2000
+#: Partitions whose equations are added up first.
+GROUP = 256
 
 
 def features(words: Words, lines: list[tuple[int, int, int]]) -> np.ndarray:
@@ -116,7 +119,8 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _equations(model: Model):
-    """One row for each row of the normal equations (the right side last), summed over the partition."""
+    """One row for each row of the normal equations (the right side last), summed over the partition;
+    ``group`` is that of the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -126,7 +130,8 @@ def _equations(model: Model):
                 both = x.T @ np.column_stack([x, batch.column("label").to_numpy()])
                 total = both if total is None else total + both
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["at", "values"])
+            group = np.full(len(total), TaskContext.get().partitionId() // GROUP, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(group), pa.array(list(total), pa.list_(pa.float64()))], ["at", "group", "values"])
 
     return run
 
@@ -172,7 +177,9 @@ def fit(rows: DataFrame, seed: int = 0) -> Model:
     spread[spread < 1e-9] = 1
     random = np.random.default_rng(seed)
     model = Model(mean, spread, random.normal(0, 1 / SCALE, (k, RANDOM)), random.uniform(0, 2 * np.pi, RANDOM), none, none, none)
-    sums = rows.where("fold <> 1").select("features", "label").mapInArrow(_equations(model), "at int, values array<double>")
+    sums = rows.where("fold <> 1").select("features", "label").mapInArrow(_equations(model), "at int, group int, values array<double>")
+    # first within groups of partitions, so that no task holds a row of all of them
+    sums = sums.groupBy("at", "group").applyInPandas(_added, "at int, values array<double>")
     sums = sums.groupBy("at").applyInPandas(_added, "at int, values array<double>").orderBy("at").collect()
     both = np.array([r["values"] for r in sums])
     model.weights = np.linalg.solve(both[:, :-1] + np.diag([1e-9] + [RIDGE * found[0]] * (len(both) - 1)), both[:, -1])
