@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ from .operators.compare import CompareOptions, compare
 from .plans import report as reports
 from .plans.driver_view import DUCKDB, observations
 from .plans.regions import Region
+from .session import prepare, work_path
+from .sources import netcdf
+from .sources.cdf import write_classic
+from .sources.presets import PRESETS
 
 COLUMNS = ["platform_code", "profile_no", "profile_timestamp", "longitude", "latitude", "time_qc", "position_qc", "temp", "psal", "pres"]
 LIST = ", ".join(COLUMNS)
@@ -102,8 +110,6 @@ from (select count(*) as np, count(*) filter (not ({usable})) as un, count(*) fi
 (select count(distinct pc) as rp, count(distinct pc) filter (pc in (select pc from {o})) as cp from {r}) p"""
 
     text = WITH + ", " + side("a", a) + ", " + side("b", b) + "\n" + way("b", "a") + "\nunion all\n" + way("a", "b")
-    import re
-
     return re.sub(r"pc\(([\w.]+), ([\w.]+)\)", r"case when \2 = 0 then cast('NaN' as double) else floor(\1 / \2 * 10000.0 + 0.5) / 100.0 end", text)
 
 
@@ -187,6 +193,41 @@ def _deployed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.deployed(steps, runs, file="nation")
 
 
+def _nation_file(folder: str):
+    """Writes the suppliers of a nation as casts of four levels to a NetCDF file, with missing values and odd flags."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s_suppkey")
+        s, k, fill = rows["s_suppkey"].to_numpy()[:, None], np.arange(4)[None], np.float32(9.96921e36)
+        grid, line, own = ("TIME", "DEPTH"), ("TIME",), {"_FillValue": fill}
+        real = lambda values, missing: np.where(missing, fill, values + 0 * (s + k)).astype(np.float32)
+        variables = {
+            "TIME": (line, 20000.0 + s[:, 0] / 8, {}), "LONGITUDE": (line, (s[:, 0] % 360 - 180).astype(np.float32), {}), "LATITUDE": (line, (s[:, 0] % 80).astype(np.float32), {}),
+            "TIME_QC": (line, (s[:, 0] % 12).astype(np.int8), {}), "POSITION_QC": (line, (s[:, 0] % 3).astype(np.int8), {}),
+            "TEMP": (grid, real(s % 100 + k * 0.5, (s + k) % 3 == 0), own), "PSAL": (grid, real(30.0 + k, (s + k) % 4 == 0), own), "PRES": (grid, real(10.0 * k + 1, (s + 2 * k) % 5 == 0), own),
+            "TEMP_QC": (grid, ((s + k) % 14 - 2).astype(np.int8), {}), "PRES_QC": (grid, (k + 0 * s).astype(np.int8), {}),
+        }
+        nation = int(rows["s_nationkey"].iloc[0])
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/AR_PR_CT_{nation}.nc"
+        write_classic(path, {"TIME": len(s), "DEPTH": 4}, variables, {"platform_code": f"N{nation}"})
+        return pd.DataFrame({"path": [path]})
+
+    return write
+
+
+def _netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NetCDF files of all suppliers, a file for each nation, written by the workers and converted again. Files lie in
+    the shared folder, which must be a path of the file system: NetCDF is read by path."""
+    folder = re.sub("^file:/+", "/", work_path(prepare(spark), "netcdf"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    files = [r["path"] for r in rows.groupBy("s_nationkey").applyInPandas(_nation_file(folder), "path string").collect()]
+    return netcdf.convert(spark, sorted(files), PRESETS["nrt_ar"]).select(*NETCDF)
+
+
+NETCDF = ["platform_code", "profile_no", "profile_time", "profile_timestamp", "observation_no", "longitude", "latitude", "time_qc", "position_qc", "filename", "temp", "temp_qc", "psal", "psal_qc", "pres", "pres_qc", "pres_conv", "deph_conv"]
+
+
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     raw = (F.col("p_partkey") % 14 - 2).cast("int")
@@ -254,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pressure_to_depth": _to_depth,
     "deploy_asof": _deployed,
     "deploy_asof_all": _deployed_all,
+    "netcdf_nrt": _netcdf,
     "qc_flags": _flags,
     "coordinate_fill": _filled,
 }
@@ -313,6 +355,14 @@ select t, coalesce((select value from r where start <= t order by start desc, po
 c as (select c_custkey, c_nationkey as nation, c_custkey % 400 as t from customer),
 m as (select c_custkey, arg_max(value, start * 1000000000 + position) as value from c join r on r.nation = c.nation and start <= t group by c_custkey)
 select c.c_custkey, c.nation, c.t, coalesce(m.value, cast('NaN' as double)) as value from c left join m using (c_custkey)""",
+    "netcdf_nrt": """with c as (select s_suppkey as s, s_nationkey as n, row_number() over (partition by s_nationkey order by s_suppkey) as profile_no from supplier),
+l as (select *, unnest(range(0, 4)) as k from c),
+v as (select *, (s + k) % 3 = 0 as no_temp, (s + k) % 4 = 0 as no_psal, (s + 2 * k) % 5 = 0 as no_pres, (s + k) % 14 - 2 as flag from l)
+select concat('N', cast(n as varchar)) as platform_code, profile_no, 20000 + s / 8.0 as profile_time, timestamp '1950-01-01' + to_days(cast(20000 + s // 8 as integer)) + to_seconds(s % 8 * 10800) as profile_timestamp,
+ k + 1 as observation_no, cast(s % 360 - 180 as double) as longitude, cast(s % 80 as double) as latitude, case when s % 12 < 10 then cast(s % 12 as varchar) else '' end as time_qc, cast(s % 3 as varchar) as position_qc,
+ concat('AR_PR_CT_', cast(n as varchar)) as filename, case when no_temp then cast('NaN' as float) else cast(s % 100 + k * 0.5 as float) end as temp, case when flag between 0 and 9 then cast(flag as varchar) else '' end as temp_qc,
+ case when no_psal then cast('NaN' as float) else cast(30 + k as float) end as psal, '' as psal_qc, case when no_pres then cast('NaN' as float) else cast(10 * k + 1 as float) end as pres, cast(k as varchar) as pres_qc,
+ cast(0 as tinyint) as pres_conv, cast(case when no_pres then 0 else 1 end as tinyint) as deph_conv from v where not (no_temp and no_psal and no_pres)""",
     "qc_flags": """select p_partkey, case when p_partkey % 14 - 2 between 0 and 9 then cast(p_partkey % 14 - 2 as varchar) else '' end as i,
  case p_partkey % 4 when 0 then '1' when 2 then 'A' else '' end as c, 'P' || cast(p_partkey as varchar) as t,
  case when p_partkey % 5 = 0 or p_partkey % 9 = 3 then cast('NaN' as double) else cast(p_partkey % 9 as double) end as f from part""",
