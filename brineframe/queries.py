@@ -20,6 +20,7 @@ from .operators.compare import CompareOptions, compare
 from .plans import report as reports
 from .plans.driver_view import DUCKDB, observations
 from .plans.regions import Region
+from .plans.render import lines
 from .session import prepare, work_path
 from .sources import netcdf
 from .sources.cdf import write_classic
@@ -66,6 +67,13 @@ def _measures(own: str = "{c}") -> str:
     return ", ".join(out)
 
 
+def _cell(column: str) -> str:
+    """SQL text of a cell of a report: four decimals without trailing zeros, nothing where there is no number."""
+    if not column.endswith(("_min", "_max")):
+        return f"cast({column} as varchar)"
+    return f"coalesce(rtrim(rtrim(printf('%.4f', cast({column} as double)), '0'), '.'), '')"
+
+
 GEO = ", ".join(f"min(case when not isnan({c}) then {c} end) as {c}_min, max(case when not isnan({c}) then {c} end) as {c}_max" for c in ("longitude", "latitude"))
 
 
@@ -259,6 +267,16 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(reports.all_levels(observations(spark, sf_dir)))
 
 
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a rendered report, in their order: a row per platform, so it is small."""
+    df = reports.report(observations(spark, sf_dir), "platform").select(*CELLS)
+    text = "".join(lines(df.columns, (tuple(r) for r in df.toLocalIterator())))
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line long, text string")
+
+
+CELLS = ["platform_code", "n_profiles", "n_obs", "time_qc_good", "position_qc_good", "longitude_min", "longitude_max", "latitude_min", "latitude_max", "na_temp", "temp_min", "temp_max", "na_psal", "psal_min", "psal_max", "na_pres", "pres_min", "pres_max"]
+
+
 def _marked_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report(duplicates.mark_duplicates(observations(spark, sf_dir))[0], "platform").select("platform_code", "n_profiles", "dup_profiles")
 
@@ -284,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_platform": _obs(lambda d: _rounded(reports.report(d, "platform")), None),
     "report_profile": _obs(lambda d: _rounded(reports.report(d, "profile")), None),
     "report_levels": _levels,
+    "report_lines": _report_lines,
     "report_marked": _marked_report,
     "concat_renumber": lambda s, d: _merged(s, d).select("platform_code", "profile_no", "observation_no", "pres"),
     "concat_no_pres_sort": lambda s, d: _merged(s, d, sort_by_pres=False, keep_na_pres=True).select("platform_code", "profile_no", "observation_no", "longitude", "profile_timestamp"),
@@ -330,6 +349,10 @@ select kind, count(distinct dup_group) as n_groups, count(*) as n_profiles, cast
  min(time_qc) as time_qc, min(position_qc) as position_qc, {_measures()} from obs group by platform_code, profile_no""",
     "report_levels": f"""{WITH}{PROF_QC}, a as (select case when grouping(platform_code) = 1 then 'global' else 'platform' end as level, platform_code, count(distinct platform_code) as n_platforms, {REPORT_COUNTS} from p group by rollup (platform_code)),
 b as (select platform_code, {_measures()} from obs group by rollup (platform_code)) select a.*, b.* exclude (platform_code) from a join b on a.platform_code is not distinct from b.platform_code""",
+    "report_lines": f"""{WITH}{PROF_QC}, a as (select platform_code, {REPORT_COUNTS} from p group by platform_code), b as (select platform_code, {GEO}, {_measures()} from obs group by platform_code),
+r as (select *, row_number() over (order by platform_code) as line from a join b using (platform_code))
+select 0 as line, concat_ws(chr(9), {', '.join(f"'{c}'" for c in CELLS)}) as text union all
+select line, concat_ws(chr(9), {', '.join(_cell(c) for c in CELLS)}) as text from r""",
     "report_marked": f"{DUPS} select k.pc as platform_code, count(*) as n_profiles, count(g.pn) as dup_profiles from keyed k left join grp g on k.pc = g.pc and k.pn = g.pn group by k.pc",
     "concat_renumber": f"""{WITH}, m as (select *, {STRING_KEY} as k from obs where pres is not null and not isnan(pres))
 select platform_code, dense_rank() over (partition by platform_code order by k) as profile_no, row_number() over (partition by platform_code, k order by pres, __order) as observation_no, pres from m""",
