@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a batch's name.
-NAME = 60
+#: Bytes of a batch's name, which is part of a file's.
+NAME = 100
 
 
 class Ledger:
@@ -64,9 +64,13 @@ class Ledger:
         out = df.write.mode("overwrite")
         (out.partitionBy(by) if by else out).parquet(f"{self.path}/{table}/seq={seq}")
 
+    def known(self, batch: str) -> bool:
+        """Whether a batch of that name was committed."""
+        if len(batch.encode()) > NAME:
+            raise ValueError(f"a batch's name has up to {NAME} bytes")
+        return batch in self.commits()
+
     def commit(self, batch: str, seq: int) -> None:
-        if len(batch) > NAME:
-            raise ValueError(f"a batch's name has up to {NAME} characters")
         self._created(f"commits/{seq}.{batch.encode().hex()}")
 
     def read(self, table: str, schema: str, only: Iterable[int] | None = None, by: str | None = None, some: Iterable[int] | None = None) -> DataFrame:

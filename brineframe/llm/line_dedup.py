@@ -245,7 +245,7 @@ class LineIndex:
     def insert(self, docs: DataFrame, batch: str) -> None:
         """Adds documents (doc_id, text). A batch name that was committed before is left alone. An id that is
         there already has the lines of both texts from now on; to revise a document, delete it first."""
-        if batch in self.log.commits():
+        if self.log.known(batch):
             return
         seq = self.log.next()
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -289,7 +289,7 @@ class LineIndex:
 
     def delete(self, docs: DataFrame, batch: str) -> None:
         """Takes documents (doc_id) out; their lines pass to the next smallest holder. Ids that are not there change nothing."""
-        if batch in self.log.commits():
+        if self.log.known(batch):
             return
         seq = self.log.next()
         gone = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")).distinct().withColumn("bucket", self._bucket())

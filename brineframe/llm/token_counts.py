@@ -76,7 +76,7 @@ class TokenRollup:
         Null ids only add: they can't be revised or deleted. An id in both is an upsert. Null
         texts count no tokens; null sources and languages are groups of their own.
         """
-        if batch in self.log.commits():
+        if self.log.known(batch):
             return False
         seq = self.log.next()
         new = stored(self.counts(upserts), "token-counts") if upserts is not None else self.spark.createDataFrame([], self.ENTRY)

@@ -680,6 +680,8 @@ def test_empty_tables(spark, tokenizer, tmp_path):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     rollup = token_counts.TokenRollup(spark, str(tmp_path / "none"), {"words": None})
     assert rollup.apply("none", none) and rollup.totals().count() == 0
+    with pytest.raises(ValueError, match="name"):
+        rollup.apply("n" * 101, none)
 
 
 def test_clashing_columns(spark, rows, tokenizer):
