@@ -101,13 +101,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .whitening import whitened
+
+    # null where the exact sum is beyond a long
+    return whitened(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def embedding_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact scatter n·XᵀX − SSᵀ of the embeddings, entry by entry."""
+    from .whitening import scatter
+
+    found = scatter(_read(spark, sf_dir, "embeddings"))
+    d = range(len(found.sums))
+    # a row for each pair of dimensions, whatever the number of vectors
+    return spark.createDataFrame([(i, j, found.n, int(found.matrix[i, j])) for i in d for j in d], "i int, j int, n long, scatter long")
+
+
+def embedding_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each embedding is from the mean, exactly: one row per vector of the whitening."""
+    from .whitening import whitened
+
+    return whitened(_read(spark, sf_dir, "embeddings"), components=1).selectExpr("vec_id", "n", "try_cast(deviation as bigint) as deviation")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, pipeline, token_counts_words, url_rules, depleted_documents)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op13_embedding_whitening, embedding_scatter, embedding_deviation, pipeline, token_counts_words, url_rules, depleted_documents)}
 
 #: Fixed value: words of a text.
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -211,4 +237,21 @@ select doc_id, min(doc_id) over (partition by class) as class_id, cast(case when
  cast(texts as bigint) as n_texts, count(*) over (partition by class) as class_size from a
 """
 
-ORACLES = {"op8_ngram_join": OP8, "token_counts_words": TOKEN_WORDS, "url_rules": URL_RULES, "depleted_documents": DEPLETED, "op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op9_mixing": OP9}
+#: Entries of the usable embeddings as whole numbers.
+ENTRIES = r"""
+with v as (select row_number() over () as r, vec_id, embedding from embeddings where embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+e as (select r, vec_id, generate_subscripts(embedding, 1) as i, cast(floor(1024 * cast(unnest(embedding) as double)) as bigint) + 100000 as x from v),
+s as (select i, count(*) as n, sum(x) as s from e group by i)
+"""
+
+EMBEDDING_SCATTER = rf"""{ENTRIES}
+select cast(a.i - 1 as int) as i, cast(b.i - 1 as int) as j, s.n, cast(s.n * sum(cast(a.x as hugeint) * b.x) - cast(s.s as hugeint) * t.s as bigint) as scatter
+from e a join e b on a.r = b.r join s on s.i = a.i join s t on t.i = b.i group by a.i, b.i, s.n, s.s, t.s
+"""
+
+EMBEDDING_DEVIATION = rf"""{ENTRIES}
+select vec_id, n, cast(sum((n * x - s) * (n * x - s)) as bigint) as deviation from e join s using (i) group by r, vec_id, n
+"""
+
+ORACLES = {"embedding_scatter": EMBEDDING_SCATTER, "embedding_deviation": EMBEDDING_DEVIATION, "op8_ngram_join": OP8, "token_counts_words": TOKEN_WORDS, "url_rules": URL_RULES, "depleted_documents": DEPLETED, "op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op9_mixing": OP9}
