@@ -101,6 +101,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digest, periodic_runs, with_repeats
+
+    return digest(periodic_runs(with_repeats(_read(spark, sf_dir, "documents"))))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -133,7 +139,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op13_embedding_whitening, embedding_scatter, embedding_deviation, pipeline, token_counts_words, url_rules, depleted_documents)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op12_periodic_runs, op13_embedding_whitening, embedding_scatter, embedding_deviation, pipeline, token_counts_words, url_rules, depleted_documents)}
 
 #: Fixed value: words of a text.
 WORD = r"'[^\x20\x09-\x0D]+'"
