@@ -101,6 +101,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_join import minhash_groups
+
+    return minhash_groups(_read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import digest, periodic_runs, with_repeats
 
@@ -139,7 +145,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op12_periodic_runs, op13_embedding_whitening, embedding_scatter, embedding_deviation, pipeline, token_counts_words, url_rules, depleted_documents)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_line_dedup, op4_exact_dedup, op5_quality_classifier, op6_url_filter, op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op11_minhash_dedup, op12_periodic_runs, op13_embedding_whitening, embedding_scatter, embedding_deviation, pipeline, token_counts_words, url_rules, depleted_documents)}
 
 #: Fixed value: words of a text.
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -243,6 +249,21 @@ select doc_id, min(doc_id) over (partition by class) as class_id, cast(case when
  cast(texts as bigint) as n_texts, count(*) over (partition by class) as class_size from a
 """
 
+OP11 = rf"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) as w from documents),
+s as (select distinct r, g from (select r, unnest(case when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from d)),
+n as (select r, count(*) as n, string_agg(g, chr(10) order by g) as body from s group by r),
+t as (select r, n, min(r) over (partition by body) as rep from n),
+u as (select s.r, s.g, t.n from s join t on s.r = t.rep and t.r = t.rep),
+b as (select x.r as a, y.r as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as m from u x join u y on x.g = y.g and x.r < y.r and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by x.r, y.r),
+l as (select a, b from b where 100 * m >= 80 * (na + nb - m)),
+e as (select a, b from l union all select b, a from l),
+c(r, x) as (select a, b from e union select c.r, e.b from c join e on e.a = c.x),
+top as (select r, least(r, min(x)) as top from c group by r),
+a as (select d.r, doc_id, coalesce(t.n, 0) as n, coalesce(top.top, t.rep, d.r) as class from d left join t using (r) left join top on top.r = t.rep)
+select doc_id, n as n_shingles, min(doc_id) over (partition by class) as component_id, coalesce(doc_id = min(doc_id) over (partition by class), doc_id is null and min(doc_id) over (partition by class) is null) as kept from a
+"""
+
 #: Entries of the usable embeddings as whole numbers.
 ENTRIES = r"""
 with v as (select row_number() over () as r, vec_id, embedding from embeddings where embedding is not null and len(embedding) > 0
@@ -260,4 +281,4 @@ EMBEDDING_DEVIATION = rf"""{ENTRIES}
 select vec_id, n, cast(sum((n * x - s) * (n * x - s)) as bigint) as deviation from e join s using (i) group by r, vec_id, n
 """
 
-ORACLES = {"embedding_scatter": EMBEDDING_SCATTER, "embedding_deviation": EMBEDDING_DEVIATION, "op8_ngram_join": OP8, "token_counts_words": TOKEN_WORDS, "url_rules": URL_RULES, "depleted_documents": DEPLETED, "op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op9_mixing": OP9}
+ORACLES = {"op11_minhash_dedup": OP11, "embedding_scatter": EMBEDDING_SCATTER, "embedding_deviation": EMBEDDING_DEVIATION, "op8_ngram_join": OP8, "token_counts_words": TOKEN_WORDS, "url_rules": URL_RULES, "depleted_documents": DEPLETED, "op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_quality_rules": OP7, "op9_mixing": OP9}

@@ -284,7 +284,7 @@ def test_near_duplicates(docs, rows):
 
 def test_near_duplicates_in_split_nodes(spark, monkeypatch):
     """A group of near copies that is larger than a node and a block loses no link."""
-    from brineframe.llm import ngram_join
+    from brineframe.llm import groups, ngram_join
 
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
@@ -294,7 +294,7 @@ def test_near_duplicates_in_split_nodes(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(len(words))] = f"x{i}"
         rows.append((i, " ".join(words)))
-    monkeypatch.setattr(ngram_join, "NODE", 20)
+    monkeypatch.setattr(groups, "NODE", 20)
     out = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
     for i, a in enumerate(sets):
