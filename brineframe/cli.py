@@ -1,4 +1,5 @@
-"""Command line: ``python -m brineframe ...``. Tables are Parquet folders as Spark writes them."""
+"""Command line: ``python -m brineframe ...``. Conversions give one Parquet file for each source; other tables are folders as
+Spark writes them, or single files with ``--one-file``."""
 
 from __future__ import annotations
 
@@ -6,7 +7,6 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -23,9 +23,14 @@ from .plans.render import FORMATS, duplicates_lines, emit, rendered, write_lines
 from .plans.report import LEVELS, report
 from .sources import files as listing
 from .sources import netcdf
+from .sources.outputs import write_one
+from .sources.spatial import SpatialTable, is_spatial
 from .sources.presets import PATTERNS, PRESETS, NrtLayout, layout
 
 
+ONE_FILE = "one Parquet file, written by one task, instead of a folder of files"
+
+
 @dataclass(frozen=True)
 class Done:
     """What a call did: command, variant, number of files it worked on."""
@@ -97,7 +102,7 @@ def parser() -> argparse.ArgumentParser:
         p = kinds.add_parser(preset)
         _layout_arguments(p, preset)
         p.add_argument("-o", "--output-dir")
-        p.add_argument("-t", "--threads", type=int, help="files converted at the same time")
+        p.add_argument("-t", "--threads", type=int, help="accepted and not needed: one job converts all files")
         p.add_argument("src_dir")
     kinds = batch.add_parser("header").add_subparsers(dest="preset", required=True)
     for kind in ("nrt", "cora"):
@@ -118,6 +123,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-pres-sort", action="store_true")
     p.add_argument("--keep-na-pres", action="store_true")
     p.add_argument("-t", "--threads", type=int, help="accepted and not needed: Spark decides")
+    p.add_argument("--one-file", action="store_true", help=ONE_FILE)
     p.add_argument("src_dir")
     p.add_argument("output")
     p = concat.add_parser("header")
@@ -146,15 +152,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mode", choices=["include", "exclude"], default="include")
     for c in ("min-lon", "max-lon", "min-lat", "max-lat"):
         p.add_argument(f"--{c}", type=float, required=True)
+    p.add_argument("--one-file", action="store_true", help=ONE_FILE)
     p.add_argument("src")
     p.add_argument("dest")
     for name, text in (("dropna", "profiles without any value of a measure go"), ("dropqc", "rows with bad flags go"), ("dedup", "one profile of each key stays")):
         p = commands.add_parser(name, help=text)
         if name == "dedup":
             _key_arguments(p)
+        p.add_argument("--one-file", action="store_true", help=ONE_FILE)
         p.add_argument("src")
         p.add_argument("dest")
+    p = commands.add_parser("arrange", help="a table laid out by position, which filter reads in part; rows are added if it is there")
+    p.add_argument("src")
+    p.add_argument("dest")
     p = commands.add_parser("markdup", help="mark profiles that share a key")
+    p.add_argument("--one-file", action="store_true", help=ONE_FILE)
     _key_arguments(p)
     for c in ("src", "dest", "dups"):
         p.add_argument(c)
@@ -175,21 +187,10 @@ def _nothing(pattern: str, folder: str) -> int:
     return 0
 
 
-def _batch(pairs: list[tuple[Path, Path]], work, threads: int | None) -> int:
-    """Runs all, largest first; what failed is reported together at the end."""
-    by_name = {str(s): t for s, t in pairs}
-    failed = []
-
-    def one(src: str) -> None:
-        try:
-            work(src, by_name[src])
-        except Exception as e:  # noqa: BLE001  (collected, then raised together)
-            failed.append(f"  {src}: {e}")
-
-    with ThreadPoolExecutor(threads or 8) as pool:
-        list(pool.map(one, listing.largest_first(by_name)))
-    if failed:
-        raise RuntimeError(f"{len(failed)} of {len(pairs)} files failed:\n" + "\n".join(sorted(failed)))
+def _converted(spark: SparkSession, pairs: list[tuple[Path, Path]], own) -> int:
+    """All files in one job; what failed is reported together, after the others are written."""
+    if failed := netcdf.convert_each(spark, {str(s.absolute()): str(t.absolute()) for s, t in pairs}, own):
+        raise RuntimeError(f"{len(failed)} of {len(pairs)} files failed:\n" + "\n".join(f"  {x}" for x in failed))
     return len(pairs)
 
 
@@ -197,9 +198,12 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
     """Runs one command; errors are raised."""
     a = parser().parse_args(argv)
     read = lambda p: (spark or session()).read.parquet(p)
-    write = lambda df, p: df.write.mode("overwrite").parquet(str(p))
+
+    def write(df, path) -> None:
+        write_one(df, str(Path(path).absolute())) if getattr(a, "one_file", False) else df.write.mode("overwrite").parquet(str(path))
+
     if a.command == "convert":
-        write(netcdf.convert(spark or session(), [a.src], _layout(a)), a.dest)
+        _converted(spark or session(), [(Path(a.src), Path(a.dest))], _layout(a))
         return Done("convert", a.preset)
     if a.command == "batch" and a.variant == "convert":
         own = _layout(a)
@@ -208,8 +212,7 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         if not found:
             return Done("batch", a.preset, _nothing(pattern, a.src_dir))
         pairs = listing.targets(found, a.output_dir, "parquet")
-        live = spark or session()
-        return Done("batch", a.preset, _batch(pairs, lambda s, t: write(netcdf.convert(live, [s], own), t), a.threads))
+        return Done("batch", a.preset, _converted(spark or session(), pairs, own))
     if a.command == "batch":
         found = listing.listed(a.src_dir, a.pattern)
         if not found:
@@ -252,8 +255,12 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         return Done("report", a.variant)
     if a.command == "filter":
         box = Box(a.min_lon, a.max_lon, a.min_lat, a.max_lat)
-        write(filter_box(read(a.src), box, a.mode), a.dest)
+        live = spark or session()
+        write(SpatialTable(live, a.src).box(box, a.mode) if is_spatial(live, a.src) else filter_box(read(a.src), box, a.mode), a.dest)
         return Done("filter", "area")
+    if a.command == "arrange":
+        SpatialTable(spark or session(), a.dest).append(read(a.src))
+        return Done("arrange", "position")
     if a.command in ("dropna", "dropqc"):
         write((drop_na if a.command == "dropna" else drop_qc)(read(a.src)), a.dest)
         return Done(a.command, "profile")

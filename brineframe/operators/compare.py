@@ -45,7 +45,12 @@ def _reduced(df: DataFrame, o: CompareOptions) -> DataFrame:
         F.coalesce(F.col(o.platform_col), F.lit("")).alias("pc"), F.coalesce(F.col(o.profile_col).cast("long"), F.lit(0)).alias("pn"),
         F.struct(F.col(ORDER).alias("o"), ms.alias("ms"), F.col(o.lon_col).cast("double").alias("lon"), F.col(o.lat_col).cast("double").alias("lat")).alias("row"),
     )
-    own = df.groupBy("pc", "pn").agg(F.min_by("row", "row.o").alias("f"), F.count(F.lit(1)).alias("n_obs"))
+    return reduced_of(df.select("pc", "pn", F.col("row").alias("f"), F.lit(1).alias("n_obs")), o)
+
+
+def reduced_of(parts: DataFrame, o: CompareOptions) -> DataFrame:
+    """A row per profile: pc, key, n_obs, from rows or partial rows: pc, pn, n_obs, and the first row's f (o, ms, lon, lat)."""
+    own = parts.groupBy("pc", "pn").agg(F.min_by("f", "f.o").alias("f"), F.sum("n_obs").alias("n_obs"))
     key = cast_key(F.col("f.ms"), F.col("f.lon"), F.col("f.lat"), o.key)
     if o.use_platform:
         key = F.when(key.isNotNull(), F.struct(F.col("pc").alias("p"), key.alias("k")))
@@ -78,5 +83,9 @@ def _direction(reference: str, compared: str, own: DataFrame, other: DataFrame)
 def compare(a: DataFrame, b: DataFrame, label_a: str, label_b: str, options: CompareOptions = CompareOptions()) -> DataFrame:
     """Two rows: ``b`` as the reference, then ``a``. A profile matches if the other product holds its key;
     it agrees if one of the other's profiles with that key has as many observations."""
-    pa, pb = _reduced(a, options), _reduced(b, options)
+    return compare_reduced(_reduced(a, options), _reduced(b, options), label_a, label_b)
+
+
+def compare_reduced(pa: DataFrame, pb: DataFrame, label_a: str, label_b: str) -> DataFrame:
+    """``compare`` of two tables of profiles as ``reduced_of`` makes them."""
     return _direction(label_b, label_a, pb, pa).unionByName(_direction(label_a, label_b, pa, pb))

@@ -22,13 +22,29 @@ def profiles(df: DataFrame, options: KeyOptions = KeyOptions()) -> DataFrame:
     """
     require(df.columns, *NEEDED)
     df = with_order(df)
-    time = F.col("profile_time").cast("double") if "profile_time" in df.columns else F.lit(float("nan"))
-    first = F.struct(
-        F.col(ORDER).alias("o"), time.alias("time"), timestamp_ms(F.col("profile_timestamp")).alias("ms"),
+    if "profile_time" not in df.columns:
+        df = df.withColumn("profile_time", F.lit(float("nan")))
+    return profiles_of(df.select("platform_code", "profile_no", first_row().alias("f"), F.lit(1).alias("n_obs")), options)
+
+
+def identity(platform: str = "platform_code", profile: str = "profile_no") -> tuple[Column, Column]:
+    """What tells profiles apart: a null platform counts as '' and a null number as 0."""
+    return F.coalesce(platform, F.lit("")), F.coalesce(F.col(profile).cast("long"), F.lit(0))
+
+
+def first_row() -> Column:
+    """The attributes of a row that count if it is its profile's first: f of ``profiles_of``."""
+    return F.struct(
+        F.col(ORDER).alias("o"), F.col("profile_time").cast("double").alias("time"), timestamp_ms(F.col("profile_timestamp")).alias("ms"),
         F.col("longitude").cast("double").alias("lon"), F.col("latitude").cast("double").alias("lat"),
     )
-    out = df.groupBy(F.coalesce("platform_code", F.lit("")).alias("pc"), F.coalesce(F.col("profile_no").cast("long"), F.lit(0)).alias("pn"))
-    out = out.agg(F.min_by(first, F.col(ORDER)).alias("f"), F.count(F.lit(1)).alias("n_obs"), F.min(ORDER).alias("seen"))
+
+
+def profiles_of(parts: DataFrame, options: KeyOptions = KeyOptions(), own: tuple[Column, Column] | None = None) -> DataFrame:
+    """``profiles`` from rows or partial rows: platform_code, profile_no, n_obs, and the first row's f (o, time, ms, lon, lat).
+    ``own``: their ``identity``, where the rows have it as columns."""
+    pc, pn = own or identity()
+    out = parts.groupBy(pc.alias("pc"), pn.alias("pn")).agg(F.min_by("f", "f.o").alias("f"), F.sum("n_obs").alias("n_obs"), F.min("f.o").alias("seen"))
     return out.select("pc", "pn", cast_key(F.col("f.ms"), F.col("f.lon"), F.col("f.lat"), options).alias("key"), F.col("f.time").alias("profile_time"), F.col("f.ms").alias("ms"), F.col("f.lon").alias("longitude"), F.col("f.lat").alias("latitude"), "n_obs", "seen")
 
 
@@ -72,13 +88,16 @@ def mark_duplicates(df: DataFrame, options: KeyOptions = KeyOptions()) -> tuple[
 def drop_duplicate_profiles(df: DataFrame, options: KeyOptions = KeyOptions()) -> DataFrame:
     """Of each key the profile with most observations, of equal ones the first seen. Profiles without a
     key stay. is_dup, if there, is false afterwards."""
-    own = profiles(df, options).where("key is not null")
-    best = Window.partitionBy("key").orderBy(F.desc("n_obs"), "seen")
-    losers = own.withColumn("r", F.row_number().over(best)).where("r > 1").select(F.col("pc").alias("__pc"), F.col("pn").alias("__pn"))
-    kept = _attach(df, losers, "left_anti")
+    kept = _attach(df, duplicates_but_one(profiles(df, options)), "left_anti")
     return kept.withColumn("is_dup", F.lit(False)) if "is_dup" in df.columns else kept
 
 
+def duplicates_but_one(own: DataFrame) -> DataFrame:
+    """From ``profiles``: __pc and __pn of those that are not the one that stays of their key."""
+    best = Window.partitionBy("key").orderBy(F.desc("n_obs"), "seen")
+    return own.where("key is not null").withColumn("r", F.row_number().over(best)).where("r > 1").select(F.col("pc").alias("__pc"), F.col("pn").alias("__pn"))
+
+
 def group_sizes(report: DataFrame, cap: int = 10) -> DataFrame:
     """group_size (``cap`` + 1 stands for all larger ones), n_groups, n_profiles."""
     each = report.groupBy("dup_group").agg(F.count(F.lit(1)).alias("n"))

@@ -34,11 +34,23 @@ def profile_table(df: DataFrame, positions: bool = True) -> DataFrame:
     Every level is a further aggregation of this."""
     dup = ["is_dup"] if "is_dup" in df.columns else []
     firsts = ["time_qc", "position_qc", *dup, *([c for c in ("profile_timestamp", *GEO) if c in df.columns] if positions else [])]
+    return partial_profiles(df, firsts)
+
+
+def partial_profiles(df: DataFrame, firsts: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """What the rows at hand say about each profile (and each value of ``by``): ``f``, the columns ``firsts`` of its first row, whose
+    order is ``o``; counts, extremes and sums. Such rows are merged by ``merged_profiles``."""
     require(df.columns, "platform_code", "profile_no", "time_qc", "position_qc", *MEASURES, *GEO)
     rows = with_order(df)
     first = F.min_by(F.struct(*firsts), F.col(ORDER)).alias("f")
     ends = [x for c in GEO for x in (F.min(valid(c)).alias(f"{c}_min"), F.max(valid(c)).alias(f"{c}_max"))]
-    return rows.groupBy("platform_code", "profile_no").agg(first, F.count(F.lit(1)).alias("n_obs"), *ends, *(x for m in MEASURES for x in _sums(m)))
+    return rows.groupBy(*by, "platform_code", "profile_no").agg(first, F.min(ORDER).alias("o"), F.count(F.lit(1)).alias("n_obs"), *ends, *(x for m in MEASURES for x in _sums(m)))
+
+
+def merged_profiles(parts: DataFrame) -> DataFrame:
+    """One row per profile from the partial rows of disjoint parts of a table: the same as ``partial_profiles`` of it all."""
+    ends = [x for c in GEO for x in (F.min(f"{c}_min").alias(f"{c}_min"), F.max(f"{c}_max").alias(f"{c}_max"))]
+    return parts.groupBy("platform_code", "profile_no").agg(F.min_by("f", "o").alias("f"), F.min("o").alias("o"), F.sum("n_obs").alias("n_obs"), *ends, *(x for m in MEASURES for x in _again(m)))
 
 
 def _rolled(own: DataFrame, dup: bool) -> list[Column]:
@@ -55,13 +67,17 @@ def report(df: DataFrame, level: str = "platform") -> DataFrame:
     profile, each sorted by its key. Duplicated profiles are counted if the table has is_dup."""
     if level not in LEVELS:
         raise ValueError(f"level {level!r}; known are {', '.join(LEVELS)}")
-    dup = "is_dup" in df.columns
-    own = profile_table(df)
+    if level == "profile" and "profile_timestamp" not in df.columns:
+        raise ValueError("missing columns profile_timestamp")
+    return report_of(profile_table(df), level)
+
+
+def report_of(own: DataFrame, level: str = "platform") -> DataFrame:
+    """The report of a table of profiles."""
+    dup = "is_dup" in own.schema["f"].dataType.names
     counts = ["n_profiles", "n_obs", "time_qc_good", "position_qc_good", *(["dup_profiles"] if dup else [])]
     ends = [f"{c}_{e}" for c in GEO for e in ("min", "max")]
     if level == "profile":
-        if "profile_timestamp" not in df.columns:
-            raise ValueError("missing columns profile_timestamp")
         heads = [F.col("f.profile_timestamp").alias("profile_timestamp"), F.col("f.longitude").alias("longitude"), F.col("f.latitude").alias("latitude"), F.col("n_obs"), F.col("f.time_qc").alias("time_qc"), F.col("f.position_qc").alias("position_qc")]
         heads += [F.col("f.is_dup").alias("is_dup")] if dup else []
         return own.select("platform_code", "profile_no", *heads, *_measures()).orderBy("platform_code", "profile_no")

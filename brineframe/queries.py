@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grids, qc, times
@@ -18,13 +18,17 @@ from .operators.cleaning import Box
 from .operators.compare import CompareOptions, compare
 
 from .plans import report as reports
+from .plans.profile_store import ProfileStore
 from .plans.driver_view import DUCKDB, observations
 from .plans.regions import Region
 from .plans.render import lines
 from .session import prepare, work_path
 from .sources import netcdf
-from .sources.cdf import write_classic
+from .sources.bucketed import ProfileBuckets
+from .sources.cdf import classic_bytes
+from .sources.outputs import opened
 from .sources.presets import PRESETS
+from .sources.spatial import SpatialTable
 
 COLUMNS = ["platform_code", "profile_no", "profile_timestamp", "longitude", "latitude", "time_qc", "position_qc", "temp", "psal", "pres"]
 LIST = ", ".join(COLUMNS)
@@ -77,31 +81,51 @@ def _cell(column: str) -> str:
 GEO = ", ".join(f"min(case when not isnan({c}) then {c} end) as {c}_min, max(case when not isnan({c}) then {c} end) as {c}_max" for c in ("longitude", "latitude"))
 
 
+def _later(obs: DataFrame, which: Column, days: int) -> DataFrame:
+    """All rows of a table, some of them so many days later."""
+    shift = lambda c, by: F.when(which, F.col(c) + by).otherwise(F.col(c)).alias(c)
+    moved = {"profile_timestamp": F.make_interval(days=F.lit(days)), "profile_time": F.lit(days)}
+    return obs.select(*(shift(c, moved[c]) if c in moved else F.col(c) for c in obs.columns))
+
+
 def _compare(use_platform: bool, time_col: str, key: KeyOptions = KeyOptions()):
+    """Two products of all rows: in one a third of the casts is a day early; in the other half of them are a day late, and
+    levels without pressure of one cast in five are there twice."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         obs = observations(spark, sf_dir)
-        options = CompareOptions(key=key, use_platform=use_platform, time_col=time_col)
-        return compare(obs.where("profile_no % 3 <> 0"), obs.where("profile_no % 2 = 0"), "a", "b", options)
+        no = F.col("profile_no")
+        one = _later(obs, no % 3 == 0, -1)
+        other = _later(obs.unionByName(obs.where("profile_no % 5 = 0 and pres is null")), no % 2 == 1, 1)
+        return compare(one, other, "a", "b", CompareOptions(key=key, use_platform=use_platform, time_col=time_col))
 
     return run
 
 
+def _later_sql(rows: str, which: str, days: int) -> str:
+    return f"""(select * replace (case when {which} then profile_timestamp + interval ({days}) day else profile_timestamp end as profile_timestamp,
+ case when {which} then profile_time + {days} else profile_time end as profile_time) from {rows})"""
+
+
 def _compare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A product against all of itself with some platforms renamed, some casts a day later and some levels gone."""
     obs = observations(spark, sf_dir)
+    return compare(obs, _other_product(obs), "a", "b", CompareOptions(time_col="profile_timestamp"))
+
+
+def _other_product(obs: DataFrame) -> DataFrame:
     no = F.col("profile_no")
-    other = obs.where("profile_no % 5 <> 0 or pres is not null").withColumns({
+    return obs.where("profile_no % 5 <> 0 or pres is not null").withColumns({
         "platform_code": F.when(no % 7 == 0, F.concat(F.lit("X"), "platform_code")).otherwise(F.col("platform_code")),
         "profile_timestamp": F.when(no % 4 == 0, F.col("profile_timestamp") + F.expr("interval 1 day")).otherwise(F.col("profile_timestamp")),
     })
-    return compare(obs, other, "a", "b", CompareOptions(time_col="profile_timestamp"))
 
 
 WHOLE = """(select * replace (case when profile_no % 7 = 0 then concat('X', platform_code) else platform_code end as platform_code,
  case when profile_no % 4 = 0 then profile_timestamp + interval 1 day else profile_timestamp end as profile_timestamp) from obs where profile_no % 5 <> 0 or pres is not null)"""
 
 
-def _compare_sql(use_platform: bool, time: str, a: str = "(from obs where profile_no % 3 <> 0)", b: str = "(from obs where profile_no % 2 = 0)") -> str:
+def _compare_sql(use_platform: bool, time: str, a: str = _later_sql("obs", "profile_no % 3 = 0", -1), b: str = _later_sql("(from obs union all from obs where profile_no % 5 = 0 and pres is null)", "profile_no % 2 = 1", 1)) -> str:
     key = "t, x, y" + (", pc" if use_platform else "")
     on = " and ".join(f"r.{c.strip()} = o.{c.strip()}" for c in key.split(","))
 
@@ -121,6 +145,56 @@ from (select count(*) as np, count(*) filter (not ({usable})) as un, count(*) fi
     return re.sub(r"pc\(([\w.]+), ([\w.]+)\)", r"case when \2 = 0 then cast('NaN' as double) else floor(\1 / \2 * 10000.0 + 0.5) / 100.0 end", text)
 
 
+def _spatial(spark: SparkSession, sf_dir: str) -> SpatialTable:
+    """All observations laid out by position, in two batches."""
+    table = SpatialTable(spark, work_path(spark, "by-position"))
+    obs = observations(spark, sf_dir).select(*COLUMNS)
+    for k in (0, 1):
+        table.append(obs.where(f"profile_no % 2 = {k}"), files=8)
+    return table
+
+
+def _kept(spark: SparkSession, rows: DataFrame) -> ProfileStore:
+    """A store of the profiles of a product that came in two deliveries, profiles split between them."""
+    product, store = work_path(spark, "product"), ProfileStore(spark, work_path(spark, "profiles"))
+    late = F.pmod(F.xxhash64("psal", "pres", "temp"), F.lit(3)) == 0
+    for name, some in (("first", ~late), ("second", late)):
+        rows.where(some).write.parquet(f"{product}/{name}")
+        store.update([product])
+    return store
+
+
+def _report_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_kept(spark, observations(spark, sf_dir).drop("__order")).report("platform"))
+
+
+def _dups_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicates_report(_kept(spark, observations(spark, sf_dir).drop("__order")).duplicates())
+
+
+def _compare_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).drop("__order")
+    return _kept(spark, obs).compared(_kept(spark, _other_product(obs)), "a", "b")
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> ProfileBuckets:
+    """All observations stored by profile, then cleaned without a shuffle."""
+    table = lambda step: (f"brineframe_{step}_{uuid.uuid4().hex}", work_path(spark, step))
+    return ProfileBuckets.create(observations(spark, sf_dir), *table("stored")).clean(*table("cleaned"))
+
+
+def _bucketed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = _bucketed(spark, sf_dir)
+    marked, _ = cleaned.mark(f"brineframe_marked_{uuid.uuid4().hex}", work_path(spark, "marked"))
+    left = marked.dedup(f"brineframe_left_{uuid.uuid4().hex}", work_path(spark, "left"))
+    return left.table().select(*COLUMNS)
+
+
+def _bucketed_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked, _ = _bucketed(spark, sf_dir).mark(f"brineframe_marked_{uuid.uuid4().hex}", work_path(spark, "marked"))
+    return marked.table().select("platform_code", "profile_no", "temp", "is_dup")
+
+
 def _round_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_extendedprice") / 7 - 3000).alias("v")).distinct()
     return part.select("v", *(scaled(F.col("v"), KeyOptions(decimals=3, round_mode=m)).alias(f"k_{m}") for m in ROUND_MODES))
@@ -216,21 +290,36 @@ def _nation_file(folder: str):
             "TEMP_QC": (grid, ((s + k) % 14 - 2).astype(np.int8), {}), "PRES_QC": (grid, (k + 0 * s).astype(np.int8), {}),
         }
         nation = int(rows["s_nationkey"].iloc[0])
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/AR_PR_CT_{nation}.nc"
-        write_classic(path, {"TIME": len(s), "DEPTH": 4}, variables, {"platform_code": f"N{nation}"})
-        return pd.DataFrame({"path": [path]})
+        own, where = opened(folder)
+        own.create_dir(where, recursive=True)
+        with own.open_output_stream(f"{where}/AR_PR_CT_{nation}.nc") as out:
+            out.write(classic_bytes({"TIME": len(s), "DEPTH": 4}, variables, {"platform_code": f"N{nation}"}))
+        return pd.DataFrame({"path": [f"{folder}/AR_PR_CT_{nation}.nc"]})
 
     return write
 
 
-def _netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NetCDF files of all suppliers, a file for each nation, written by the workers and converted again. Files lie in
-    the shared folder, which must be a path of the file system: NetCDF is read by path."""
+def _nation_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """NetCDF files of all suppliers, a file for each nation, written by the workers into the shared folder."""
     folder = re.sub("^file:/+", "/", work_path(prepare(spark), "netcdf"))
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
-    files = [r["path"] for r in rows.groupBy("s_nationkey").applyInPandas(_nation_file(folder), "path string").collect()]
-    return netcdf.convert(spark, sorted(files), PRESETS["nrt_ar"]).select(*NETCDF)
+    return sorted(r["path"] for r in rows.groupBy("s_nationkey").applyInPandas(_nation_file(folder), "path string").collect())
+
+
+def _netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all nations converted again. The shared folder must be a path of the file system: NetCDF is read by path."""
+    return netcdf.convert(spark, _nation_files(spark, sf_dir), PRESETS["nrt_ar"]).select(*NETCDF)
+
+
+def _batch_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all nations, each converted to a file of its own in one job, read back with the name of the file and the
+    place of the row in it."""
+    folder = re.sub("^file:/+", "/", work_path(spark, "converted"))
+    results = {f: f"{folder}/{f.rsplit('/', 1)[1][:-3]}.parquet" for f in _nation_files(spark, sf_dir)}
+    if failed := netcdf.convert_each(spark, results, PRESETS["nrt_ar"]):
+        raise RuntimeError("\n".join(failed))
+    rows = spark.read.parquet(*results.values())
+    return rows.select(*NETCDF, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
 
 
 NETCDF = ["platform_code", "profile_no", "profile_time", "profile_timestamp", "observation_no", "longitude", "latitude", "time_qc", "position_qc", "filename", "temp", "temp_qc", "psal", "psal_qc", "pres", "pres_qc", "pres_conv", "deph_conv"]
@@ -285,6 +374,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_include": _obs(lambda d: cleaning.filter_box(d, BOX)),
     "filter_exclude": _obs(lambda d: cleaning.filter_box(d, BOX, "exclude")),
     "filter_multibox": _obs(lambda d: cleaning.filter_region(d, REGION.include, REGION.exclude)),
+    "filter_by_zones": lambda s, d: _spatial(s, d).box(BOX).select(*COLUMNS),
+    "region_by_zones": lambda s, d: _spatial(s, d).region(REGION.include, REGION.exclude).select(*COLUMNS),
     "dropqc": _obs(cleaning.drop_qc),
     "dropna": _obs(cleaning.drop_na),
     "drop_na_pres": _obs(cleaning.drop_na_pres),
@@ -298,6 +389,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_noplatform": _compare(False, "profile_timestamp"),
     "compare_days": _compare(True, "profile_time"),
     "compare_whole": _compare_whole,
+    "compare_kept": _compare_kept,
+    "dups_kept": _dups_kept,
+    "report_kept": _report_kept,
+    "bucketed_dedup": _bucketed_dedup,
+    "bucketed_marked": _bucketed_marked,
+    "bucketed_report": lambda s, d: _rounded(_bucketed(s, d).report("platform")),
     "report_global": _obs(lambda d: _rounded(reports.report(d, "global")), None),
     "report_platform": _obs(lambda d: _rounded(reports.report(d, "platform")), None),
     "report_profile": _obs(lambda d: _rounded(reports.report(d, "profile")), None),
@@ -315,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deploy_asof": _deployed,
     "deploy_asof_all": _deployed_all,
     "netcdf_nrt": _netcdf,
+    "batch_convert": _batch_convert,
     "qc_flags": _flags,
     "coordinate_fill": _filled,
 }
@@ -324,16 +422,38 @@ PROF_QC = ", p as (select platform_code, profile_no, count(*) as n_obs, min(time
 STRING_KEY = "concat(cast(profile_timestamp as varchar), '|', cast(longitude as varchar), '|', cast(latitude as varchar))"
 _P0 = "(-2.0 * z / ((1 - c1) + sqrt((1 - c1) * (1 - c1) + 8.84e-6 * z)))"
 
+NETCDF_SQL = """with c as (select s_suppkey as s, s_nationkey as n, row_number() over (partition by s_nationkey order by s_suppkey) as profile_no from supplier),
+l as (select *, unnest(range(0, 4)) as k from c),
+v as (select *, (s + k) % 3 = 0 as no_temp, (s + k) % 4 = 0 as no_psal, (s + 2 * k) % 5 = 0 as no_pres, (s + k) % 14 - 2 as flag from l)
+select concat('N', cast(n as varchar)) as platform_code, profile_no, 20000 + s / 8.0 as profile_time, timestamp '1950-01-01' + to_days(cast(20000 + s // 8 as integer)) + to_seconds(s % 8 * 10800) as profile_timestamp,
+ k + 1 as observation_no, cast(s % 360 - 180 as double) as longitude, cast(s % 80 as double) as latitude, case when s % 12 < 10 then cast(s % 12 as varchar) else '' end as time_qc, cast(s % 3 as varchar) as position_qc,
+ concat('AR_PR_CT_', cast(n as varchar)) as filename, case when no_temp then cast('NaN' as float) else cast(s % 100 + k * 0.5 as float) end as temp, case when flag between 0 and 9 then cast(flag as varchar) else '' end as temp_qc,
+ case when no_psal then cast('NaN' as float) else cast(30 + k as float) end as psal, '' as psal_qc, case when no_pres then cast('NaN' as float) else cast(10 * k + 1 as float) end as pres, cast(k as varchar) as pres_qc,
+ cast(0 as tinyint) as pres_conv, cast(case when no_pres then 0 else 1 end as tinyint) as deph_conv from v where not (no_temp and no_psal and no_pres)"""
+
+DUPS_REPORT = f"{DUPS} select dup_group, pc as platform_code, pn as profile_no, days as profile_time, ts as profile_timestamp, longitude, latitude, n_obs from grp"
+COMPARE_WHOLE = _compare_sql(True, "strftime(min(profile_timestamp), '%Y-%m-%d')", "obs", WHOLE)
+REPORT_PLATFORM = f"{WITH}{PROF_QC}, a as (select platform_code, {REPORT_COUNTS} from p group by platform_code), b as (select platform_code, {GEO}, {_measures()} from obs group by platform_code) select * from a join b using (platform_code)"
+#: The observations that cleaning leaves, in place of all of them.
+CLEANED = f"with every as ({DUCKDB}), good as (select * from every where {QC_OK}), obs as (select * from good where (platform_code, profile_no) in (select {HAS.format(t='good')}))"
+
 ORACLES: dict[str, str] = {
     "filter_include": f"{WITH} select {LIST} from obs where {IN_BOX}",
     "filter_exclude": f"{WITH} select {LIST} from obs where not ({IN_BOX})",
     "filter_multibox": f"{WITH} select {LIST} from obs where {IN_REGION}",
+    "filter_by_zones": f"{WITH} select {LIST} from obs where {IN_BOX}",
+    "region_by_zones": f"{WITH} select {LIST} from obs where {IN_REGION}",
+    "bucketed_dedup": f"""{CLEANED}{PROFILES}, r as (select pc, pn, row_number() over (partition by t, x, y order by n_obs desc, seen) as k from keyed where y is not null)
+select {LIST} from obs where not exists (select 1 from r where pc = platform_code and pn = profile_no and k > 1)""",
+    "bucketed_marked": f"{CLEANED}{PROFILES} select platform_code, profile_no, temp, exists (select 1 from grp where pc = platform_code and pn = profile_no) as is_dup from obs",
+    "bucketed_report": REPORT_PLATFORM.replace(WITH, CLEANED, 1),
     "dropqc": f"{WITH} select {LIST} from obs where {QC_OK}",
     "dropna": f"{WITH} select {LIST} from obs where (platform_code, profile_no) in (select {HAS.format(t='obs')})",
     "drop_na_pres": f"{WITH} select {LIST} from obs where pres is not null and not isnan(pres)",
     "clean_pipeline": f"{WITH}, good as (select * from obs where {QC_OK}) select {LIST} from good where (platform_code, profile_no) in (select {HAS.format(t='good')}) and {IN_REGION}",
     "markdup_flags": f"{DUPS} select platform_code, profile_no, temp, exists (select 1 from grp where pc = platform_code and pn = profile_no) as is_dup from obs",
-    "dups_report": f"{DUPS} select dup_group, pc as platform_code, pn as profile_no, days as profile_time, ts as profile_timestamp, longitude, latitude, n_obs from grp",
+    "dups_report": DUPS_REPORT,
+    "dups_kept": DUPS_REPORT,
     "dedup": f"""{DUPS}, r as (select pc, pn, row_number() over (partition by t, x, y order by n_obs desc, seen) as k from keyed where y is not null)
 select {LIST} from obs where not exists (select 1 from r where pc = platform_code and pn = profile_no and k > 1)""",
     "dup_group_sizes": f"{DUPS} select least(n, 5) as group_size, count(*) as n_groups, cast(sum(n) as bigint) as n_profiles from (select count(*) as n from grp group by dup_group) group by 1",
@@ -342,9 +462,11 @@ select kind, count(distinct dup_group) as n_groups, count(*) as n_profiles, cast
     "compare_ab": _compare_sql(True, "strftime(min(profile_timestamp), '%Y-%m-%d')"),
     "compare_noplatform": _compare_sql(False, "strftime(min(profile_timestamp), '%Y-%m-%d')"),
     "compare_days": _compare_sql(True, "strftime(timestamp '1950-01-01' + to_milliseconds(cast(round(min(case when isnan(profile_time) then null else profile_time end) * 86400000.0) as bigint)), '%Y-%m-%d')"),
-    "compare_whole": _compare_sql(True, "strftime(min(profile_timestamp), '%Y-%m-%d')", "obs", WHOLE),
+    "compare_whole": COMPARE_WHOLE,
+    "compare_kept": COMPARE_WHOLE,
     "report_global": f"{WITH}{PROF_QC} select * from (select count(distinct platform_code) as n_platforms, {REPORT_COUNTS} from p), (select {GEO}, {_measures()} from obs)",
-    "report_platform": f"{WITH}{PROF_QC}, a as (select platform_code, {REPORT_COUNTS} from p group by platform_code), b as (select platform_code, {GEO}, {_measures()} from obs group by platform_code) select * from a join b using (platform_code)",
+    "report_platform": REPORT_PLATFORM,
+    "report_kept": REPORT_PLATFORM,
     "report_profile": f"""{WITH} select platform_code, profile_no, min(profile_timestamp) as profile_timestamp, min(longitude) as longitude, min(latitude) as latitude, count(*) as n_obs,
  min(time_qc) as time_qc, min(position_qc) as position_qc, {_measures()} from obs group by platform_code, profile_no""",
     "report_levels": f"""{WITH}{PROF_QC}, a as (select case when grouping(platform_code) = 1 then 'global' else 'platform' end as level, platform_code, count(distinct platform_code) as n_platforms, {REPORT_COUNTS} from p group by rollup (platform_code)),
@@ -378,14 +500,8 @@ select t, coalesce((select value from r where start <= t order by start desc, po
 c as (select c_custkey, c_nationkey as nation, c_custkey % 400 as t from customer),
 m as (select c_custkey, arg_max(value, start * 1000000000 + position) as value from c join r on r.nation = c.nation and start <= t group by c_custkey)
 select c.c_custkey, c.nation, c.t, coalesce(m.value, cast('NaN' as double)) as value from c left join m using (c_custkey)""",
-    "netcdf_nrt": """with c as (select s_suppkey as s, s_nationkey as n, row_number() over (partition by s_nationkey order by s_suppkey) as profile_no from supplier),
-l as (select *, unnest(range(0, 4)) as k from c),
-v as (select *, (s + k) % 3 = 0 as no_temp, (s + k) % 4 = 0 as no_psal, (s + 2 * k) % 5 = 0 as no_pres, (s + k) % 14 - 2 as flag from l)
-select concat('N', cast(n as varchar)) as platform_code, profile_no, 20000 + s / 8.0 as profile_time, timestamp '1950-01-01' + to_days(cast(20000 + s // 8 as integer)) + to_seconds(s % 8 * 10800) as profile_timestamp,
- k + 1 as observation_no, cast(s % 360 - 180 as double) as longitude, cast(s % 80 as double) as latitude, case when s % 12 < 10 then cast(s % 12 as varchar) else '' end as time_qc, cast(s % 3 as varchar) as position_qc,
- concat('AR_PR_CT_', cast(n as varchar)) as filename, case when no_temp then cast('NaN' as float) else cast(s % 100 + k * 0.5 as float) end as temp, case when flag between 0 and 9 then cast(flag as varchar) else '' end as temp_qc,
- case when no_psal then cast('NaN' as float) else cast(30 + k as float) end as psal, '' as psal_qc, case when no_pres then cast('NaN' as float) else cast(10 * k + 1 as float) end as pres, cast(k as varchar) as pres_qc,
- cast(0 as tinyint) as pres_conv, cast(case when no_pres then 0 else 1 end as tinyint) as deph_conv from v where not (no_temp and no_psal and no_pres)""",
+    "netcdf_nrt": NETCDF_SQL,
+    "batch_convert": f"select *, concat(filename, '.parquet') as file, row_number() over (partition by filename order by profile_no, observation_no) - 1 as place from ({NETCDF_SQL})",
     "qc_flags": """select p_partkey, case when p_partkey % 14 - 2 between 0 and 9 then cast(p_partkey % 14 - 2 as varchar) else '' end as i,
  case p_partkey % 4 when 0 then '1' when 2 then 'A' else '' end as c, 'P' || cast(p_partkey as varchar) as t,
  case when p_partkey % 5 = 0 or p_partkey % 9 = 3 then cast('NaN' as double) else cast(p_partkey % 9 as double) end as f from part""",

@@ -119,6 +119,10 @@ class ClassicFile:
 
 
 def write_classic(path: str | Path, dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> None:
+    Path(path).write_bytes(classic_bytes(dimensions, variables, attributes))
+
+
+def classic_bytes(dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
     """A CDF-2 file with fixed dimensions; for fixtures and small exports."""
     kinds = {np.dtype("i1"): 1, np.dtype("S1"): 2, np.dtype("i2"): 3, np.dtype("i4"): 4, np.dtype("f4"): 5, np.dtype("f8"): 6}
     pad = lambda b: b + b"\0" * (-len(b) % 4)
@@ -147,7 +151,7 @@ def write_classic(path: str | Path, dimensions: dict[str, int], variables: dict[
     for h, raw in zip(heads, blocks):
         out.append(h + struct.pack(">q", begin))
         begin += len(raw)
-    Path(path).write_bytes(b"".join(out + blocks))
+    return b"".join(out + blocks)
 
 
 def open_grid(path: str | Path):

@@ -22,16 +22,17 @@ from pyspark.sql.types import StructType
 from ..functions.grids import depth_from_pressure, deployed_in, filled_from, pressure_from_depth, with_made_pressure
 from ..functions.qc import flag_from_char, flag_from_int, float_or_nan, packed_text
 from ..functions.times import days_to_timestamp
-from ..session import prepare
+from ..session import prepare, work_path
 from .cdf import open_grid
 from .files import largest_first
+from .outputs import TARGET, note, noted, write_each
 from .presets import CoraLayout, NrtLayout
 
 GRIDS = ("TEMP", "PSAL", "PRES", "DEPH")
 #: Bytes of a file for which a partition is made, and profile rows of a batch.
 SLICE_BYTES, BATCH = 64 << 20, 1024
 SCHEMA = (
-    "path string, stem string, n long, levels int, platform_attr string, platform_chars string, time double, lon double, lat double, has_precise boolean, has_deploy boolean, plon double, plat double,"
+    "path string, stem string, target string, n long, levels int, platform_attr string, platform_chars string, time double, lon double, lat double, has_precise boolean, has_deploy boolean, plon double, plat double,"
     " deploy_start array<int>, deploy_lon array<float>, deploy_lat array<float>, time_qc int, position_qc int, has_deph boolean,"
     + ", ".join(f"{g.lower()} array<float>, {g.lower()}_fill float, {g.lower()}_flag array<int>, {g.lower()}_char array<string>" for g in GRIDS)
 )
@@ -45,10 +46,10 @@ OBSERVATIONS = (
 
 
 class _Slice(InputPartition):
-    """One of several equal parts of a file's profiles."""
+    """One of several equal parts of a file's profiles, and where the file's result goes."""
 
-    def __init__(self, path: str, part: int, parts: int):
-        self.path, self.part, self.parts = path, part, parts
+    def __init__(self, path: str, part: int, parts: int, target: str | None = None):
+        self.path, self.part, self.parts, self.target = path, part, parts, target
 
 
 def _axes(kind: str) -> tuple[str, str]:
@@ -59,25 +60,34 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.kind = options.get("layout", "nrt")
         self.time_var = options.get("time_var", "TIME")
-        self.paths = json.loads(options["files"]) if "files" in options else [options["path"]]
+        files = json.loads(options["files"]) if "files" in options else [options["path"]]
+        #: With targets, each file is read in one go, so that its result can be written in its order.
+        self.whole = any(isinstance(f, list) for f in files)
+        self.paths = dict(f if isinstance(f, list) else (f, None) for f in files)
+        self.failures = options.get("failures")
 
     def partitions(self):
         out = []
         for path in largest_first(self.paths):  # no file is opened here
-            parts = max(1, ceil(Path(path).stat().st_size / SLICE_BYTES))
-            out += [_Slice(path, k, parts) for k in range(parts)]
+            parts = 1 if self.whole else max(1, ceil(Path(path).stat().st_size / SLICE_BYTES))
+            out += [_Slice(path, k, parts, self.paths[path]) for k in range(parts)]
         return out or [_Slice("", 0, 1)]
 
     def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        own = open_grid(part.path)
-        total = own.dimensions[_axes(self.kind)[0]]
-        start, stop = (total * k // part.parts for k in (part.part, part.part + 1))
-        for a in range(start, stop, BATCH):
-            yield self._batch(part.path, own, a, min(a + BATCH, stop))
-
-    def _batch(self, path: str, own, start: int, stop: int) -> pa.RecordBatch:
+        try:
+            own = open_grid(part.path)
+            total = own.dimensions[_axes(self.kind)[0]]
+            start, stop = (total * k // part.parts for k in (part.part, part.part + 1))
+            for a in range(start, stop, BATCH):
+                yield self._batch(part.path, own, a, min(a + BATCH, stop), part.target)
+        except Exception as e:  # noqa: BLE001  (noted; the other files go on)
+            if not self.failures:
+                raise
+            note(self.failures, part.path, part.target, e)
+
+    def _batch(self, path: str, own, start: int, stop: int, target: str | None = None) -> pa.RecordBatch:
         rows, levels = _axes(self.kind)
         n, depth = stop - start, own.dimensions[levels]
         kinds = ARROW
@@ -120,7 +130,7 @@ class _Reader(DataSourceReader):
         deploy = {"DEPLOY_LONGITUDE", "DEPLOY_LATITUDE", "DEPLOYMENT"} <= own.variables.keys()
         attr = own.attributes.get("platform_code")
         out = {
-            "path": one(path, pa.string()), "stem": one(Path(path).stem, pa.string()), "n": pa.array(np.arange(start, stop)), "levels": one(depth, pa.int32()), "platform_attr": one(None if attr is None else str(attr), pa.string()),
+            "path": one(path, pa.string()), "stem": one(Path(path).stem, pa.string()), "target": one(target, pa.string()), "n": pa.array(np.arange(start, stop)), "levels": one(depth, pa.int32()), "platform_attr": one(None if attr is None else str(attr), pa.string()),
             "platform_chars": pa.array(["".join(r) for r in chars("PLATFORM_NUMBER")] if "PLATFORM_NUMBER" in own.variables else [None] * n, pa.string()),
             "time": line(self.time_var, real, nan), "lon": line("LONGITUDE", real, nan), "lat": line("LATITUDE", real, nan), "has_precise": one(precise, pa.bool_()), "has_deploy": one(deploy, pa.bool_()),
             "plon": line("PRECISE_LONGITUDE", real) if precise else one(None, real), "plat": line("PRECISE_LATITUDE", real) if precise else one(None, real), "has_deph": one("DEPH" in own.variables, pa.bool_()),
@@ -139,7 +149,8 @@ class _Reader(DataSourceReader):
 
 
 class NetcdfProfiles(DataSource):
-    """``spark.read.format("netcdf_profiles")``: options ``path`` or ``files`` (a JSON list), ``layout`` (nrt, cora), ``time_var``."""
+    """``spark.read.format("netcdf_profiles")``: options ``path`` or ``files`` (a JSON list, of paths or of pairs with the
+    result's path), ``layout`` (nrt, cora), ``time_var``, ``failures`` (a shared folder where files that can't be read are noted)."""
 
     @classmethod
     def name(cls) -> str:
@@ -152,16 +163,19 @@ class NetcdfProfiles(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_profiles(spark: SparkSession, files: list[str], layout: NrtLayout | CoraLayout) -> DataFrame:
+def read_profiles(spark: SparkSession, files: list[str] | dict[str, str], layout: NrtLayout | CoraLayout, failures: str | None = None) -> DataFrame:
+    """``files`` that map paths to results are read in one go each, with the result in ``target``."""
     prepare(spark)
     spark.dataSource.register(NetcdfProfiles)
     cora = isinstance(layout, CoraLayout)
-    reader = spark.read.format("netcdf_profiles").option("files", json.dumps([str(f) for f in files])).option("layout", "cora" if cora else "nrt")
+    listed = [[str(f), str(t)] for f, t in files.items()] if isinstance(files, dict) else [str(f) for f in files]
+    reader = spark.read.format("netcdf_profiles").option("files", json.dumps(listed)).option("layout", "cora" if cora else "nrt")
+    reader = reader.option("failures", failures) if failures else reader
     return reader.option("time_var", layout.time_var if cora else "TIME").load()
 
 
-def observations(profiles: DataFrame, layout: NrtLayout | CoraLayout) -> DataFrame:
-    """One row per level of a profile that has any value, in the fixed column order.
+def observations(profiles: DataFrame, layout: NrtLayout | CoraLayout, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per level of a profile that has any value, in the fixed column order, then columns of the profiles (``extra``).
 
     Numbers are places in the grid and are not closed up when levels are dropped. Coordinates are
     double for either layout. Depth that is neither read nor computed is NaN.
@@ -189,7 +203,7 @@ def observations(profiles: DataFrame, layout: NrtLayout | CoraLayout) -> DataFra
     p = p.select(
         platform.alias("platform_code"), (F.col("n") + 1).alias("profile_no"), F.coalesce("time", nan).alias("profile_time"), lon.alias("longitude"), lat.alias("latitude"),
         plon.alias("profile_longitude"), plat.alias("profile_latitude"), time_qc.alias("time_qc"), position_qc.alias("position_qc"), F.col("stem").alias("filename"), used_lat.alias("__lat"), deph_there.alias("__sourced"),
-        *(f"{g.lower()}_fill" for g in GRIDS), F.sequence(F.lit(0), F.col("levels") - 1).alias("__levels"), "levels",
+        *extra, *(f"{g.lower()}_fill" for g in GRIDS), F.sequence(F.lit(0), F.col("levels") - 1).alias("__levels"), "levels",
         *(c for g in GRIDS for c in (g.lower(), f"{g.lower()}_flag", f"{g.lower()}_char")),
     )
     names = [c for g in GRIDS for c in (g.lower(), f"{g.lower()}_flag", f"{g.lower()}_char")]
@@ -210,18 +224,28 @@ def observations(profiles: DataFrame, layout: NrtLayout | CoraLayout) -> DataFra
     pres, pres_qc, pres_conv = pressure_from_depth(F.col("__pres"), F.col("__pres_qc"), F.col("__deph"), F.col("__deph_qc"), F.col("__made"))
     deph, deph_qc, deph_conv = depth_from_pressure(F.col("__deph"), F.col("__deph_qc"), F.col("__pres"), F.col("__pres_qc"), F.col("__lat"))
     out = p.select(
-        "platform_code", "profile_no", "profile_time", days_to_timestamp(F.col("profile_time")).alias("profile_timestamp"), (F.col("__k") + 1).cast("long").alias("observation_no"),
+        *extra, "platform_code", "profile_no", "profile_time", days_to_timestamp(F.col("profile_time")).alias("profile_timestamp"), (F.col("__k") + 1).cast("long").alias("observation_no"),
         "longitude", "latitude", "profile_longitude", "profile_latitude", "time_qc", "position_qc", "filename",
         F.col("__temp").alias("temp"), F.col("__temp_qc").alias("temp_qc"), F.col("__psal").alias("psal"), F.col("__psal_qc").alias("psal_qc"),
         pres.alias("pres"), pres_qc.alias("pres_qc"), pres_conv.alias("pres_conv"), deph.alias("deph"), deph_qc.alias("deph_qc"), deph_conv.alias("deph_conv"),
     )
-    return out.select(*OBSERVATIONS)
+    return out.select(*OBSERVATIONS, *extra)
 
 
 def convert(spark: SparkSession, files: list[str], layout: NrtLayout | CoraLayout) -> DataFrame:
     return observations(read_profiles(spark, files, layout), layout)
 
 
+def convert_each(spark: SparkSession, results: dict[str, str], layout: NrtLayout | CoraLayout) -> list[str]:
+    """Converts every file of ``results`` to the file that it maps to, in one job without a shuffle; a file without
+    observations becomes an empty table. What can't be read is left out and returned, with the reason; all other files are
+    written. None is until all are done."""
+    failures = work_path(spark, "failures")
+    rows = observations(read_profiles(spark, results, layout, failures), layout, ("target",)).withColumnRenamed("target", TARGET)
+    write_each(rows, list(map(str, results.values())), ordered=True, failures=failures)
+    return [f"{x['source']}: {x['reason']}" for x in noted(failures)]
+
+
 def header(path: str | Path, kind: str = "nrt") -> dict:
     """Attributes, dimensions and variables of one file, under its stem."""
     from ..plans.headers import NRT_ATTRIBUTES
@@ -251,4 +275,4 @@ def headers(spark: SparkSession, files: list[str], kind: str = "nrt") -> DataFra
     return paths.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism))).mapInPandas(read, "path string, doc string")
 
 
-__all__ = ["NetcdfProfiles", "convert", "header", "headers", "observations", "read_profiles"]
+__all__ = ["NetcdfProfiles", "convert", "convert_each", "header", "headers", "observations", "read_profiles"]
