@@ -166,7 +166,8 @@ def _scored(model: Model, raw: bool = False):
 
 def fit(rows: DataFrame, seed: int = 0) -> Model:
     """From rows (features, label double, fold int): fold 1 calibrates, the others fit the ridge. All
-    rows are used. Without rows every score is 0.5; without rows in fold 1 scores are the ridge's."""
+    rows are used; those of fold 1 are pooled in BINS equal-width bins of their ridge score (a bounded number for the driver) before the
+    isotonic fit. Without rows every score is 0.5; without rows in fold 1 scores are the ridge's."""
     each = [F.col("features")[k] for k in range(len(FEATURES))]
     found = rows.where("fold <> 1").agg(F.count(F.lit(1)), *(F.round(F.avg(x), 9) for x in each), *(F.round(F.stddev_pop(x), 9) for x in each)).first()
     k = len(FEATURES)

@@ -8,7 +8,8 @@ size; large groups are split into salted parts, whose leaders meet in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from .words import runs
 
 #: Members of a node that one task compares at once.
 NODE = 1024
+#: Members of a node that are held before it is known whether several groups share it.
+HELD = 1 << 20
 #: Members of a part of a group, and numbers in their sets, that one task compares at once.
 PART, PART_VALUES = 512, 1 << 22
 #: For rounding of similarities.
@@ -113,31 +116,120 @@ def _related(related: float):
     return work
 
 
-def candidate_groups(at: DataFrame, sigs: DataFrame, close: float, related: float, apart: float) -> DataFrame:
-    """node, root: groups of members of the nodes of ``at`` (rep, node) by their signatures in ``sigs`` (rep, sig).
+def _shared(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, rep, root) sorted by node: those of nodes whose members have several roots, numbered within the node.
+
+    Rows stream by. Of the node at the end of a batch, rows are held while all its roots are one, up to ``most`` of them; then
+    they go out too, which costs work and loses nothing."""
+    last, held, out = None, [], False  # the node in progress: (node, root, rows so far), what is held of it, whether it goes out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        sizes = np.diff(np.append(starts, len(node)))
+        low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+        mixed, before = low != high, np.zeros(len(starts), np.int64)
+        if last and last[0] == node[0]:
+            before[0] = last[2]
+            mixed[0] |= out or low[0] != last[1]
+            if mixed[0]:
+                yield from held
+                held = []
+        else:
+            held = []
+        place = np.arange(len(node)) - np.repeat(starts - before, sizes)
+        go = np.repeat(mixed, sizes)
+        yield _numbered(batch, np.flatnonzero(go), place)
+        if len(starts) > 1:
+            held = []
+        out = bool(mixed[-1])
+        if not out:
+            held.append(_numbered(batch, np.arange(starts[-1], len(node)), place))
+            if sum(x.num_rows for x in held) > most:
+                yield from held
+                held, out = [], True
+        last = int(node[-1]), int(low[-1]), int(place[-1]) + 1
+
+
+def _numbered(batch: pa.RecordBatch, rows: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    own = batch.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([own.column("node"), own.column("rep"), pa.array(place[rows])], ["node", "rep", "place"])
+
+
+def candidate_groups(rounds: Iterable[Callable[[DataFrame], DataFrame]], sigs: DataFrame, close: float, related: float, apart: float) -> DataFrame:
+    """node, root: groups of members of nodes by their signatures in ``sigs`` (rep, sig, others).
+
+    Each of ``rounds`` gives the nodes (rep, root, node) of ``sigs`` with a column root, which is that of the rounds before: of
+    a node whose members are in one group already nothing needs to be compared. So of a large group of near copies most nodes
+    are passed over after the first round.
 
     A member that differs from a leader in up to ``close`` values follows it. Two that differ in up to d values are in one group
     if ``related`` is d + close (the leader of one against the other), and ``apart``, which counts between the leaders of a
     split node, d + 2 * close."""
+    groups = None
+    for nodes_of in rounds:
+        if groups is None:
+            known = sigs.withColumn("root", F.col("rep"))
+        else:
+            known = sigs.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        edges = _met(nodes_of(known), sigs, close, related, apart)
+        if groups is None or edges is not None:
+            before = [] if groups is None else [groups.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+            none = sigs.sparkSession.createDataFrame([], "a long, b long")
+            groups = components(reduce(DataFrame.unionByName, before, none if edges is None else edges))
+    return groups
+
+
+def _met(at: DataFrame, sigs: DataFrame, close: float, related: float, apart: float) -> DataFrame | None:
+    """Edges between members of nodes; None if no node is shared by several groups."""
     spark = at.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one shuffle of all nodes; what comes out are those that several groups share
+    rows = at.select("node", "rep", "root").repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(_shared, "node long, rep long, place long")
+    rows = stored(rows.select("node", "rep", F.floor(F.col("place") / NODE).cast("int").alias("salt")), "shared-nodes")
+    if not rows.head(1):
+        return None
     half = lambda salt: F.sum(F.xxhash64(F.lit(salt), "rep").bitwiseAND((1 << 40) - 1))
-    nodes = at.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), half(1).alias("x"), half(2).alias("y")).where("members > 1")
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), half(1).alias("x"), half(2).alias("y"), (F.max("salt") + 1).alias("salts"))
     # of nodes with the same members, one
-    nodes = nodes.groupBy("members", "low", "x", "y").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("members") / NODE).cast("int").alias("salts"))
-    nodes = stored(nodes, "nodes")
-    met = at.join(nodes, "node").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
-    met = stored(met.join(sigs.select("rep", "sig"), "rep").select("node", "salt", "salts", "rep", "sig"), "met")
-    first = met.repartition(parts, "node", "salt").sortWithinPartitions("node", "salt", "rep").select("node", "salt", "rep", "sig").mapInPandas(grouped(["node", "salt"], _led(close, related)), "node long, a long, b long")
+    nodes = stored(nodes.groupBy("members", "low", "x", "y", "salts").agg(F.min("node").alias("node")).select("node", "salts"), "nodes")
+    met = stored(rows.join(nodes.select("node"), "node", "left_semi").join(sigs.select("rep", "sig"), "rep").select("node", "salt", "rep", "sig"), "met")
+    first = met.repartition(parts, "node", "salt").sortWithinPartitions("node", "salt", "rep").mapInPandas(grouped(["node", "salt"], _led(close, related)), "node long, a long, b long")
     first = stored(first, "led")
     # the leaders of a split node meet in blocks, two at a time
     leaders = first.where("a = b").select("node", F.col("a").alias("rep")).join(nodes.where("salts > 1").select("node"), "node", "left_semi")
     split = stored(leaders.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("blocks")), "split-nodes")
+    edges = first.select("a", "b")
+    if not split.head(1):
+        return edges
     leaders = leaders.join(split, "node").withColumn("side", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"))
     leaders = leaders.join(sigs.select("rep", "sig"), "rep").select("node", "rep", "sig", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     leaders = leaders.select("node", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "rep", "sig")
     second = leaders.repartition(parts, "node", "first", "second").sortWithinPartitions("node", "first", "second", "rep").mapInPandas(grouped(["node", "first", "second"], _related(apart)), "a long, b long")
-    return components(first.select("a", "b").unionByName(second))
+    return edges.unionByName(second)
+
+
+#: Bits of the bitmap of wanted keys for each of them, and the most that it has in all (16 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 27
+#: Bits of a row of a bitmap: what Spark's bitmap functions make.
+ROW_BITS = 32768
+
+
+def wanted(rows: DataFrame, keys: DataFrame, key: str = "k1") -> DataFrame:
+    """``rows`` whose ``key`` (a hash) may be among ``keys``: a bitmap of hashed keys goes to all tasks, so that what no one wants isn't
+    shuffled. It has MOST_BITS bits at most, whatever the number of keys; beyond that it lets more rows through, which the join
+    that follows takes out."""
+    bits = ROW_BITS
+    while bits < min(KEY_BITS * keys.count(), MOST_BITS):
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64(F.lit(11), key), F.lit(bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(place()).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("__bits"))
+    maps = F.broadcast(stored(maps, "wanted-keys"))  # bits / 8 bytes
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    out = rows.withColumn("__bucket", F.bitmap_bucket_number(place())).join(maps, "__bucket")
+    return out.where((F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1)).select(*rows.columns)
 
 
 def _sets(of: Callable[[pa.Array], list[np.ndarray]]):
@@ -161,7 +253,7 @@ def shingle_sets(keyed: DataFrame, members: DataFrame, of: Callable[[pa.Array],
     """``members`` (rep, k1, k2, others) with ``shingles``, the set that ``of`` makes of the text of ``keyed`` (k1, k2, text)."""
     names = [c for c in members.columns if c not in ("k1", "k2")]
     kinds = dict(members.dtypes)
-    rows = keyed.select("k1", "k2", "text").join(members, ["k1", "k2"]).select(*names, "text")
+    rows = wanted(keyed.select("k1", "k2", "text"), members).join(members, ["k1", "k2"]).select(*names, "text")
     return rows.mapInArrow(_sets(of), ", ".join(f"{c} {kinds[c]}" for c in names) + ", shingles array<long>")
 
 

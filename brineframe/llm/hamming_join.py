@@ -7,7 +7,8 @@
 3. Signatures are cut into chunks, as many that, by the pigeonhole principle, two within the radius differ in at most ERRORS
    values of some chunk. Each way to place these errors leaves the chunk's other values, which are a key. Two
    signatures within the radius share a key, without exception.
-4. Members of a key are gathered to candidate groups by the distance of their signatures, large keys in salted parts.
+4. Members of a key are gathered to candidate groups by the distance of their signatures, large keys in salted parts. Keys
+   come in rounds; a key whose members are in one group already is passed over.
 5. Links are confirmed on whole sets within the groups, by leaders (``groups.linked``); their components are the result.
 """
 
@@ -65,6 +66,16 @@ def index_keys(distance: int, values: int = VALUES, errors: int = ERRORS) -> lis
     return [np.delete(own, list(out)) for own in chunks(distance, values, errors) for out in combinations(range(len(own)), min(errors, len(own)))]
 
 
+def in_rounds(keys: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """The keys in rounds: a sixteenth of them, twice as many, and so on. The first gather what is very similar."""
+    out, at, n = [], 0, max(1, len(keys) // 16)
+    while at < len(keys):
+        end = at + n if len(keys) - at - n > n else len(keys)
+        out.append(keys[at:end])
+        at, n = end, 2 * n
+    return out
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """MinHash values, cut to BITS, of the sets of numbers that are not empty."""
     starts = bounds[:-1][np.diff(bounds) > 0]
@@ -99,7 +110,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(keys: list[np.ndarray]):
-    """A row for each representative and key: a hash of the key's number and values."""
+    """A row for each representative and key: a hash of the key's values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +119,12 @@ def _keyed(keys: list[np.ndarray]):
                 sig = raw(part.column("sig"))[0].view(np.uint16).reshape(part.num_rows, VALUES).astype(np.uint64)
                 node = np.empty((part.num_rows, len(keys)), np.uint64)
                 for k, own in enumerate(keys):
-                    total = np.full(part.num_rows, k + 1, np.uint64)
+                    total = np.zeros(part.num_rows, np.uint64)
                     for v in own:
-                        total = mix(total * BASE + sig[:, v])
+                        total = mix(total * BASE + (sig[:, v] << np.uint64(8)) + np.uint64(v))
                     node[:, k] = total
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rep").to_numpy(), len(keys))), pa.array(node.ravel().view(np.int64))], ["rep", "node"])
+                columns = [pa.array(np.repeat(part.column(c).to_numpy(), len(keys))) for c in ("rep", "root")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(node.ravel().view(np.int64))], ["rep", "root", "node"])
 
     return run
 
@@ -130,9 +142,11 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, part: int = PART)
     reps = stored(reps, "representatives")
 
     distance = radius(threshold)
-    at = reps.select("rep", "sig").mapInArrow(_keyed(index_keys(distance)), "rep long, node long")
-    candidate = candidate_groups(at, reps, CLOSE, distance + CLOSE, distance + 2 * CLOSE)
+    keys = index_keys(distance)
+    rounds = [lambda some, own=own: some.select("rep", "root", "sig").mapInArrow(_keyed(own), "rep long, root long, node long") for own in in_rounds(keys)]
+    candidate = candidate_groups(rounds, reps, CLOSE, distance + CLOSE, distance + 2 * CLOSE)
     members = candidate.select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(reps.select("rep", F.col("n").alias("size"), "k1", "k2"), "rep")
+    members = stored(members, "members")
     sets_of = lambda some: shingle_sets(keyed, some, shingle_arrays)
     final = components(linked(members, sets_of, threshold, part))
     each = base.select("row", "doc_id", "k1", "k2", "c1", "c2", "n").join(classes, ["c1", "c2"], "left").join(final.select(F.col("node").alias("rep"), F.col("root").alias("top")), "rep", "left")

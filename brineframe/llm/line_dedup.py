@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, stored, work_path
-from .ledger import Ledger
+from ..sources.ledger import Batch, Ledger
 from .words import SPACES, runs
 
 #: Fixed value: keys shorter than this many code points stay.
@@ -220,104 +220,115 @@ class LineIndex:
         """The bucket of a document; the lines of all null ids are spread."""
         return F.pmod(F.xxhash64(doc), F.lit(self.shards)).cast("int")
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (doc, seq) that no later deletion took out."""
-        gone = self.log.read("gone", self.GONE).groupBy("doc").agg(F.max("seq").alias("until"))
+    def _live(self, state: Batch | Ledger, rows: DataFrame, buckets: Iterable[int]) -> DataFrame:
+        """Rows (doc, seq) of documents in some buckets that no later deletion took out."""
+        gone = state.read("gone", self.GONE, by="bucket", some=buckets).groupBy("doc").agg(F.max("seq").alias("until"))
         return rows.join(gone, "doc", "left").where("until is null or seq > until").drop("until")
 
-    def _filters(self, shards: Iterable[int]) -> DataFrame:
+    def _filters(self, state: Batch, shards: Iterable[int]) -> DataFrame:
         """The newest filters of some shards."""
-        rows = self.log.read("filters", self.FILTERS, by="shard", some=shards)
+        rows = state.read("filters", self.FILTERS, by="shard", some=shards)
         newest = rows.groupBy("shard").agg(F.max("seq").alias("seq"))
         return rows.join(newest, ["shard", "seq"]).select(*_FILTER, F.lit(False).alias("changed"))
 
-    def _counts(self, shards: Iterable[int] | None = None) -> DataFrame:
+    def _counts(self, state: Batch | Ledger, shards: Iterable[int] | None = None) -> DataFrame:
         """key, docs, owner of the keys that live documents hold."""
-        rows = self.log.read("counts", self.COUNTS, by="shard", some=shards)
+        rows = state.read("counts", self.COUNTS, by="shard", some=shards)
         last = rows.groupBy("key").agg(F.max_by(F.struct("docs", "owner"), "seq").alias("now"))
         return last.select("key", "now.docs", "now.owner").where("docs > 0")
 
-    def _written(self, table: str, seq: int, df: DataFrame, by: str) -> DataFrame:
+    def _written(self, batch: Batch, table: str, df: DataFrame, by: str) -> DataFrame:
         """Writes a table of the open batch and gives it back; folders that hold much are written by several tasks."""
-        self.log.write(table, seq, df.hint("rebalance", by), by)
-        return self.log.read(table, {"gone": self.GONE, "counts": self.COUNTS, "holders": self.HOLDERS}[table], only=[seq]).drop("seq")
+        batch.write(table, df.hint("rebalance", by), by)
+        return batch.own(table, {"gone": self.GONE, "counts": self.COUNTS, "holders": self.HOLDERS}[table]).drop("seq")
 
     def insert(self, docs: DataFrame, batch: str) -> None:
         """Adds documents (doc_id, text). A batch name that was committed before is left alone. An id that is
-        there already has the lines of both texts from now on; to revise a document, delete it first."""
-        if self.log.known(batch):
-            return
-        seq = self.log.next()
+        there already has the lines of both texts from now on; to revise a document, delete it first. Batches of
+        several writers follow one another: see ``ledger``."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         bucket = F.when(F.col("doc") == LAST, self._bucket("key")).otherwise(self._bucket())
         refs = rows.mapInArrow(_refs(self.shards), "shard int, key binary, doc long").withColumn("bucket", bucket)
-        self.log.write("refs", seq, refs.repartition(self.shards, "bucket").dropDuplicates(["bucket", "doc", "key"]), "bucket")
-        refs = self.log.read("refs", self.REFS, only=[seq]).drop("seq")
-        if self.log.commits():
+        self.log.apply(batch, lambda own: self._insert(own, refs))
+
+    def _insert(self, batch: Batch, refs: DataFrame) -> None:
+        batch.write("refs", refs.repartition(self.shards, "bucket").dropDuplicates(["bucket", "doc", "key"]), "bucket")
+        refs = batch.own("refs", self.REFS).drop("seq")
+        if batch.state:
             own = refs.select("doc", "bucket").distinct()
-            earlier = self._live(self.log.read("refs", self.REFS, by="bucket", some=_numbers(own, "bucket")).select("doc", "bucket", "seq"))
+            buckets = _numbers(own, "bucket")
+            earlier = self._live(batch, batch.read("refs", self.REFS, by="bucket", some=buckets).select("doc", "bucket", "seq"), buckets)
             known = stored(earlier.join(own.select("doc"), "doc", "left_semi").select("doc", "bucket").distinct(), "known-documents")
             if known.head(1):
-                held = self._live(self._refs_of(known)).select("doc", "key")
+                held = self._live(batch, *self._refs_of(batch, known)).select("doc", "key")
                 refs = stored(refs.join(held, ["doc", "key"], "left_anti"), "new-lines")
 
         keys = stored(refs.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner")), "line-keys")
-        probed = stored(keys.select("shard", "key").groupBy("shard").cogroup(self._filters(_numbers(keys, "shard")).groupBy("shard")).applyInPandas(_add, _PROBED), "probed")
+        probed = stored(keys.select("shard", "key").groupBy("shard").cogroup(self._filters(batch, _numbers(keys, "shard")).groupBy("shard")).applyInPandas(_add, _PROBED), "probed")
         maybe = probed.where("key is not null").select("shard", "key")
         self.looked_up = maybe.count()
         old = self.spark.createDataFrame([], "key binary, old_docs long, old_owner long")
         if self.looked_up:
-            found = self._counts(_numbers(maybe, "shard")).join(maybe.select("key"), "key", "left_semi")
+            found = self._counts(batch, _numbers(maybe, "shard")).join(maybe.select("key"), "key", "left_semi")
             old = stored(found.select("key", F.col("docs").alias("old_docs"), F.col("owner").alias("old_owner")), "held-keys")
         now = keys.join(old, "key", "left").select("key", (F.col("docs") + F.coalesce("old_docs", F.lit(0))).alias("docs"), F.least("owner", "old_owner").alias("owner"), "old_docs", "old_owner", "shard")
-        now = self._written("counts", seq, now, "shard")
+        now = self._written(batch, "counts", now, "shard")
         holders = refs.join(now.where("docs > 1").select("key"), "key", "left_semi").select("key", "doc", "shard")
         # the holder of a key that had one so far
         first = now.where("old_docs = 1").select("key", F.col("old_owner").alias("doc"), "shard")
-        self._written("holders", seq, holders.unionByName(first), "shard")
+        self._written(batch, "holders", holders.unionByName(first), "shard")
         filters = probed.where("key is null").select(*_FILTER, "changed")
         if self.looked_up:  # keys that the filter only seemed to hold are put in now
             false = stored(maybe.join(old, "key", "left_anti"), "seeming-keys")
             filters = filters.groupBy("shard").cogroup(false.groupBy("shard")).applyInPandas(_changed(1), "shard int, segment int, slots binary")
-        self.log.write("filters", seq, filters.select(*_FILTER), "shard")
-        self.log.commit(batch, seq)
+        batch.write("filters", filters.select(*_FILTER), "shard")
 
-    def _refs_of(self, docs: DataFrame) -> DataFrame:
-        """The committed lines of documents (doc, bucket)."""
-        buckets = None if docs.where(F.col("doc") == LAST).head(1) else _numbers(docs, "bucket")
-        return self.log.read("refs", self.REFS, by="bucket", some=buckets).join(docs.select("doc"), "doc", "left_semi")
+    def _refs_of(self, state: Batch | Ledger, docs: DataFrame) -> tuple[DataFrame, list[int]]:
+        """The committed lines of documents (doc, bucket), and the buckets that hold them."""
+        buckets = list(range(self.shards)) if docs.where(F.col("doc") == LAST).head(1) else _numbers(docs, "bucket")
+        return state.read("refs", self.REFS, by="bucket", some=buckets).join(docs.select("doc"), "doc", "left_semi"), buckets
 
     def delete(self, docs: DataFrame, batch: str) -> None:
         """Takes documents (doc_id) out; their lines pass to the next smallest holder. Ids that are not there change nothing."""
-        if self.log.known(batch):
-            return
-        seq = self.log.next()
         gone = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")).distinct().withColumn("bucket", self._bucket())
-        gone = self._written("gone", seq, gone, "bucket")
-        refs = self._live(self._refs_of(gone)).select("doc", "key", "shard").distinct()
+        self.log.apply(batch, lambda own: self._delete(own, gone))
+
+    def _delete(self, batch: Batch, gone: DataFrame) -> None:
+        gone = self._written(batch, "gone", gone, "bucket")
+        refs = self._live(batch, *self._refs_of(batch, gone)).select("doc", "key", "shard").distinct()
         lost = stored(refs.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("fewer"), F.min("doc").alias("least")), "lost-keys")
         shards = _numbers(lost, "shard")
-        now = self._counts(shards).join(lost, "key")
+        now = self._counts(batch, shards).join(lost, "key")
         now = stored(now.select("key", (F.col("docs") - F.col("fewer")).alias("docs"), "owner", F.col("docs").alias("old_docs"), F.col("owner").alias("old_owner"), "shard", (F.col("owner") == F.col("least")).alias("passes")), "recounted")
-        heirs = self._live(self.log.read("holders", self.HOLDERS, by="shard", some=shards).join(now.where("passes and docs > 0").select("key"), "key", "left_semi"))
-        heirs = heirs.join(gone.select("doc"), "doc", "left_anti").groupBy("key").agg(F.min("doc").alias("heir"))
-        now = now.join(stored(heirs, "heirs"), "key", "left").withColumn("owner", F.when(F.col("passes"), F.col("heir")).otherwise(F.col("owner"))).drop("passes", "heir")
-        now = self._written("counts", seq, now.select("key", "docs", "owner", "old_docs", "old_owner", "shard"), "shard")
+        held = batch.read("holders", self.HOLDERS, by="shard", some=shards).join(now.where("passes and docs > 0").select("key"), "key", "left_semi")
+        held = stored(held.join(gone.select("doc"), "doc", "left_anti").select("key", "doc", "seq", self._bucket().alias("bucket")), "heirs")
+        heirs = self._live(batch, held, _numbers(held, "bucket")).groupBy("key").agg(F.min("doc").alias("heir"))
+        now = now.join(heirs, "key", "left").withColumn("owner", F.when(F.col("passes"), F.col("heir")).otherwise(F.col("owner"))).drop("passes", "heir")
+        now = self._written(batch, "counts", now.select("key", "docs", "owner", "old_docs", "old_owner", "shard"), "shard")
         empty = now.where("docs = 0").select("shard", "key")
-        filters = self._filters(_numbers(empty, "shard")).groupBy("shard").cogroup(empty.groupBy("shard"))
-        self.log.write("filters", seq, filters.applyInPandas(_changed(-1), "shard int, segment int, slots binary"), "shard")
-        self.log.commit(batch, seq)
+        filters = self._filters(batch, _numbers(empty, "shard")).groupBy("shard").cogroup(empty.groupBy("shard"))
+        batch.write("filters", filters.applyInPandas(_changed(-1), "shard int, segment int, slots binary"), "shard")
 
     def shared(self) -> DataFrame:
         """key, owner: lines of at least two live documents."""
-        return self._counts().where("docs > 1").select("key", "owner")
+        return self._counts(self.log).where("docs > 1").select("key", "owner")
 
-    def clean(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_text of documents (doc_id, text) that were inserted; other columns stay too."""
-        # written, so that adaptive execution can split the join where one line has very many holders
-        owners = stored(self.shared(), "owners")
-        drops = self.log.read("holders", self.HOLDERS).select("key", "doc").join(owners, "key").where("doc > owner").groupBy("doc").agg(F.collect_set("key").alias("__drop"))
+    def clean(self, docs: DataFrame, whole: bool = True) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept_text of documents (doc_id, text) that were inserted; other columns stay too.
+
+        ``whole``: the documents are most of the index, so all counts are read. Else the lines of these ids say which
+        shards are: no other folder is opened."""
         rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+        shards = None
+        if not whole:
+            own = rows.select(F.col("__doc").alias("doc")).distinct().withColumn("bucket", self._bucket())
+            shards = _numbers(self._refs_of(self.log, own)[0], "shard")
+        # written, so that adaptive execution can split the join where one line has very many holders
+        owners = stored(self._counts(self.log, shards).where("docs > 1").select("key", "owner"), "owners")
+        held = self.log.read("holders", self.HOLDERS, by="shard", some=shards).select("key", "doc")
+        if not whole:
+            held = held.join(own.select("doc"), "doc", "left_semi")
+        drops = held.join(owners, "key").where("doc > owner").groupBy("doc").agg(F.collect_set("key").alias("__drop"))
         rows = rows.join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
         kinds = {f.name: f.dataType for f in docs.schema.fields}
         schema = ", ".join([f"`{c}` {k.simpleString()}" for c, k in kinds.items()] + ["n_lines long", "n_dropped long", "kept_text string"])

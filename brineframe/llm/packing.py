@@ -108,8 +108,8 @@ def _pack(window: int):
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are those of ``tokenizer`` (a tokenizers file, special tokens' strings
-    taken as plain text) and then ``end_id``. Null and empty texts are ``end_id`` alone. Rows
+    A document's ids are those of ``tokenizer`` (a tokenizers file; the string of an added token is
+    that token, as its file says) and then ``end_id``. Null and empty texts are ``end_id`` alone. Rows
     that repeat an id are documents of their own; null ids are kept. Full windows have even
     sequence numbers, the others odd ones; offsets in a sequence have no gaps. Other columns
     are not read.

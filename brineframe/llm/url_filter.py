@@ -73,7 +73,8 @@ def _lengths(known: Mapping[str, int], size: int) -> list[int]:
 
 
 def split(run: str, known: Mapping[str, int], short: Mapping[str, int], total: int) -> list[str]:
-    """The cheapest split of a run of letters (Viterbi). Words cost their negative log probability; an
+    """The cheapest split of a run of letters (Viterbi). Of equally cheap splits, the one whose last word is the
+    longest of known ones, then known rather than unknown; before it, the same again. Words cost their negative log probability; an
     unknown word of n letters, of any length, costs more the longer it is. ``known``: the words of more than
     SHORT letters that the run holds."""
     lengths = _lengths(known, len(run))
@@ -177,7 +178,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def joined(run: str, n: int, known: Mapping[str, int], short: Mapping[str, int], total: int) -> bool:
     """Whether a run is several known words: each a listed one, or of LEAST letters and seen as often as
-    the run. Its own count says nothing then, so words must be cheaper than an unknown word of its length."""
+    the run. Its own count says nothing then, so words must be cheaper than an unknown word of its length; as cheap is not joined."""
     if run in LISTED:
         return False
     lengths, best = _lengths(known, len(run)), [0.0] + [inf] * len(run)
@@ -238,16 +239,22 @@ def unsure(host: str) -> bool:
     return not marked(host) and any(w in host for w in SEEDS)
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs by place and class of their page; pages themselves are counted as null runs."""
-    for batch in batches:
-        found: Counter = Counter()
-        for host, path, seeded in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "seeded"))):
-            bad = seeded or marked(host)
-            found.update((*x, bad) for x in placed_runs(host, path))
-            found[None, "", bad] += 1
-        columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["run", "place", "bad", "n"])
+def _class_counts(rules: Rules):
+    """Runs by place and class of their page; pages themselves are counted as null runs. The class is the verdict of
+    the page's rule; without one, whether its host is seeded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for host, path, seeded in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "seeded"))):
+                verdict = rules.match(host, path)[1]
+                bad = verdict == "block" if verdict else seeded or marked(host)
+                found.update((*x, bad) for x in placed_runs(host, path))
+                found[None, "", bad] += 1
+            columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["run", "place", "bad", "n"])
+
+    return run
 
 
 def _unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +278,14 @@ def with_seeded(parts: DataFrame, words: DataFrame) -> DataFrame:
     return urls.where("not unsure").select("host", "path", F.lit(False).alias("seeded")).union(looked.select("host", "path", F.coalesce("seeded", F.lit(False))))
 
 
-def learn_scores(parts: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
+def learn_scores(parts: DataFrame, words: DataFrame, rules: Iterable[tuple[str, str, str]] = ()) -> tuple[DataFrame, int]:
     """run, place, n, score of every run, and the prior, by multinomial naive Bayes over the runs' words.
 
-    Pages whose host has a seed word, between other characters or once its runs are split, are
-    examples of blocking, all others of allowing. A score is the sum of its words' log likelihood ratios of blocking, the
+    A page that a rule fits is an example of the rule's verdict. Of the others, those whose host has a seed word, between
+    other characters or once its runs are split, are examples of blocking, and the rest of allowing. A score is the sum of its words' log likelihood ratios of blocking, the
     prior that of the classes; both are whole numbers of 1e-9, so sums don't depend on their order.
     """
-    counted = with_seeded(parts, words).mapInArrow(_class_counts, "run string, place string, bad boolean, n long")
+    counted = with_seeded(parts, words).mapInArrow(_class_counts(Rules(rules)), "run string, place string, bad boolean, n long")
     both = stored(counted.groupBy("run", "place").agg(*(F.coalesce(F.sum(F.when(F.col("bad") == F.lit(b), F.col("n"))), F.lit(0)).alias(c) for c, b in (("bad", True), ("good", False)))), "url-classes")
     pages = both.where("run is null").first()
     tokens = both.where("run is not null").join(words, "run", "left").select("run", "place", "bad", "good", F.explode(F.coalesce("words", F.array("run"))).alias("word"))
@@ -345,10 +352,11 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     scores go to the workers and which are joined.
     """
     prepare(pages.sparkSession)
+    rules = list(rules)
     parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     urls = parts.select("host", "path")
     texts = pages.select(F.col(f"`{html}`").cast("string").alias("html")) if html in pages.columns else None
-    scores, prior = learn_scores(urls, split_runs(run_counts(urls, texts)))
+    scores, prior = learn_scores(urls, split_runs(run_counts(urls, texts)), rules)
     first = {(r["run"], r["place"]): r["score"] for r in scores.orderBy(F.desc("n"), "run", "place").limit(held).collect()}
     own = f"`{key}` {dict(parts.dtypes)[key]}, host string, path string"
     out = f"{own}, rule string, verdict string"
