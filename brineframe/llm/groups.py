@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from .words import runs
 
 #: Members of a node that one task compares at once.
 NODE = 1024
+#: Rows of nodes and members for which a table that is written in between has a task.
+TASK_ROWS = 50_000
 #: Members of a node that are held before it is known whether several groups share it.
 HELD = 1 << 20
 #: Members of a part of a group, and numbers in their sets, that one task compares at once.
@@ -188,18 +191,22 @@ def _met(at: DataFrame, sigs: DataFrame, close: float, related: float, apart: fl
     # one shuffle of all nodes; what comes out are those that several groups share
     rows = at.select("node", "rep", "root").repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(_shared, "node long, rep long, place long")
     rows = stored(rows.select("node", "rep", F.floor(F.col("place") / NODE).cast("int").alias("salt")), "shared-nodes")
-    if not rows.head(1):
+    n = rows.count()
+    if not n:
         return None
+    # tables from here on are as large as these rows: so many tasks write them
+    tasks = max(spark.sparkContext.defaultParallelism, ceil(n / TASK_ROWS))
+    kept = lambda df, name: stored(df.coalesce(tasks), name)
     half = lambda salt: F.sum(F.xxhash64(F.lit(salt), "rep").bitwiseAND((1 << 40) - 1))
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), half(1).alias("x"), half(2).alias("y"), (F.max("salt") + 1).alias("salts"))
     # of nodes with the same members, one
-    nodes = stored(nodes.groupBy("members", "low", "x", "y", "salts").agg(F.min("node").alias("node")).select("node", "salts"), "nodes")
-    met = stored(rows.join(nodes.select("node"), "node", "left_semi").join(sigs.select("rep", "sig"), "rep").select("node", "salt", "rep", "sig"), "met")
+    nodes = kept(nodes.groupBy("members", "low", "x", "y", "salts").agg(F.min("node").alias("node")).select("node", "salts"), "nodes")
+    met = kept(rows.join(nodes.select("node"), "node", "left_semi").join(sigs.select("rep", "sig"), "rep").select("node", "salt", "rep", "sig"), "met")
     first = met.repartition(parts, "node", "salt").sortWithinPartitions("node", "salt", "rep").mapInPandas(grouped(["node", "salt"], _led(close, related)), "node long, a long, b long")
-    first = stored(first, "led")
+    first = kept(first, "led")
     # the leaders of a split node meet in blocks, two at a time
     leaders = first.where("a = b").select("node", F.col("a").alias("rep")).join(nodes.where("salts > 1").select("node"), "node", "left_semi")
-    split = stored(leaders.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("blocks")), "split-nodes")
+    split = kept(leaders.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("blocks")), "split-nodes")
     edges = first.select("a", "b")
     if not split.head(1):
         return edges
