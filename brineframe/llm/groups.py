@@ -326,41 +326,52 @@ def _part(threshold: float, near: float):
     return work
 
 
-def _leaders(threshold: float, near: float):
-    """Of two blocks of leaders: links (a spanning forest of them), and pairs in different trees whose followers may be linked."""
+def _needs(threshold: float):
+    """Of two blocks of leaders: how far a follower of each must be from it to be linked with a follower of one in another component, or
+    with that leader itself. Leaders that are too far from all such, or have no followers to ask for, are left out."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame | None:
         rows = rows.drop_duplicates("rep", ignore_index=True)
-        rep, reach = rows["rep"].to_numpy(), rows["reach"].to_numpy()
-        same = jaccard(list(rows["shingles"]))
-        root = roots(same >= threshold - SLACK)
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        a, b = np.nonzero(np.triu((1 - same <= 1 - threshold + reach[:, None] + reach + SLACK) & (root[:, None] != root) & (reach[:, None] + reach > 0), 1))
-        return pd.DataFrame({"a": rep[np.append(tied, a)], "b": rep[np.append(root[tied], b)], "apart": np.append(np.zeros(len(tied)), 1 - same[a, b]), "link": np.append(np.ones(len(tied), bool), np.zeros(len(a), bool))})
+        rep, root, reach = (rows[c].to_numpy() for c in ("rep", "root", "reach"))
+        apart = 1 - jaccard(list(rows["shingles"]))
+        close = (apart <= 1 - threshold + reach[:, None] + reach + SLACK) & (root[:, None] != root) & (reach[:, None] + reach > 0)
+        need = np.where(close, apart - (1 - threshold) - reach, np.inf).min(1, initial=np.inf)
+        some = np.isfinite(need)
+        return pd.DataFrame({"leader": rep[some], "need": need[some]}) if some.any() else None
 
     return work
 
 
-def _balls(threshold: float):
-    """Of followers of two leaders: the links between both sides, as edges to the first that each meets."""
+def _all_pairs(threshold: float):
+    """Of two blocks of members: an edge from each to the first of those that links connect it with."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame | None:
         rows = rows.drop_duplicates("rep", ignore_index=True)
-        rep, side = rows["rep"].to_numpy(), rows["side"].to_numpy()
-        root = roots((jaccard(list(rows["shingles"])) >= threshold - SLACK) & (side[:, None] != side))
+        rep, root = rows["rep"].to_numpy(), roots(jaccard(list(rows["shingles"])) >= threshold - SLACK)
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": rep[tied], "b": rep[root[tied]]}) if len(tied) else None
 
     return work
 
 
+def _in_blocks(rows: DataFrame, part: int, what: str, salt: int) -> DataFrame:
+    """Rows (grp, rep, shingles, others) of a group dealt into blocks of ``part`` members, each row once for each block that its own
+    meets: the blocks' numbers are first and second."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / part), F.ceil(F.sum(F.size("shingles")) / PART_VALUES)).cast("int").alias("blocks"))
+    rows = rows.join(stored(blocks, what), "grp").withColumn("side", F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"first": F.least("side", "other"), "second": F.greatest("side", "other")}).drop("blocks", "side", "other")
+    return rows.repartition(parts, "grp", "first", "second").sortWithinPartitions("grp", "first", "second", "rep")
+
+
 def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, part: int = PART) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of one group with a Jaccard similarity of ``threshold`` or more.
 
     ``members``: rep, grp, size (of the set), k1, k2; ``sets_of`` adds shingles to rows with rep, k1 and k2. A group of up to
     ``part`` members is compared in one task. Of a larger group each salted part is, and leaves leaders whose
-    followers are closer than half of what ``threshold`` allows. Leaders meet in blocks. Where two that are not connected are
-    so close that their followers may be linked, those followers are compared too, the ones far enough from their leader.
+    followers are closer than half of what ``threshold`` allows. Leaders meet in blocks. Where two of different components are
+    so close that their followers may be linked, followers that are far enough from their leader meet in blocks too.
     The distance 1 - Jaccard is a metric, so no other pair can be a link between two trees."""
     spark = members.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -377,38 +388,19 @@ def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
 
     reach = led.where("several").groupBy("leader").agg(F.max("far").alias("reach"))
     heads = led.where("shingles is not null").select("grp", "rep", "shingles").join(reach.withColumnRenamed("leader", "rep"), "rep")
-    blocks = stored(heads.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / part), F.ceil(F.sum(F.size("shingles")) / PART_VALUES)).cast("int").alias("blocks")), "leader-blocks")
-    heads = heads.join(blocks, "grp").withColumn("side", F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("blocks")).cast("int"))
-    heads = heads.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    heads = heads.select("grp", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "rep", "reach", "shingles")
-    heads = heads.repartition(shuffles, "grp", "first", "second").sortWithinPartitions("grp", "first", "second", "rep")
-    met = stored(heads.mapInPandas(grouped(["grp", "first", "second"], _leaders(threshold, near)), "a long, b long, apart double, link boolean"), "met-leaders")
-    edges = edges.unionByName(met.where("link").select("a", "b"))
-    if not met.where("not link").head(1):
-        return edges
-
-    root = stored(components(edges), "roots")
-    apart = met.where("not link").dropDuplicates(["a", "b"])
-    for c in "ab":
-        apart = apart.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").join(reach.select(F.col("leader").alias(c), F.col("reach").alias(f"reach_{c}")), c)
-    apart = stored(apart.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "apart", "reach_a", "reach_b"), "apart")
+    met = _in_blocks(heads, part, "leader-blocks", 6).mapInPandas(grouped(["grp", "first", "second"], _all_pairs(threshold)), "a long, b long")
+    edges = edges.unionByName(stored(met, "met-leaders"))
+    # groups that are several components still
+    root = components(edges)
+    heads = stored(heads.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "leaders")
+    apart = heads.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
     if not apart.head(1):
         return edges
-    follower = led.where("several").select("rep", "leader", "far")
-    both = []
-    for side, (own, other) in enumerate((("a", "b"), ("b", "a"))):
-        some = apart.join(follower.withColumnRenamed("leader", own), own).where(F.col("far") >= F.col("apart") - (1 - threshold) - F.col(f"reach_{other}") - SLACK)
-        both.append(some.select("a", "b", "rep", F.lit(side).alias("side")))
-    balls = stored(both[0].unionByName(both[1]), "followers")
-    counts = balls.groupBy("a", "b").agg(*(F.greatest(F.ceil(F.sum((F.col("side") == s).cast("int")) / part), F.lit(1)).cast("int").alias(f"n{s}") for s in (0, 1)))
-    balls = balls.join(stored(counts, "follower-blocks"), ["a", "b"])
-    own = F.pmod(F.xxhash64(F.lit(8), "rep"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
-    balls = balls.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
-    first, second = (F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("own", "other"), ("other", "own")))
-    balls = balls.select("a", "b", first.alias("first"), second.alias("second"), "side", "rep").join(members.select("rep", "k1", "k2"), "rep")
-    # a set is made once for each of its places
-    places = balls.select("rep", "k1", "k2").distinct()
-    whole = sets_of(places).join(balls.drop("k1", "k2"), "rep").select("a", "b", "first", "second", "side", "rep", "shingles")
-    whole = whole.repartition(shuffles, "a", "b", "first", "second").sortWithinPartitions("a", "b", "first", "second", "rep")
-    found = whole.mapInPandas(grouped(["a", "b", "first", "second"], _balls(threshold)), "a long, b long")
+    needs = _in_blocks(heads.join(apart, "grp", "left_semi"), part, "leader-blocks", 6).mapInPandas(grouped(["grp", "first", "second"], _needs(threshold)), "leader long, need double")
+    need = stored(needs.groupBy("leader").agg(F.min("need").alias("need")), "needed")
+    if not need.head(1):
+        return edges
+    followers = led.where("several").select("grp", "rep", "leader", "far").join(need, "leader").where(F.col("far") >= F.col("need") - SLACK).select("grp", "rep")
+    followers = stored(followers.join(members.select("rep", "k1", "k2"), "rep"), "followers")
+    found = _in_blocks(sets_of(followers), part, "follower-blocks", 8).mapInPandas(grouped(["grp", "first", "second"], _all_pairs(threshold)), "a long, b long")
     return edges.unionByName(stored(found, "linked-followers"))
