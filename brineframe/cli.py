@@ -15,12 +15,15 @@ from pyspark.sql import SparkSession
 from .functions.keys import ROUND_MODES, KeyOptions
 from .operators.cleaning import Box, drop_na, drop_qc, filter_box
 from .operators.compare import CompareOptions, compare
-from .operators.duplicates import drop_duplicate_profiles, mark_duplicates
+from .operators.duplicates import drop_duplicate_profiles, duplicate_groups, duplicates_report, marked_by, profiles
 from .operators.merging import merge
 from .plans import headers as docs
 from .plans.pages import page
-from .plans.render import FORMATS, duplicates_lines, emit, rendered, write_lines, write_report
+from .plans.lines import duplicates_line, tsv_line, write_lines_of
+from .plans.regions import REGIONS, Pipeline
+from .plans.render import FORMATS, emit, rendered, write_report
 from .plans.report import LEVELS, report
+from .session import stored
 from .sources import files as listing
 from .sources import netcdf
 from .sources.outputs import write_one
@@ -162,6 +165,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--one-file", action="store_true", help=ONE_FILE)
         p.add_argument("src")
         p.add_argument("dest")
+    p = commands.add_parser("region", help="all stages of a region over its products, with reports and summary pages")
+    p.add_argument("name", choices=sorted(REGIONS))
+    p.add_argument("--root", default=".", help="where output, report and summary are")
+    _key_arguments(p)
+    p.add_argument("products", nargs="*", metavar="STEM=TABLE")
     p = commands.add_parser("arrange", help="a table laid out by position, which filter reads in part; rows are added if it is there")
     p.add_argument("src")
     p.add_argument("dest")
@@ -194,6 +202,11 @@ def _converted(spark: SparkSession, pairs: list[tuple[Path, Path]], own) -> int:
     return len(pairs)
 
 
+def _local(path: str) -> str:
+    """A path of this machine, or a URI, for Hadoop's file systems."""
+    return path if "://" in path else f"file://{Path(path).absolute()}"
+
+
 def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
     """Runs one command; errors are raised."""
     a = parser().parse_args(argv)
@@ -247,7 +260,12 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         return Done("concat", "header", len(found))
     if a.command == "report":
         if a.variant == "parquet":
-            write_report(report(read(a.src), a.level), a.format, a.dest)
+            rows = report(read(a.src), a.level)
+            if a.format == "tsv" and a.dest and a.level != "global":
+                keys = ["platform_code"] + ["profile_no"] * (a.level == "profile")
+                write_lines_of(rows, tsv_line(rows), keys, _local(a.dest), "\t".join(rows.columns))
+            else:
+                write_report(rows, a.format, a.dest)
         elif a.variant == "yaml":
             emit(rendered(*docs.coverage_rows(docs.load(a.src)), a.format), a.dest)
         else:
@@ -258,6 +276,12 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         live = spark or session()
         write(SpatialTable(live, a.src).box(box, a.mode) if is_spatial(live, a.src) else filter_box(read(a.src), box, a.mode), a.dest)
         return Done("filter", "area")
+    if a.command == "region":
+        pairs = dict(x.split("=", 1) if "=" in x else (Path(x).stem, x) for x in a.products)
+        if len(pairs) < len(a.products):
+            raise ValueError("products have stems of their own")
+        Pipeline(spark or session(), a.name, a.root, _key(a)).run({stem: read(path) for stem, path in pairs.items()})
+        return Done("region", a.name, len(pairs))
     if a.command == "arrange":
         SpatialTable(spark or session(), a.dest).append(read(a.src))
         return Done("arrange", "position")
@@ -268,9 +292,12 @@ def dispatch(argv: Sequence[str], spark: SparkSession | None = None) -> Done:
         write(drop_duplicate_profiles(read(a.src), _key(a)), a.dest)
         return Done("dedup", "profile")
     if a.command == "markdup":
-        marked, dups = mark_duplicates(read(a.src), _key(a))
-        write_lines(duplicates_lines(dups), a.dups)
-        write(marked, a.dest)
+        # groups are found once: the table and the marks are made of the same stored rows
+        df = read(a.src)
+        groups = stored(duplicate_groups(profiles(df, _key(a))), "duplicate-groups")
+        dups = duplicates_report(groups)
+        write_lines_of(dups, duplicates_line(), ["dup_group", "platform_code", "profile_no"], _local(a.dups), "\t".join(dups.columns))
+        write(marked_by(df, groups), a.dest)
         return Done("markdup", "profile")
     options = CompareOptions(_key(a), a.platform_col, "profile_no", a.time_col, a.lon_col, a.lat_col, not a.no_platform_key)
     write_report(compare(read(a.a), read(a.b), Path(a.a).stem, Path(a.b).stem, options), a.format, a.dest)

@@ -80,9 +80,13 @@ def _attach(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
 def mark_duplicates(df: DataFrame, options: KeyOptions = KeyOptions()) -> tuple[DataFrame, DataFrame]:
     """``df`` with a boolean is_dup (replaced if it was there), and the duplicates report."""
     groups = duplicate_groups(profiles(df, options))
+    return marked_by(df, groups), duplicates_report(groups)
+
+
+def marked_by(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with is_dup, from its ``duplicate_groups``."""
     marks = groups.select(F.col("pc").alias("__pc"), F.col("pn").alias("__pn"), F.lit(True).alias("__dup"))
-    marked = _attach(df.drop("is_dup"), marks, "left").withColumn("is_dup", F.coalesce("__dup", F.lit(False))).drop("__pc", "__pn", "__dup")
-    return marked, duplicates_report(groups)
+    return _attach(df.drop("is_dup"), marks, "left").withColumn("is_dup", F.coalesce("__dup", F.lit(False))).drop("__pc", "__pn", "__dup")
 
 
 def drop_duplicate_profiles(df: DataFrame, options: KeyOptions = KeyOptions()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.missing import require
+from ..sources.ordered import OrderedTable
 from .cleaning import drop_na_pres
 from .order import ORDER, with_order
 
@@ -48,6 +49,18 @@ def merge(tables: Sequence[DataFrame], number: bool = True, sort_by_pres: bool =
     sorted by platform, time, position and pressure, ties in the order of arrival: that of the
     tables, or with ``by_path`` that of their files' paths, so that a table may stand for many files.
     """
+    out, keys = merged_rows(tables, number, sort_by_pres, keep_na_pres, by_path)
+    return out.orderBy(*keys).drop(ORDER)
+
+
+def merge_ordered(tables: Sequence[DataFrame], path: str, number: bool = True, sort_by_pres: bool = True, keep_na_pres: bool = False, by_path: bool = False, files: int | None = None) -> OrderedTable:
+    """``merge``, written with its order: see ``sources.ordered``."""
+    out, keys = merged_rows(tables, number, sort_by_pres, keep_na_pres, by_path)
+    return OrderedTable.write(out, path, keys, [ORDER], files)
+
+
+def merged_rows(tables: Sequence[DataFrame], number: bool, sort_by_pres: bool, keep_na_pres: bool, by_path: bool) -> tuple[DataFrame, list[str]]:
+    """The rows of ``merge`` in no order, and the columns that they are ordered by."""
     if not tables:
         raise ValueError("nothing to merge")
     names = [c for c in tables[0].columns if c != ORDER]
@@ -63,6 +76,6 @@ def merge(tables: Sequence[DataFrame], number: bool = True, sort_by_pres: bool =
     if not keep_na_pres:
         out = drop_na_pres(out)
     if not number:
-        return out.orderBy(ORDER).drop(ORDER)
-    out = renumber(out, sort_by_pres)
-    return out.orderBy(*KEY, *(["pres"] if sort_by_pres else []), ORDER).drop(ORDER)
+        return out, [ORDER]
+    # rows that tie in all else are in the order of their numbers
+    return renumber(out, sort_by_pres), [*KEY, *(["pres"] if sort_by_pres else []), ORDER, "observation_no"]

@@ -1,103 +1,26 @@
-"""Summary pages: the reports of all stages of one product, as Markdown or HTML."""
+"""Summary pages: what the reports of a product's stages say, as a list of blocks, written as Markdown or HTML.
+
+A page is a flat list of blocks, pairs of a kind and its content:
+
+* ``(1, "Cleaning")``: a heading of that level;
+* ``("text", "...")`` and ``("name", "...")``: a paragraph, and the name of the table after it;
+* ``("sources", ["report/..."])``: the files that what follows comes from;
+* ``("grid", [[...], ...])``: a table, its first row the column names.
+"""
 
 from __future__ import annotations
 
+import csv
 import math
-from collections import defaultdict
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 from pathlib import Path
 
 #: Groups of more profiles than this share the last line of the size table.
 CAP = 10
-
-
-@dataclass
-class Table:
-    headers: list[str]
-    rows: list[list[str]]
-    title: str | None = None
-    desc: str = ""
-
-
-@dataclass
-class Section:
-    level: int
-    title: str
-    desc: str = ""
-    files: list[str] = field(default_factory=list)
-    tables: list[Table] = field(default_factory=list)
-
-
-class Tsv:
-    """A table of text; missing columns read as empty."""
-
-    def __init__(self, path: Path):
-        try:
-            lines = path.read_text().splitlines()
-        except OSError as e:
-            raise OSError(f"cannot read {path}: {e}") from e
-        self.header = lines[0].split("\t") if lines else []
-        self.rows = [dict(zip(self.header, x.split("\t"))) for x in lines[1:] if x]
-
-    def total(self, name: str) -> int:
-        return sum(whole(r.get(name)) for r in self.rows)
-
-    def floats(self, name: str) -> list[float]:
-        out = []
-        for r in self.rows:
-            try:
-                out.append(float(r.get(name, "").strip()))
-            except ValueError:
-                pass
-        return [x for x in out if not math.isnan(x)]
-
-
-def whole(cell: str | None) -> int:
-    """A count, however it is written; what isn't one is 0."""
-    try:
-        v = float((cell or "").strip())
-    except ValueError:
-        return 0
-    return max(0, math.floor(v + 0.5)) if math.isfinite(v) else 0
-
-
-def share(n: float, base: float) -> float:
-    return 100.0 * n / base if base else math.nan
-
-
-def pct(v: float) -> str:
-    return "" if math.isnan(v) else f"{v:.1f}%"
-
-
-def count(n: int) -> str:
-    return f"{n:,}"
-
-
-def degrees(v: float | None) -> str:
-    return "" if v is None or math.isnan(v) else f"{v:.3f}"
-
-
-@dataclass(frozen=True)
-class Counts:
-    platforms: int
-    profiles: int
-    obs: int
-
-    @classmethod
-    def of(cls, t: Tsv) -> Counts:
-        return cls(len(t.rows), t.total("n_profiles"), t.total("n_obs"))
-
-
-def bounds(t: Tsv) -> list[float | None]:
-    out = []
-    for c in ("longitude", "latitude"):
-        out += [min(t.floats(f"{c}_min"), default=None), max(t.floats(f"{c}_max"), default=None)]
-    return out
-
-
 #: Places of the reports of a product, below the report folder.
 STAGES = {"convert": "convert", "dropqc": "clean/dropqc", "dropna": "clean/dropna", "filter": "clean/filter", "markdup": "dedup/markdup", "dedup": "dedup/dedup"}
+#: Our own explanations. Headings and column names in this module are fixed values: the output format.
 TEXT = {
     "files": "How many of the source files have each core variable and each of the two profile flags; a variable counts when it is present, whatever its values. Other variables are listed below.",
     "convert": "Counts right after conversion, before anything is dropped. Later stages are measured against them.",
@@ -116,177 +39,227 @@ TEXT = {
     "totals": "This product's own totals, of which the shares below are taken. Profiles without a key match nothing.",
     "coverage": "Each other product's share of this one's platforms and profiles, and how many of the profiles in both have equally many observations.",
 }
+NOTHING = "No section source files were found."
+Block = tuple[int | str, str | list]
 
 
-def counts_table(c: Counts) -> Table:
-    return Table(["Metric", "Count"], [["Platforms", count(c.platforms)], ["Profiles", count(c.profiles)], ["Observations", count(c.obs)]])
-
-
-def stage_table(c: Counts, base: Counts | None, cleaned: Counts | None) -> Table:
-    base = base or c
-    headers = ["Metric", "Count", "% of original", "Deleted"] + ["Cleaned", "% of cleaned", "Deleted (cleaned)"] * (cleaned is not None)
-    rows = []
-    for name, attr in (("Platforms", "platforms"), ("Profiles", "profiles"), ("Observations", "obs")):
-        n = getattr(c, attr)
-        part = share(n, getattr(base, attr))
-        row = [name, count(n), pct(part), pct(100 - part)]
-        if cleaned is not None:
-            left = getattr(cleaned, attr)
-            part = share(n, left)
-            row += [count(left), pct(part), pct(100 - part)]
-        rows.append(row)
-    return Table(headers, rows)
-
-
-def files_section(t: Tsv, path: str) -> Section:
-    n = len(t.rows)
-    rows = [["Files", count(n), ""]]
-    for label in ("TEMP", "PSAL", "PRES", "DEPH", "TIME_QC", "POSITION_QC"):
-        have = sum(r.get(f"has_{label.lower()}") == "true" for r in t.rows)
-        rows.append([f"with {label}", count(have), pct(share(have, n))])
-    extra = sorted({x.strip() for r in t.rows for x in r.get("extra_params", "").split(";")} - {""})
-    rows.append(["Extra parameters", ", ".join(extra) or "none", ""])
-    return Section(1, "File summary", TEXT["files"], [path], [Table(["Metric", "Count", "% of files"], rows)])
-
-
-def duplicates_tables(t: Tsv) -> list[Table]:
-    groups = defaultdict(list)
-    for r in t.rows:
-        groups[r.get("dup_group", "")].append(r)
-    each = [({r.get("platform_code", "") for r in g}, len(g), sum(whole(r.get("n_obs")) for r in g)) for g in groups.values()]
-    profiles, obs = sum(n for _, n, _ in each), sum(o for _, _, o in each)
-    out = []
-    for title, text, some in (("Duplicates within a platform", "within", [g for g in each if len(g[0]) <= 1]), ("Duplicates across platforms", "across", [g for g in each if len(g[0]) > 1])):
-        n, o = sum(g[1] for g in some), sum(g[2] for g in some)
-        platforms = set().union(*(g[0] for g in some)) if some else set()
-        rows = [["Duplicate groups", count(len(some)), ""], ["Duplicate profiles", count(n), pct(share(n, profiles))], ["Platforms", count(len(platforms)), ""], ["Observations", count(o), pct(share(o, obs))]]
-        out.append(Table(["Metric", "Count", "% of duplicates"], rows, title, TEXT[text]))
-    bins: dict[int, list[int]] = defaultdict(list)
-    for _, n, _ in each:
-        bins[min(n, CAP + 1)].append(n)
-    rows = [[f"{CAP + 1}+" if k > CAP else str(k), count(len(v)), count(sum(v)), pct(share(sum(v), profiles))] for k, v in sorted(bins.items())]
-    return [*out, Table(["Profiles per group", "Groups", "Profiles", "% of duplicates"], rows, "Duplicate group sizes", TEXT["sizes"])]
-
-
-def compare_section(folder: Path, stem: str) -> Section | None:
-    """From the rows that have this product as their reference. Shares are computed from the counts."""
-    rows, files = [], []
-    for path in sorted(folder.glob("*.tsv")) if folder.is_dir() else []:
-        own = [r for r in Tsv(path).rows if r.get("reference") == stem]
-        rows += own
-        files += [_slashes(path)] * bool(own)
-    if not rows:
-        return None
-    rows.sort(key=lambda r: r.get("compared", ""))
-    n = lambda r, c: whole(r.get(c))
-    first = rows[0]
-    totals = [["Platforms", "ref_platforms"], ["Profiles", "ref_profiles"], ["Profiles without a key", "ref_unkeyed_profiles"], ["Observations", "ref_observations"]]
-    lines = [
-        [
-            r.get("compared", ""), count(n(r, "common_platforms")), pct(share(n(r, "common_platforms"), n(r, "ref_platforms"))), count(n(r, "matched_profiles")), pct(share(n(r, "matched_profiles"), n(r, "ref_profiles"))),
-            count(n(r, "same_nobs")), count(n(r, "diff_nobs")), pct(share(n(r, "same_nobs"), n(r, "matched_profiles"))),
-        ]
-        for r in rows
-    ]
-    heads = ["Compared with", "Common platforms", "Platform coverage", "Matched profiles", "Profile coverage", "Same obs", "Diff obs", "Obs agreement"]
-    return Section(1, "Comparison", TEXT["compare"], files, [Table(["Metric", "Count"], [[a, count(n(first, c))] for a, c in totals], "This product", TEXT["totals"]), Table(heads, lines, "Coverage of other products", TEXT["coverage"])])
-
-
-def _slashes(path: Path) -> str:
-    return str(path).replace("\\", "/")
-
-
-def sections(stem: str, report_dir: str | Path = "report", out_dir: str | Path = "output") -> list[Section]:
-    """All sections for which a report is there, in page order."""
-    reports = Path(report_dir)
-    paths = {k: reports / sub / f"{stem}.parquet.tsv" for k, sub in STAGES.items()}
-    tables = {k: Tsv(p) for k, p in paths.items() if p.exists()}
-    counts = {k: Counts.of(t) for k, t in tables.items()}
-    base = next((counts[k] for k in STAGES if k in counts), None)
-    cleaned = next((counts[k] for k in ("filter", "dropna", "dropqc") if k in counts), None)
-    out = []
-    header = reports / "header" / f"{stem}.yaml.tsv"
-    if header.exists():
-        out.append(files_section(Tsv(header), _slashes(header)))
-    if "convert" in counts:
-        out.append(Section(1, "Conversion", TEXT["convert"], [_slashes(paths["convert"])], [counts_table(counts["convert"])]))
-    steps = []
-    for title, k in (("Drop bad QC", "dropqc"), ("Drop all-NA profiles", "dropna"), ("Filter by region", "filter")):
-        if k not in counts:
-            continue
-        own = Section(2, title, TEXT[k], [_slashes(paths[k])], [stage_table(counts[k], base, None)])
-        now = bounds(tables[k]) if k == "filter" else []
-        if any(x is not None for x in now):
-            before = bounds(tables["convert"]) if "convert" in tables else []
-            before = before if any(x is not None for x in before) else []
-            names = ["Longitude min", "Longitude max", "Latitude min", "Latitude max"]
-            rows = [[name, degrees(now[i]), *([degrees(before[i])] if before else [])] for i, name in enumerate(names)]
-            own.tables.append(Table(["Metric", "Filtered", *["Original"] * bool(before)], rows, "Bounding box", TEXT["bbox"]))
-        steps.append(own)
-    if steps:
-        out += [Section(1, "Cleaning", TEXT["cleaning"]), *steps]
-    steps = []
-    if "markdup" in counts:
-        main = stage_table(counts["markdup"], base, cleaned)
-        n = tables["markdup"].total("dup_profiles")
-        extra = ["Duplicate profiles", count(n), pct(share(n, base.profiles)), ""]
-        main.rows.append(extra + ([count(cleaned.profiles), pct(share(n, cleaned.profiles)), ""] if cleaned else []))
-        own = Section(2, "Mark duplicates", TEXT["markdup"], [_slashes(paths["markdup"])], [main])
-        dups = Path(out_dir) / "dedup" / "markdup" / f"{stem}.dups.tsv"
-        if dups.exists():
-            own.files.append(_slashes(dups))
-            own.tables += duplicates_tables(Tsv(dups))
-        steps.append(own)
-    if "dedup" in counts:
-        steps.append(Section(2, "Remove duplicates", TEXT["remove"], [_slashes(paths["dedup"])], [stage_table(counts["dedup"], base, cleaned)]))
-    if steps:
-        out += [Section(1, "Deduplication", TEXT["dedup"]), *steps]
-    last = compare_section(reports / "compare", stem)
-    return out + [last] * (last is not None)
+def rows_of(path: Path) -> list[dict[str, str | None]]:
+    with open(path, newline="") as f:
+        return list(csv.DictReader(f, delimiter="\t", quoting=csv.QUOTE_NONE))
 
 
-NOTHING = "No section source files were found."
+def number(cell: str | None) -> float:
+    try:
+        return float(cell or "nan")
+    except ValueError:
+        return math.nan
+
+
+def whole(cell: str | None) -> int:
+    """A count, however it is written; what isn't one is 0."""
+    v = number(cell)
+    return max(0, math.floor(v + 0.5)) if math.isfinite(v) else 0
 
 
-def markdown(title: str, notes: Sequence[str], parts: Sequence[Section]) -> str:
-    blocks = [f"# {title}", *(f"> {n}" for n in notes)]
-    if not parts:
-        return "\n\n".join([*blocks, f"_{NOTHING}_"]) + "\n"
-    for s in parts:
-        blocks.append("#" * (s.level + 1) + f" {s.title}")
-        blocks += [s.desc] * bool(s.desc)
-        blocks += ["\n".join(f"- File: `{f}`" for f in s.files)] * bool(s.files)
-        for t in s.tables:
-            blocks += [f"**{t.title}**"] * bool(t.title) + [t.desc] * bool(t.desc)
-            blocks.append("\n".join(f"| {' | '.join(r)} |" for r in [t.headers, *t.rows]).replace("\n", "\n|" + "|".join(" --- " for _ in t.headers) + "|\n", 1) if t.rows else f"| {' | '.join(t.headers)} |\n|" + "|".join(" --- " for _ in t.headers) + "|")
-    return "\n\n".join(blocks) + "\n\n"
+def added(rows: list[dict], column: str) -> int:
+    return sum(whole(r.get(column)) for r in rows)
+
+
+def of(n: float, base: float) -> str:
+    """A share in percent; nothing of nothing."""
+    return f"{100.0 * n / base:.1f}%" if base else ""
+
+
+def size(rows: list[dict]) -> dict[str, int]:
+    """What a stage left, from its report by platform."""
+    return {"Platforms": len(rows), "Profiles": added(rows, "n_profiles"), "Observations": added(rows, "n_obs")}
+
+
+def extremes(rows: list[dict]) -> dict[str, str]:
+    """The box of all platforms, in degrees; empty where nothing is known."""
+    out = {}
+    for c in ("longitude", "latitude"):
+        for name, pick in (("min", min), ("max", max)):
+            known = [v for r in rows if not math.isnan(v := number(r.get(f"{c}_{name}")))]
+            out[f"{c.capitalize()} {name}"] = f"{pick(known):.3f}" if known else ""
+    return out
+
+
+def left_over(now: dict[str, int], first: dict[str, int], cleaned: dict[str, int] | None = None, more: Sequence[list[str]] = ()) -> Block:
+    """What is left of the first stage, and of the cleaned product where there is one."""
+    grid = [["Metric", "Count", "% of original", "Deleted"]]
+    grid += [[k, f"{n:,}", of(n, first[k]), of(first[k] - n, first[k])] for k, n in now.items()]
+    if cleaned:
+        grid[0] += ["Cleaned", "% of cleaned", "Deleted (cleaned)"]
+        for row, k in zip(grid[1:], now):
+            row += [f"{cleaned[k]:,}", of(now[k], cleaned[k]), of(cleaned[k] - now[k], cleaned[k])]
+    return "grid", [*grid, *more]
+
+
+def source_files(path: Path) -> Iterator[Block]:
+    rows = rows_of(path)
+    yield 1, "File summary"
+    yield "text", TEXT["files"]
+    yield "sources", [path.as_posix()]
+    grid = [["Metric", "Count", "% of files"], ["Files", f"{len(rows):,}", ""]]
+    for name in ("TEMP", "PSAL", "PRES", "DEPH", "TIME_QC", "POSITION_QC"):
+        n = sum(r.get(f"has_{name.lower()}") == "true" for r in rows)
+        grid.append([f"with {name}", f"{n:,}", of(n, len(rows))])
+    others = {x.strip() for r in rows for x in (r.get("extra_params") or "").split(";")} - {""}
+    yield "grid", [*grid, ["Extra parameters", ", ".join(sorted(others)) or "none", ""]]
+
+
+def cleaning(reports: dict[str, list[dict]], places: dict[str, Path], first: dict[str, int]) -> Iterator[Block]:
+    titles = {"dropqc": "Drop bad QC", "dropna": "Drop all-NA profiles", "filter": "Filter by region"}
+    steps = [k for k in titles if k in reports]
+    if steps:
+        yield 1, "Cleaning"
+        yield "text", TEXT["cleaning"]
+    for k in steps:
+        yield 2, titles[k]
+        yield "text", TEXT[k]
+        yield "sources", [places[k].as_posix()]
+        yield left_over(size(reports[k]), first)
+    if "filter" in steps and any((now := extremes(reports["filter"])).values()):
+        before = extremes(reports.get("convert", []))
+        known = any(before.values())
+        yield "name", "Bounding box"
+        yield "text", TEXT["bbox"]
+        yield "grid", [["Metric", "Filtered", *["Original"] * known], *([k, v, *[before[k]] * known] for k, v in now.items())]
+
+
+def groups_of_duplicates(rows: list[dict]) -> Iterator[Block]:
+    """Tables on the groups of the duplicates report: on one platform, on several, and by size."""
+    key = lambda r: r.get("dup_group") or ""
+    each = [(len(g), added(g, "n_obs"), {r.get("platform_code") or "" for r in g}) for _, own in groupby(sorted(rows, key=key), key) for g in [list(own)]]
+    profiles, obs = (sum(g[i] for g in each) for i in (0, 1))
+    for title, text, one in (("Duplicates within a platform", "within", True), ("Duplicates across platforms", "across", False)):
+        some = [g for g in each if (len(g[2]) < 2) == one]
+        n, o = (sum(g[i] for g in some) for i in (0, 1))
+        yield "name", title
+        yield "text", TEXT[text]
+        grid = [["Metric", "Count", "% of duplicates"], ["Duplicate groups", f"{len(some):,}", ""], ["Duplicate profiles", f"{n:,}", of(n, profiles)]]
+        yield "grid", [*grid, ["Platforms", f"{len(set().union(*(g[2] for g in some))):,}", ""], ["Observations", f"{o:,}", of(o, obs)]]
+    sizes = sorted(g[0] for g in each)
+    grid = [["Profiles per group", "Groups", "Profiles", "% of duplicates"]]
+    for k, own in groupby(sizes, lambda n: min(n, CAP + 1)):
+        own = list(own)
+        grid.append([str(k) if k <= CAP else f"{k}+", f"{len(own):,}", f"{sum(own):,}", of(sum(own), profiles)])
+    yield "name", "Duplicate group sizes"
+    yield "text", TEXT["sizes"]
+    yield "grid", grid
+
+
+def deduplication(reports: dict[str, list[dict]], places: dict[str, Path], first: dict[str, int], cleaned: dict[str, int] | None, groups: Path) -> Iterator[Block]:
+    if not {"markdup", "dedup"} & reports.keys():
+        return
+    yield 1, "Deduplication"
+    yield "text", TEXT["dedup"]
+    if "markdup" in reports:
+        n = added(reports["markdup"], "dup_profiles")
+        more = ["Duplicate profiles", f"{n:,}", of(n, first["Profiles"]), ""] + ([f"{cleaned['Profiles']:,}", of(n, cleaned["Profiles"]), ""] if cleaned else [])
+        yield 2, "Mark duplicates"
+        yield "text", TEXT["markdup"]
+        yield "sources", [p.as_posix() for p in (places["markdup"], groups) if p.exists()]
+        yield left_over(size(reports["markdup"]), first, cleaned, [more])
+        if groups.exists():
+            yield from groups_of_duplicates(rows_of(groups))
+    if "dedup" in reports:
+        yield 2, "Remove duplicates"
+        yield "text", TEXT["remove"]
+        yield "sources", [places["dedup"].as_posix()]
+        yield left_over(size(reports["dedup"]), first, cleaned)
+
+
+def comparison(folder: Path, stem: str) -> Iterator[Block]:
+    """From the rows that have this product as their reference. Shares are computed from the counts."""
+    found = {p: [r for r in rows_of(p) if r.get("reference") == stem] for p in sorted(folder.glob("*.tsv"))}
+    rows = sorted((r for own in found.values() for r in own), key=lambda r: r.get("compared") or "")
+    if not rows:
+        return
+    yield 1, "Comparison"
+    yield "text", TEXT["compare"]
+    yield "sources", [p.as_posix() for p, own in found.items() if own]
+    yield "name", "This product"
+    yield "text", TEXT["totals"]
+    totals = {"Platforms": "ref_platforms", "Profiles": "ref_profiles", "Profiles without a key": "ref_unkeyed_profiles", "Observations": "ref_observations"}
+    yield "grid", [["Metric", "Count"], *([k, f"{whole(rows[0].get(c)):,}"] for k, c in totals.items())]
+    yield "name", "Coverage of other products"
+    yield "text", TEXT["coverage"]
+    grid = [["Compared with", "Common platforms", "Platform coverage", "Matched profiles", "Profile coverage", "Same obs", "Diff obs", "Obs agreement"]]
+    for r in rows:
+        n = {c: whole(v) for c, v in r.items() if c not in ("reference", "compared")}
+        shares = [of(n.get(a, 0), n.get(b, 0)) for a, b in (("common_platforms", "ref_platforms"), ("matched_profiles", "ref_profiles"), ("same_nobs", "matched_profiles"))]
+        counts = [f"{n.get(c, 0):,}" for c in ("common_platforms", "matched_profiles", "same_nobs", "diff_nobs")]
+        grid.append([r.get("compared") or "", counts[0], shares[0], counts[1], shares[1], counts[2], counts[3], shares[2]])
+    yield "grid", grid
+
+
+def blocks(stem: str, report_dir: str | Path = "report", out_dir: str | Path = "output") -> list[Block]:
+    """All that the reports of a product say, in page order; parts without a report are left out."""
+    top = Path(report_dir)
+    places = {k: top / sub / f"{stem}.parquet.tsv" for k, sub in STAGES.items()}
+    reports = {k: rows_of(p) for k, p in places.items() if p.exists()}
+    last_clean = next((k for k in ("filter", "dropna", "dropqc") if k in reports), None)
+    out: list[Block] = []
+    if (header := top / "header" / f"{stem}.yaml.tsv").exists():
+        out += source_files(header)
+    if reports:
+        first = size(next(iter(reports.values())))  # stages are in order
+        if "convert" in reports:
+            out += [(1, "Conversion"), ("text", TEXT["convert"]), ("sources", [places["convert"].as_posix()]), ("grid", [["Metric", "Count"], *([k, f"{n:,}"] for k, n in first.items())])]
+        out += cleaning(reports, places, first)
+        out += deduplication(reports, places, first, size(reports[last_clean]) if last_clean else None, Path(out_dir) / "dedup" / "markdup" / f"{stem}.dups.tsv")
+    return [*out, *comparison(top / "compare", stem)]
+
+
+def markdown(title: str, notes: Sequence[str], parts: Sequence[Block]) -> str:
+    def lines(kind: int | str, what: str | list) -> str:
+        if isinstance(kind, int):
+            return f"{'#' * (kind + 1)} {what}"
+        if kind == "grid":
+            head, *rows = ("| " + " | ".join(r) + " |" for r in what)
+            return "\n".join([head, "| " + " | ".join(["---"] * len(what[0])) + " |", *rows])
+        return {"name": f"**{what}**", "sources": "\n".join(f"- File: `{f}`" for f in what)}.get(kind, what)
+
+    body = [lines(*b) for b in parts] or [f"_{NOTHING}_"]
+    return "\n\n".join([f"# {title}", *(f"> {n}" for n in notes), *body]) + "\n"
 
 
 def escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-STYLE = "body{font-family:sans-serif;max-width:60rem;margin:2rem auto;padding:0 1rem}table{border-collapse:collapse;margin:1rem 0}th,td{border:1px solid #bbb;padding:.3rem .6rem;text-align:left}td:not(:first-child){text-align:right}code{background:#eee}blockquote{color:#555;border-left:3px solid #bbb;margin:0;padding-left:1rem}"
+STYLE = """
+:root { color-scheme: light dark; font: 1rem/1.6 Georgia, serif }
+main { width: min(46em, 92vw); margin-inline: auto }
+table { width: 100%; border-spacing: 0 }
+thead { text-align: start; font-variant: small-caps }
+tbody tr:nth-child(odd) { background: #80808018 }
+td + td { text-align: end }
+"""
 
 
-def html(title: str, notes: Sequence[str], parts: Sequence[Section]) -> str:
+def html(title: str, notes: Sequence[str], parts: Sequence[Block]) -> str:
     e = escaped
-    body = [f"<h1>{e(title)}</h1>", *(f"<blockquote>{e(n)}</blockquote>" for n in notes)]
-    if not parts:
-        body.append(f"<p><em>{NOTHING}</em></p>")
-    for s in parts:
-        body.append(f"<h{s.level + 1}>{e(s.title)}</h{s.level + 1}>")
-        body += [f"<p>{e(s.desc)}</p>"] * bool(s.desc)
-        if s.files:
-            body.append("<ul>" + "".join(f"<li>File: <code>{e(f)}</code></li>" for f in s.files) + "</ul>")
-        for t in s.tables:
-            body += [f"<p><strong>{e(t.title or '')}</strong></p>"] * bool(t.title) + [f"<p>{e(t.desc)}</p>"] * bool(t.desc)
-            rows = "".join("<tr>" + "".join(f"<td>{e(c)}</td>" for c in r) + "</tr>" for r in t.rows)
-            body.append("<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in t.headers) + f"</tr></thead><tbody>{rows}</tbody></table>")
-    return f'<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="utf-8"><title>{e(title)}</title><style>{STYLE}</style></head>\n<body>\n' + "\n".join(body) + "\n</body>\n</html>\n"
+
+    def element(kind: int | str, what: str | list) -> str:
+        if isinstance(kind, int):
+            return f"<h{kind + 1}>{e(what)}</h{kind + 1}>"
+        if kind == "grid":
+            line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{e(c)}</{tag}>" for c in cells) + "</tr>"
+            return f"<table><thead>{line(what[0], 'th')}</thead><tbody>{''.join(line(r, 'td') for r in what[1:])}</tbody></table>"
+        if kind == "sources":
+            return "<p>" + "<br>".join(f"File: <code>{e(f)}</code>" for f in what) + "</p>"
+        return f"<h4>{e(what)}</h4>" if kind == "name" else f"<p>{e(what)}</p>"
+
+    body = [element(*b) for b in parts] or [f"<p><em>{NOTHING}</em></p>"]
+    head = [f"<h1>{e(title)}</h1>", *(f"<aside>{e(n)}</aside>" for n in notes)]
+    return f'<!DOCTYPE html>\n<html lang="en">\n<meta charset="utf-8">\n<title>{e(title)}</title>\n<style>{STYLE}</style>\n<main>\n' + "\n".join([*head, *body]) + "\n</main>\n</html>\n"
 
 
 def page(stem: str, report_dir: str | Path = "report", out_dir: str | Path = "output", fmt: str = "md", title: str | None = None, notes: Sequence[str] = ()) -> str:
-    if fmt not in ("md", "html"):
+    write = {"md": markdown, "html": html}.get(fmt)
+    if write is None:
         raise ValueError(f"format {fmt!r}; known are md and html")
-    return (markdown if fmt == "md" else html)(title if title is not None else f"Summary: {stem}", notes, sections(stem, report_dir, out_dir))
+    return write(f"Summary: {stem}" if title is None else title, notes, blocks(stem, report_dir, out_dir))

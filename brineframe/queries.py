@@ -18,14 +18,16 @@ from .operators.cleaning import Box
 from .operators.compare import CompareOptions, compare
 
 from .plans import report as reports
+from .plans.distinct import Dictionary, bitmaps, counted
 from .plans.profile_store import ProfileStore
 from .plans.driver_view import DUCKDB, observations
 from .plans.regions import Region
-from .plans.render import lines
-from .session import prepare, work_path
+from .plans.lines import duplicates_line, json_record, numbered_lines, tsv_line
+from .session import prepare, stored, work_path
 from .sources import netcdf
 from .sources.bucketed import ProfileBuckets
 from .sources.cdf import classic_bytes
+from .sources.ordered import ROW
 from .sources.outputs import opened
 from .sources.presets import PRESETS
 from .sources.spatial import SpatialTable
@@ -78,6 +80,27 @@ def _cell(column: str) -> str:
     return f"coalesce(rtrim(rtrim(printf('%.4f', cast({column} as double)), '0'), '.'), '')"
 
 
+
+def _profile_cell(column: str) -> str:
+    """SQL text of a cell of the report by profile."""
+    if column == "profile_timestamp":
+        return "strftime(profile_timestamp, '%Y-%m-%dT%H:%M:%SZ')"
+    if column in ("longitude", "latitude") or column.endswith(("_min", "_max")):
+        return f"case when {column} is null or isnan({column}) then '' else rtrim(rtrim(printf('%.4f', cast({column} as double)), '0'), '.') end"
+    return f"coalesce(cast({column} as varchar), '')"
+
+
+def _json_cell(column: str) -> str:
+    own = _profile_cell(column)
+    if column in ("platform_code", "time_qc", "profile_timestamp"):
+        return f"""'"{column}":"' || {own} || '"'"""
+    return f"""'"{column}":' || coalesce(nullif({own}, ''), 'null')"""
+
+
+def _shortest(column: str) -> str:
+    return f"case when isnan({column}) then 'NaN' else regexp_replace(cast({column} as varchar), '\\.0$', '') end"
+
+
 GEO = ", ".join(f"min(case when not isnan({c}) then {c} end) as {c}_min, max(case when not isnan({c}) then {c} end) as {c}_max" for c in ("longitude", "latitude"))
 
 
@@ -195,6 +218,32 @@ def _bucketed_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.table().select("platform_code", "profile_no", "temp", "is_dup")
 
 
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge read back with row numbers from its manifest."""
+    obs = observations(spark, sf_dir)
+    table = merging.merge_ordered([obs.where(f"profile_no % 2 = {k}") for k in (0, 1)], work_path(spark, "merged"), files=8)
+    return table.numbered().select("platform_code", "profile_no", "observation_no", "pres", F.col(ROW).alias("row"))
+
+
+def _distinct_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different platforms of all observations, of each month, and of duplicate profiles by kind, all from bitmaps: those of two parts of
+    the table, merged, and those of duplicate groups. A kind's are the OR of its groups'."""
+    obs, words = observations(spark, sf_dir), Dictionary(spark, work_path(spark, "platforms"))
+    month = obs.select("platform_code", F.date_format("profile_timestamp", "yyyy-MM").alias("month"), "profile_no")
+    sets = None
+    for k in (0, 1):
+        part = month.where(f"profile_no % 2 = {k}")
+        words.add(part, "platform_code")
+        own = stored(bitmaps(part, ["month"], "platform_code", words.words()), "platform-sets")
+        sets = own if sets is None else sets.unionByName(own)
+    groups = stored(bitmaps(_dups(spark, sf_dir), ["dup_group"], "platform_code", words.words()), "group-sets")
+    kind = counted(groups, ["dup_group"]).select("dup_group", F.when(F.col("n") <= 1, "within").otherwise("across").alias("kind"))
+    kinds = counted(groups.join(kind, "dup_group"), ["kind"], "n_platforms").select(F.lit("duplicates").alias("what"), F.col("kind").alias("value"), "n_platforms")
+    months = counted(sets, ["month"], "n_platforms").select(F.lit("month").alias("what"), F.col("month").alias("value"), "n_platforms")
+    whole = counted(sets, (), "n_platforms").select(F.lit("all").alias("what"), F.lit("").alias("value"), "n_platforms")
+    return whole.unionByName(months).unionByName(kinds)
+
+
 def _round_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_extendedprice") / 7 - 3000).alias("v")).distinct()
     return part.select("v", *(scaled(F.col("v"), KeyOptions(decimals=3, round_mode=m)).alias(f"k_{m}") for m in ROUND_MODES))
@@ -290,20 +339,81 @@ def _nation_file(folder: str):
             "TEMP_QC": (grid, ((s + k) % 14 - 2).astype(np.int8), {}), "PRES_QC": (grid, (k + 0 * s).astype(np.int8), {}),
         }
         nation = int(rows["s_nationkey"].iloc[0])
-        own, where = opened(folder)
-        own.create_dir(where, recursive=True)
-        with own.open_output_stream(f"{where}/AR_PR_CT_{nation}.nc") as out:
-            out.write(classic_bytes({"TIME": len(s), "DEPTH": 4}, variables, {"platform_code": f"N{nation}"}))
-        return pd.DataFrame({"path": [f"{folder}/AR_PR_CT_{nation}.nc"]})
+        return _put(folder, f"AR_PR_CT_{nation}.nc", {"TIME": len(s), "DEPTH": 4}, variables, {"platform_code": f"N{nation}"})
+
+    return write
+
+
+def _put(folder: str, name: str, *parts) -> pd.DataFrame:
+    own, where = opened(folder)
+    own.create_dir(where, recursive=True)
+    with own.open_output_stream(f"{where}/{name}") as out:
+        out.write(classic_bytes(*parts))
+    return pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+
+def _coordinate_file(folder: str):
+    """Writes the suppliers of a nation as casts of two levels whose platform has positions of its own: those of each cast for even
+    nations, of two deployments for the others. Either position is missing now and then."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s_suppkey")
+        s, nation = rows["s_suppkey"].to_numpy(), int(rows["s_nationkey"].iloc[0])
+        line, grid, nan = ("TIME",), ("TIME", "DEPTH"), np.float32("nan")
+        real = lambda values, missing: np.where(missing, nan, values).astype(np.float32)
+        variables = {
+            "TIME": (line, 20000.0 + s, {}), "LONGITUDE": (line, real(s % 90, s % 4 == 0), {}), "LATITUDE": (line, real(s % 60, s % 5 == 0), {}),
+            "TEMP": (grid, np.stack([s % 50, s % 50 + 1], 1).astype(np.float32), {}),
+        }
+        sizes = {"TIME": len(s), "DEPTH": 2}
+        if nation % 2 == 0:
+            variables |= {"PRECISE_LONGITUDE": (line, real(s % 90 + 0.5, s % 3 == 0), {}), "PRECISE_LATITUDE": (line, real(s % 60 + 0.25, s % 7 == 0), {})}
+        else:
+            sizes["DEPLOYMENT"] = 2
+            two = ("DEPLOYMENT",)
+            variables |= {"DEPLOYMENT": (two, np.array([0, 3], np.int32), {}), "DEPLOY_LONGITUDE": (two, np.array([nation, nation + 0.5], np.float32), {}), "DEPLOY_LATITUDE": (two, np.array([nation / 2, nation / 2 + 1], np.float32), {})}
+        return _put(folder, f"BO_PR_CT_{nation}.nc", sizes, variables, {"platform_code": f"N{nation}"})
+
+    return write
+
+
+def _cora_nation(folder: str):
+    """Writes the suppliers of a nation as a reanalysis file: a platform per cast, three levels, depth where there is pressure."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s_suppkey")
+        s, k, fill = rows["s_suppkey"].to_numpy()[:, None], np.arange(3)[None], np.float32(99999.0)
+        one, grid, own = ("N_PROF",), ("N_PROF", "N_LEVELS"), {"_FillValue": fill}
+        real = lambda values, missing: np.where(missing, fill, values + 0 * (s + k)).astype(np.float32)
+        names = np.array([list(f" S{v}".ljust(8, "\0")) for v in s[:, 0] % 40], "S1")
+        deep = (s + k) % 4 == 1
+        variables = {
+            "PLATFORM_NUMBER": (("N_PROF", "STRING8"), names, {}), "TIME": (one, 10000.0 + s[:, 0] / 4, {}), "LONGITUDE": (one, s[:, 0] % 180 * 1.0, {}), "LATITUDE": (one, s[:, 0] % 70 * 1.0, {}),
+            "TIME_QC": (one, (s[:, 0] % 11).astype(np.int8), {}), "POSITION_QC": (one, (s[:, 0] % 4).astype(np.int8), {}),
+            "TEMP": (grid, real(s % 30 + k, (s + k) % 3 == 0), own), "TEMP_QC": (grid, ((s + 2 * k) % 13 - 1).astype(np.int8), {}), "PSAL": (grid, real(34.5 + k, (s * k) % 5 == 1), own),
+            "PRES": (grid, real(5.0 + 10 * k, deep), own), "DEPH": (grid, real(4.5 + 10 * k, deep), own), "DEPH_QC": (grid, (k + 1 + 0 * s).astype(np.int8), {}),
+        }
+        return _put(folder, f"CO_{int(rows['s_nationkey'].iloc[0])}.nc", {"N_PROF": len(s), "N_LEVELS": 3, "STRING8": 8}, variables)
 
     return write
 
 
-def _nation_files(spark: SparkSession, sf_dir: str) -> list[str]:
+def _nation_files(spark: SparkSession, sf_dir: str, writer=None) -> list[str]:
     """NetCDF files of all suppliers, a file for each nation, written by the workers into the shared folder."""
     folder = re.sub("^file:/+", "/", work_path(prepare(spark), "netcdf"))
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
-    return sorted(r["path"] for r in rows.groupBy("s_nationkey").applyInPandas(_nation_file(folder), "path string").collect())
+    return sorted(r["path"] for r in rows.groupBy("s_nationkey").applyInPandas((writer or _nation_file)(folder), "path string").collect())
+
+
+def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of casts and of their platforms, each filled from the other."""
+    rows = netcdf.convert(spark, _nation_files(spark, sf_dir, _coordinate_file), PRESETS["nrt_bo"])
+    return rows.select("filename", "profile_no", "observation_no", "longitude", "latitude", "profile_longitude", "profile_latitude", "temp")
+
+
+def _cora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = netcdf.convert(spark, _nation_files(spark, sf_dir, _cora_nation), PRESETS["cora"])
+    return rows.select("filename", "platform_code", "profile_no", "profile_time", "observation_no", "longitude", "latitude", "time_qc", "position_qc", "temp", "temp_qc", "psal", "pres", "pres_conv", "deph", "deph_qc", "deph_conv")
 
 
 def _netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,12 +467,26 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a rendered report, in their order: a row per platform, so it is small."""
+    """The lines of a rendered report, with their numbers; cells and lines are made by column expressions."""
     df = reports.report(observations(spark, sf_dir), "platform").select(*CELLS)
-    text = "".join(lines(df.columns, (tuple(r) for r in df.toLocalIterator())))
-    return spark.createDataFrame(list(enumerate(text.splitlines())), "line long, text string")
+    return numbered_lines(df, tsv_line(df), ["platform_code"], "\t".join(CELLS))
+
+
+def _profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = reports.report(observations(spark, sf_dir), "profile").select(*PROFILE_CELLS)
+    return numbered_lines(df, tsv_line(df), ["platform_code", "profile_no"], "\t".join(PROFILE_CELLS), files=8)
+
+
+def _profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = reports.report(observations(spark, sf_dir), "profile").select(*PROFILE_CELLS, (F.col("n_obs") > 3).alias("long"), F.concat(F.lit('"\\\t'), "platform_code").alias("odd"))
+    return numbered_lines(df, json_record(df), ["platform_code", "profile_no"], files=8)
+
+
+def _dups_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_lines(_dups(spark, sf_dir), duplicates_line(), ["dup_group", "platform_code", "profile_no"], files=4)
 
 
+PROFILE_CELLS = ["platform_code", "profile_no", "profile_timestamp", "longitude", "latitude", "n_obs", "time_qc", "na_temp", "temp_min", "temp_max", "psal_min", "psal_max", "pres_min", "pres_max"]
 CELLS = ["platform_code", "n_profiles", "n_obs", "time_qc_good", "position_qc_good", "longitude_min", "longitude_max", "latitude_min", "latitude_max", "na_temp", "temp_min", "temp_max", "na_psal", "psal_min", "psal_max", "na_pres", "pres_min", "pres_max"]
 
 
@@ -400,9 +524,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_profile": _obs(lambda d: _rounded(reports.report(d, "profile")), None),
     "report_levels": _levels,
     "report_lines": _report_lines,
+    "report_lines_profiles": _profile_lines,
+    "report_json_profiles": _profile_json,
+    "dups_lines": _dups_lines,
     "report_marked": _marked_report,
+    "distinct_platforms": _distinct_platforms,
     "concat_renumber": lambda s, d: _merged(s, d).select("platform_code", "profile_no", "observation_no", "pres"),
     "concat_no_pres_sort": lambda s, d: _merged(s, d, sort_by_pres=False, keep_na_pres=True).select("platform_code", "profile_no", "observation_no", "longitude", "profile_timestamp"),
+    "concat_ordered": _ordered,
     "concat_norenumber": lambda s, d: _merged(s, d, number=False).select(*COLUMNS),
     "round_modes": _round_modes,
     "time_to_timestamp": _times,
@@ -412,6 +541,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deploy_asof": _deployed,
     "deploy_asof_all": _deployed_all,
     "netcdf_nrt": _netcdf,
+    "netcdf_cora": _cora,
+    "netcdf_coordinates": _coordinates,
     "batch_convert": _batch_convert,
     "qc_flags": _flags,
     "coordinate_fill": _filled,
@@ -434,6 +565,8 @@ select concat('N', cast(n as varchar)) as platform_code, profile_no, 20000 + s /
 DUPS_REPORT = f"{DUPS} select dup_group, pc as platform_code, pn as profile_no, days as profile_time, ts as profile_timestamp, longitude, latitude, n_obs from grp"
 COMPARE_WHOLE = _compare_sql(True, "strftime(min(profile_timestamp), '%Y-%m-%d')", "obs", WHOLE)
 REPORT_PLATFORM = f"{WITH}{PROF_QC}, a as (select platform_code, {REPORT_COUNTS} from p group by platform_code), b as (select platform_code, {GEO}, {_measures()} from obs group by platform_code) select * from a join b using (platform_code)"
+PROFILE_SQL = f"""select platform_code, profile_no, min(profile_timestamp) as profile_timestamp, min(longitude) as longitude, min(latitude) as latitude, count(*) as n_obs, min(time_qc) as time_qc, {_measures()}
+ from obs group by platform_code, profile_no"""
 #: The observations that cleaning leaves, in place of all of them.
 CLEANED = f"with every as ({DUCKDB}), good as (select * from every where {QC_OK}), obs as (select * from good where (platform_code, profile_no) in (select {HAS.format(t='good')}))"
 
@@ -475,11 +608,24 @@ b as (select platform_code, {_measures()} from obs group by rollup (platform_cod
 r as (select *, row_number() over (order by platform_code) as line from a join b using (platform_code))
 select 0 as line, concat_ws(chr(9), {', '.join(f"'{c}'" for c in CELLS)}) as text union all
 select line, concat_ws(chr(9), {', '.join(_cell(c) for c in CELLS)}) as text from r""",
+    "distinct_platforms": f"""{DUPS}, g as (select dup_group, case when count(distinct pc) <= 1 then 'within' else 'across' end as kind from grp group by dup_group)
+select 'all' as what, '' as value, count(distinct platform_code) as n_platforms from obs union all
+select 'month', strftime(profile_timestamp, '%Y-%m'), count(distinct platform_code) from obs group by 2 union all
+select 'duplicates', kind, count(distinct pc) from grp join g using (dup_group) group by kind""",
+    "report_lines_profiles": f"""{WITH}, r as ({PROFILE_SQL}), o as (select *, row_number() over (order by platform_code, profile_no) as line from r)
+select 0 as line, concat_ws(chr(9), {', '.join(f"'{c}'" for c in PROFILE_CELLS)}) as text union all select line, concat_ws(chr(9), {', '.join(_profile_cell(c) for c in PROFILE_CELLS)}) from o""",
+    "report_json_profiles": f"""{WITH}, r as ({PROFILE_SQL}), o as (select *, row_number() over (order by platform_code, profile_no) as line from r)
+select line, '{{' || concat_ws(',', {', '.join(_json_cell(c) for c in PROFILE_CELLS)}, '"long":' || cast(n_obs > 3 as varchar), '"odd":"\\"\\\\\\t' || platform_code || '"') || '}}' as text from o""",
+    "dups_lines": f"""with d as ({DUPS_REPORT}), o as (select *, row_number() over (order by dup_group, platform_code, profile_no) as line from d)
+select line, concat_ws(chr(9), cast(dup_group as varchar), platform_code, cast(profile_no as varchar), {_shortest('profile_time')}, strftime(profile_timestamp, '%Y-%m-%d %H:%M:%S'), {_shortest('longitude')}, {_shortest('latitude')}, cast(n_obs as varchar)) as text from o""",
     "report_marked": f"{DUPS} select k.pc as platform_code, count(*) as n_profiles, count(g.pn) as dup_profiles from keyed k left join grp g on k.pc = g.pc and k.pn = g.pn group by k.pc",
     "concat_renumber": f"""{WITH}, m as (select *, {STRING_KEY} as k from obs where pres is not null and not isnan(pres))
 select platform_code, dense_rank() over (partition by platform_code order by k) as profile_no, row_number() over (partition by platform_code, k order by pres, __order) as observation_no, pres from m""",
     "concat_no_pres_sort": f"""{WITH}, m as (select *, {STRING_KEY} as k from obs)
 select platform_code, dense_rank() over (partition by platform_code order by k) as profile_no, row_number() over (partition by platform_code, k order by __order) as observation_no, longitude, profile_timestamp from m""",
+    "concat_ordered": f"""{WITH}, m as (select *, {STRING_KEY} as k, profile_no % 2 as part from obs where pres is not null and not isnan(pres)),
+n as (select * replace (dense_rank() over (partition by platform_code order by k) as profile_no), row_number() over (partition by platform_code, k order by pres, part, __order) as observation_no from m)
+select platform_code, profile_no, observation_no, pres, row_number() over (order by platform_code, profile_timestamp, longitude, latitude, pres, part, __order, observation_no) as row from n""",
     "concat_norenumber": f"{WITH} select {LIST} from obs where pres is not null and not isnan(pres)",
     "round_modes": """with d as (select distinct l_extendedprice / 7 - 3000 as v from lineitem)
 select v, cast(round(v * 1000.0) as bigint) as k_round, cast(floor(v * 1000.0) as bigint) as k_floor, cast(ceil(v * 1000.0) as bigint) as k_ceil, cast(trunc(v * 1000.0) as bigint) as k_trunc from d""",
@@ -501,6 +647,20 @@ c as (select c_custkey, c_nationkey as nation, c_custkey % 400 as t from custome
 m as (select c_custkey, arg_max(value, start * 1000000000 + position) as value from c join r on r.nation = c.nation and start <= t group by c_custkey)
 select c.c_custkey, c.nation, c.t, coalesce(m.value, cast('NaN' as double)) as value from c left join m using (c_custkey)""",
     "netcdf_nrt": NETCDF_SQL,
+    "netcdf_cora": """with c as (select s_suppkey as s, s_nationkey as n, row_number() over (partition by s_nationkey order by s_suppkey) as profile_no from supplier),
+l as (select *, unnest(range(0, 3)) as k from c),
+v as (select *, (s + k) % 3 = 0 as no_temp, (s * k) % 5 = 1 as no_psal, (s + k) % 4 = 1 as no_pres, (s + 2 * k) % 13 - 1 as flag from l)
+select concat('CO_', cast(n as varchar)) as filename, concat('S', cast(s % 40 as varchar)) as platform_code, profile_no, 10000 + s / 4.0 as profile_time, k + 1 as observation_no, cast(s % 180 as double) as longitude, cast(s % 70 as double) as latitude,
+ case when s % 11 < 10 then cast(s % 11 as varchar) else '' end as time_qc, cast(s % 4 as varchar) as position_qc, case when no_temp then cast('NaN' as float) else cast(s % 30 + k as float) end as temp,
+ case when flag between 0 and 9 then cast(flag as varchar) else '' end as temp_qc, case when no_psal then cast('NaN' as float) else cast(34.5 + k as float) end as psal,
+ case when no_pres then cast('NaN' as float) else cast(5 + 10 * k as float) end as pres, cast(0 as tinyint) as pres_conv, case when no_pres then cast('NaN' as float) else cast(4.5 + 10 * k as float) end as deph, cast(k + 1 as varchar) as deph_qc,
+ cast(0 as tinyint) as deph_conv from v where not (no_temp and no_psal and no_pres)""",
+    "netcdf_coordinates": """with c as (select s_suppkey as s, s_nationkey as n, row_number() over (partition by s_nationkey order by s_suppkey) as profile_no from supplier),
+r as (select *, case when s % 4 = 0 then null else cast(s % 90 as double) end as lon, case when s % 5 = 0 then null else cast(s % 60 as double) end as lat,
+ case when n % 2 = 1 then n + case when profile_no > 3 then 0.5 else 0 end when s % 3 = 0 then null else s % 90 + 0.5 end as plon, case when n % 2 = 1 then n / 2.0 + case when profile_no > 3 then 1 else 0 end when s % 7 = 0 then null else s % 60 + 0.25 end as plat from c),
+l as (select *, unnest(range(0, 2)) as k from r)
+select concat('BO_PR_CT_', cast(n as varchar)) as filename, profile_no, k + 1 as observation_no, cast(coalesce(lon, plon, cast('NaN' as double)) as double) as longitude, cast(coalesce(lat, plat, cast('NaN' as double)) as double) as latitude,
+ cast(coalesce(plon, lon, cast('NaN' as double)) as double) as profile_longitude, cast(coalesce(plat, lat, cast('NaN' as double)) as double) as profile_latitude, cast(s % 50 + k as float) as temp from l""",
     "batch_convert": f"select *, concat(filename, '.parquet') as file, row_number() over (partition by filename order by profile_no, observation_no) - 1 as place from ({NETCDF_SQL})",
     "qc_flags": """select p_partkey, case when p_partkey % 14 - 2 between 0 and 9 then cast(p_partkey % 14 - 2 as varchar) else '' end as i,
  case p_partkey % 4 when 0 then '1' when 2 then 'A' else '' end as c, 'P' || cast(p_partkey as varchar) as t,

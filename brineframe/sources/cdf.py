@@ -5,9 +5,11 @@ HDF5-based NetCDF-4 files need the optional netCDF4 or h5netcdf packages.
 
 from __future__ import annotations
 
+import io
 import struct
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 
@@ -32,11 +34,12 @@ class Variable:
 
 
 class ClassicFile:
-    """Dimensions, attributes and variables of a classic file; slices along the first dimension are read alone."""
+    """Dimensions, attributes and variables of a classic file; slices along the first dimension are read alone.
+    ``content``: the file's bytes, where it can't be opened by its path."""
 
-    def __init__(self, path: str | Path):
-        self.path = str(path)
-        with open(path, "rb") as f:
+    def __init__(self, path: str | Path, content: bytes | None = None):
+        self.path, self._content = str(path), content
+        with self._opened() as f:
             self._f = f
             magic = f.read(4)
             if magic[:3] != b"CDF" or magic[3] not in (1, 2, 5):
@@ -57,6 +60,9 @@ class ClassicFile:
         sizes = [self._row_bytes(v) for v in rows]
         self._stride = sizes[0] if len(rows) == 1 else sum(-(-s // 4) * 4 for s in sizes)
 
+    def _opened(self) -> BinaryIO:
+        return open(self.path, "rb") if self._content is None else io.BytesIO(self._content)
+
     def _read(self, kind: str, n: int = 1) -> np.ndarray:
         own = np.dtype(kind)
         return np.frombuffer(self._f.read(own.itemsize * n), own)
@@ -98,7 +104,7 @@ class ClassicFile:
         """Rows start to stop of the first dimension, in native byte order."""
         v = self.variables[name]
         own = np.dtype(TYPES[v.kind])
-        with open(self.path, "rb") as f:
+        with self._opened() as f:
             if not v.dims:
                 f.seek(v.begin)
                 return np.frombuffer(f.read(own.itemsize), own).reshape(()).astype(own.newbyteorder("="))
@@ -154,17 +160,20 @@ def classic_bytes(dimensions: dict[str, int], variables: dict[str, tuple[tuple[s
     return b"".join(out + blocks)
 
 
-def open_grid(path: str | Path):
+def open_grid(path: str | Path, content: bytes | None = None):
     """A classic file, or (with the netCDF4 package) any other NetCDF file, behind the same few methods."""
-    with open(path, "rb") as f:
-        classic = f.read(3) == b"CDF"
+    if content is None:
+        with open(path, "rb") as f:
+            classic = f.read(3) == b"CDF"
+    else:
+        classic = content[:3] == b"CDF"
     if classic:
-        return ClassicFile(path)
+        return ClassicFile(path, content)
     try:
         import netCDF4
     except ImportError as e:
         raise ValueError(f"{path}: NetCDF-4 files need the netCDF4 package") from e
-    return _LibraryFile(netCDF4.Dataset(str(path)))
+    return _LibraryFile(netCDF4.Dataset(str(path), memory=content))
 
 
 class _LibraryFile:

@@ -8,6 +8,7 @@ one row per profile, variables as arrays over the levels.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from math import ceil
 from pathlib import Path
@@ -163,9 +164,48 @@ class NetcdfProfiles(DataSource):
         return _Reader(dict(self.options))
 
 
+def _decoded(kind: str, time_var: str, targets: dict[str, str], failures: str | None):
+    """Profile rows of files that come as bytes."""
+    reader = _Reader({"layout": kind, "time_var": time_var, "files": "[]"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                target = targets.get(path.rsplit("/", 1)[-1])
+                try:
+                    own = open_grid(path, content.as_buffer().to_pybytes())
+                    total = own.dimensions[_axes(kind)[0]]
+                    for a in range(0, total, BATCH):
+                        yield reader._batch(path, own, a, min(a + BATCH, total), target)
+                except Exception as e:  # noqa: BLE001  (noted; the other files go on)
+                    if not failures:
+                        raise
+                    note(failures, path, target, e)
+
+    return run
+
+
+def is_remote(path: str) -> bool:
+    """Whether a path is a URI of a store that only Spark's readers open."""
+    return re.match(r"^[a-z][a-z0-9+.-]*:/", path) is not None and not path.startswith("file:")
+
+
+def read_remote_profiles(spark: SparkSession, files: list[str] | dict[str, str], layout: NrtLayout | CoraLayout, failures: str | None = None) -> DataFrame:
+    """``read_profiles`` of files that are read through Spark, from any store that it knows. A file comes whole to the task that decodes
+    it, so it may have 2 GB at most, and takes about three times its size there."""
+    cora = isinstance(layout, CoraLayout)
+    results = {f.rsplit("/", 1)[-1]: t for f, t in files.items()} if isinstance(files, dict) else {}
+    if len(results) < len(files) and isinstance(files, dict):
+        raise ValueError("files of one batch have names of their own")
+    whole = prepare(spark).read.format("binaryFile").load(list(files)).select("path", "content")
+    return whole.mapInArrow(_decoded("cora" if cora else "nrt", layout.time_var if cora else "TIME", results, failures), SCHEMA)
+
+
 def read_profiles(spark: SparkSession, files: list[str] | dict[str, str], layout: NrtLayout | CoraLayout, failures: str | None = None) -> DataFrame:
     """``files`` that map paths to results are read in one go each, with the result in ``target``."""
     prepare(spark)
+    if any(is_remote(str(f)) for f in files):
+        return read_remote_profiles(spark, files, layout, failures)
     spark.dataSource.register(NetcdfProfiles)
     cora = isinstance(layout, CoraLayout)
     listed = [[str(f), str(t)] for f, t in files.items()] if isinstance(files, dict) else [str(f) for f in files]

@@ -90,3 +90,8 @@ def test_pipeline(spark, tmp_path):
     assert "| Profiles | 4 |" in pages["one"] and "| Profiles | 3 | 75.0% | 25.0% |" in pages["one"] and "| Profiles | 1 | 25.0% | 75.0% | 2 | 50.0% | 50.0% |" in pages["one"]
     assert "| two | 1 | 100.0% | 1 | 100.0% | 1 | 0 | 100.0% |" in pages["one"]
     assert Pipeline(spark, "baltic", tmp_path).run({}) == {}
+    b.write.parquet(str(tmp_path / "b.parquet"))
+    assert dispatch(["region", "arctic", "--root", str(tmp_path / "again"), f"two={tmp_path / 'b.parquet'}"], spark).count == 1
+    assert "| Profiles | 1 |" in (tmp_path / "again" / "summary" / "two.md").read_text()
+    with pytest.raises(ValueError, match="stems"):
+        dispatch(["region", "arctic", "x=1", "x=2"], spark)

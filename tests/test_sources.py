@@ -141,6 +141,22 @@ def test_slices_do_not_matter(spark, tmp_path, monkeypatch):
     assert repr([r for p in reader.partitions() for r in rows(p)]) == repr(whole) and len(want) == 18
 
 
+def test_files_that_only_spark_opens(spark, tmp_path):
+    """Through a path that is a mount of Hadoop's, and no file for Python: the same rows, and files of their own."""
+    (tmp_path / "in").mkdir()
+    nrt_file(tmp_path / "in" / "a.nc", deph=True, profile="deploy")
+    nrt_file(tmp_path / "in" / "b.nc", platform="PL2", n=2)
+    (tmp_path / "in" / "c.nc").write_bytes(b"broken")
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{tmp_path.name}.link./in", f"file://{tmp_path}/in")
+    far, near = ([f"{top}/{n}.nc" for n in "ab"] for top in (f"viewfs://{tmp_path.name}/in", tmp_path / "in"))
+    got, want = (sorted(map(repr, netcdf.convert(spark, files, PRESETS["nrt_bo"]).collect())) for files in (far, near))
+    assert got == want and len(got) == 15
+    results = {f"viewfs://{tmp_path.name}/in/{n}.nc": str(tmp_path / "out" / f"{n}.parquet") for n in "abc"}
+    (failed,) = netcdf.convert_each(spark, results, PRESETS["nrt_bo"])
+    assert "c.nc: " in failed and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.parquet", "b.parquet"]
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
 def test_headers(spark, tmp_path):
     nrt_file(tmp_path / "a.nc")
     own = netcdf.header(tmp_path / "a.nc")["a"]
