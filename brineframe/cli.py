@@ -169,7 +169,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("name", choices=sorted(REGIONS))
     p.add_argument("--root", default=".", help="where output, report and summary are")
     _key_arguments(p)
-    p.add_argument("products", nargs="*", metavar="STEM=TABLE")
+    p.add_argument("products", nargs="+", metavar="STEM=TABLE")
     p = commands.add_parser("arrange", help="a table laid out by position, which filter reads in part; rows are added if it is there")
     p.add_argument("src")
     p.add_argument("dest")
