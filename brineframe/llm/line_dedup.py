@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare, stored, work_path
 from ..sources.ledger import Batch, Ledger
-from .words import SPACES, runs
+from .words import SMALL_RUN, SPACES, runs
 
 #: Fixed value: keys shorter than this many code points stay.
 MIN_CODE_POINTS = 10
@@ -138,7 +138,7 @@ def line_key(line: bytes) -> bytes | None:
 def _refs(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in runs(batch):
+            for part in runs(batch, size=SMALL_RUN):
                 ids, keys = [], []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
                     own = {line_key(x) for x in (text or b"").split(b"\n")}
@@ -337,7 +337,7 @@ class LineIndex:
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in runs(batch):
+        for part in runs(batch, size=SMALL_RUN):
             n, dropped, kept = [], [], []
             for text, drop in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("__drop").to_pylist()):
                 lines = (text or b"").split(b"\n")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare, stored
-from .words import SPACES, Words, rolled, runs, windows
+from .words import SMALL_RUN, SPACES, Words, rolled, runs, windows
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +82,7 @@ def line_words(text: bytes) -> tuple[int, dict[bytes, int]]:
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in runs(batch):
+        for part in runs(batch, size=SMALL_RUN):
             words = Words(part.column("text"))
             n_words = np.diff(words.bounds)
             inside = np.zeros(len(words.data) + 1, np.int8)
@@ -157,7 +157,7 @@ def _judged(base: DataFrame, frequent: DataFrame, min_left: float) -> DataFrame:
 
 def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in runs(batch):
+        for part in runs(batch, size=SMALL_RUN):
             texts = []
             for text, gone in zip(part.column("text").to_pylist(), part.column("__gone").to_pylist()):
                 if gone:

@@ -21,18 +21,21 @@ IS_END[list(b".,;:!?")] = True
 IS_LETTER[65:91] = IS_LETTER[97:123] = True
 #: Texts are handled in runs of about so many bytes; one longer text makes a run of its own.
 RUN_BYTES = 4 << 20
+#: Of the pipeline's stages, whose workers keep what their largest run took until the last stage ends.
+SMALL_RUN = 1 << 20
 
 
-def runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, each with about RUN_BYTES of ``column``."""
+def runs(batch: pa.RecordBatch, column: str = "text", size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each with about ``size`` bytes of ``column``. What Arrow holds without need is given back at the end."""
     if not batch.num_rows:
         return
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    cut = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // RUN_BYTES)) + 1
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // size)) + 1
     edges = [0, *cut.tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
