@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from ..session import prepare, stored
 from .components import components
 from .groups import candidate_groups, grouped, linked, overlaps, roots, shingle_sets
-from .words import Words, mix, raw, rolled, runs, windows
+from .words import SMALL_RUN, Words, mix, raw, rolled, runs, windows
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values, tries, values of a label, and the share of links that shall meet in some node.
 VALUES, TREES, LONGEST, RECALL = 128, 32, 12, 0.9999
-#: One in so many pairs of neighbours is measured; links at the threshold, of computed recall, that count besides them.
-SAMPLED, ASSUMED = 8, 100
+#: Links at the threshold, of computed recall, that count besides those that are measured.
+ASSUMED = 100
 #: Bytes of a label: the trie, then two for each value.
 LABEL = 1 + 2 * LONGEST
 #: Estimates from which a member shares its leader's links, and from which two are of one candidate group.
@@ -98,7 +98,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in runs(batch):
+        for part in runs(batch, size=SMALL_RUN):
             words = Words(part.column("text"))
             values, bounds = shingles(words)
             full = np.flatnonzero(np.diff(bounds) > 0)
@@ -213,7 +213,7 @@ def _meetings(threshold: float):
 def meeting_depth(reps: DataFrame, threshold: float, recall: float = RECALL) -> tuple[DataFrame, int, float]:
     """The tries, the longest prefix at which the measured share of links that meet reaches ``recall``, and that share.
 
-    Measured are one in SAMPLED of the pairs that stand side by side in some sorted trie and whose MinHash
+    Measured are all pairs that stand side by side in some sorted trie and whose MinHash
     values agree as those of a link; each by the tries other than the first that paired it. ASSUMED links at the threshold count besides
     them with their computed chance, so that a corpus with few links is read at a safe depth. If no
     prefix down to one value reaches the target, that is an error, never a silent loss."""
@@ -222,7 +222,7 @@ def meeting_depth(reps: DataFrame, threshold: float, recall: float = RECALL) ->
         floor = max(1, floor - 1)
         tries = sorted_tries(reps, floor)
         pairs = tries.where(F.col("up") >= floor).select(F.least("prev", "rep").alias("a"), F.greatest("prev", "rep").alias("b"), F.conv(F.hex(F.substring("label", 1, 1)), 16, 10).cast("int").alias("tree"))
-        pairs = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(SAMPLED)) == 0).groupBy("a", "b").agg(F.min("tree").alias("tree"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))
         sig = lambda c, name: reps.select(F.col("rep").alias(c), F.col("sig").alias(name))
         pairs = pairs.join(sig("a", "one"), "a").join(sig("b", "other"), "b").select("one", "other", "tree")
         found = {r["depth"]: r["count"] for r in pairs.mapInArrow(_meetings(threshold), "depth int").groupBy("depth").count().collect()}
