@@ -221,7 +221,7 @@ def _bucketed_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge read back with row numbers from its manifest."""
     obs = observations(spark, sf_dir)
-    table = merging.merge_ordered([obs.where(f"profile_no % 2 = {k}") for k in (0, 1)], work_path(spark, "merged"), files=8)
+    table = merging.merge_ordered([obs.where(f"profile_no % 2 = {k}") for k in (0, 1)], work_path(spark, "merged"))
     return table.numbered().select("platform_code", "profile_no", "observation_no", "pres", F.col(ROW).alias("row"))
 
 

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: The column of row numbers, from 1.
 ROW = "__row"
-#: Rows of a file.
-FILE_ROWS = 5_000_000
+#: Rows of a file: what one task sorts.
+FILE_ROWS = 500_000
 
 
 class OrderedTable:
@@ -27,9 +30,11 @@ class OrderedTable:
     @classmethod
     def write(cls, df: DataFrame, path: str, keys: Sequence[str], drop: Sequence[str] = (), files: int | None = None) -> OrderedTable:
         """Writes a table in the order of ``keys``, which should tell all rows apart (ties have no stated order). Columns ``drop`` are
-        part of the order, not of the table. By default a file for each FILE_ROWS rows."""
+        part of the order, not of the table. By default a file for each FILE_ROWS rows. What makes the rows runs once: they are
+        written as they come, then counted and dealt out by ranges."""
         spark, own = df.sparkSession, cls(df.sparkSession, path)
-        files = files or max(1, df.count() // FILE_ROWS)
+        df = stored(df, "unordered")
+        files = files or max(1, ceil(df.count() / FILE_ROWS))
         name = f"rows-{uuid.uuid4().hex}"
         rows = df.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
         rows.select(F.struct(*keys).alias("__key"), *(c for c in df.columns if c not in drop)).write.parquet(f"{own.path}/{name}")
