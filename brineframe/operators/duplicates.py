@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.keys import KeyOptions, cast_key
 from ..functions.missing import require
 from ..functions.times import timestamp_ms
+from ..session import stored
 from .order import ORDER, with_order
 
 NEEDED = ("platform_code", "profile_no", "profile_timestamp", "longitude", "latitude")
@@ -51,9 +52,11 @@ def profiles_of(parts: DataFrame, options: KeyOptions = KeyOptions(), own: tuple
 def duplicate_groups(own: DataFrame) -> DataFrame:
     """From ``profiles``: the profiles whose key occurs more than once, with dup_group numbered from 1
     in the order of the keys. Keys are numbered within their time, times within the first ten
-    characters of their text (the date, by default); only the counts of those are summed up in one place."""
+    characters of their text (the date, by default); only the counts of those are summed up in one place.
+    Profiles are made once and written, as they are read for their keys and for their attributes."""
+    own = stored(own, "keyed-profiles")
     keys = own.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = keys.select(F.col("key").alias("k"), F.row_number().over(Window.partitionBy("key.t").orderBy("key.x", "key.y")).cast("long").alias("nth"))
+    keys = stored(keys.select(F.col("key").alias("k"), F.row_number().over(Window.partitionBy("key.t").orderBy("key.x", "key.y")).cast("long").alias("nth")), "repeated-keys")
     def earlier(*within: str) -> Column:
         window = Window.partitionBy(*within[:-1]).orderBy(within[-1]).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("n").over(window), F.lit(0))
@@ -67,9 +70,12 @@ def duplicate_groups(own: DataFrame) -> DataFrame:
 
 def duplicates_report(groups: DataFrame) -> DataFrame:
     """The rows of the duplicates table, in its order."""
-    return groups.select("dup_group", F.col("pc").alias("platform_code"), F.col("pn").alias("profile_no"), "profile_time", F.timestamp_millis("ms").cast("timestamp_ntz").alias("profile_timestamp"), "longitude", "latitude", "n_obs").orderBy(
-        "dup_group", "platform_code", "profile_no"
-    )
+    return duplicates_rows(groups).orderBy("dup_group", "platform_code", "profile_no")
+
+
+def duplicates_rows(groups: DataFrame) -> DataFrame:
+    """The rows of the duplicates table, in no order."""
+    return groups.select("dup_group", F.col("pc").alias("platform_code"), F.col("pn").alias("profile_no"), "profile_time", F.timestamp_millis("ms").cast("timestamp_ntz").alias("profile_timestamp"), "longitude", "latitude", "n_obs")
 
 
 def _attach(df: DataFrame, some: DataFrame, how: str) -> DataFrame:

@@ -483,7 +483,8 @@ def _profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dups_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_lines(_dups(spark, sf_dir), duplicates_line(), ["dup_group", "platform_code", "profile_no"], files=4)
+    groups = duplicates.duplicate_groups(duplicates.profiles(observations(spark, sf_dir)))
+    return numbered_lines(duplicates.duplicates_rows(groups), duplicates_line(), ["dup_group", "platform_code", "profile_no"])
 
 
 PROFILE_CELLS = ["platform_code", "profile_no", "profile_timestamp", "longitude", "latitude", "n_obs", "time_qc", "na_temp", "temp_min", "temp_max", "psal_min", "psal_max", "pres_min", "pres_max"]
