@@ -171,9 +171,9 @@ from (select count(*) as np, count(*) filter (not ({usable})) as un, count(*) fi
 def _spatial(spark: SparkSession, sf_dir: str) -> SpatialTable:
     """All observations laid out by position, in two batches."""
     table = SpatialTable(spark, work_path(spark, "by-position"))
-    obs = observations(spark, sf_dir).select(*COLUMNS)
+    obs = stored(observations(spark, sf_dir).select(*COLUMNS), "observations")
     for k in (0, 1):
-        table.append(obs.where(f"profile_no % 2 = {k}"), files=8)
+        table.append(obs.where(f"profile_no % 2 = {k}"))
     return table
 
 

@@ -17,19 +17,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.missing import require
 from ..operators.cleaning import Box, filter_box, filter_region
+from ..session import stored
 
 #: Bits of each coordinate: cells of 0.00034 by 0.00017 degrees.
 BITS = 20
 #: Masks of the bits that stay after each doubling of the distance between them.
 SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
-#: Rows of a file, and about how many bytes of a row group.
-FILE_ROWS, GROUP_BYTES = 5_000_000, 16 << 20
+#: Rows of a file, which one task sorts, and about how many bytes of a row group.
+FILE_ROWS, GROUP_BYTES = 1_000_000, 16 << 20
 ZONES = "file string, rows long, lost long, min_lon double, max_lon double, min_lat double, max_lat double"
 
 
@@ -64,9 +66,11 @@ class SpatialTable:
         self.spark, self.path, self.group_bytes = spark, path.rstrip("/"), group_bytes
 
     def append(self, df: DataFrame, files: int | None = None) -> None:
-        """Adds rows as a batch of ``files`` files (by default from the number of rows). Nothing is visible before the end."""
+        """Adds rows as a batch of ``files`` files (by default from the number of rows). Nothing is visible before the end.
+        What makes the rows runs once: they are written as they come, then counted and dealt out."""
         require(df.columns, "longitude", "latitude")
-        files = files or max(1, df.count() // FILE_ROWS)
+        df = stored(df, "unplaced")
+        files = files or max(1, ceil(df.count() / FILE_ROWS))
         name = uuid.uuid4().hex
         key = curve(F.col("longitude"), F.col("latitude"))
         rows = df.withColumn("__z", key)
