@@ -7,6 +7,8 @@ the duplicates table are not rounded: they have the shortest text that reads bac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,31 +18,22 @@ PART = 30
 _MASK = (1 << PART) - 1
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used: an expression that repeats its parts doubles with
+    each step until Spark can't compile it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def four_decimals(value: Column) -> Column:
     """A number with up to four decimals; empty if there is none. Beyond 2^63, digits after the seventeenth are zeros."""
-    v = value.cast("double")
+    return _let(value.cast("double"), _four_decimals)
+
+
+def _four_decimals(v: Column) -> Column:
     size = F.abs(v)
     finite = v.isNotNull() & ~F.isnan(v) & (size < F.lit(float("inf")))
     small = finite & (size < F.lit(float(1 << 53)))
-    a = F.when(small, size).otherwise(0.0)
-    whole = F.floor(a)
-    # the fraction in three numbers of 30 bits: doubling and taking whole parts is exact
-    rest = (a - whole) * float(1 << PART)
-    one = F.floor(rest)
-    rest = (rest - one) * float(1 << PART)
-    two = F.floor(rest)
-    three = F.ceil((rest - two) * float(1 << PART))  # what lies below 2^-90 only matters for not being 0
-    low = three * 20000
-    mid = two * 20000 + F.shiftright(low, PART)
-    top = one * 20000 + F.shiftright(mid, PART)
-    halves = F.shiftright(top, PART)  # whole number of half units of the fourth decimal
-    more = (low.bitwiseAND(_MASK) + mid.bitwiseAND(_MASK) + top.bitwiseAND(_MASK)) > 0
-    units = F.shiftright(halves, 1)
-    up = (halves.bitwiseAND(1) == 1) & (more | (units.bitwiseAND(1) == 1))
-    units = units + up.cast("long")
-    whole = whole + F.floor(units / 10000)
-    decimals = F.rtrim(F.lpad((units % 10000).cast("string"), 4, "0"), F.lit("0"))
-    digits = F.concat(whole.cast("string"), F.when(decimals == "", "").otherwise(F.concat(F.lit("."), decimals)))
+    digits = _let(size, lambda a: _let(F.floor(a), lambda whole: _digits(a, whole)))
     whole_number = finite & (size < F.lit(9.2e18))
     mid_size = F.when(whole_number, size).otherwise(0.0).cast("long").cast("string")
     large = F.format_string("%.0f", F.when(finite, size).otherwise(0.0))
@@ -49,24 +42,58 @@ def four_decimals(value: Column) -> Column:
     return F.when(v.isNull() | F.isnan(v), "").otherwise(F.concat(sign, text))
 
 
+def _digits(a: Column, whole: Column) -> Column:
+    """Digits of a number of under 2^53 whose whole part is given."""
+    unit = float(1 << PART)
+
+    def rounded(low: Column, mid: Column, top: Column) -> Column:
+        halves = F.shiftright(top, PART)  # whole number of half units of the fourth decimal
+        more = (low.bitwiseAND(_MASK) + mid.bitwiseAND(_MASK) + top.bitwiseAND(_MASK)) > 0
+        units = F.shiftright(halves, 1)
+        return units + ((halves.bitwiseAND(1) == 1) & (more | (units.bitwiseAND(1) == 1))).cast("long")
+
+    def text(units: Column) -> Column:
+        digits = (whole + F.floor(units / 10000)).cast("string")
+        decimals = F.rtrim(F.lpad((units % 10000).cast("string"), 4, "0"), F.lit("0"))
+        return _let(decimals, lambda d: F.concat(digits, F.when(d == "", "").otherwise(F.concat(F.lit("."), d))))
+
+    def multiplied(one: Column, two: Column, three: Column) -> Column:
+        carried = lambda own, below: own * 20000 + F.shiftright(below, PART)
+        return _let(three * 20000, lambda low: _let(carried(two, low), lambda mid: _let(carried(one, mid), lambda top: _let(rounded(low, mid, top), text))))
+
+    # the fraction in three numbers of 30 bits: doubling and taking whole parts is exact; what lies below 2^-90 only matters for not being 0
+    last = lambda one, rest: _let(F.floor(rest), lambda two: multiplied(one, two, F.ceil((rest - two) * unit)))
+    return _let((a - whole) * unit, lambda rest: _let(F.floor(rest), lambda one: _let((rest - one) * unit, lambda left: last(one, left))))
+
+
 def shortest(value: Column) -> Column:
     """A number at its shortest exact length, without an exponent; whole numbers without a point. NaN and null are NaN.
     Below 2.3e-308 it may have a digit more than needed."""
-    v = value.cast("double")
+    return _let(value.cast("double"), _shortest)
+
+
+def _shortest(v: Column) -> Column:
     size = F.abs(v)
     usable = v.isNotNull() & ~F.isnan(v) & (size < F.lit(float("inf"))) & (size > 0)
-    a = F.when(usable, size).otherwise(1.0)
-    tries = [F.format_string(f"%.{n}e", a) for n in range(13, 17)]
-    text = F.coalesce(*(F.when(t.cast("double") == a, t) for t in tries), tries[-1])
-    digits = F.rtrim(F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
-    power = F.substring_index(text, "e", -1).cast("int")
-    n = F.length(digits)
-    far = F.concat(digits, F.expr("repeat('0', 400)").substr(F.lit(1), F.greatest(power + 1 - n, F.lit(0))))
-    mixed = F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, n))
-    near = F.concat(F.lit("0."), F.expr("repeat('0', 400)").substr(F.lit(1), F.greatest(-power - 1, F.lit(0))), digits)
-    plain = F.when(power < 0, near).when(n <= power + 1, far).otherwise(mixed)
+
+    def scientific(a: Column) -> Column:
+        tries = [F.format_string(f"%.{n}e", a) for n in range(13, 17)]
+        return F.coalesce(*(_let(t, lambda t: F.when(t.cast("double") == a, t)) for t in tries), tries[-1])
+
+    def plain(digits: Column, power: Column) -> Column:
+        n = F.length(digits)
+        far = F.concat(digits, F.expr("repeat('0', 400)").substr(F.lit(1), F.greatest(power + 1 - n, F.lit(0))))
+        mixed = F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, n))
+        near = F.concat(F.lit("0."), F.expr("repeat('0', 400)").substr(F.lit(1), F.greatest(-power - 1, F.lit(0))), digits)
+        return F.when(power < 0, near).when(n <= power + 1, far).otherwise(mixed)
+
+    def parts(text: Column) -> Column:
+        digits = F.rtrim(F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+        return _let(digits, lambda d: _let(F.substring_index(text, "e", -1).cast("int"), lambda power: plain(d, power)))
+
+    text = _let(F.when(usable, size).otherwise(1.0), lambda a: _let(scientific(a), parts))
     sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
-    out = F.when(usable, plain).when(size == 0, "0").when(size == F.lit(float("inf")), "inf")
+    out = F.when(usable, text).when(size == 0, "0").when(size == F.lit(float("inf")), "inf")
     return F.when(v.isNull() | F.isnan(v), "NaN").otherwise(F.concat(sign, out))
 
 

@@ -81,3 +81,10 @@ def test_the_duplicates_table(spark):
     df = spark.createDataFrame(rows, "dup_group long, platform_code string, profile_no long, profile_time double, profile_timestamp timestamp_ntz, longitude double, latitude double, n_obs long")
     want = list(render.duplicates_lines(df))[1:]
     assert [f"{r[0]}\n" for r in df.select(duplicates_line()).collect()] == want
+
+
+def test_cells_are_worked_out_once(spark):
+    """The expression of a cell grows with its steps, not twofold with each: what Spark can't compile runs row by row, a hundred times slower."""
+    for f in (four_decimals, shortest):
+        plan = spark.range(1).select(f(F.col("id").cast("double")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert len(plan) < 12_000, (f.__name__, len(plan))
