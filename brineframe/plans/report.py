@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import KeyOptions
 from ..functions.missing import MEASURES, is_missing, require, valid
+from ..functions.times import timestamp_ms
+from ..operators.duplicates import duplicate_groups, marked_by, profiles_of
 from ..operators.order import ORDER, with_order
+from ..session import stored
 
 LEVELS = ("platform", "profile", "global")
 GEO = ("longitude", "latitude")
@@ -74,17 +78,23 @@ def report(df: DataFrame, level: str = "platform") -> DataFrame:
 
 def report_of(own: DataFrame, level: str = "platform") -> DataFrame:
     """The report of a table of profiles."""
+    out = report_rows(own, level)
+    return {"platform": lambda: out.orderBy("platform_code"), "profile": lambda: out.orderBy("platform_code", "profile_no"), "global": lambda: out}[level]()
+
+
+def report_rows(own: DataFrame, level: str = "platform") -> DataFrame:
+    """The rows of ``report_of`` in no order, for what deals them out by an order of its own."""
     dup = "is_dup" in own.schema["f"].dataType.names
     counts = ["n_profiles", "n_obs", "time_qc_good", "position_qc_good", *(["dup_profiles"] if dup else [])]
     ends = [f"{c}_{e}" for c in GEO for e in ("min", "max")]
     if level == "profile":
         heads = [F.col("f.profile_timestamp").alias("profile_timestamp"), F.col("f.longitude").alias("longitude"), F.col("f.latitude").alias("latitude"), F.col("n_obs"), F.col("f.time_qc").alias("time_qc"), F.col("f.position_qc").alias("position_qc")]
         heads += [F.col("f.is_dup").alias("is_dup")] if dup else []
-        return own.select("platform_code", "profile_no", *heads, *_measures()).orderBy("platform_code", "profile_no")
+        return own.select("platform_code", "profile_no", *heads, *_measures())
     # platforms are rolled up either way: the global row is an aggregation of theirs
     per_platform = own.groupBy("platform_code").agg(*_rolled(own, dup))
     if level == "platform":
-        return per_platform.select("platform_code", *counts, *ends, *_measures()).orderBy("platform_code")
+        return per_platform.select("platform_code", *counts, *ends, *_measures())
     whole = per_platform.agg(
         F.count("platform_code").alias("n_platforms"),
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts),
@@ -94,6 +104,18 @@ def report_of(own: DataFrame, level: str = "platform") -> DataFrame:
     return whole.select("n_platforms", *counts, *ends, *_measures())
 
 
+def marked_report(df: DataFrame, level: str = "platform", options: KeyOptions = KeyOptions()) -> DataFrame:
+    """``report`` of the table that ``mark_duplicates`` makes. A mark is a profile's, so rows are reduced to profiles once,
+    and these are grouped, marked and rolled up."""
+    if "profile_time" not in df.columns:
+        df = df.withColumn("profile_time", F.lit(float("nan")))
+    own = stored(partial_profiles(df, ["time_qc", "position_qc", "profile_time", "profile_timestamp", *GEO]), "profiles-to-mark")
+    first = F.struct("o", F.col("f.profile_time").cast("double").alias("time"), timestamp_ms(F.col("f.profile_timestamp")).alias("ms"), F.col("f.longitude").cast("double").alias("lon"), F.col("f.latitude").cast("double").alias("lat"))
+    groups = duplicate_groups(profiles_of(own.select("platform_code", "profile_no", first.alias("f"), "n_obs"), options))
+    marked = marked_by(own, groups)
+    return report_of(marked.withColumn("f", F.col("f").withField("is_dup", F.col("is_dup"))).drop("is_dup"), level)
+
+
 def all_levels(df: DataFrame) -> DataFrame:
     """Platform rows and the global row in one plan, by grouping sets; ``level`` tells them apart."""
     dup = "is_dup" in df.columns

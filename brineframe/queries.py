@@ -468,18 +468,18 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a rendered report, with their numbers; cells and lines are made by column expressions."""
-    df = reports.report(observations(spark, sf_dir), "platform").select(*CELLS)
+    df = reports.report_rows(reports.profile_table(observations(spark, sf_dir))).select(*CELLS)
     return numbered_lines(df, tsv_line(df), ["platform_code"], "\t".join(CELLS))
 
 
 def _profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reports.report(observations(spark, sf_dir), "profile").select(*PROFILE_CELLS)
-    return numbered_lines(df, tsv_line(df), ["platform_code", "profile_no"], "\t".join(PROFILE_CELLS), files=8)
+    df = reports.report_rows(reports.profile_table(observations(spark, sf_dir)), "profile").select(*PROFILE_CELLS)
+    return numbered_lines(df, tsv_line(df), ["platform_code", "profile_no"], "\t".join(PROFILE_CELLS))
 
 
 def _profile_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reports.report(observations(spark, sf_dir), "profile").select(*PROFILE_CELLS, (F.col("n_obs") > 3).alias("long"), F.concat(F.lit('"\\\t'), "platform_code").alias("odd"))
-    return numbered_lines(df, json_record(df), ["platform_code", "profile_no"], files=8)
+    df = reports.report_rows(reports.profile_table(observations(spark, sf_dir)), "profile").select(*PROFILE_CELLS, (F.col("n_obs") > 3).alias("long"), F.concat(F.lit('"\\\t'), "platform_code").alias("odd"))
+    return numbered_lines(df, json_record(df), ["platform_code", "profile_no"])
 
 
 def _dups_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,7 +492,7 @@ CELLS = ["platform_code", "n_profiles", "n_obs", "time_qc_good", "position_qc_go
 
 
 def _marked_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report(duplicates.mark_duplicates(observations(spark, sf_dir))[0], "platform").select("platform_code", "n_profiles", "dup_profiles")
+    return reports.marked_report(observations(spark, sf_dir)).select("platform_code", "n_profiles", "dup_profiles")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
