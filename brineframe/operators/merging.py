@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.missing import require
-from ..sources.ordered import OrderedTable
+from ..session import stored
+from ..sources.ordered import FILE_ROWS, OrderedTable
 from .cleaning import drop_na_pres
 from .order import ORDER, with_order
 
@@ -50,7 +52,10 @@ def merge(tables: Sequence[DataFrame], number: bool = True, sort_by_pres: bool =
     tables, or with ``by_path`` that of their files' paths, so that a table may stand for many files.
     """
     out, keys = merged_rows(tables, number, sort_by_pres, keep_na_pres, by_path)
-    return out.orderBy(*keys).drop(ORDER)
+    # made once, then sorted in ranges of so many rows that a task has memory for, whatever the number of rows
+    out = stored(out, "merged-rows")
+    ranges = max(1, ceil(out.count() / FILE_ROWS))
+    return out.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop(ORDER)
 
 
 def merge_ordered(tables: Sequence[DataFrame], path: str, number: bool = True, sort_by_pres: bool = True, keep_na_pres: bool = False, by_path: bool = False, files: int | None = None) -> OrderedTable:
