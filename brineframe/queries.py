@@ -181,9 +181,11 @@ def _kept(spark: SparkSession, rows: DataFrame) -> ProfileStore:
     """A store of the profiles of a product that came in two deliveries, profiles split between them."""
     product, store = work_path(spark, "product"), ProfileStore(spark, work_path(spark, "profiles"))
     late = F.pmod(F.xxhash64("psal", "pres", "temp"), F.lit(3)) == 0
-    for name, some in (("first", ~late), ("second", late)):
-        rows.where(some).write.parquet(f"{product}/{name}")
-        store.update([product])
+    # both deliveries are written by one job; the store is told of the second after the first
+    rows.withColumn("delivery", F.when(late, "second").otherwise("first")).write.partitionBy("delivery").parquet(product)
+    first, second = (f"{product}/delivery={name}" for name in ("first", "second"))
+    store.update([first])
+    store.update([first, second])
     return store
 
 
