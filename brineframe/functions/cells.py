@@ -13,9 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bits of each of three parts of a fraction, in which it is multiplied without rounding.
-PART = 30
-_MASK = (1 << PART) - 1
+#: Below, a number of four decimals is told apart by its shortest text.
+_DENSE = float(1 << 37)
+#: From here on a fraction is a multiple of 2^-43, and ten thousand times one is exact.
+_EXACT = 512.0
+#: Up to here whole parts are longs.
+_LONG = 9.2e18
+#: What JSON escapes; the common ones are replaced one by one, the others by a fold, only in texts that hold one.
+_COMMON = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_RARE = {"\b": "\\b", "\f": "\\f"} | {chr(k): f"\\u{k:04x}" for k in range(32) if chr(k) not in "\n\r\t\b\f"}
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -26,44 +32,37 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def four_decimals(value: Column) -> Column:
     """A number with up to four decimals; empty if there is none. Beyond 2^63, digits after the seventeenth are zeros."""
-    return _let(value.cast("double"), _four_decimals)
+    v = value.cast("double")
+    return F.coalesce(_finite(v), F.when(v == F.lit(float("inf")), "inf").when(v == F.lit(float("-inf")), "-inf"), F.lit(""))
 
 
-def _four_decimals(v: Column) -> Column:
-    size = F.abs(v)
-    finite = v.isNotNull() & ~F.isnan(v) & (size < F.lit(float("inf")))
-    small = finite & (size < F.lit(float(1 << 53)))
-    digits = _let(size, lambda a: _let(F.floor(a), lambda whole: _digits(a, whole)))
-    whole_number = finite & (size < F.lit(9.2e18))
-    mid_size = F.when(whole_number, size).otherwise(0.0).cast("long").cast("string")
-    large = F.format_string("%.0f", F.when(finite, size).otherwise(0.0))
-    sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
-    text = F.when(small, digits).when(whole_number, mid_size).when(finite, large).when(size == F.lit(float("inf")), "inf")
-    return F.when(v.isNull() | F.isnan(v), "").otherwise(F.concat(sign, text))
-
+def _finite(v: Column) -> Column:
+    """The text of a double; null for what is no finite number.
 
-def _digits(a: Column, whole: Column) -> Column:
-    """Digits of a number of under 2^53 whose whole part is given."""
-    unit = float(1 << PART)
+    The number is rounded first, so that its text has no more decimals to drop. A product that isn't halfway between whole numbers lies on the
+    same side of that as the exact one. Only the others, and large numbers, take a lambda, which is run step by step; what holds one is
+    compiled in small methods, while all cells of a line in one method would be more than Java compiles."""
+    size = F.abs(v)
+    units = (size - F.floor(size)) * 10000.0
+    rare = (size >= _DENSE) | ((size < _EXACT) & (units - F.floor(units) == 0.5))
+    rounded = F.signum(v) * (F.floor(size) + F.rint(units) / 10000.0)
+    return F.when(size < F.lit(float("inf")), F.when(rare, _let(v, _exactly)).otherwise(_formatted(rounded)))
 
-    def rounded(low: Column, mid: Column, top: Column) -> Column:
-        halves = F.shiftright(top, PART)  # whole number of half units of the fourth decimal
-        more = (low.bitwiseAND(_MASK) + mid.bitwiseAND(_MASK) + top.bitwiseAND(_MASK)) > 0
-        units = F.shiftright(halves, 1)
-        return units + ((halves.bitwiseAND(1) == 1) & (more | (units.bitwiseAND(1) == 1))).cast("long")
 
-    def text(units: Column) -> Column:
-        digits = (whole + F.floor(units / 10000)).cast("string")
-        decimals = F.rtrim(F.lpad((units % 10000).cast("string"), 4, "0"), F.lit("0"))
-        return _let(decimals, lambda d: F.concat(digits, F.when(d == "", "").otherwise(F.concat(F.lit("."), d))))
+def _exactly(v: Column) -> Column:
+    size = F.abs(v)
+    rest = size - F.floor(size)
+    units = rest * 10000.0
+    upper = F.floor(rest * float(1 << 26)) / float(1 << 26)
+    error = (upper * 10000.0 - units) + (rest - upper) * 10000.0  # by which the exact product is more; its parts are exact where units are halfway
+    halfway = (units - F.floor(units) == 0.5) & (error != 0.0)
+    decimals = F.when(halfway, F.floor(units) + (error > 0.0).cast("long")).otherwise(F.rint(units)) / 10000.0
+    text = F.concat(F.when(v < 0, "-").otherwise(""), (F.floor(size) + F.floor(decimals)).cast("string"), F.substring(_formatted(decimals), 2, 5))
+    return F.when(size < _LONG, text).otherwise(_formatted(v))
 
-    def multiplied(one: Column, two: Column, three: Column) -> Column:
-        carried = lambda own, below: own * 20000 + F.shiftright(below, PART)
-        return _let(three * 20000, lambda low: _let(carried(two, low), lambda mid: _let(carried(one, mid), lambda top: _let(rounded(low, mid, top), text))))
 
-    # the fraction in three numbers of 30 bits: doubling and taking whole parts is exact; what lies below 2^-90 only matters for not being 0
-    last = lambda one, rest: _let(F.floor(rest), lambda two: multiplied(one, two, F.ceil((rest - two) * unit)))
-    return _let((a - whole) * unit, lambda rest: _let(F.floor(rest), lambda one: _let((rest - one) * unit, lambda left: last(one, left))))
+def _formatted(v: Column) -> Column:
+    return F.call_function("format_number", v, F.lit("0.####"))
 
 
 def shortest(value: Column) -> Column:
@@ -110,18 +109,18 @@ def cell(value: Column, kind: T.DataType) -> Column:
 
 def quoted(text: Column) -> Column:
     """A text as a JSON string."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-    for k in range(32):
-        out = F.replace(out, F.lit(chr(k)), F.lit(short.get(chr(k), f"\\u{k:04x}")))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    out = text
+    for raw, escaped in _COMMON.items():
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    rare = F.array(*(F.struct(F.lit(raw).alias("raw"), F.lit(escaped).alias("escaped")) for raw, escaped in _RARE.items()))
+    every = F.reduce(rare, out, lambda own, c: F.replace(own, c["raw"], c["escaped"]))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), every).otherwise(out), F.lit('"'))
 
 
 def json_cell(value: Column, kind: T.DataType) -> Column:
     """The value of a cell in JSON; null for null and for what is no finite number."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        v = value.cast("double")
-        return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), "null").otherwise(four_decimals(value))
+        return F.coalesce(_finite(value.cast("double")), F.lit("null"))
     if isinstance(kind, (T.BooleanType, T.IntegralType)):
         return F.coalesce(value.cast("string"), F.lit("null"))
     return F.when(value.isNull(), "null").otherwise(quoted(cell(value, kind)))

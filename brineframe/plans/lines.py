@@ -6,13 +6,14 @@ all ranges to one, byte by byte in their order.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import cell, json_cell, quoted, shortest
+from ..functions.cells import cell, json_cell, shortest
 from ..session import work_path
 from ..sources.ordered import ROW, OrderedTable
 
@@ -25,7 +26,7 @@ def tsv_line(df: DataFrame) -> Column:
 
 
 def json_record(df: DataFrame) -> Column:
-    fields = [F.concat(quoted(F.lit(f.name)), F.lit(":"), json_cell(F.col(f.name), f.dataType)) for f in df.schema.fields]
+    fields = [F.concat(F.lit(f"{json.dumps(f.name, ensure_ascii=False)}:"), json_cell(F.col(f.name), f.dataType)) for f in df.schema.fields]
     return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
 
 

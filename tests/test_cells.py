@@ -8,6 +8,7 @@ import math
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from brineframe.functions.cells import cell, four_decimals, json_cell, shortest
@@ -88,3 +89,37 @@ def test_cells_are_worked_out_once(spark):
     for f in (four_decimals, shortest):
         plan = spark.range(1).select(f(F.col("id").cast("double")).alias("x"))._jdf.queryExecution().analyzed().toString()
         assert len(plan) < 12_000, (f.__name__, len(plan))
+
+
+@pytest.mark.parametrize("of", [json_cell])
+def test_usual_cells_take_no_lambda(spark, of):
+    """Lambdas are run step by step: one for ties and large numbers, and a fold for texts with rare control characters, are all there are."""
+    for kind in ("double", "string", "bigint", "boolean", "timestamp_ntz"):
+        df = spark.createDataFrame([], f"x {kind}")
+        plan = df.select(of(F.col("x"), df.schema["x"].dataType).alias("y"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("lambdafunction(") <= 2, kind
+
+
+def test_numbers_near_ties(spark):
+    rng = random.Random(3)
+    at = [k / 20_000 for k in range(1, 20_000, 2)] + [float(1 << e) + d for e in (9, 37, 39) for d in (-0.5, 0.5, 2.0**-13, 2.0**-14, -(2.0**-14))] + [float(1 << 53), 2.0**53 - 1, 2.0**52 + 0.5, 9.2e18]
+    ties = [rng.randrange(1 << e) + (2 * rng.randrange(10_000) + 1) / 20_000 for e in range(53) for _ in range(20)]
+    values = [s * v for t in at + ties for v in (t, math.nextafter(t, INF), math.nextafter(t, -INF)) for s in (1, -1) if abs(v) < 9.2e18]
+    for v, four in spark.createDataFrame([(v,) for v in values], "v double").select("v", four_decimals(F.col("v"))).collect():
+        assert four == render.number(v), v
+
+
+def test_every_control_character(spark):
+    text = "".join(map(chr, range(32))) + '"\\\x7fé'
+    got = spark.createDataFrame([(text,), ("\\u0001",), (" ",)], "s string")
+    assert [r[0] for r in got.select(json_cell(F.col("s"), got.schema["s"].dataType)).collect()] == [json.dumps(t, ensure_ascii=False) for t in (text, "\\u0001", " ")]
+    odd = spark.createDataFrame([(1,)], 'n long').withColumnRenamed("n", 'a"\\\t')
+    assert json.loads(odd.select(json_record(odd)).first()[0]) == {'a"\\\t': 1}
+
+
+def test_lines_are_compiled_in_small_methods(spark):
+    """Java doesn't compile methods of more than 8,000 bytes; a line of many cells stays below that."""
+    df = spark.range(1).select(*((F.col("id") / k).alias(f"x{k}") for k in range(1, 30)), *(F.concat(F.lit(f"{k}\t"), F.col("id").cast("string")).alias(f"s{k}") for k in range(6)))
+    for line in (json_record,):
+        subtrees = df.select(line(df).alias("text"))._jdf.queryExecution().debug().codegenToSeq()
+        assert all(subtrees.apply(k)._3().maxMethodCodeSize() < 8_000 for k in range(subtrees.size())), line.__name__
