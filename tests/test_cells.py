@@ -91,7 +91,7 @@ def test_cells_are_worked_out_once(spark):
         assert len(plan) < 12_000, (f.__name__, len(plan))
 
 
-@pytest.mark.parametrize("of", [json_cell])
+@pytest.mark.parametrize("of", [json_cell, cell])
 def test_usual_cells_take_no_lambda(spark, of):
     """Lambdas are run step by step: one for ties and large numbers, and a fold for texts with rare control characters, are all there are."""
     for kind in ("double", "string", "bigint", "boolean", "timestamp_ntz"):
@@ -120,6 +120,6 @@ def test_every_control_character(spark):
 def test_lines_are_compiled_in_small_methods(spark):
     """Java doesn't compile methods of more than 8,000 bytes; a line of many cells stays below that."""
     df = spark.range(1).select(*((F.col("id") / k).alias(f"x{k}") for k in range(1, 30)), *(F.concat(F.lit(f"{k}\t"), F.col("id").cast("string")).alias(f"s{k}") for k in range(6)))
-    for line in (json_record,):
+    for line in (tsv_line, json_record):
         subtrees = df.select(line(df).alias("text"))._jdf.queryExecution().debug().codegenToSeq()
         assert all(subtrees.apply(k)._3().maxMethodCodeSize() < 8_000 for k in range(subtrees.size())), line.__name__
